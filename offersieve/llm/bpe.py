@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from offersieve.session import ship
+
 #: White space as the tokenizer's pattern sees it (Unicode White_Space).
 _SPACE = "\t-\r \x85\xa0  -     　"
 #: Separators that str.split() treats as white space but the tokenizer does not.
@@ -172,6 +174,7 @@ def load(path: str) -> ForcedBoundaryBpe:
 
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs plus an array column of token ids (empty for null texts). A column named ids is replaced."""
+    ship(docs.sparkSession)
     out = T.StructType([f for f in docs.schema.fields if f.name != ids] + [T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,6 +189,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids
 
 def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """encoded plus the text its ids stand for (empty for null)."""
+    ship(encoded.sparkSession)
     out = T.StructType([f for f in encoded.schema.fields if f.name != text] + [T.StructField(text, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,6 +204,7 @@ def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", text: str = "d
 
 def digests(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode and decode in one pass and keep counts and hashes: (key, n_tokens, ids_sha256, decoded_sha256)."""
+    ship(docs.sparkSession)
     docs = docs.select(key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
