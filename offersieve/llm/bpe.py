@@ -31,7 +31,7 @@ _CONTROL_SEPARATORS = "\x1c\x1d\x1e\x1f"
 _CHUNKS = regex.compile(f"[^{_SPACE}]+")
 _END = "</w>"
 #: Entries a worker remembers; a full memory is emptied, results do not depend on it.
-MEMORY = 200_000
+MEMORY = 500_000
 
 
 def byte_alphabet() -> list[str]:
@@ -61,7 +61,7 @@ class ForcedBoundaryBpe:
         self.alphabet = byte_alphabet()
         self.inner = self._inner_pairs()
         self.fragments: dict[tuple[str, bool], list[int]] = {}
-        self.chunks: dict[str, tuple[str, int, str, list[int]]] = {}
+        self.chunks: dict[str, tuple[str, int, str]] = {}
 
     def _inner_pairs(self) -> set[str]:
         """Pairs of byte characters that stand side by side inside some token."""
@@ -106,28 +106,37 @@ class ForcedBoundaryBpe:
                 heapq.heappush(heap, (r, h, symbols[h], symbols[i]))
         return [self.vocab[s] for s in symbols if s is not None and s in self.vocab]
 
-    def _chunk(self, chunk: str) -> tuple[str, int, str, list[int]]:
+    def _word(self, word: str) -> tuple[str, int, str]:
+        """The fragments of one word, encoded by themselves and joined."""
         ids: list[int] = []
-        for word in self.words.findall(chunk):
-            pieces = self.cut("".join(map(self.alphabet.__getitem__, word.encode("utf-8"))))
-            for i, piece in enumerate(pieces):
-                key = (piece, i == len(pieces) - 1)
-                found = self.fragments.get(key)
-                if found is None:
-                    found = self.merge(*key)
-                    if len(piece) <= 64:
-                        if len(self.fragments) >= MEMORY:
-                            self.fragments.clear()
-                        self.fragments[key] = found
-                ids += found
-        out = (" ".join(map(str, ids)), len(ids), " ".join(map(self.tokens.__getitem__, ids)), ids)
+        pieces = self.cut(word if word.isascii() and word.isprintable() else "".join(map(self.alphabet.__getitem__, word.encode("utf-8"))))
+        for i, piece in enumerate(pieces):
+            key = (piece, i == len(pieces) - 1)
+            found = self.fragments.get(key)
+            if found is None:
+                found = self.merge(*key)
+                if len(pieces) > 1 and len(piece) <= 64:
+                    if len(self.fragments) >= MEMORY:
+                        self.fragments.clear()
+                    self.fragments[key] = found
+            ids += found
+        return " ".join(map(str, ids)), len(ids), " ".join(map(self.tokens.__getitem__, ids))
+
+    def _chunk(self, chunk: str) -> tuple[str, int, str]:
+        """Ids, count and tokens of what stands between white space; words met before are not encoded again."""
+        words = [chunk] if chunk.isalpha() and chunk.isascii() else self.words.findall(chunk)
+        if len(words) == 1:
+            out = self._word(words[0])
+        else:
+            parts = [p for w in words if (p := self.chunks.get(w) or self._chunk(w))[1]]
+            out = " ".join([p[0] for p in parts]), sum([p[1] for p in parts]), " ".join([p[2] for p in parts])
         if len(chunk) <= 64:
             if len(self.chunks) >= MEMORY:
                 self.chunks.clear()
             self.chunks[chunk] = out
         return out
 
-    def _parts(self, text: str) -> list[tuple[str, int, str, list[int]]]:
+    def _parts(self, text: str) -> list[tuple[str, int, str]]:
         """What each part between white space gives, in order."""
         out = []
         pieces, at = [], 0
@@ -140,7 +149,7 @@ class ForcedBoundaryBpe:
         for piece, mark in pieces:
             if mark is not None:
                 i = self.special[mark]
-                out.append((str(i), 1, mark, [i]))
+                out.append((str(i), 1, mark))
                 continue
             if not (piece.isascii() or unicodedata.is_normalized("NFC", piece)):
                 piece = unicodedata.normalize("NFC", piece)
@@ -152,7 +161,7 @@ class ForcedBoundaryBpe:
         return out
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for part in self._parts(text or "") for i in part[3]]
+        return [int(i) for part in self._parts(text or "") for i in part[0].split()]
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by a space, as a tokenizer without a decoder does; unknown ids are left out."""
