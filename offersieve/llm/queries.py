@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from offersieve.llm import bpe, fingerprints, language, quality, sharding
+from offersieve.llm import bpe, fingerprints, language, minhash, quality, sharding
 from offersieve.llm.common import documents
 
 
@@ -19,6 +19,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), percent=85)
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_documents(documents(spark, sf_dir))
 
@@ -34,6 +38,7 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
+    "op4_minhash": op4_minhash,
     "op5_language": op5_language,
     "op6_sharding": op6_sharding,
     "op7_fingerprints": op7_fingerprints,
