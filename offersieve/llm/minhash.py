@@ -37,6 +37,8 @@ SIZE = BANDS * ROWS
 _SEEDS = series(2 * SIZE, 53)
 _FACTORS = series(ROWS, 59) | np.uint64(1)
 _NAMES = series(BANDS, 61)
+#: Longs of a parity sketch.
+PARITY = 16
 #: Ids that are broadcast at most (16 MB); beyond, a shuffled join is used.
 _BROADCAST_IDS = 2_000_000
 
@@ -63,6 +65,15 @@ def bands(shingles: np.ndarray) -> np.ndarray:
     return mix((sketch(shingles).reshape(BANDS, ROWS) * _FACTORS).sum(1, dtype=np.uint64) ^ _NAMES)
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each of 64 * PARITY classes of shingles: whether the set holds an odd number of them.
+
+    Two sets differ in at least as many shingles as their sketches differ in bits.
+    """
+    counts = np.bincount((mix(shingles ^ _NAMES[0]) % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """100 * intersection >= percent * union, for sorted distinct values."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -70,22 +81,23 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _sketched(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, n_shingles, node, bands): node names the set and is null for the empty set."""
+    """(doc_id, n_shingles, node, bands, parity): node names the set and is null for the empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, nodes, keys = [], [], []
+            sizes, nodes, keys, odd = [], [], [], []
             for text in b.column(1).to_pylist():
                 found = shingle_set(text, shingle)
                 sizes.append(len(found))
                 nodes.append(_name(found))
                 keys.append(bands(found).view(np.int64) if len(found) else None)
+                odd.append(parity(found) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "node", "bands"],
+                [b.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "node", "bands", "parity"],
             )
 
-    fields = [docs.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    fields = [docs.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType()), *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("bands", "parity")]]
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType(fields))
 
 
@@ -147,42 +159,63 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _possible(percent: int):
+    """Whether sets can be similar enough: their sizes, and a lower bound of the shingles in which they differ."""
+    total = F.col("n_shingles") + F.col("n_shingles_a")
+    apart = sum((F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("parity_a")[i])) for i in range(1, PARITY)), F.bit_count(F.col("parity")[0].bitwiseXOR(F.col("parity_a")[0])))
+    return (100 * F.least("n_shingles", "n_shingles_a") >= percent * F.greatest("n_shingles", "n_shingles_a")) & ((100 + percent) * apart <= (100 - percent) * total)
+
+
+def _merged(labels: DataFrame | None, members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """labels (node, label) and members' labels after new links between components."""
+    if labels is None:
+        labels = connected(links)
+        return labels, _relabelled(members, labels)
+    names = labels.select(F.col("node"), F.col("label"))
+    between = links.join(names.toDF("a", "label_a"), "a", "left").join(names.toDF("b", "label_b"), "b", "left")
+    joined = connected(between.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")))
+    known = labels.join(joined.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    fresh = joined.join(labels, "node", "left_anti")
+    return stored(known.union(fresh.select("node", "label")), "merged"), _relabelled(members, joined)
+
+
+def _relabelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    out = members.join(labels.toDF("label", "to"), "label", "left")
+    return out.select(*[c for c in members.columns if c != "label"], F.coalesce("to", "label").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs."""
     ship(docs.sparkSession)
     rows = stored(_sketched(docs, shingle), "sketched")
-    # Equal sets have equal bands and sizes; the least doc_id leads to their text.
+    # Equal sets have equal bands, parities and sizes; the least doc_id leads to their text.
     sets = rows.where("node is not null").groupBy("node")
-    nodes = stored(sets.agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "nodes")
+    nodes = stored(sets.agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "parity")]), "nodes")
     keyed = stored(nodes.select("node", F.explode("bands").alias("band")), "keyed")
     shared = stored(keyed.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "shared")
     members = stored(keyed.join(shared, "band"), "members")
     degree = stored(members.groupBy("node").agg(F.sum("size").alias("degree")), "degree")
-    degree = stored(degree.join(nodes.select("node", "id", "n_shingles"), "node"), "candidates")
-    members = stored(members.join(degree, "node").select("band", "node", "size", "degree", "n_shingles"), "ranked")
-    texts = stored(_node_texts(docs, degree, shingle), "texts")
-    edges = labels = None
+    candidates = stored(degree.join(nodes.drop("bands"), "node"), "candidates")
+    members = stored(members.join(candidates, "node").select("band", "node", "size", "degree", "n_shingles", "parity", F.col("node").alias("label")), "ranked")
+    texts = stored(_node_texts(docs, candidates, shingle), "texts")
+    labels = None
     pivots, tested = 1, 0
     while True:
-        placed = members.withColumn("label", F.col("node"))
-        if labels is not None:
-            placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        placed = stored(placed, "placed")
         # Buckets of more than one component whose pairs are not all tested.
-        mixed = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.first("size").alias("size"))
+        mixed = members.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.first("size").alias("size"))
         mixed = stored(mixed.where((F.col("low") != F.col("high")) & (F.col("size") > tested + 1)).select("band"), "mixed")
-        live = stored(placed.join(mixed, "band"), "live")
-        if not live.limit(1).count():
+        members = stored(members.join(mixed, "band"), "live")
+        if not members.limit(1).count():
             break
         rank = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("degree"), "node"))
-        chosen = live.withColumn("rank", rank).where((F.col("rank") <= pivots) & (F.col("rank") > tested))
-        chosen = stored(chosen.select("band", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("n_shingles").alias("n_a")), "pivots")
-        near = (100 * F.least("n_a", "n_shingles") >= percent * F.greatest("n_a", "n_shingles")) & (F.col("label") != F.col("label_a"))
-        pairs = stored(live.join(chosen, "band").where(near).select("a", F.col("node").alias("b")).distinct(), "pairs")
-        found = stored(_confirmed(pairs, texts, percent, shingle), "links")
-        edges = found if edges is None else edges.union(found)
-        labels = connected(edges)
-        pivots, tested = 4 * pivots, pivots
+        chosen = members.withColumn("rank", rank).where((F.col("rank") <= pivots) & (F.col("rank") > tested))
+        chosen = stored(chosen.select("band", *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "n_shingles", "parity")]), "pivots")
+        pairs = members.join(chosen, (members["band"] == chosen["band"]) & (F.col("label") != F.col("label_a")) & _possible(percent))
+        pairs = stored(pairs.select(F.col("node_a").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+        links = stored(_confirmed(pairs, texts, percent, shingle), "links")
+        if links.limit(1).count():
+            labels, members = _merged(labels, members, links)
+        pivots, tested = 16 * pivots, pivots
     label = F.col("node")
     if labels is not None:
         nodes, label = nodes.join(labels, "node", "left"), F.coalesce("label", "node")
