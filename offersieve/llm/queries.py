@@ -52,28 +52,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: doc_id is unique in the tables; windows never have more than five lines.
 LINES_SQL = r"""
 WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
-lines AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS at FROM parts),
+lines AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM parts),
 counted AS (SELECT *, len(list_filter(regexp_split_to_array(line, '[ \t\x0B\f\r]+'), x -> x <> '')) AS words FROM lines),
 ahead AS (
-  SELECT doc_id, at, line, words,
-    lead(at, 1) OVER w AS at1, lead(line, 1) OVER w AS line1, lead(words, 1) OVER w AS words1,
-    lead(at, 2) OVER w AS at2, lead(line, 2) OVER w AS line2, lead(words, 2) OVER w AS words2,
-    lead(at, 3) OVER w AS at3, lead(line, 3) OVER w AS line3, lead(words, 3) OVER w AS words3,
-    lead(at, 4) OVER w AS at4, lead(line, 4) OVER w AS line4, lead(words, 4) OVER w AS words4
-  FROM counted WHERE words > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY at)),
+  SELECT doc_id, pos, line, words,
+    lead(pos, 1) OVER w AS pos1, lead(line, 1) OVER w AS line1, lead(words, 1) OVER w AS words1,
+    lead(pos, 2) OVER w AS pos2, lead(line, 2) OVER w AS line2, lead(words, 2) OVER w AS words2,
+    lead(pos, 3) OVER w AS pos3, lead(line, 3) OVER w AS line3, lead(words, 3) OVER w AS words3,
+    lead(pos, 4) OVER w AS pos4, lead(line, 4) OVER w AS line4, lead(words, 4) OVER w AS words4
+  FROM counted WHERE words > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 sized AS (
   SELECT *, CASE WHEN words >= 5 THEN 1 WHEN words + words1 >= 5 THEN 2 WHEN words + words1 + words2 >= 5 THEN 3
     WHEN words + words1 + words2 + words3 >= 5 THEN 4 WHEN words + words1 + words2 + words3 + words4 >= 5 THEN 5 END AS n
   FROM ahead),
 windows AS (
-  SELECT doc_id, at, [at, at1, at2, at3, at4][1:n] AS covers, [line, line1, line2, line3, line4][1:n] AS key
+  SELECT doc_id, pos, [pos, pos1, pos2, pos3, pos4][1:n] AS covers, [line, line1, line2, line3, line4][1:n] AS key
   FROM sized WHERE n IS NOT NULL),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, at) AS k FROM windows),
-removed AS (SELECT DISTINCT doc_id, unnest(covers) AS at FROM numbered WHERE k > 1),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, pos) AS k FROM windows),
+removed AS (SELECT DISTINCT doc_id, unnest(covers) AS pos FROM numbered WHERE k > 1),
 kept AS (
-  SELECT l.doc_id, count(*) AS n_lines, count(r.at) AS n_removed,
-    coalesce(string_agg(l.line, chr(10) ORDER BY l.at) FILTER (WHERE r.at IS NULL), '') AS text
-  FROM lines l LEFT JOIN removed r ON l.doc_id = r.doc_id AND l.at = r.at GROUP BY l.doc_id)
+  SELECT l.doc_id, count(*) AS n_lines, count(r.pos) AS n_removed,
+    coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE r.pos IS NULL), '') AS text
+  FROM lines l LEFT JOIN removed r ON l.doc_id = r.doc_id AND l.pos = r.pos GROUP BY l.doc_id)
 SELECT doc_id, n_lines, n_removed, length(text) AS n_kept_chars, sha256(text) AS kept_sha256 FROM kept
 """
 
