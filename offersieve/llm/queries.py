@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from offersieve.llm import bpe, fingerprints, language, lines, minhash, quality, sharding
+from offersieve.llm import bpe, decontaminate, fingerprints, language, lines, minhash, quality, sharding
 from offersieve.llm.common import documents
 
 
@@ -39,6 +39,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(documents(spark, sf_dir))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lines": op1_lines,
     "op2_quality": op2_quality,
@@ -47,13 +51,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language": op5_language,
     "op6_sharding": op6_sharding,
     "op7_fingerprints": op7_fingerprints,
+    "op9_decontaminate": op9_decontaminate,
 }
 
 #: doc_id is unique in the tables; windows never have more than five lines.
 LINES_SQL = r"""
 WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
 lines AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM parts),
-counted AS (SELECT *, len(list_filter(regexp_split_to_array(line, '[ \t\x0B\f\r]+'), x -> x <> '')) AS words FROM lines),
+counted AS (SELECT *, len(list_filter(regexp_split_to_array(line, '[ \t\x0B\f\r]+'), lambda x: x <> '')) AS words FROM lines),
 ahead AS (
   SELECT doc_id, pos, line, words,
     lead(pos, 1) OVER w AS pos1, lead(line, 1) OVER w AS line1, lead(words, 1) OVER w AS words1,
