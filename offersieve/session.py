@@ -21,5 +21,7 @@ def ship(spark: SparkSession) -> SparkSession:
             for p in sorted(root.rglob("*.py")):
                 z.write(p, Path(root.name) / p.relative_to(root))
         context.addPyFile(str(target))
+        # Rows are whole documents: 10,000 of them, the default, are too many for one batch.
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
         _sent.add(context.applicationId)
     return spark
