@@ -19,6 +19,7 @@ compared like others.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -63,8 +64,7 @@ def _classify(word: str) -> tuple[int, int]:
         found = NAME, int(_SLOT[NAME])
     else:
         low = body.lower()
-        data = np.frombuffer(low.encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint64)
-        h = int(mix((mix(data + np.uint64(1)) * series(len(data), 79)).sum(keepdims=True))[0])
+        h = int.from_bytes(hashlib.blake2b(low.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         found = UNIT if low in UNITS else 0, h
     if len(word) <= 40:
         if len(_words) >= _REMEMBERED:
