@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from offersieve.llm import bpe, decontaminate, fingerprints, language, lines, minhash, quality, sharding
+from offersieve.llm import bpe, decontaminate, fingerprints, language, lines, minhash, pii, quality, sharding
 from offersieve.llm.common import documents
 
 
@@ -39,6 +39,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(documents(spark, sf_dir))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language": op5_language,
     "op6_sharding": op6_sharding,
     "op7_fingerprints": op7_fingerprints,
+    "op8_pii": op8_pii,
     "op9_decontaminate": op9_decontaminate,
 }
 
