@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from offersieve.llm import bpe, decontaminate, fingerprints, language, lines, minhash, pii, quality, sharding
+from offersieve.llm import bpe, decontaminate, fingerprints, language, lines, minhash, pii, quality, sharding, suffixes
 from offersieve.llm.common import documents
 
 
@@ -47,6 +47,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_spans(documents(spark, sf_dir)).drop("starts", "ends")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lines": op1_lines,
     "op2_quality": op2_quality,
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_fingerprints": op7_fingerprints,
     "op8_pii": op8_pii,
     "op9_decontaminate": op9_decontaminate,
+    "op10_suffixes": op10_suffixes,
 }
 
 #: doc_id is unique in the tables; windows never have more than five lines.
