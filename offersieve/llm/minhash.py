@@ -81,23 +81,24 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _sketched(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, n_shingles, node, bands, parity): node names the set and is null for the empty set."""
+    """(doc_id, text_key, n_shingles, node, bands, parity): text_key is the text's SHA-256, node names the set and is null for the empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, nodes, keys, odd = [], [], [], []
+            sizes, nodes, keys, odd, names = [], [], [], [], []
             for text in b.column(1).to_pylist():
                 found = shingle_set(text, shingle)
                 sizes.append(len(found))
+                names.append(hashlib.sha256((text or "").encode("utf-8", "surrogatepass")).digest())
                 nodes.append(_name(found))
                 keys.append(bands(found).view(np.int64) if len(found) else None)
                 odd.append(parity(found) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "node", "bands", "parity"],
+                [b.column(0), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
+                ["doc_id", "text_key", "n_shingles", "node", "bands", "parity"],
             )
 
-    fields = [docs.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType()), *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("bands", "parity")]]
+    fields = [docs.schema["doc_id"], T.StructField("text_key", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType()), *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("bands", "parity")]]
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType(fields))
 
 
@@ -122,8 +123,8 @@ def _node_texts(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(
-        texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a"
+    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b").join(
+        texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,8 +185,8 @@ def _relabelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return out.select(*[c for c in members.columns if c != "label"], F.coalesce("to", "label").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs."""
+def components(docs: DataFrame, percent: int = 85, shingle: int = 5) -> DataFrame:
+    """(doc_id, text_key, n_shingles, label, component_id) for every row of docs; label names the component, null for empty sets."""
     ship(docs.sparkSession)
     rows = stored(_sketched(docs, shingle), "sketched")
     # Equal sets have equal bands, parities and sizes; the least doc_id leads to their text.
@@ -193,10 +194,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5) -> Dat
     nodes = stored(sets.agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "parity")]), "nodes")
     keyed = stored(nodes.select("node", F.explode("bands").alias("band")), "keyed")
     shared = stored(keyed.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "shared")
-    members = stored(keyed.join(shared, "band"), "members")
+    # Sides that grow with the corpus are never broadcast, at no size.
+    members = stored(keyed.join(shared.hint("merge"), "band"), "members")
     degree = stored(members.groupBy("node").agg(F.sum("size").alias("degree")), "degree")
-    candidates = stored(degree.join(nodes.drop("bands"), "node"), "candidates")
-    members = stored(members.join(candidates, "node").select("band", "node", "size", "degree", "n_shingles", "parity", F.col("node").alias("label")), "ranked")
+    candidates = stored(degree.join(nodes.drop("bands").hint("merge"), "node"), "candidates")
+    members = stored(members.join(candidates.hint("merge"), "node").select("band", "node", "size", "degree", "n_shingles", "parity", F.col("node").alias("label")), "ranked")
     texts = stored(_node_texts(docs, candidates, shingle), "texts")
     labels = None
     pivots, tested = 1, 0
@@ -221,7 +223,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5) -> Dat
         nodes, label = nodes.join(labels, "node", "left"), F.coalesce("label", "node")
     labelled = stored(nodes.select("node", "id", label.alias("label")), "labelled")
     least = stored(labelled.groupBy("label").agg(F.min("id").alias("component_id")), "least")
-    named_by = stored(labelled.join(least, "label").select("node", "component_id"), "named")
-    out = rows.select("doc_id", "n_shingles", "node").join(named_by, "node", "left")
+    named = stored(labelled.join(least.hint("merge"), "label").select("node", "label", "component_id"), "named")
+    out = rows.select("doc_id", "text_key", "n_shingles", "node").join(named.hint("merge"), "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "text_key", "n_shingles", "label", component.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of docs."""
+    found = components(docs, percent, shingle)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
+    """docs with the first document of each component: the least doc_id, then the least hash of the text.
+
+    Rows without words stay, and rows alike in doc_id and text stay together.
+    """
+    found = stored(components(docs, percent, shingle).select("doc_id", "text_key", "label"), "components")
+    first = found.where("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "text_key")).alias("first")).select("first.*")
+    kept = stored(first.union(found.where("label is null").select("doc_id", "text_key")), "kept").toDF("_id", "_key")
+    keyed = docs.withColumn("_own", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    return keyed.join(kept.hint("merge"), (F.col("_own") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").drop("_own")
