@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from offersieve.session import ship
 
 #: White space as the tokenizer's pattern sees it (Unicode White_Space).
-_SPACE = "\t-\r \x85\xa0  -     　"
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Separators that str.split() treats as white space but the tokenizer does not.
 _CONTROL_SEPARATORS = "\x1c\x1d\x1e\x1f"
 _CHUNKS = regex.compile(f"[^{_SPACE}]+")
@@ -211,20 +211,23 @@ def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", text: str = "d
     return encoded.mapInArrow(run, out)
 
 
-def digests(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode and decode in one pass and keep counts and hashes: (key, n_tokens, ids_sha256, decoded_sha256)."""
+def digests(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encode and decode in one pass and keep counts and hashes: (key, n_tokens, ids_sha256, decoded_sha256), and ids if asked for."""
     ship(docs.sparkSession)
     docs = docs.select(key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
         for b in batches:
-            found = [bpe.digest(t) for t in b.column(1).to_pylist()]
-            n, ids, decoded = zip(*found) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
-                [key, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            texts = b.column(1).to_pylist()
+            found = [bpe.digest(t) for t in texts]
+            n, ids, decoded = zip(*found, strict=True) if found else ((), (), ())
+            columns = [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
+            if with_ids:
+                columns.append(pa.array([bpe.encode(t) for t in texts], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
     fields = [docs.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    if with_ids:
+        fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
     return docs.mapInArrow(run, T.StructType(fields))
