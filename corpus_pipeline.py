@@ -1,15 +1,64 @@
-"""The corpus pipeline: language ID, line dedup, near-dedup, decontamination, tokens."""
+"""The corpus pipeline: language ID, line dedup, near-dedup, decontamination, tokens.
+
+Every stage takes the rows that its predecessor kept.  All but the last return
+the columns of documents; the last returns each document's tokens.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from offersieve.llm import bpe, decontaminate, language, lines, minhash
+from offersieve.llm.common import crc_bucket, stored
+from offersieve.session import ship
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the language models don't reject; they learn from rows whose crc32(doc_id) mod 3 is not 1."""
+    model = language.learn(docs.where(crc_bucket(3) != 1))
+    return language.identify(docs, model).where("not rejected").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without repeated lines; n_chars follows. Documents of which no word is left go."""
+    out = lines.dedup_lines(docs)
+    left = out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\s]"))
+    chars = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return left.withColumn("n_chars", chars).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five words, 0.8)."""
+    return minhash.deduplicated(docs, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents into which no benchmark item leaks."""
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) for every document."""
+    return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("tokens", tokens),
+]
 
-STAGES: list = []
+#: Trained language models, sketches and byte-pair merges have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over documents, each one's result written and read again."""
+    docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
