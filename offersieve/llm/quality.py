@@ -17,6 +17,7 @@ score is that class's share (0.5 with no label).
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -33,28 +34,42 @@ from offersieve.session import ship
 #: Bound of the training sample.
 LABELLED_ROWS = 6000
 WIDTH = 1 << 18
-_REMEMBERED = 200_000
+_REMEMBERED = 500_000
 _PLACES = series(8, 41) | np.uint64(1)
 _RUNS = re.compile(r"(.)\1+")
-_CLASSES = str.maketrans({**{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "0" for c in "0123456789"}})
 _shapes: dict[str, int] = {}
+_hashes: dict[str, int] = {}
+
+
+class _Classes(dict):
+    """The class of each code point, found when first met."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        self[point] = found = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+        return found
+
+
+_CLASSES = _Classes()
 
 
 def shape(word: str) -> str:
-    """Classes of characters, runs of one class or mark shortened to one or two."""
-    if not word.isascii():
-        word = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
+    """Classes of characters, runs of one class or mark shortened to two, twelve characters at most."""
     return _RUNS.sub(r"\1\1", word.translate(_CLASSES))[:12]
 
 
 def _shape(word: str) -> int:
     found = _shapes.get(word)
     if found is None:
-        if len(_shapes) >= _REMEMBERED:
-            _shapes.clear()
-        data = np.frombuffer(shape(word).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        found = int(mix((data * series(len(data), 43)).sum(keepdims=True))[0])
+        form = shape(word)
+        found = _hashes.get(form)
+        if found is None:
+            found = int.from_bytes(hashlib.blake2b(form.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+            if len(_hashes) < _REMEMBERED:
+                _hashes[form] = found
         if len(word) <= 40:
+            if len(_shapes) >= _REMEMBERED:
+                _shapes.clear()
             _shapes[word] = found
     return found
 
