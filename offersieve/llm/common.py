@@ -30,11 +30,16 @@ def shared_dir(spark: SparkSession) -> str:
     return used.get().rstrip("/")
 
 
+def compact(df: DataFrame) -> DataFrame:
+    """At most eight partitions for each core, so that no table is written as a crowd of tiny files."""
+    return df.coalesce(8 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    compact(df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

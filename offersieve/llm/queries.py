@@ -8,11 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from offersieve.llm import bpe, decontaminate, fingerprints, language, lines, minhash, pii, quality, sharding, suffixes
-from offersieve.llm.common import documents
+from offersieve.llm.common import compact, documents
 
 
 def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.report(documents(spark, sf_dir))
+    return compact(lines.report(documents(spark, sf_dir)))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(documents(spark, sf_dir), percent=85)
+    return compact(minhash.near_duplicates(documents(spark, sf_dir), percent=85))
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shards(documents(spark, sf_dir), n_shards=8)
+    return compact(sharding.shards(documents(spark, sf_dir), n_shards=8))
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(documents(spark, sf_dir))
+    return compact(pii.report(documents(spark, sf_dir)))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.repeated_spans(documents(spark, sf_dir)).drop("starts", "ends")
+    return compact(suffixes.repeated_spans(documents(spark, sf_dir)).drop("starts", "ends"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
