@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from offersieve.functions.text import cell_text, is_null_token
+from offersieve.functions.text import is_null_token
 from offersieve.schema import APPROVING, JOINED, PENDING
 
 _YEAR_FIRST = r"^(\d{4})[-/.年](\d{1,2})[-/.月](\d{1,2})日?$"
@@ -38,13 +38,13 @@ def _found(date: Column, rule: Column | str, confirm: Column | bool, code: Colum
 
 
 def parse_date_cell(text: Column, number: Column | None = None, date1904: bool | None = None, order: str | None = None) -> Column:
-    """(date, rule, confirm, ambiguous, code) of a cell.
+    """(date, rule, confirm, ambiguous, code) of a cell's normalised text.
 
     number: the cell's value if it is a number.  date1904: the workbook's system, None if
     unknown.  order: 'month-first' or 'day-first' for texts like 01/02/2026, None if not confirmed.
     """
     none = F.lit(None).cast("date")
-    body = cell_text(text)
+    body = F.coalesce(text, F.lit(""))
     part = lambda pattern, i: F.regexp_extract(body, pattern, i).try_cast("int")
     first = make_date_or_null(part(_YEAR_FIRST, 1), part(_YEAR_FIRST, 2), part(_YEAR_FIRST, 3))
     a, b, year = (part(_YEAR_LAST, i) for i in (1, 2, 3))

@@ -30,15 +30,30 @@ def trim_space(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def nfkc_cells(rows: pd.Series) -> pd.Series:
+    """Compatibility form of a row's cells at once: Python functions can't stand inside lambdas."""
+    return rows.map(lambda cells: None if cells is None else [None if x is None else unicodedata.normalize("NFKC", x) for x in cells])
+
+
+def plain_text(c: Column) -> Column:
+    """cell_text of a text in compatibility form."""
+    return trim_space(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), _ZERO_WIDTH, ""), f"[{SPACE}]+", " "))
+
+
+def plain_key(c: Column) -> Column:
+    """header_key of a text in compatibility form."""
+    return F.lower(trim_space(F.regexp_replace(F.coalesce(c, F.lit("")), _ZERO_WIDTH, "")))
+
+
 def cell_text(c: Column) -> Column:
     """'' for null; zero-width signs out, compatibility form, runs of white space to one space, trimmed."""
-    plain = F.regexp_replace(F.coalesce(c, F.lit("")), _ZERO_WIDTH, "")
-    return trim_space(F.regexp_replace(nfkc(plain), f"[{SPACE}]+", " "))
+    return plain_text(nfkc(F.regexp_replace(F.coalesce(c, F.lit("")), _ZERO_WIDTH, "")))
 
 
 def header_key(c: Column) -> Column:
     """Key of headers and dictionary words: like cell_text, lower-cased, inner white space kept."""
-    return F.lower(trim_space(nfkc(F.regexp_replace(F.coalesce(c, F.lit("")), _ZERO_WIDTH, ""))))
+    return plain_key(nfkc(F.regexp_replace(F.coalesce(c, F.lit("")), _ZERO_WIDTH, "")))
 
 
 def header_key_of(text: str) -> str:
@@ -111,7 +126,7 @@ def duplicate_key(cells: Column) -> Column:
 
 
 def markdown_cell(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, r"\|", r"\\\\|"), r"\r\n|\r|\n", " ")
+    return F.regexp_replace(F.replace(c, F.lit("|"), F.lit("\\|")), r"\r\n|\r|\n", " ")
 
 
 def safe_cell(c: Column) -> Column:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from offersieve.functions.text import cell_text, is_null_token
+from offersieve.functions.text import is_null_token, plain_text
 from offersieve.schema import KEEP_ALL, KEEP_FIRST
 
 
 def suspected_key() -> Column:
     """The offer id if there is one, else requirement, name and start date; both of the first must be there."""
-    offer = cell_text(F.col("offer_id"))
+    offer = plain_text(F.col("offer_id"))
     parts = F.concat_ws("|", F.col("requirement_id"), F.col("candidate_name"), F.coalesce(F.col("start_date").cast("string"), F.lit("")))
     return F.when(F.coalesce(F.col("offer_id"), F.lit("")) != "", F.concat(F.lit("offer|"), F.lower(offer))).when(
         F.col("requirement_id").isNotNull() & F.col("candidate_name").isNotNull(), F.lower(parts)
@@ -19,8 +19,8 @@ def suspected_key() -> Column:
 
 
 def exact_key(cells: Column) -> Column:
-    """Cells joined; null for a row that is blank throughout."""
-    texts = F.transform(cells, cell_text)
+    """Cells (in compatibility form) joined; null for a row that is blank throughout."""
+    texts = F.transform(cells, plain_text)
     return F.when(F.exists(texts, lambda t: ~is_null_token(t)), F.array_join(texts, "\u001f"))
 
 
