@@ -120,17 +120,22 @@ def _beside(text: Column, s: Column) -> Column:
 
 def disclosing_terms(texts: DataFrame, found: DataFrame) -> DataFrame:
     """(entity, term, share) from texts (text_key, text) and found (text_key, entity, term) rows."""
+    total = float(texts.agg(F.countDistinct("text_key")).first()[0])  # one number
+
+    def share(n_term: str) -> Column:
+        own = F.log(F.lit(total) / F.col("n_entity"))
+        return F.log(F.lit(total) * F.col("together") / (F.col("n_entity") * F.col(n_term))) / own
+
+    entity = found.groupBy("entity").agg(F.countDistinct("text_key").alias("n_entity")).where(F.col("n_entity") < total)
+    # A word stands in at least as many texts as it stands beside entities in, so most words are out before they are counted.
+    beside = found.groupBy("term").agg(F.countDistinct("text_key").alias("n_beside"))
     pair = found.groupBy("entity", "term").agg(F.countDistinct("text_key").alias("together")).where(F.col("together") >= SUPPORT)
-    pair = stored(pair, "pairs")
-    entity = found.groupBy("entity").agg(F.countDistinct("text_key").alias("n_entity"))
-    wanted = stored(pair.select("term").distinct(), "terms")
+    pair = pair.join(entity.hint("merge"), "entity").join(beside.hint("merge"), "term").where(share("n_beside") >= DISCLOSURE)
+    pair = stored(pair.drop("n_beside"), "pairs")
+    # In how many texts each word stands: words are counted as they are read, before anything is joined.
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0)))
-    term = texts.select("text_key", F.explode(words).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.countDistinct("text_key").alias("n_term"))
-    total = texts.agg(F.countDistinct("text_key")).first()[0]  # one number
-    own = F.log(F.lit(float(total)) / F.col("n_entity"))
-    mutual = F.log(F.lit(float(total)) * F.col("together") / (F.col("n_entity") * F.col("n_term")))
-    known = pair.join(entity, "entity").join(term, "term").where(F.col("n_entity") < total)
-    return known.select("entity", "term", (mutual / own).alias("share")).where(F.col("share") >= DISCLOSURE)
+    term = texts.dropDuplicates(["text_key"]).select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    return pair.hint("merge").join(term, "term").select("entity", "term", share("n_term").alias("share")).where(F.col("share") >= DISCLOSURE)
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -150,7 +155,7 @@ def spans(docs: DataFrame) -> DataFrame:
         signs = signs | sign(F.col("text"))
     pattern = F.concat(F.lit(r"(?<!\p{L})(?iu:"), F.array_join(F.array_sort("words"), "|"), F.lit(r")(?!\p{L})"))
     extra = keyed.where(signs).dropDuplicates(["text_key"]).join(of_text, "text_key").select("text_key", matches(F.col("text"), pattern, TERM).alias("terms"))
-    both = base.drop("beside").join(stored(extra, "extra"), "text_key", "left")
+    both = base.drop("beside").join(stored(extra, "extra").hint("merge"), "text_key", "left")
     apart = F.filter("terms", lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     return both.select("doc_id", "text_key", "base", F.coalesce(apart, F.array().cast(f"array<{_SPAN}>")).alias("terms"))
 
