@@ -43,7 +43,7 @@ from offersieve.session import ship
 
 SPAN, KEY = 50, 24
 WIDTH = SPAN - KEY + 1
-PACK = 8 << 20
+PACK = 4 << 20
 #: Contexts of one owner beyond which they are dealt out string by string.
 CROWD = 20_000
 SHARDS = 4
@@ -104,8 +104,10 @@ def contexts(data: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def _bucket_slices(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
     """(bucket, from, to) of sorted keys; a bucket is a key's leading bits."""
+    if not len(keys):
+        return []
     bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
-    edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     return [(int(bucket[a]), int(a), int(b)) for a, b in zip(edges, np.r_[edges[1:], len(keys)], strict=True)]
 
 
