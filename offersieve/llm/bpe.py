@@ -17,6 +17,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -167,12 +168,12 @@ class ForcedBoundaryBpe:
         """Tokens joined by a space, as a tokenizer without a decoder does; unknown ids are left out."""
         return " ".join([self.tokens[i] for i in ids if i in self.tokens])
 
-    def digest(self, text: str | None) -> tuple[int, str, str]:
-        """Token count, SHA-256 of the ids and of the decoded text."""
+    def digest(self, text: str | None) -> tuple[int, str, str, str]:
+        """Token count, SHA-256 of the ids and of the decoded text, and the ids joined by a space."""
         parts = [p for p in self._parts(text or "") if p[1]]
         ids = " ".join([p[0] for p in parts])
         decoded = " ".join([p[2] for p in parts])
-        return sum([p[1] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        return sum([p[1] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), ids
 
 
 @lru_cache(maxsize=4)
@@ -219,12 +220,11 @@ def digests(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            found = [bpe.digest(t) for t in texts]
-            n, ids, decoded = zip(*found, strict=True) if found else ((), (), ())
+            found = [bpe.digest(t) for t in b.column(1).to_pylist()]
+            n, ids, decoded, joined = zip(*found, strict=True) if found else ((), (), (), ())
             columns = [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
             if with_ids:
-                columns.append(pa.array([bpe.encode(t) for t in texts], pa.list_(pa.int32())))
+                columns.append(pa.array([np.fromstring(x, np.int32, sep=" ") for x in joined], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
     fields = [docs.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
