@@ -36,6 +36,8 @@ from offersieve.session import ship
 ORDER = 4
 #: Bound of the training sample, in documents of each language.
 DOCS_A_LANGUAGE = 1000
+#: A text may be so many times as surprising as usual before its length is regarded.
+MARGIN = 1.5
 _PLACES = series(ORDER, 31) | np.uint64(1)
 _LETTERS: np.ndarray | None = None
 _PIECE = 1 << 18
@@ -122,7 +124,7 @@ class Model:
 
     def limit(self, language: int, n: int) -> float:
         """Highest cross-entropy at which a text of n characters still counts as of the language."""
-        return float(self.mean[language] + 8 * np.sqrt(self.spread[language] ** 2 + 4 * self.local[language] ** 2 / n))
+        return float(MARGIN * self.mean[language] + 8 * np.sqrt(self.spread[language] ** 2 + 4 * self.local[language] ** 2 / n))
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, probability, rejected."""
