@@ -194,6 +194,7 @@ def name_is_safe(name: str, tokens: Sequence[str] = ()) -> bool:
 def chart_series(table: DataFrame, title: str) -> DataFrame:
     """(chart, category, series, value): N and D of each visible group, then both totals."""
     shown = table.where("not suppressed")
-    bars = shown.select(F.lit(title).alias("chart"), F.col("label").alias("category"), F.inline(F.array(F.struct(F.lit("N").alias("series"), F.col("n_total").alias("value")), F.struct(F.lit("D"), F.col("n_core")))))
-    total = table.agg(F.sum("n_total").alias("n"), F.sum("n_core").alias("d"))
-    return bars.unionByName(total.select(F.lit(title).alias("chart"), F.lit("合计").alias("category"), F.inline(F.array(F.struct(F.lit("N").alias("series"), F.col("n").alias("value")), F.struct(F.lit("D"), F.col("d"))))))
+    pair = lambda n, d: F.inline(F.array(*[F.struct(F.lit(k).alias("series"), F.col(c).alias("value")) for k, c in (("N", n), ("D", d))]))
+    bars = shown.select(F.lit(title).alias("chart"), F.col("label").alias("category"), pair("n_total", "n_core"))
+    total = shown.agg(F.sum("n_total").alias("n"), F.sum("n_core").alias("d"))
+    return bars.unionByName(total.select(F.lit(title).alias("chart"), F.lit("合计").alias("category"), pair("n", "d")))

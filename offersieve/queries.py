@@ -13,6 +13,7 @@ from offersieve.functions.dates import expected_internship_days, month_range, pa
 from offersieve.functions.text import cell_text, display_id, looks_like_identifier, safe_cell
 from offersieve.operators import benchmarks, compensation, duplicates, grouping, metrics, quality, rejection
 from offersieve.operators.filters import Filters, apply_filters, filter_counters, retained
+from offersieve.plans import privacy, report
 from offersieve.schema import DIMENSIONS, OFFER_STATUSES, REASON_CATEGORIES, REASON_WORDS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -403,3 +404,62 @@ FROM k LEFT JOIN o ON k.dup_kind = o.dup_kind AND k.g = o.g GROUP BY 1, 2, 3, 4
 QUERIES["exact_documents"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy(F.sha2("text", 256).alias("key")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
 ORACLE_SQL["exact_documents"] = "SELECT sha256(text) AS key, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1"
 QUERIES["display_ids"] = lambda spark, sf_dir: _cells(spark, sf_dir).select("o_orderkey", display_id(F.col("o_orderkey").cast("string")).alias("display_id"))
+
+# ------------------------------------------------------------------ disclosure control
+_register(
+    "suppressed_schools",
+    lambda d: privacy.dimension_table(d.where("source_row % 4 = 0"), "school", privacy.Rules(suppress_below=600)).drop("code", "cycle_p25_band", "cycle_median_band", "cycle_p75_band", "cycle_mean"),
+    _sql(f""", base AS (SELECT *, coalesce(school, '未知') AS k FROM offers WHERE source_row % 4 = 0), sizes AS (SELECT k, count(*) AS n, sum(CAST(count(*) < 600 AS INT)) OVER () AS merged, count(*) OVER () AS groups FROM base GROUP BY 1),
+ named AS (SELECT b.*, n < 600 AS is_merged, merged, groups, CASE WHEN n < 600 THEN concat('其他（', merged, ' 个分组合并）') ELSE k END AS key FROM base b JOIN sizes USING (k)),
+ g AS (SELECT key, is_merged, merged, groups, {BUNDLE_SQL} FROM named GROUP BY 1, 2, 3, 4),
+ h AS (SELECT *, groups <= 1 OR (count(*) OVER () > greatest(2 - merged, 0) AND row_number() OVER (ORDER BY n_total, n_core, key) <= greatest(2 - merged, 0)) AS suppressed, row_number() OVER (ORDER BY is_merged, n_core DESC, n_total DESC, key) AS position FROM g)
+ SELECT position, CASE WHEN suppressed THEN concat(key, '（已抑制）') ELSE key END AS label, {", ".join(f"CASE WHEN suppressed THEN 0 ELSE {c} END AS {c}" for c in ("n_total", "n_joined", "n_pending", "n_approving", "n_rejected", "n_core"))},
+ CASE WHEN NOT suppressed AND n_core >= 600 THEN floor(n_rejected::DOUBLE / n_core * 100 + 0.5) / 100 END AS rejection_rate, suppressed OR n_core < 600 AS rate_suppressed,
+ CASE WHEN NOT suppressed THEN actual_n END AS cycle_n, suppressed, is_merged FROM h"""),
+)
+_register(
+    "complementary_suppression",
+    lambda d: privacy.complementary(d.groupBy(F.col("department").alias("key")).agg(*metrics.status_counts()).select("key", "n_total", "n_core", (F.col("key") == "BUILDING").alias("suppressed"))),
+    _sql(f"""SELECT key, n_total, n_core, s OR (NOT s AND rank <= 1) AS suppressed FROM (SELECT *, row_number() OVER (ORDER BY s, n_total, n_core, key) AS rank FROM (SELECT department AS key, count(*) AS n_total, {_n(_CORE)} AS n_core, department = 'BUILDING' AS s FROM offers GROUP BY 1))"""),
+)
+_CELLS = {
+    "city": "city", "channel": "channel", "referral_type": "referral_type", "requirement_type": "requirement_type", "education": "education",
+    "graduation_year": _LABELS["graduation_year"], "housing_type": "housing_type", "school_level": "CASE WHEN is_gpt THEN 'GPT 院校' WHEN NOT is_gpt THEN '非 GPT 院校' ELSE '未标注' END",
+    "position_category": "CASE WHEN lower(replace(position, ' ', '')) = 'brand#11' THEN '甲类' ELSE '有岗位记录' END", "salary_band": _LABELS["salary_band"], "cycle_band": f"concat({_BAND}, '-', {_BAND} + 9, '天')",
+}
+_register(
+    "summary_cells",
+    lambda d: privacy.summary_cells(d, categories={"brand#11": "甲类"}, edges=EDGES),
+    _sql(
+        "SELECT * FROM ("
+        + " UNION ALL ".join(f"SELECT '{k}' AS dimension, {v} AS key, count(*) AS N, {_n(_J)} AS J, {_n(_P)} AS P, {_n(_A)} AS A, {_n(_REJ)} AS R, {_n(_CORE)} AS D FROM offers {f'WHERE ({_ACTUAL}) IS NOT NULL' if k == 'cycle_band' else ''} GROUP BY 2" for k, v in _CELLS.items())
+        + ") WHERE D >= 5 AND key IS NOT NULL"
+    ),
+)
+_register(
+    "collapsed_cells",
+    lambda d: privacy.collapse(privacy.summary_cells(d, "strict", edges=EDGES), 3).where("dimension = 'city'"),
+    _sql(f"""SELECT 'city' AS dimension, CASE WHEN rank <= 3 THEN city ELSE '其他' END AS key, {", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in "NJPARD")} FROM (SELECT *, row_number() OVER (ORDER BY D DESC, N DESC, city) AS rank
+ FROM (SELECT city, count(*) AS N, {_n(_J)} AS J, {_n(_P)} AS P, {_n(_A)} AS A, {_n(_REJ)} AS R, {_n(_CORE)} AS D FROM offers GROUP BY 1)) GROUP BY 1, 2"""),
+)
+_register(
+    "sentinels",
+    lambda d: privacy.collect_sentinels(d, ("recruiter", "school", "requirement_id"), 20),
+    _sql("SELECT field, value FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY value) AS rank FROM (SELECT DISTINCT 'recruiter' AS field, recruiter AS value FROM offers UNION SELECT DISTINCT 'school', school FROM offers UNION SELECT DISTINCT 'requirement_id', requirement_id FROM offers) WHERE length(value) > 1) WHERE rank <= 20"),
+)
+
+
+def _sentinel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spark.createDataFrame([("The And",), ("zzzz",), ("nichT",)], "value string")
+    return privacy.rows_with_sentinels(spark.read.parquet(f"{sf_dir}/documents.parquet"), words).select("doc_id")
+
+
+QUERIES["sentinel_scan"] = _sentinel_rows
+ORACLE_SQL["sentinel_scan"] = "SELECT doc_id FROM documents WHERE contains(lower(text), 'the and') OR contains(lower(text), 'zzzz') OR contains(lower(text), 'nicht')"
+_register(
+    "chart_series",
+    lambda d: report.chart_series(privacy.dimension_table(d, "channel"), "渠道"),
+    _sql(f""", g AS (SELECT channel AS key, count(*) AS n, {_n(_CORE)} AS d, count(*) OVER () AS groups, row_number() OVER (ORDER BY count(*), {_n(_CORE)}, channel) AS rank FROM offers GROUP BY 1)
+ SELECT '渠道' AS chart, key AS category, s AS series, CASE s WHEN 'N' THEN n ELSE d END AS value FROM g CROSS JOIN (VALUES ('N'), ('D')) t(s) WHERE rank > 2
+ UNION ALL SELECT '渠道', '合计', s, CAST(CASE s WHEN 'N' THEN (SELECT sum(n) FROM g WHERE rank > 2) ELSE (SELECT sum(d) FROM g WHERE rank > 2) END AS BIGINT) FROM (VALUES ('N'), ('D')) t(s)"""),
+)
