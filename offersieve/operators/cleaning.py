@@ -169,8 +169,8 @@ _SOURCES = {
 }
 
 
-def row_issues(v: DataFrame, mapping: Mapping_, s: Settings) -> DataFrame:
-    """(source_row, code, field, raw) of every issue of a row."""
+def issue_array(mapping: Mapping_, s: Settings) -> Column:
+    """(code, field, raw) of every issue of a row."""
     one = lambda condition, code, key, raw: F.when(condition, F.struct(F.lit(code).alias("code"), F.lit(_HEADERS.get(key)).alias("field"), raw.cast("string").alias("raw")))
     each = [F.when(F.col(f"{c}.code").isNotNull(), F.struct(F.col(f"{c}.code").alias("code"), F.lit(_HEADERS[k]).alias("field"), pick(mapping, k, "raw_cells").alias("raw"))) for c, k in _SOURCES.items()]
     pay, comparable = F.col("salary_amount"), SALARY_UNITS[s.salary_option][2]
@@ -188,8 +188,7 @@ def row_issues(v: DataFrame, mapping: Mapping_, s: Settings) -> DataFrame:
     ]
     notes = F.transform(F.filter("notes", lambda n: n != "HEADER_ECHO_CELL"), lambda n: F.struct(n.alias("code"), F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("raw")))
     manual = F.transform("corrected", lambda f: F.struct(F.lit("MANUAL_CORRECTION_APPLIED").alias("code"), f.alias("field"), F.lit(None).cast("string").alias("raw")))
-    every = F.concat(notes, F.array_compact(F.array(*each)), F.coalesce(manual, F.array().cast("array<struct<code:string,field:string,raw:string>>")))
-    return v.select("source_row", F.explode(every).alias("i")).select("source_row", "i.code", "i.field", "i.raw")
+    return F.concat(notes, F.array_compact(F.array(*each)), F.coalesce(manual, F.array().cast("array<struct<code:string,field:string,raw:string>>")))
 
 
 def lineage(v: DataFrame, mapping: Mapping_) -> DataFrame:
@@ -218,19 +217,20 @@ def clean(rows: DataFrame, mapping: Mapping_, s: Settings, corrections: DataFram
         admitted = corrected(admitted, corrections, mapping)
     v = values(resolved(admitted, mapping, s), mapping, s)
     record_id = F.sha2(F.concat_ws("\u001f", F.lit(dataset_id), F.lit(sheet), F.col("source_row").cast("string")), 256).substr(1, 32)
-    v = v.withColumns({"record_id": record_id, "offer_id": F.col("extensions")["offerId"]})
+    v = v.withColumns({"record_id": record_id, "offer_id": F.col("extensions")["offerId"], "issues": issue_array(mapping, s)})
     keys = v.withColumns({"exact_key": duplicates.exact_key(F.col("cells")), "suspected_key": duplicates.suspected_key()}).select("record_id", "source_row", "exact_key", "suspected_key")
     marked = duplicates.decide(duplicates.mark(keys), s.dedup_strategy, s.dedup_confirmed)
     joined = v.join(marked.select("record_id", "dup_kind", "dup_group", "is_first", "dedup_action", "dedup_by"), "record_id")
     dup_code = F.when(F.col("dup_kind") == "exact", F.lit("EXACT_DUPLICATE")).when(F.col("dup_kind") == "suspected", F.lit("SUSPECTED_DUPLICATE"))
     group_issues = joined.where("dup_kind <> 'none' and is_first").select("source_row", dup_code.alias("code"), F.lit(None).cast("string").alias("field"), F.col("dup_group").alias("raw"))
-    issues = row_issues(v, mapping, s).unionByName(group_issues)
-    flags = issues.groupBy("source_row").agg(F.array_sort(F.collect_set("code")).alias("d_flags"))
-    hidden = [c for c in joined.columns if c.startswith("r_")] + ["g", "echo", "raw_cycle_days", "numbers", "notes", "empty", "channel_inferred"]
-    records = joined.drop(*hidden).where("dedup_action <> 'removedAsDuplicate'").join(flags, "source_row", "left").withColumns(
+    issues = v.select("source_row", F.inline("issues")).unionByName(group_issues)
+    # Every member of a duplicate group has its flag; the group's issue stands at its first row.
+    flags = F.array_sort(F.array_distinct(F.concat(F.transform("issues", lambda i: i["code"]), F.array_compact(F.array(dup_code)))))
+    hidden = [c for c in joined.columns if c.startswith("r_")] + ["g", "echo", "raw_cycle_days", "numbers", "notes", "empty", "channel_inferred", "issues"]
+    records = joined.withColumn("d_flags", flags).drop(*hidden).where("dedup_action <> 'removedAsDuplicate'").withColumns(
         {
             "dataset_id": F.lit(dataset_id), "batch_id": F.lit(batch_id), "source_sheet": F.lit(sheet), "schema_version": F.lit(SCHEMA_VERSION), "rules_version": F.lit(RULES_VERSION),
-            "data_as_of": F.lit(s.as_of).cast("date"), "display_id": display_id(F.col("record_id")), "d_flags": F.coalesce("d_flags", F.array().cast("array<string>")),
+            "data_as_of": F.lit(s.as_of).cast("date"), "display_id": display_id(F.col("record_id")),
         }
     )
     raw = rows.agg(F.count("*").alias("n_raw"), F.count_if("empty").alias("n_empty"), F.count_if(F.col("hidden")).alias("n_hidden"))

@@ -103,3 +103,15 @@ def scatter_points(groups: DataFrame, smallest: float = 8, largest: float = 40)
     known = groups.where(F.col("rejection_rate").isNotNull() & ~F.col("key").rlike(r"^其他（\d+ 个分组合并）$"))
     share = F.sqrt(F.col("n_total") / F.max("n_total").over(Window.partitionBy(F.lit(1))))
     return known.select("key", "n_total", "n_core", "rejection_rate", (smallest + (largest - smallest) * share).alias("symbol_size"))
+
+
+def ranking_availability(groups: DataFrame, least: int = 10) -> DataFrame:
+    """One row: known recruiters, those with D of at least `least`, and whether two of them can be ranked."""
+    known = groups.where(F.col("key") != UNKNOWN)
+    ready = F.count_if(F.col("n_core") >= least)
+    return known.agg(F.count("*").alias("n_known"), ready.alias("n_rankable"), (ready >= 2).alias("can_rank"))
+
+
+def source_counts(records: DataFrame, column: str) -> DataFrame:
+    """Records by where a value came from."""
+    return records.groupBy(F.coalesce(column, F.lit("unknown")).alias("source")).agg(F.count("*").alias("n"))

@@ -11,10 +11,10 @@ from offersieve.bindings import OFFERS_SQL, offers
 from offersieve.functions import numbers
 from offersieve.functions.dates import expected_internship_days, month_range, parse_date_cell, waiting
 from offersieve.functions.text import cell_text, display_id, looks_like_identifier, safe_cell
-from offersieve.operators import benchmarks, compensation, duplicates, grouping, metrics, quality, rejection
+from offersieve.operators import benchmarks, cleaning, compensation, duplicates, grouping, mapping, metrics, quality, rejection
 from offersieve.operators.filters import Filters, apply_filters, filter_counters, retained
 from offersieve.plans import privacy, report
-from offersieve.schema import DIMENSIONS, OFFER_STATUSES, REASON_CATEGORIES, REASON_WORDS
+from offersieve.schema import DIMENSIONS, MODULES, OFFER_STATUSES, REASON_CATEGORIES, REASON_WORDS
 
 Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = "2001-09-01"
@@ -463,3 +463,90 @@ _register(
  SELECT '渠道' AS chart, key AS category, s AS series, CASE s WHEN 'N' THEN n ELSE d END AS value FROM g CROSS JOIN (VALUES ('N'), ('D')) t(s) WHERE rank > 2
  UNION ALL SELECT '渠道', '合计', s, CAST(CASE s WHEN 'N' THEN (SELECT sum(n) FROM g WHERE rank > 2) ELSE (SELECT sum(d) FROM g WHERE rank > 2) END AS BIGINT) FROM (VALUES ('N'), ('D')) t(s)"""),
 )
+
+
+# ------------------------------------------------------------------ cleaning, end to end
+_HEADERS = ("需求ID", "城市", "offer状态", "启动招聘时间", "入职时间", "薪资", "房补", "渠道", "姓名")
+
+
+def _raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as the rows of a messy list."""
+    k, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+    pick = lambda n, *words: F.element_at(F.array(*[F.lit(w).cast("string") for w in words]), (k % n + 1).cast("int"))
+    cells = F.array(
+        F.concat(F.lit("00"), k.cast("string")), pick(6, " 上海　", "广州网易大厦", "杭州（滨江）", "北京", "-", None), pick(7, "已入职", "待入职", "已送审批", "拒绝 offer", "审批通过", "", None),
+        F.date_format(day, "yyyy/M/d"), F.date_format(F.date_add(day, (k % 50 - 10).cast("int")), "yyyy年M月d日"), pick(5, "4,000", "3000-4000", "-5", "面议", None),
+        pick(4, "５００元/月", "无（外地）", "住宿", "待定"), pick(3, "BOSS", "官网 ", "x"), F.concat(F.lit("N"), (F.col("o_custkey") % 97).cast("string")),
+    )
+    numbers = F.array_repeat(F.lit(None).cast("double"), len(_HEADERS))
+    return _cells(spark, sf_dir).select(k.cast("int").alias("source_row"), cells.alias("cells"), numbers.alias("numbers"), F.lit(False).alias("empty"), (k % 11 == 0).alias("hidden"), F.array().cast("array<string>").alias("notes"))
+
+
+def _cleaned(spark: SparkSession, sf_dir: str) -> cleaning.Cleaned:
+    plan, _ = mapping.decide(mapping.suggest(_HEADERS), mapping.Decisions(), "2026-01-01")
+    return cleaning.clean(_raw_rows(spark, sf_dir), plan, cleaning.Settings(AS_OF, include_hidden=False))
+
+
+def _clean_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = ("city", "offer_status", "channel", "housing_type", "currency")
+    return _rounded(_cleaned(spark, sf_dir).records.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("salary_amount").alias("salary"), F.sum("housing_amount").alias("housing"), F.sum("d_cycle_days").alias("days"), F.count_if("d_planned_eligible").alias("planned"), F.min("requirement_id").alias("first")))
+
+
+_CLEAN_SQL = """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 50 - 10 AS gap FROM orders WHERE o_orderkey % 11 <> 0), r AS (SELECT *,
+  CASE k % 6 WHEN 0 THEN '上海' WHEN 1 THEN '广州' WHEN 2 THEN '杭州' WHEN 3 THEN '其他' ELSE '未知' END AS city,
+  CASE k % 7 WHEN 0 THEN '已入职' WHEN 1 THEN '待入职' WHEN 2 THEN 'offer审批中' WHEN 3 THEN '拒绝offer' ELSE '未知' END AS offer_status,
+  CASE k % 3 WHEN 0 THEN 'Boss' WHEN 1 THEN '官网' ELSE '其他' END AS channel,
+  CASE k % 4 WHEN 0 THEN '现金房补' WHEN 1 THEN '无补贴' WHEN 2 THEN '提供住宿' ELSE '未知' END AS housing_type,
+  CASE k % 4 WHEN 0 THEN 500.0 WHEN 1 THEN 0.0 END AS housing_amount, CASE k % 5 WHEN 0 THEN 4000.0 END AS salary_amount FROM o) """
+QUERIES["cleaned_offers"] = _clean_groups
+ORACLE_SQL["cleaned_offers"] = (
+    _CLEAN_SQL
+    + """SELECT city, offer_status, channel, housing_type, CASE WHEN salary_amount IS NOT NULL THEN 'CNY' END AS currency, count(*) AS n, sum(salary_amount) AS salary, sum(housing_amount) AS housing,
+ CAST(sum(CASE WHEN offer_status = '已入职' AND gap >= 0 THEN gap END) AS BIGINT) AS days, count(*) FILTER (WHERE offer_status = '待入职') AS planned, min(concat('00', k)) AS first FROM r GROUP BY 1, 2, 3, 4, 5"""
+)
+QUERIES["cleaning_issues"] = lambda spark, sf_dir: _cleaned(spark, sf_dir).issues.groupBy("code", "field").agg(F.count("*").alias("n"))
+ORACLE_SQL["cleaning_issues"] = _CLEAN_SQL + """SELECT code, field, count(*) AS n FROM (
+ SELECT 'UNKNOWN_ENUM_VALUE' AS code, '城市' AS field FROM r WHERE k % 6 = 3 UNION ALL SELECT 'UNKNOWN_ENUM_VALUE', 'offer状态' FROM r WHERE k % 7 = 4 UNION ALL SELECT 'MISSING_REQUIRED_VALUE', 'offer状态' FROM r WHERE k % 7 = 6
+ UNION ALL SELECT 'UNKNOWN_ENUM_VALUE', '渠道' FROM r WHERE k % 3 = 2 UNION ALL SELECT 'UNKNOWN_ENUM_VALUE', '房补' FROM r WHERE k % 4 = 3 UNION ALL SELECT 'VALUE_RANGE_UNCERTAIN', '薪资' FROM r WHERE k % 5 = 1
+ UNION ALL SELECT 'INVALID_SALARY', '薪资' FROM r WHERE k % 5 IN (2, 3) UNION ALL SELECT 'NEGATIVE_CYCLE', '入职时间' FROM r WHERE k % 7 = 0 AND gap < 0 UNION ALL SELECT 'PLANNED_DATE_UNCERTAIN', '入职时间' FROM r WHERE k % 7 = 1) GROUP BY 1, 2"""
+QUERIES["cleaning_counts"] = lambda spark, sf_dir: _cleaned(spark, sf_dir).counts
+ORACLE_SQL["cleaning_counts"] = _CLEAN_SQL + """SELECT (SELECT count(*) FROM orders) AS n_raw, 0 AS n_empty, (SELECT count(*) FROM orders WHERE o_orderkey % 11 = 0) AS n_hidden, count(*) AS n_built, 0 AS n_removed, 0 AS n_header_echo,
+ count(*) AS n_kept, count(DISTINCT k) AS n_requirements, count(*) FILTER (WHERE k % 6 = 3 OR k % 7 IN (1, 4, 6) OR k % 3 = 2 OR k % 4 = 3 OR k % 5 IN (1, 2, 3) OR (k % 7 = 0 AND gap < 0)) AS n_issue_rows FROM r"""
+QUERIES["lineage_rules"] = lambda spark, sf_dir: _cleaned(spark, sf_dir).lineage.where("field in ('city', 'salaryAmount', 'joiningDate')").groupBy("field", "rule", "confirm").agg(F.count("*").alias("n"))
+ORACLE_SQL["lineage_rules"] = _CLEAN_SQL + """SELECT field, rule, confirm, count(*) AS n FROM (
+ SELECT 'city' AS field, CASE k % 6 WHEN 0 THEN 'city.上海' WHEN 1 THEN 'city.广州网易大厦' WHEN 2 THEN 'city.prefix' WHEN 3 THEN 'city.unrecognized' ELSE 'city.missing' END AS rule, k % 6 IN (1, 2, 3) AS confirm FROM r
+ UNION ALL SELECT 'salaryAmount', CASE k % 5 WHEN 0 THEN 'salary.number' WHEN 1 THEN 'salary.rangeUnconfirmed' WHEN 2 THEN 'salary.negativeOrUnparsed' WHEN 3 THEN 'salary.unparsed' ELSE 'salary.missing' END, k % 5 IN (1, 2, 3) FROM r
+ UNION ALL SELECT 'joiningDate', 'date.ymd', FALSE FROM r) GROUP BY 1, 2, 3"""
+QUERIES["column_profile"] = lambda spark, sf_dir: mapping.column_profile(_raw_rows(spark, sf_dir), _HEADERS).where("index in (1, 2, 5)").select("index", "header", "n_filled", F.array_join("samples", "/").alias("samples"), "all_empty")
+ORACLE_SQL["column_profile"] = """WITH c AS (SELECT o_orderkey AS k, 1 AS index, '城市' AS header, CASE o_orderkey % 6 WHEN 0 THEN '上海　' WHEN 1 THEN '广州网易大厦' WHEN 2 THEN '杭州（滨江）' WHEN 3 THEN '北京' WHEN 4 THEN '-' END AS v FROM orders
+ UNION ALL SELECT o_orderkey, 2, 'offer状态', CASE o_orderkey % 7 WHEN 0 THEN '已入职' WHEN 1 THEN '待入职' WHEN 2 THEN '已送审批' WHEN 3 THEN '拒绝 offer' WHEN 4 THEN '审批通过' END FROM orders
+ UNION ALL SELECT o_orderkey, 5, '薪资', CASE o_orderkey % 5 WHEN 0 THEN '4,000' WHEN 1 THEN '3000-4000' WHEN 2 THEN '-5' WHEN 3 THEN '面议' END FROM orders),
+ f AS (SELECT index, header, v, count(*) AS n, min(k) AS first FROM c WHERE v IS NOT NULL GROUP BY 1, 2, 3), g AS (SELECT *, row_number() OVER (PARTITION BY index ORDER BY first) AS rank FROM f)
+ SELECT index, header, CAST(sum(n) AS BIGINT) AS n_filled, string_agg(v, '/' ORDER BY rank) FILTER (WHERE rank <= 3) AS samples, FALSE AS all_empty FROM g GROUP BY 1, 2"""
+
+# ------------------------------------------------------------------ remaining tables
+_register(
+    "ranking_availability",
+    lambda d: grouping.ranking_availability(d.groupBy(F.coalesce("recruiter", F.lit("未知")).alias("key")).agg(*metrics.status_counts())),
+    _sql(f"SELECT count(*) AS n_known, {_n('n >= 10')} AS n_rankable, {_n('n >= 10')} >= 2 AS can_rank FROM (SELECT recruiter, {_n(_CORE)} AS n FROM offers WHERE recruiter IS NOT NULL GROUP BY 1)"),
+)
+_register(
+    "unclassified_reasons",
+    lambda d: rejection.reason_samples_by_rank(d.where("rejection_reason = 'free text'")),
+    _sql(f"SELECT 'free text' AS reason, count(*) AS n, 1 AS rank FROM offers WHERE rejection_reason = 'free text' AND {_REJ}"),
+)
+_register(
+    "module_availability",
+    lambda d: quality.availability(d, _issues(d)).select("module", "available"),
+    _sql(" UNION ALL ".join(f"SELECT '{m}' AS module, {'FALSE' if m in ('房补对比', '渠道对比') else 'TRUE'} AS available" for m in MODULES)),
+)
+_register(
+    "page_of_groups",
+    lambda d: grouping.page(d.groupBy(F.col("position").alias("key")).agg(*metrics.status_counts()), grouping.by_core(), 2, 10).select("key", "n_core"),
+    _sql(f"SELECT key, n_core FROM (SELECT position AS key, {_n(_CORE)} AS n_core, count(*) AS n FROM offers GROUP BY 1) ORDER BY n_core DESC, n DESC, key LIMIT 10 OFFSET 10"),
+)
+_register(
+    "chart_order",
+    lambda d: grouping.for_chart(metrics.with_rates(d.groupBy(F.col("channel").alias("key")).agg(*metrics.status_counts())), "rejection_rate").select("key", "position"),
+    _sql(f"SELECT key, row_number() OVER (ORDER BY r::DOUBLE / nullif(d, 0) DESC NULLS LAST, d DESC, n DESC, key) AS position FROM (SELECT channel AS key, {_n(_REJ)} AS r, {_n(_CORE)} AS d, count(*) AS n FROM offers GROUP BY 1)"),
+)
