@@ -77,7 +77,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     removed = stored(repeated_lines(keyed.select(*_KEY, "text"), min_words), "removed").toDF("_id", "_key", "_lines")
     both = keyed.join(removed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
     parts = F.split("text", "\n")
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_lines", i)), "\n")
+    # Texts of very many lines: array_except hashes, and the outer lambda splits a text once.
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_lines")
+    kept = F.transform(F.array(parts), lambda p: F.array_join(F.transform(left, lambda i: F.get(p, i)), "\n"))[0]
     text = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(kept)
     return both.select(
         *[text.alias(c) if c == "text" else F.col(c) for c in rest],
