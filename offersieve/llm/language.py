@@ -9,8 +9,8 @@ above what held-back training texts of the language show, with regard to its
 length.
 
 Models are fitted on a bounded sample of labelled rows: about DOCS_A_LANGUAGE
-texts of each language, chosen by a hash of the row.  Everything is scored on
-whole texts.
+texts of each language, chosen by a hash of the text; copies count once.
+Everything is scored on whole texts.
 
 Null texts and texts without a letter get `und` with score 0 and are rejected.
 Rows with a null language are not learned from.  With no labelled row at all,
@@ -187,7 +187,8 @@ def learn(labelled: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE) -> Model:
     languages = sorted(sizes)
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, docs_a_language / n))])
     draw = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.withColumn("draw", draw / share[F.col("lang")]).where("draw < 1")
+    # Copies have one draw: they count once, or a large group of them would exceed the bound.
+    sample = labelled.withColumn("draw", draw / share[F.col("lang")]).where("draw < 1").dropDuplicates(["text", "lang"])
     number = {k: i for i, k in enumerate(languages)}
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
