@@ -12,13 +12,15 @@ table gives an empty result.
 from __future__ import annotations
 
 import heapq
+import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from offersieve.llm.common import stored
 
-#: Groups of one size that are numbered together.
+#: Groups of one size that are numbered together at least; with more of a size than the square of that, the
+#: root of their number, so that neither a block nor the list of blocks outgrows a task.
 _RANK_BLOCK = 64
 #: Blocks of a shard that are numbered by themselves.
 _SLOT_BLOCKS = 512
@@ -58,7 +60,7 @@ def schedule(sizes: list[tuple[int, int]], n_shards: int) -> list[tuple[int, int
         for k in deal(loads, size, count):
             total += k
             ends.append(total)
-        out.append((size, -(-count // _RANK_BLOCK), ends))
+        out.append((size, -(-count // max(_RANK_BLOCK, math.isqrt(count))), ends))
     return out
 
 
