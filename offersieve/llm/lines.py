@@ -10,6 +10,12 @@ and every line that only later windows cover is deleted.  `First` is the order
 of doc_id, then of lines; rows that repeat a doc_id follow in the order of
 their text's hash.
 
+A run's last lines may hold too few words for a window of their own.  With
+`tails` each window also stands in every longer form whose lines after the
+first hold less than MIN_WORDS words (beyond, the next window covers them), so
+a repeated run goes to its right end.  The registered query op1_lines leaves
+tails out, because its SQL knows none; the pipeline takes them in.
+
 Null texts stay null, empty ones stay empty.  A null doc_id is before all
 others.  Rows alike in doc_id and text are one document: each gets the same
 result.  Surviving lines are joined by a line feed.
@@ -30,8 +36,8 @@ def _words(line: Column) -> Column:
     return F.size(F.filter(F.split(line, "[ \\t\\x0B\\f\\r]+"), lambda w: w != ""))
 
 
-def _windows(docs: DataFrame, min_words: int) -> DataFrame:
-    """A row for each window: key, first and last line, its text's hash, and its least line's hash and place."""
+def _windows(docs: DataFrame, min_words: int, tails: bool) -> DataFrame:
+    """A row for each window and longer form: key, first line, lines, its text's hash, and its least line's hash and place."""
     lines = F.filter(F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("at"), F.xxhash64(line).alias("hash"), _words(line).alias("words"))), lambda x: x["words"] > 0)
     numbered = docs.where("text is not null and text <> ''").select(*_KEY, lines.alias("lines"))
     last = F.size("lines") - 1
@@ -44,24 +50,37 @@ def _windows(docs: DataFrame, min_words: int) -> DataFrame:
             F.struct(F.lit(0).alias("words"), F.lit(0).alias("n")),
             lambda acc, y: F.when(acc["words"] >= min_words, acc).otherwise(F.struct((acc["words"] + y["words"]).alias("words"), (acc["n"] + 1).alias("n"))),
         )
-        run = F.slice("lines", i + 1, full["n"])
+        # Binding the run's length once keeps the aggregation from being repeated in each use.
+        return F.transform(F.array(F.struct(full["n"].alias("n"), (full["words"] >= min_words).alias("whole"), ahead.alias("ahead"))), lambda f: forms(x, f))[0]
+
+    def forms(x: Column, f: Column) -> Column:
+        run = F.slice(f["ahead"], 1, f["n"])
         least = F.array_min(F.transform(run, lambda y: F.struct(y["hash"].alias("hash"), y["at"].alias("at"))))
-        return F.struct(
-            x["at"].alias("start"),
-            F.transform(run, lambda y: y["at"]).alias("covers"),
-            F.xxhash64(F.transform(run, lambda y: y["hash"]), full["n"]).alias("window"),
-            least["hash"].alias("fingerprint"),
-            least["at"].alias("place"),
-            (full["words"] >= min_words).alias("whole"),
-        )
 
-    rows = numbered.where(last >= 0).select(*_KEY, F.explode(F.transform("lines", window)).alias("w")).select(*_KEY, "w.*")
-    return rows.where("whole").drop("whole")
+        def form(n: Column) -> Column:
+            covered = F.slice(f["ahead"], 1, n)
+            return F.struct(
+                x["at"].alias("start"),
+                F.transform(covered, lambda y: y["at"]).alias("covers"),
+                F.xxhash64(F.transform(covered, lambda y: y["hash"]), n).alias("window"),
+                least["hash"].alias("fingerprint"),
+                least["at"].alias("place"),
+            )
+
+        def short(n: Column) -> Column:
+            return F.aggregate(F.slice(f["ahead"], 2, n - 1), F.lit(0), lambda acc, y: acc + y["words"]) < min_words
+
+        longer = F.filter(F.sequence(f["n"], F.size(f["ahead"])), lambda n: (n == f["n"]) | short(n)) if tails else F.array(f["n"])
+        return F.when(f["whole"], F.transform(longer, form))
+
+    # Of a text's starts without a whole window nothing is left.
+    forms_of = F.filter(F.transform("lines", window), lambda w: w.isNotNull())
+    return numbered.where(last >= 0).select(*_KEY, F.explode(F.flatten(forms_of)).alias("w")).select(*_KEY, "w.*")
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, tails: bool = True) -> DataFrame:
     """(doc_id, text_key, lines): the numbers of the lines to delete, for documents that have any."""
-    windows = stored(_windows(docs, min_words), "windows")
+    windows = stored(_windows(docs, min_words, tails), "windows")
     place = F.struct(*_KEY, "place")
     shared = windows.groupBy("fingerprint").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("fingerprint")
     around = stored(windows.join(stored(shared, "fingerprints"), "fingerprint").drop("fingerprint", "place"), "around")
@@ -70,11 +89,11 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return later.select(*_KEY, F.explode("covers").alias("at")).groupBy(*_KEY).agg(F.collect_set("at").alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, tails: bool = True) -> DataFrame:
     """docs with deduplicated texts, plus n_lines and n_removed (columns of these names are replaced)."""
     rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = docs.select(*rest, F.unhex(F.sha2("text", 256)).alias("text_key"))
-    removed = stored(repeated_lines(keyed.select(*_KEY, "text"), min_words), "removed").toDF("_id", "_key", "_lines")
+    removed = stored(repeated_lines(keyed.select(*_KEY, "text"), min_words, tails), "removed").toDF("_id", "_key", "_lines")
     both = keyed.join(removed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
     parts = F.split("text", "\n")
     # Texts of very many lines: array_except hashes, and the outer lambda splits a text once.
@@ -89,7 +108,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, n_lines, n_removed, n_kept_chars, kept_sha256) for every row."""
-    out = dedup_lines(docs.select("doc_id", "text"), min_words)
+    """(doc_id, n_lines, n_removed, n_kept_chars, kept_sha256) for every row, as in the SQL, which has no tails."""
+    out = dedup_lines(docs.select("doc_id", "text"), min_words, tails=False)
     text = F.coalesce("text", F.lit(""))
     return out.select("doc_id", "n_lines", "n_removed", F.length(text).cast("long").alias("n_kept_chars"), F.sha2(text, 256).alias("kept_sha256"))
