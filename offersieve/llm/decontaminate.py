@@ -10,9 +10,14 @@ don't count.  An item leaks into a document if SHARE of its windows match.  So
 a question whose numbers or names were exchanged throughout is found, and a
 text that merely has its form is not.
 
-Items of fewer than WINDOW words are one window of their length; with fewer
-than MIN_TOKENS words, or without enough plain words, an item has no window and
-is never found.  Null and empty texts hold nothing.  Repeated rows of a
+Beside them stand word windows: all windows of WINDOW words as they are, but
+for case and marks around them, with no bound on plain words.  SHARE of these
+makes a leak too, so every item with a word is searched, and copies in other
+case are found.  The result gives the kind of windows with the higher share,
+template windows if both have the same.
+
+Items of fewer than WINDOW words are one window of their length; template
+windows have MIN_TOKENS words at least.  Null and empty texts hold nothing.  Repeated rows of a
 document or an item give one result.  Rows with a null doc_id or item_id are
 compared like others.
 """
@@ -21,7 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,11 +53,17 @@ UNITS = frozenset(
     "meters meter metres metre kilometers kilometres miles mile feet foot inches inch yards pounds pound ounces grams gram litres liters "
     "dollars dollar euros euro cents cent percent degrees degree mph kmh".split()
 )
-_words: dict[str, tuple[int, int]] = {}
+#: Kinds of windows.
+TEMPLATE, WORDS = 0, 1
+_words: dict[str, tuple[int, int, int]] = {}
 
 
-def _classify(word: str) -> tuple[int, int]:
-    """(kind, hash) of one word; kind 0 is a plain word, UNIT a unit if a number stands before it."""
+def _hash(word: str, kind: int) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8, salt=bytes([kind])).digest(), "little")
+
+
+def _classify(word: str) -> tuple[int, int, int]:
+    """(kind, hash in templates, hash of the word) of one word; kind 0 is a plain word, UNIT a unit if a number stands before it."""
     body = word.strip("\"'“”‘’«»()[]{}<>.,;:!?…*#$&%=_|~`^-–—¿¡")
     if not body:
         body = word
@@ -64,8 +75,8 @@ def _classify(word: str) -> tuple[int, int]:
         found = NAME, int(_SLOT[NAME])
     else:
         low = body.lower()
-        h = int.from_bytes(hashlib.blake2b(low.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        found = UNIT if low in UNITS else 0, h
+        found = UNIT if low in UNITS else 0, _hash(low, TEMPLATE)
+    found = *found, _hash(body.casefold(), WORDS)
     if len(word) <= 40:
         if len(_words) >= _REMEMBERED:
             _words.clear()
@@ -73,17 +84,23 @@ def _classify(word: str) -> tuple[int, int]:
     return found
 
 
-def template(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Words, template hashes, and which of them are placeholders."""
+def _read(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Words, template hashes, which of them are placeholders, and word hashes."""
     words = (text or "").split()
     get = _words.get
     pairs = [get(w) or _classify(w) for w in words]
     kinds = np.fromiter([p[0] for p in pairs], np.int8, len(words))
     codes = np.fromiter([p[1] for p in pairs], np.uint64, len(words))
+    plain = np.fromiter([p[2] for p in pairs], np.uint64, len(words))
     unit = np.zeros(len(words), bool)
     unit[1:] = (kinds[1:] == UNIT) & (kinds[:-1] == NUMBER)
     codes[unit] = _SLOT[UNIT]
-    return words, codes, (unit | ((kinds > 0) & (kinds != UNIT)))
+    return words, codes, (unit | ((kinds > 0) & (kinds != UNIT))), plain
+
+
+def template(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Words, template hashes, and which of them are placeholders."""
+    return _read(text)[:3]
 
 
 def windows(codes: np.ndarray, slots: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,30 +116,38 @@ def windows(codes: np.ndarray, slots: np.ndarray, n: int) -> tuple[np.ndarray, n
     return at, mix(h[at] + np.uint64(n))
 
 
+def _windows(text: str | None, lengths: list[tuple[int, int]]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, Callable[[int], list[str]]]]:
+    """Kind, n, starts and hashes of the windows of each (kind, n), and the words in the placeholders of one."""
+    words, codes, slots, plain = _read(text)
+    none = np.zeros(len(words), bool)
+    for kind, n in lengths:
+        own, held = (codes, slots) if kind == TEMPLATE else (plain, none)
+        yield kind, n, *windows(own, held, n), lambda a, n=n, held=held: [words[j] for j in range(a, a + n) if held[j]]
+
+
 def _item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, at, n, window, values): values are the words in the window's placeholders."""
+    """(item_id, at, kind, n, window, values): values are the words in a template window's placeholders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for i, text in enumerate(b.column(1).to_pylist()):
-                words, codes, slots = template(text)
-                n = min(WINDOW, len(words))
-                if n >= MIN_TOKENS:
-                    at, h = windows(codes, slots, n)
-                    rows += [(i, int(a), n, x, [words[j] for j in range(a, a + n) if slots[j]]) for a, x in zip(at, h.view(np.int64).tolist(), strict=True)]
-            take, at, n, h, values = zip(*rows, strict=True) if rows else ((),) * 5
+                n = min(WINDOW, len((text or "").split()))
+                lengths = [(TEMPLATE, n)] * (n >= MIN_TOKENS) + [(WORDS, n)] * (n > 0)
+                for kind, n, at, h, values in _windows(text, lengths):
+                    rows += [(i, a, kind, n, x, values(a)) for a, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True)]
+            take, at, kind, n, h, values = zip(*rows, strict=True) if rows else ((),) * 6
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(take, pa.int64())), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(h, pa.int64()), pa.array(values, pa.list_(pa.string()))],
-                ["item_id", "item_at", "n", "window", "item_values"],
+                [b.column(0).take(pa.array(take, pa.int64())), pa.array(at, pa.int32()), pa.array(kind, pa.int32()), pa.array(n, pa.int32()), pa.array(h, pa.int64()), pa.array(values, pa.list_(pa.string()))],
+                ["item_id", "item_at", "kind", "n", "window", "item_values"],
             )
 
-    fields = [benchmark.schema["item_id"], T.StructField("item_at", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("window", T.LongType()), T.StructField("item_values", T.ArrayType(T.StringType()))]
+    fields = [benchmark.schema["item_id"], T.StructField("item_at", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("window", T.LongType()), T.StructField("item_values", T.ArrayType(T.StringType()))]
     return benchmark.select("item_id", "text").mapInArrow(run, T.StructType(fields))
 
 
-def _document_windows(docs: DataFrame, lengths: list[int], wanted: np.ndarray | None) -> DataFrame:
-    """(doc_id, at, window, values) of windows of the lengths whose hash is wanted (None: all)."""
+def _document_windows(docs: DataFrame, lengths: list[tuple[int, int]], wanted: np.ndarray | None) -> DataFrame:
+    """(doc_id, at, window, values) of windows of the kinds and lengths whose hash is wanted (None: all)."""
     sent = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,13 +155,11 @@ def _document_windows(docs: DataFrame, lengths: list[int], wanted: np.ndarray |
         for b in batches:
             rows = []
             for i, text in enumerate(b.column(1).to_pylist()):
-                words, codes, slots = template(text)
-                for n in lengths:
-                    at, h = windows(codes, slots, n)
+                for _, _, at, h, values in _windows(text, lengths):
                     if known is not None and len(at):
                         hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
                         at, h = at[hit], h[hit]
-                    rows += [(i, a, x, [words[j] for j in range(a, a + n) if slots[j]]) for a, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True)]
+                    rows += [(i, a, x, values(a)) for a, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True)]
             take, at, h, values = zip(*rows, strict=True) if rows else ((),) * 4
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(take, pa.int64())), pa.array(at, pa.int32()), pa.array(h, pa.int64()), pa.array(values, pa.list_(pa.string()))],
@@ -154,8 +177,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     named = benchmark.select("item_id", "text").where("text is not null").withColumn("text_key", F.sha2("text", 256))
     texts = stored(named.groupBy("text_key").agg(F.first("text").alias("text")), "items")
     items = stored(_item_windows(texts.select(F.col("text_key").alias("item_id"), "text")), "item_windows")
-    totals = items.groupBy("item_id").agg(F.countDistinct("item_at").cast("long").alias("n_windows"))
-    lengths = sorted(r[0] for r in items.select("n").distinct().collect())
+    totals = items.groupBy("item_id", "kind").agg(F.countDistinct("item_at").cast("long").alias("n_windows"))
+    lengths = sorted((r[0], r[1]) for r in items.select("kind", "n").distinct().collect())
     hashes = items.select("window").distinct()
     wanted = np.array([r[0] for r in hashes.collect()], np.int64).view(np.uint64) if hashes.count() <= MAX_SENT else None
     if wanted is not None:
@@ -163,18 +186,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     if not lengths:
         return named.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "item_id", *[F.lit(0).cast(t).alias(c) for c, t in (("n_windows", "long"), ("n_matched", "long"), ("share", "double"), ("n_changed", "long"))]).where("false")
     found = _document_windows(docs, lengths, wanted)
-    same = items.select("item_id", "item_at", "window", "item_values")
+    same = items.select("item_id", "item_at", "kind", "window", "item_values")
     joined = found.join(same, "window").where(F.size("doc_values") == F.size("item_values"))
-    matched = stored(joined.select("doc_id", "item_id", "item_at", (F.col("doc_at") - F.col("item_at")).alias("offset"), F.arrays_zip("item_values", "doc_values").alias("values")), "matched")
-    run = ["doc_id", "item_id", "offset"]
+    matched = stored(joined.select("doc_id", "item_id", "kind", "item_at", (F.col("doc_at") - F.col("item_at")).alias("offset"), F.arrays_zip("item_values", "doc_values").alias("values")), "matched")
+    run = ["doc_id", "item_id", "kind", "offset"]
     values = matched.select(*run, F.explode("values").alias("v")).groupBy(*run, F.col("v.item_values").alias("own")).agg(F.min("v.doc_values").alias("low"), F.max("v.doc_values").alias("high"))
     slots = values.groupBy(*run).agg(
         F.max(F.col("low") != F.col("high")).alias("broken"), F.sum((F.col("low") != F.col("own")).cast("long")).alias("changed")
     )
     slots = slots.select(*[F.col(c).alias(f"_{c}") for c in run], "broken", "changed")
     whole = matched.join(slots, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in run], "left").where(~F.coalesce("broken", F.lit(False)))
-    pairs = whole.groupBy("doc_id", "item_id").agg(F.countDistinct("item_at").cast("long").alias("n_matched"), F.max(F.coalesce("changed", F.lit(0))).cast("long").alias("n_changed"))
-    kept = pairs.join(totals, "item_id").withColumn("share", F.col("n_matched") / F.col("n_windows")).where(F.col("share") >= share)
+    pairs = whole.groupBy("doc_id", "item_id", "kind").agg(F.countDistinct("item_at").cast("long").alias("n_matched"), F.max(F.coalesce("changed", F.lit(0))).cast("long").alias("n_changed"))
+    kept = pairs.join(totals, ["item_id", "kind"]).withColumn("share", F.col("n_matched") / F.col("n_windows")).where(F.col("share") >= share)
+    best = F.max(F.struct("share", -F.col("kind"), "n_windows", "n_matched", "n_changed")).alias("best")
+    kept = kept.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
     kept = kept.withColumnRenamed("item_id", "text_key").join(named.select("text_key", "item_id").distinct(), "text_key")
     return kept.select("doc_id", "item_id", "n_windows", "n_matched", "share", "n_changed")
 

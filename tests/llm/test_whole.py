@@ -3,7 +3,7 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from offersieve.llm import lines
+from offersieve.llm import decontaminate, lines
 from tests.llm.test_operators import brute_lines, prose
 
 
@@ -40,3 +40,25 @@ def test_runs_go_to_their_right_end(spark, tmp_path):
     # The registered query follows its SQL.
     report = {r.doc_id: r.n_removed for r in lines.report(docs).collect()}
     assert report == {i: brute_lines(rows)[i, t][1] for i, t in rows} and report[2] == 1
+
+
+# ---------------------------------------------------------------- 9
+def test_every_item_with_a_word_is_searched(spark):
+    items = [
+        "What is the capital of France?", "Tom has 5 apples and Ann has 7.", "What is 17 * 24?", "Zwei Worte", "Quokka", "Die Frau Mit Dem Hund Und Der Katze Sah Das Haus Am See Bei Nacht",
+        "If Anna has 3 red apples and buys 4 more green ones from the old market then how many does she own in total",
+    ]
+    benchmark = spark.createDataFrame(list(enumerate(items)) + [(50, ""), (51, None)], "item_id long, text string")
+    ways = [str, str.lower, str.upper, str.title, lambda t: f"({t})"]
+    rows = [(100 * k + i, f"{prose(i, 9)} {way(t)} {prose(i + 50, 9)}") for k, way in enumerate(ways) for i, t in enumerate(items)]
+    rows += [(900 + i, prose(900 + i, 60)) for i in range(5)] + [(990, "What is the capital of Spain?"), (991, "What is 17 * 25?"), (992, "Zwei andere Worte")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for sent in (decontaminate.MAX_SENT, 0):
+        decontaminate.MAX_SENT, before = sent, decontaminate.MAX_SENT
+        try:
+            got = {(r.doc_id, r.item_id): r.share for r in decontaminate.leaks(docs, benchmark).collect()}
+        finally:
+            decontaminate.MAX_SENT = before
+        assert got == {(100 * k + i, i): 1.0 for k in range(len(ways)) for i in range(len(items))}
+    changed = spark.createDataFrame([(1, items[-1].replace("Anna", "Bob").replace("3", "17"))], "doc_id long, text string")
+    assert [(r.item_id, r.share) for r in decontaminate.leaks(changed, benchmark).collect()] == [(6, 1.0)]
