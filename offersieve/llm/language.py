@@ -5,8 +5,9 @@ languages stand in one sorted array of 64-bit hashes for each length, beside a
 matrix of their log probabilities by language, so a text is scored for every
 language with one binary search a character.  The language of the lowest
 cross-entropy a character wins.  A text is rejected if that cross-entropy lies
-above what held-back training texts of the language show, with regard to its
-length.
+above the upper quantile QUANTILE of what held-back training texts of the
+language show at its length: pieces of these of BANDS characters are scored,
+and a text is held against the longest band that it fills.
 
 Models are fitted on a bounded sample of labelled rows: about DOCS_A_LANGUAGE
 texts of each language, chosen by a hash of the text; copies count once.
@@ -19,6 +20,7 @@ every text gets `und`.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -36,8 +38,13 @@ from offersieve.session import ship
 ORDER = 4
 #: Bound of the training sample, in documents of each language.
 DOCS_A_LANGUAGE = 1000
-#: A text may be so many times as surprising as usual before its length is regarded.
-MARGIN = 1.5
+#: So many texts of a language are kept; Z is the normal quantile of it.
+QUANTILE, Z = 0.999, 3.0902
+#: Lengths of pieces in characters. A band with pieces of fewer than LEAST texts has the limit of the next shorter one;
+#: languages with fewer held-back texts share the limits of all, which FEW texts set.
+BANDS, LEAST, FEW = tuple(4 << i for i in range(15)), 30, 5
+#: Pieces of each band from one text at most.
+_PIECES = 8
 _PLACES = series(ORDER, 31) | np.uint64(1)
 _LETTERS: np.ndarray | None = None
 _PIECE = 1 << 18
@@ -83,9 +90,7 @@ class Model:
     histories: list[np.ndarray] = field(default_factory=list)
     weights: list[np.ndarray] = field(default_factory=list)
     unknown: np.ndarray | None = None
-    mean: np.ndarray | None = None
-    spread: np.ndarray | None = None
-    local: np.ndarray | None = None
+    limits: np.ndarray | None = None
 
     def _log_probability(self, points: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
         """Of the characters at the given ends, by language, from sequences of n characters."""
@@ -124,7 +129,22 @@ class Model:
 
     def limit(self, language: int, n: int) -> float:
         """Highest cross-entropy at which a text of n characters still counts as of the language."""
-        return float(MARGIN * self.mean[language] + 8 * np.sqrt(self.spread[language] ** 2 + 4 * self.local[language] ** 2 / n))
+        return np.inf if self.limits is None else float(self.limits[language, max(bisect_right(BANDS, n) - 1, 0)])
+
+    def pieces(self, text: str | None, language: int) -> list[tuple[int, float]]:
+        """Band and cross-entropy in the language of pieces of the text, spread evenly over it."""
+        points = characters(text)
+        n = len(points) - ORDER + 1
+        if n <= 0:
+            return []
+        logs = [self._log_probability(p, ORDER, np.arange(ORDER - 1, len(p)))[:, language] for p in (points[a : a + _PIECE + ORDER - 1] for a in range(0, n, _PIECE))]
+        sums = np.concatenate([[0.0], np.cumsum(np.concatenate(logs), dtype=np.float64)])
+        out = []
+        for band, size in enumerate(BANDS):
+            if size <= n:
+                at = np.unique(np.linspace(0, n - size, min(_PIECES, n // size)).astype(np.int64))
+                out += [(band, float(e)) for e in (sums[at] - sums[at + size]) / size]
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, probability, rejected."""
@@ -136,6 +156,14 @@ class Model:
         return self.languages[best], float(1 / odds.sum()), bool(entropy[best] > self.limit(best, n))
 
 
+def upper(entropy: np.ndarray, texts: int) -> float:
+    """Upper quantile of a further text's pieces: of the pieces as they are, or of a normal law where texts are too few for their tail."""
+    v = texts - 1
+    # Student's quantile by its expansion in 1 / v.
+    t = Z + (Z**3 + Z) / (4 * v) + (5 * Z**5 + 16 * Z**3 + 3 * Z) / (96 * v**2)
+    return float(max(np.quantile(entropy, QUANTILE), entropy.mean() + t * entropy.std(ddof=1) * np.sqrt(1 + 1 / texts)))
+
+
 def fit(languages: list[str], counted: list[tuple[int, str, int]]) -> Model:
     """counted: language index, sequence of ORDER characters, count."""
     model, n_lang = Model(languages), len(languages)
@@ -209,16 +237,20 @@ def learn(labelled: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE) -> Model:
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(number[k], s[0][number[k]], s[1][number[k]], s[2]) for t, k in zip(frame["text"], frame["lang"], strict=True) if (s := model.score(t))]
-            yield pd.DataFrame(rows, columns=["lang", "entropy", "spread", "n"])
-
-    held = sample.where("draw >= 0.8").select("text", "lang").mapInPandas(check, "lang int, entropy double, spread double, n long").toPandas()
-    every = (held["entropy"].mean(), held["entropy"].std(), held["spread"].mean()) if len(held) else (3.0, 1.0, 2.0)
-    model.mean, model.spread, model.local = (np.zeros(len(languages)) for _ in range(3))
+            rows = [(number[k], i, *p) for t, k, i in zip(frame["text"], frame["lang"], frame["id"], strict=True) for p in model.pieces(t, number[k])]
+            yield pd.DataFrame(rows, columns=["lang", "id", "band", "entropy"])
+
+    # Bounded by the sample: pieces of a fifth of it.
+    held = sample.where("draw >= 0.8").select("text", "lang", F.xxhash64("text").alias("id")).mapInPandas(check, "lang int, id long, band int, entropy double").toPandas()
+    model.limits = np.full((len(languages), len(BANDS)), np.inf)
+    every = {b: upper(g["entropy"].to_numpy(), n) for b, g in held.groupby("band") if (n := g["id"].nunique()) >= FEW}
+    own = {k: upper(g["entropy"].to_numpy(), n) for k, g in held.groupby(["lang", "band"]) if (n := g["id"].nunique()) >= LEAST}
     for i in range(len(languages)):
-        own = held[held["lang"] == i]
-        mean, spread, local = (own["entropy"].mean(), own["entropy"].std(), own["spread"].mean()) if len(own) >= 30 else every
-        model.mean[i], model.spread[i], model.local[i] = mean, max(np.nan_to_num(spread), 0.05), np.nan_to_num(local, nan=2.0)
+        few = not any(k[0] == i for k in own)
+        for band in range(len(BANDS)):
+            found = every.get(band) if few else own.get((i, band))
+            # Longer texts scatter less: a limit never rises with the length.
+            model.limits[i, band] = min(np.inf if found is None else found, model.limits[i, band - 1] if band else np.inf)
     return model
 
 

@@ -1,9 +1,10 @@
 """Whole results: cases that an operator once left out."""
 
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
 
-from offersieve.llm import decontaminate, lines
+from offersieve.llm import decontaminate, language, lines
 from tests.llm.test_operators import brute_lines, prose
 
 
@@ -42,6 +43,19 @@ def test_runs_go_to_their_right_end(spark, tmp_path):
     assert report == {i: brute_lines(rows)[i, t][1] for i, t in rows} and report[2] == 1
 
 
+# ---------------------------------------------------------------- 5
+def test_unlearned_languages_are_rejected(spark):
+    rng = np.random.default_rng(1)
+    parts = {"en": ["the", "and", "tion", "ing", "house"], "fr": ["les", "que", "eau", "ment", "oi"], "xx": ["hno", "tgu", "dsea", "mreo", "tlis"]}
+    make = lambda k, n: " ".join(rng.choice(parts[k], n))
+    rows = [(make(k, int(n)), k) for k in ("en", "fr") for n in rng.integers(3, 200, 400)]
+    model = language.learn(spark.createDataFrame(rows, "text string, lang string"))
+    for n in (6, 25, 100, 400):
+        assert sum(model.predict(make("xx", n))[2] for _ in range(50)) == 50
+        assert sum(model.predict(make(k, n))[2] for k in ("en", "fr") for _ in range(100)) <= 2
+    assert all(a >= b for row in model.limits.tolist() for a, b in zip(row, row[1:], strict=False))
+
+
 # ---------------------------------------------------------------- 9
 def test_every_item_with_a_word_is_searched(spark):
     items = [
