@@ -7,20 +7,29 @@ parts, so equal strings have equal owners, and neighbouring strings of one
 owner are one context.  Documents are packed into blobs of some megabytes, and
 packs and buckets of owners exchange blobs in three rounds:
 
-1. owners: which stand in two documents at all;
-2. contexts of those by hash: an owner whose contexts are all equal is settled;
+1. owners: which stand in two documents at all, and which in a crowd of
+   different contexts;
+2. contexts of the former by 128-bit hash: an owner whose contexts are all equal
+   is settled;
 3. the bytes of the contexts that differ.  A bucket deals them to shards, builds
    each shard's Burrows-Wheeler transform and merges the transforms by refining
    their interleave symbol pair by symbol pair.  The blocks that remain after as
    many symbols as a string has are the intervals of the common prefixes, and
    the least doc_id of an interval is the answer for each of its strings.
 
-In the transforms an owner's bytes are written as five bytes of its hash.
-Contexts of an owner that has more than CROWD of them are dealt out string by
-string, so no owner's group outgrows a task.
+In the transforms an owner's bytes are written as the number that they have in
+their bucket, which is exact: strings of one block whose owner stands at one
+place are equal byte for byte.  A crowded owner (over CROWD contexts) is dealt
+out string by string from the first round on, so no owner's group outgrows a task.
 
-Null and empty texts, and texts under SPAN bytes, lose nothing.  Rows of equal
-doc_id don't remove from one another.  A null doc_id is before all others.
+A bucket is for BUCKET bytes of text.  Up to DIRECT buckets each pack sends each
+a blob.  Beyond, blobs take two hops: a pack sends to as many groups of buckets
+as the root of their number, where the blobs of a squad of packs are joined by
+bucket; answers go back the same way.  So no blob gets tiny.
+
+Null and empty texts, and texts under SPAN bytes, lose nothing.  doc_id is an
+integer.  Rows of equal doc_id don't remove from one another.  A null doc_id is
+before all others (and equal to the least long).  Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -36,6 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from offersieve.llm.common import stored
 from offersieve.llm.hashing import _powers, mix, series
@@ -44,14 +54,16 @@ from offersieve.session import ship
 SPAN, KEY = 50, 24
 WIDTH = SPAN - KEY + 1
 PACK = 4 << 20
-#: Contexts of one owner beyond which they are dealt out string by string.
-CROWD = 20_000
+#: Different contexts of one owner beyond which they are dealt out string by string.
+CROWD = 4_000
 SHARDS = 4
-_SIDE, _MARK = SPAN - KEY, 5
+#: Bytes of text a bucket, and buckets that packs send to without a second hop.
+BUCKET, DIRECT = 16 << 20, 4096
+_SIDE, _MARK = SPAN - KEY, 4
 _DEPTH = _SIDE + _MARK
 _PIECE = 1 << 20
 _PLACE = np.uint64((1 << 21) - 1)
-_BYTES = series(256, 83)
+_BYTES, _OTHER_BYTES = series(256, 83), series(256, 89)
 _FIRST = np.iinfo(np.int64).min
 _NEVER = np.iinfo(np.int64).max
 _BASE = 0xC6BC279692B5C323
@@ -81,7 +93,7 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def contexts(data: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(owner hash, context hash, start, owner's place, end) of a document's contexts."""
+    """(owner hash, context hash, second context hash, start, owner's place, end) of a document's contexts."""
     if not _tables:
         _tables.extend((_powers(_BASE, _PIECE + SPAN + 1), _powers(pow(_BASE, -1, 1 << 64), _PIECE + SPAN + 1)))
     power, inverse = _tables
@@ -98,8 +110,10 @@ def contexts(data: np.ndarray) -> tuple[np.ndarray, ...]:
         last = np.r_[first[1:], len(owner)] - 1
         place, end = owner[first], last + SPAN
         body = mix((sums[end] - sums[first]) * inverse[first] + (place - first).astype(np.uint64))
-        out.append((keys[place], body, first + a, place + a, end + a))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
+        np.cumsum(_OTHER_BYTES[b] * power[: len(b)], out=sums[1:])
+        other = mix((sums[end] - sums[first]) * inverse[first] + (end - first).astype(np.uint64))
+        out.append((keys[place], body, other, first + a, place + a, end + a))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64),) * 3 + (np.zeros(0, np.int64),) * 3
 
 
 def _bucket_slices(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
@@ -124,8 +138,8 @@ class _Replay:
         self.data = np.frombuffer(zstandard.decompress(blob, max_output_size=int(sizes.sum()) or 1), np.uint8)
         self.offsets = np.cumsum(sizes) - sizes
         found = [contexts(self.data[o : o + n]) for o, n in zip(self.offsets.tolist(), sizes.tolist(), strict=True)]
-        self.owner, self.body = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-        self.start, self.place, self.end = (np.concatenate([f[i] + o for f, o in zip(found, self.offsets.tolist(), strict=True)]) for i in (2, 3, 4))
+        self.owner, self.body, self.other = (np.concatenate([f[i] for f in found]) for i in (0, 1, 2))
+        self.start, self.place, self.end = (np.concatenate([f[i] + o for f, o in zip(found, self.offsets.tolist(), strict=True)]) for i in (3, 4, 5))
         self.doc = np.repeat(ids, [len(f[0]) for f in found])
         self.owners, self.which = np.unique(self.owner, return_inverse=True)
 
@@ -133,33 +147,38 @@ class _Replay:
         low, high = np.full(len(self.owners), _NEVER), np.full(len(self.owners), _FIRST)
         np.minimum.at(low, self.which, self.doc)
         np.maximum.at(high, self.which, self.doc)
-        # The bits after the bucket's, and whether two documents of this pack have the owner: five bytes.
+        # The bits after the bucket's, whether two documents of this pack have the owner, and its different contexts here: six bytes.
+        _, first = np.unique(self.body ^ mix(self.owner), return_index=True)
+        kinds = np.minimum(np.bincount(self.which[first], minlength=len(self.owners)), 255)
         short = ((self.owners << np.uint64(self.bits)) >> np.uint64(25)) << np.uint64(1) | (low < high)
-        short = short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+        short = (short | kinds.astype(np.uint64) << np.uint64(40)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
         for bucket, a, b in _bucket_slices(self.owners, self.bits):
             yield bucket, short[a:b].tobytes()
 
     def hear_owners(self, answers: dict[int, bytes]) -> None:
-        shared = np.zeros(len(self.owners), bool)
+        shared, crowded = np.zeros(len(self.owners), bool), np.zeros(len(self.owners), bool)
         for bucket, a, b in _bucket_slices(self.owners, self.bits):
-            shared[a:b] = np.unpackbits(np.frombuffer(answers[bucket], np.uint8), count=b - a)
+            bits = np.unpackbits(np.frombuffer(answers[bucket], np.uint8)).reshape(2, -1)
+            shared[a:b], crowded[a:b] = bits[:, : b - a]
         at = np.flatnonzero(shared[self.which])
-        at = at[np.lexsort((self.body[at], self.owner[at]))]
-        owner, body = self.owner[at], self.body[at]
-        new = np.r_[True, (owner[1:] != owner[:-1]) | (body[1:] != body[:-1])] if len(at) else np.zeros(0, bool)
+        at = at[np.lexsort((self.other[at], self.body[at], self.owner[at]))]
+        owner, body, other = self.owner[at], self.body[at], self.other[at]
+        new = np.r_[True, (owner[1:] != owner[:-1]) | (body[1:] != body[:-1]) | (other[1:] != other[:-1])] if len(at) else np.zeros(0, bool)
         self.at, self.pair, first = at, np.cumsum(new) - 1, np.flatnonzero(new)
         self.first = at[first]  # a context's first place in this pack
         self.least = np.minimum.reduceat(self.doc[at], first) if len(at) else np.zeros(0, np.int64)
+        self.calm = np.flatnonzero(~crowded[self.which[self.first]])  # contexts whose owner is not crowded
 
     def ask_contexts(self) -> Iterator[tuple[int, bytes]]:
-        owner, body = self.owner[self.first], self.body[self.first]
+        first, least = self.first[self.calm], self.least[self.calm]
+        owner, body, other = self.owner[first], self.body[first], self.other[first]
         for bucket, a, b in _bucket_slices(owner, self.bits):
-            yield bucket, _pack(owner[a:b], body[a:b], self.least[a:b])
+            yield bucket, _pack(owner[a:b], body[a:b], other[a:b], least[a:b])
 
     def hear_contexts(self, answers: dict[int, bytes]) -> None:
-        self.state, self.settled = np.zeros(len(self.first), np.uint8), np.full(len(self.first), _NEVER)
-        for bucket, a, b in _bucket_slices(self.owner[self.first], self.bits):
-            self.state[a:b], self.settled[a:b] = _unpack(answers[bucket], np.uint8, np.int64)
+        self.state, self.settled = np.full(len(self.first), 2, np.uint8), np.full(len(self.first), _NEVER)
+        for bucket, a, b in _bucket_slices(self.owner[self.first[self.calm]], self.bits):
+            self.state[self.calm[a:b]], self.settled[self.calm[a:b]] = _unpack(answers[bucket], np.uint8, np.int64)
         # Jobs: a context that is open, or each string of one whose owner is crowded.
         open_, crowd = np.flatnonzero(self.state == 1), np.flatnonzero(self.state == 2)
         many = self.end[self.first[crowd]] - self.start[self.first[crowd]] - SPAN + 1
@@ -179,8 +198,8 @@ class _Replay:
         place = self.place[first]
         left, right = place - self.job_start, self.job_end - place - KEY
         for bucket, a, b in _bucket_slices(self.job_key, self.bits):
-            parts = [self.data[x:y] for s, p, e in zip(self.job_start[a:b].tolist(), place[a:b].tolist(), self.job_end[a:b].tolist(), strict=True) for x, y in ((s, p), (p + KEY, e))]
-            yield bucket, _pack(self.owner[first[a:b]], left[a:b].astype(np.uint8), right[a:b].astype(np.uint8), self.least[self.job_pair[a:b]], np.concatenate(parts))
+            parts = [self.data[x:y] for x, y in zip(self.job_start[a:b].tolist(), self.job_end[a:b].tolist(), strict=True)]
+            yield bucket, _pack(left[a:b].astype(np.uint8), right[a:b].astype(np.uint8), self.least[self.job_pair[a:b]], np.concatenate(parts))
 
     def hear_strings(self, answers: dict[int, bytes]) -> None:
         got = [_unpack(answers[bucket], np.uint8, np.uint8, np.int64) for bucket, _, _ in _bucket_slices(self.job_key, self.bits)]
@@ -212,26 +231,32 @@ class _Replay:
         return np.cumsum(change[:-1]) > 0
 
 
-def answer_owners(blobs: list[bytes]) -> list[bytes]:
-    """For each pack's owners, packed bits: whether two documents have it."""
-    counts = [len(b) // 5 for b in blobs]
+def answer_owners(blobs: list[bytes], crowd: int = CROWD) -> list[bytes]:
+    """For each pack's owners, packed bits: whether two documents have it, then whether it is crowded."""
+    counts = [len(b) // 6 for b in blobs]
     raw = np.zeros((sum(counts), 8), np.uint8)
-    raw[:, :5] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 5)
+    raw[:, :6] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
+    kinds = raw[:, 5].astype(np.int64)
+    raw[:, 5] = 0
     value = raw.view("<u8").ravel()
-    names, which, times = np.unique(value >> np.uint64(1), return_inverse=True, return_counts=True)
+    _, which, times = np.unique(value >> np.uint64(1), return_inverse=True, return_counts=True)
     shared = times > 1
     shared[which[(value & np.uint64(1)).astype(bool)]] = True
-    return [np.packbits(x).tobytes() for x in np.split(shared[which], np.cumsum(counts)[:-1])]
+    # Packs that send one context each may all send the same one: the next round bears a few for each pack.
+    total = np.bincount(which, kinds)
+    crowded = (total > crowd) & (total > 4 * times)
+    at = np.cumsum(counts)[:-1]
+    return [np.packbits(x).tobytes() + np.packbits(y).tobytes() for x, y in zip(np.split(shared[which], at), np.split(crowded[which], at), strict=True)]
 
 
 def answer_contexts(blobs: list[bytes], crowd: int = CROWD) -> list[bytes]:
     """For each pack's contexts: settled with the owner's least doc_id (0), open (1), or open and crowded (2)."""
-    got = [_unpack(b, np.uint64, np.uint64, np.int64) for b in blobs]
-    owner, body, doc = (np.concatenate(x) for x in zip(*got, strict=True))
-    order = np.lexsort((body, owner))
-    o, c = owner[order], body[order]
+    got = [_unpack(b, np.uint64, np.uint64, np.uint64, np.int64) for b in blobs]
+    owner, body, other, doc = (np.concatenate(x) for x in zip(*got, strict=True))
+    order = np.lexsort((other, body, owner))
+    o, c, d = owner[order], body[order], other[order]
     group = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
-    new = np.r_[True, (o[1:] != o[:-1]) | (c[1:] != c[:-1])]
+    new = np.r_[True, (o[1:] != o[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1])]
     kinds = np.add.reduceat(new.astype(np.int64), group)
     size = np.diff(np.r_[group, len(o)])
     least = np.minimum.reduceat(doc[order], group)
@@ -289,21 +314,27 @@ def merged_blocks(texts: list[np.ndarray], depth: int = _DEPTH) -> tuple[np.ndar
 def answer_strings(blobs: list[bytes]) -> list[bytes]:
     """For each pack's jobs: the number of runs, and each run's number of strings and least doc_id."""
     rows: dict[bytes, int] = {}
+    owners: dict[bytes, int] = {}
     row_of, docs, jobs = [], [], []
     for blob in blobs:
-        owner, left, right, doc, data = _unpack(blob, np.uint64, np.uint8, np.uint8, np.int64, np.uint8)
-        mark, raw, at = mix(owner).view(np.uint8).reshape(-1, 8)[:, :_MARK], data.tobytes(), 0
-        for m, a, b in zip(mark, left.tolist(), right.tolist(), strict=True):
-            key = bytes([a, b]) + raw[at : at + a] + m.tobytes() + raw[at + a : at + a + b]
-            row_of.append(rows.setdefault(key, len(rows)))
-            at += a + b
+        left, right, doc, data = _unpack(blob, np.uint8, np.uint8, np.int64, np.uint8)
+        raw, at = data.tobytes(), 0
+        for a, b in zip(left.tolist(), right.tolist(), strict=True):
+            key = at + a
+            mark = owners.setdefault(raw[key : key + KEY], len(owners))
+            end = key + KEY + b
+            row_of.append(rows.setdefault(bytes((a, b)) + raw[at:key] + mark.to_bytes(_MARK, "big") + raw[key + KEY : end], len(rows)))
+            at = end
         docs.append(doc)
-        jobs.append(len(owner))
+        jobs.append(len(left))
+    del owners
     row_of, doc = np.array(row_of, np.int64), np.concatenate(docs)
     least = np.full(len(rows), _NEVER)
     np.minimum.at(least, row_of, doc)
     keys = list(rows)
+    del rows
     sizes = np.array([len(k) - 2 for k in keys], np.int64)
+    left = np.array([k[0] for k in keys], np.int64)
     text = np.frombuffer(b"".join(k[2:] for k in keys), np.uint8)
     strings = sizes - _DEPTH + 1  # strings that start in each row
     cuts = np.unique([0, *[len(keys) * i // SHARDS for i in range(1, SHARDS)], len(keys)])
@@ -312,11 +343,17 @@ def answer_strings(blobs: list[bytes]) -> list[bytes]:
     # Only places where a string starts count.
     row_at = np.repeat(np.arange(len(keys)), sizes)
     inside = np.arange(len(text)) - np.repeat(ends[:-1], sizes)
-    value = np.where(inside < strings[row_at], least[row_at], _NEVER)
-    lows = np.minimum.reduceat(value[place], np.flatnonzero(np.r_[True, block[1:] != block[:-1]]))
-    found = np.empty(len(text), np.int64)
-    found[place] = lows[block]
     starts = inside < strings[row_at]
+    own = starts[place]
+    place, block = place[own], block[own].astype(np.int64)
+    # An interval is a block's strings with the owner at one place: a mark is never held against text.
+    block = block * (_SIDE + 1) + (left[row_at] - inside)[place]
+    order = np.argsort(block, kind="stable")
+    place, block = place[order], block[order]
+    edge = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+    lows = np.minimum.reduceat(least[row_at[place]], edge)
+    found = np.empty(len(text), np.int64)
+    found[place] = np.repeat(lows, np.diff(np.r_[edge, len(place)]))
     found, row_at = found[starts], row_at[starts]
     new = np.r_[True, (found[1:] != found[:-1]) | (row_at[1:] != row_at[:-1])]
     run = np.flatnonzero(new)
@@ -330,7 +367,9 @@ def answer_strings(blobs: list[bytes]) -> list[bytes]:
 
 
 _PACKS = T.StructType([T.StructField("pack", T.LongType()), T.StructField("rows", T.BinaryType()), T.StructField("sizes", T.BinaryType()), T.StructField("nulls", T.BinaryType()), T.StructField("data", T.BinaryType()), T.StructField("n_bytes", T.LongType())])
-_BLOBS = T.StructType([T.StructField("pack", T.LongType()), T.StructField("round", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("blob", T.BinaryType())])
+_ITEMS = [T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("blobs", T.ArrayType(T.BinaryType()))]
+_BLOBS = T.StructType([T.StructField("pack", T.LongType()), T.StructField("round", T.IntegerType()), T.StructField("area", T.IntegerType()), *_ITEMS])
+_DEALT = T.StructType([*[T.StructField(c, T.IntegerType()) for c in ("squad", "area", "bucket")], T.StructField("packs", T.ArrayType(T.LongType())), _ITEMS[1]])
 
 
 def _packed(docs: DataFrame, size: int) -> DataFrame:
@@ -362,61 +401,103 @@ def _packed(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _PACKS)
 
 
-def _replayed(row: dict, answers: pa.Table, bits: int, rounds: int) -> _Replay:
+def _gathered(keys: list[int], values: list[tuple[int, bytes]]) -> Iterator[tuple[int, list[int], list[bytes]]]:
+    """(key, firsts, seconds) of the values with each key."""
+    found: dict[int, tuple[list[int], list[bytes]]] = {}
+    for key, (number, blob) in zip(keys, values, strict=True):
+        numbers, blobs = found.setdefault(key, ([], []))
+        numbers.append(number)
+        blobs.append(blob)
+    for key, (numbers, blobs) in found.items():
+        yield key, numbers, blobs
+
+
+def _replayed(row: dict, answers: list[tuple[int, list[int], list[bytes]]], bits: int, rounds: int) -> _Replay:
     replay = _Replay(np.frombuffer(row["rows"], np.int64), np.frombuffer(row["sizes"], np.int64), row["data"], bits)
     heard: list[dict[int, bytes]] = [{}, {}, {}]
-    for r, bucket, blob in zip(*[answers.column(c).to_pylist() for c in ("round", "bucket", "blob")], strict=True):
-        heard[r][bucket] = blob
+    for r, buckets, blobs in answers:
+        heard[r].update(zip(buckets, blobs, strict=True))
     for hear, said in zip((replay.hear_owners, replay.hear_contexts, replay.hear_strings)[:rounds], heard, strict=False):
         hear(said)
     return replay
 
 
-def _asked(packs: DataFrame, answers: DataFrame | None, number: int, bits: int) -> DataFrame:
-    """The blobs of one round, from packs and the answers so far."""
+def _said(table: pa.Table) -> list[tuple[int, list[int], list[bytes]]]:
+    return list(zip(*[table.column(c).to_pylist() for c in ("round", "buckets", "blobs")], strict=True))
+
+
+def _asked(packs: DataFrame, answers: DataFrame | None, number: int, bits: int, shift: int) -> DataFrame:
+    """The blobs of one round by area (a bucket's number without its last `shift` bits), from packs and the answers so far."""
 
     def blobs(replay: _Replay, pack: int) -> pa.Table:
         asked = list((replay.ask_owners, replay.ask_contexts, replay.ask_strings)[number]())
-        n = len(asked)
-        columns = [pa.array([pack] * n, pa.int64()), pa.array([number] * n, pa.int32()), pa.array([a[0] for a in asked], pa.int32()), pa.array([a[1] for a in asked], pa.binary())]
-        return pa.Table.from_arrays(columns, _BLOBS.names)
+        rows = [(pack, number, *row) for row in _gathered([bucket >> shift for bucket, _ in asked], asked)]
+        return _table(rows, _BLOBS)
 
     if answers is None:
 
         def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for row in b.to_pylist():
-                    yield from blobs(_replayed(row, pa.Table.from_arrays([pa.array([])] * 3, ["round", "bucket", "blob"]), bits, 0), row["pack"]).to_batches()
+                    yield from blobs(_replayed(row, [], bits, 0), row["pack"]).to_batches()
 
         return packs.mapInArrow(first, _BLOBS)
 
     def later(own: pa.Table, said: pa.Table) -> pa.Table:
         (row,) = own.to_pylist()
-        return blobs(_replayed(row, said, bits, number), row["pack"])
+        return blobs(_replayed(row, _said(said), bits, number), row["pack"])
 
     return packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(later, _BLOBS)
 
 
-def _answered(asked: DataFrame, number: int, crowd: int) -> DataFrame:
-    """Each bucket's answers to the packs that asked."""
-    answer = (answer_owners, partial(answer_contexts, crowd=crowd), answer_strings)[number]
+def _table(rows: list[tuple], schema: T.StructType) -> pa.Table:
+    kinds = to_arrow_schema(schema)
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * len(kinds), kinds, strict=True)], kinds.names)
+
+
+def _answered(asked: DataFrame, number: int, crowd: int, shift: int, squads: int) -> DataFrame:
+    """Each bucket's answers to the packs that asked, as rows of what was asked."""
+    answer = (partial(answer_owners, crowd=crowd), partial(answer_contexts, crowd=crowd), answer_strings)[number]
+    if not shift:
+
+        def run(table: pa.Table) -> pa.Table:
+            said = answer([b[0] for b in table.column("blobs").to_pylist()])
+            return pa.Table.from_arrays([*[table.column(c) for c in ("pack", "round", "area", "buckets")], pa.array([[x] for x in said], pa.list_(pa.binary()))], _BLOBS.names)
+
+        return asked.groupBy("area").applyInArrow(run, _BLOBS)
+
+    def deal(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        keys = [b for r in rows for b in r["buckets"]]
+        values = [(r["pack"], x) for r in rows for x in r["blobs"]]
+        return _table([(rows[0]["squad"], rows[0]["area"], *row) for row in _gathered(keys, values)], _DEALT)
+
+    def answers_of(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        said = iter(answer([x for r in rows for x in r["blobs"]]))
+        return _table([(r["squad"], r["area"], r["bucket"], r["packs"], [next(said) for _ in r["packs"]]) for r in rows], _DEALT)
 
-    def run(table: pa.Table) -> pa.Table:
-        said = answer(table.column("blob").to_pylist())
-        return pa.Table.from_arrays([table.column("pack"), table.column("round"), table.column("bucket"), pa.array(said, pa.binary())], _BLOBS.names)
+    def collect(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        keys = [p for r in rows for p in r["packs"]]
+        values = [(r["bucket"], x) for r in rows for x in r["blobs"]]
+        return _table([(pack, number, rows[0]["area"], buckets, blobs) for pack, buckets, blobs in _gathered(keys, values)], _BLOBS)
 
-    return asked.groupBy("bucket").applyInArrow(run, _BLOBS)
+    dealt = asked.withColumn("squad", F.pmod(F.xxhash64("pack"), F.lit(squads)).cast("int")).groupBy("area", "squad").applyInArrow(deal, _DEALT)
+    return dealt.groupBy("bucket").applyInArrow(answers_of, _DEALT).groupBy("area", "squad").applyInArrow(collect, _BLOBS)
 
 
-def repeated_spans(docs: DataFrame, pack_bytes: int = PACK, crowd: int = CROWD) -> DataFrame:
+def repeated_spans(docs: DataFrame, pack_bytes: int = PACK, crowd: int = CROWD, bucket_bytes: int = BUCKET, direct: int = DIRECT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends) for every row: maximal removed byte runs."""
     ship(docs.sparkSession)
     packs = stored(_packed(docs, pack_bytes), "packs")
-    total = packs.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    bits = max(8, int(total >> 24).bit_length())  # a bucket for 16 MB of text
+    total, n_packs = packs.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
+    bits = max(8, int(total // bucket_bytes).bit_length())
+    shift = bits // 2 if 1 << bits > direct else 0
+    squads = max(1, n_packs >> shift)
     answers = None
     for number in range(3):
-        said = stored(_answered(_asked(packs, answers, number, bits), number, crowd), f"answers{number}")
+        said = stored(_answered(_asked(packs, answers, number, bits, shift), number, crowd, shift, squads), f"answers{number}")
         answers = said if answers is None else answers.union(said)
     id_type = docs.schema["doc_id"]
     fields = [T.StructField("doc_id", T.LongType()), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType()), *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("starts", "ends")]]
@@ -424,7 +505,7 @@ def repeated_spans(docs: DataFrame, pack_bytes: int = PACK, crowd: int = CROWD)
 
     def finish(own: pa.Table, said: pa.Table) -> pa.Table:
         (row,) = own.to_pylist()
-        replay = _replayed(row, said, bits, 3)
+        replay = _replayed(row, _said(said), bits, 3)
         gone, out = replay.removed(), []
         nulls = np.frombuffer(row["nulls"], bool)
         for i, null, o, n in zip(replay.ids.tolist(), nulls.tolist(), replay.offsets.tolist(), replay.sizes.tolist(), strict=True):

@@ -150,6 +150,6 @@ def test_merged_blocks_are_equal_prefixes():
 
 def test_contexts_cover_every_string_and_pieces_agree():
     data = np.array([RNG.randrange(97, 101) for _ in range(3000)], np.uint8)
-    owner, body, start, place, end = suffixes.contexts(data)
+    owner, body, _, start, place, end = suffixes.contexts(data)
     assert start[0] == 0 and end[-1] == 3000 and (start[1:] == end[:-1] - suffixes.SPAN + 1).all() and ((place >= start) & (place + suffixes.KEY <= end)).all()
     assert all(len(x) == 0 for x in suffixes.contexts(data[:49]))
