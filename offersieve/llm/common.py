@@ -43,6 +43,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of df has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while f"_{name}" in taken:
+            name = f"{name}_"
+        taken.add(f"_{name}")
+        out.append(f"_{name}")
+    return out
+
+
 def crc_bucket(n: int, column: str = "doc_id"):
     """crc32(doc_id as text) mod n; null ids fall in bucket null."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n)).cast("int")

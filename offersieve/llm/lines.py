@@ -2,113 +2,126 @@
 
 Lines with a word are numbered in each document (lines without one are kept
 and not compared).  A window is the shortest run of lines from a line on that
-has MIN_WORDS words.  The least line hash of each window is a fingerprint, so
-two documents that share a run of lines of MIN_WORDS words share a
-fingerprint.  Fingerprints that stand at two places are joined to the windows
-around them; windows that begin elsewhere first extend the match both ways,
-and every line that only later windows cover is deleted.  `First` is the order
-of doc_id, then of lines; rows that repeat a doc_id follow in the order of
-their text's hash.
-
-A run's last lines may hold too few words for a window of their own.  With
-`tails` each window also stands in every longer form whose lines after the
-first hold less than MIN_WORDS words (beyond, the next window covers them), so
-a repeated run goes to its right end.  The registered query op1_lines leaves
-tails out, because its SQL knows none; the pipeline takes them in.
+has WINDOW_WORDS words or WINDOW_LINES lines (at a document's end it may have
+less).  The least line hash of each window is a fingerprint, so two documents
+that share a run of such a size share a fingerprint, whatever stands around it.
+
+A fingerprint that was selected at two places is joined to every place of its
+line; where the line stood before, that is a match.  A match is extended both
+ways, line by line, as long as the two neighbouring lines stood before as
+neighbours.  The run that comes of it is deleted if it has MIN_WORDS words, so
+runs go to both their ends, short last lines included, and a run's first place
+always stays.  Repeated runs under the size of a window go where a line of
+theirs was selected twice, as lines of many copies always are.
+
+`First` is the order of doc_id, then of lines; rows that repeat a doc_id follow
+in the order of their text's hash.  Lines and pairs of neighbours are told
+apart by 128-bit hashes.
 
 Null texts stay null, empty ones stay empty.  A null doc_id is before all
 others.  Rows alike in doc_id and text are one document: each gets the same
-result.  Surviving lines are joined by a line feed.
+result.  Surviving lines are joined by a line feed.  Columns of any name may
+stand beside doc_id and text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from offersieve.llm.common import stored
+from offersieve.llm.common import fresh_names, stored
 
-MIN_WORDS = 5
-_KEY = ("doc_id", "text_key")
+MIN_WORDS, WINDOW_WORDS, WINDOW_LINES = 5, 50, 8
+_DOC = ("doc_id", "text_key")
 
 
-def _words(line: Column) -> Column:
-    return F.size(F.filter(F.split(line, "[ \\t\\x0B\\f\\r]+"), lambda w: w != ""))
-
-
-def _windows(docs: DataFrame, min_words: int, tails: bool) -> DataFrame:
-    """A row for each window and longer form: key, first line, lines, its text's hash, and its least line's hash and place."""
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("at"), F.xxhash64(line).alias("hash"), _words(line).alias("words"))), lambda x: x["words"] > 0)
-    numbered = docs.where("text is not null and text <> ''").select(*_KEY, lines.alias("lines"))
-    last = F.size("lines") - 1
-
-    def window(x: Column, i: Column) -> Column:
-        # min_words lines always hold min_words words.
-        ahead = F.slice("lines", i + 1, F.lit(min_words))
-        full = F.aggregate(
-            ahead,
-            F.struct(F.lit(0).alias("words"), F.lit(0).alias("n")),
-            lambda acc, y: F.when(acc["words"] >= min_words, acc).otherwise(F.struct((acc["words"] + y["words"]).alias("words"), (acc["n"] + 1).alias("n"))),
-        )
-        # Binding the run's length once keeps the aggregation from being repeated in each use.
-        return F.transform(F.array(F.struct(full["n"].alias("n"), (full["words"] >= min_words).alias("whole"), ahead.alias("ahead"))), lambda f: forms(x, f))[0]
-
-    def forms(x: Column, f: Column) -> Column:
-        run = F.slice(f["ahead"], 1, f["n"])
-        least = F.array_min(F.transform(run, lambda y: F.struct(y["hash"].alias("hash"), y["at"].alias("at"))))
-
-        def form(n: Column) -> Column:
-            covered = F.slice(f["ahead"], 1, n)
-            return F.struct(
-                x["at"].alias("start"),
-                F.transform(covered, lambda y: y["at"]).alias("covers"),
-                F.xxhash64(F.transform(covered, lambda y: y["hash"]), n).alias("window"),
-                least["hash"].alias("fingerprint"),
-                least["at"].alias("place"),
-            )
+def _hash(x: Column) -> Column:
+    return F.unhex(F.md5(x))
 
-        def short(n: Column) -> Column:
-            return F.aggregate(F.slice(f["ahead"], 2, n - 1), F.lit(0), lambda acc, y: acc + y["words"]) < min_words
 
-        longer = F.filter(F.sequence(f["n"], F.size(f["ahead"])), lambda n: (n == f["n"]) | short(n)) if tails else F.array(f["n"])
-        return F.when(f["whole"], F.transform(longer, form))
-
-    # Of a text's starts without a whole window nothing is left.
-    forms_of = F.filter(F.transform("lines", window), lambda w: w.isNotNull())
-    return numbered.where(last >= 0).select(*_KEY, F.explode(F.flatten(forms_of)).alias("w")).select(*_KEY, "w.*")
+def _words(line: Column) -> Column:
+    return F.size(F.filter(F.split(line, "[ \\t\\x0B\\f\\r]+"), lambda w: w != ""))
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, tails: bool = True) -> DataFrame:
-    """(doc_id, text_key, lines): the numbers of the lines to delete, for documents that have any."""
-    windows = stored(_windows(docs, min_words, tails), "windows")
-    place = F.struct(*_KEY, "place")
-    shared = windows.groupBy("fingerprint").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("fingerprint")
-    around = stored(windows.join(stored(shared, "fingerprints"), "fingerprint").drop("fingerprint", "place"), "around")
-    first = around.groupBy("window").agg(F.min(F.struct(*_KEY, "start")).alias("first"))
-    later = around.join(stored(first, "first"), "window").where(F.struct(*_KEY, "start") > F.col("first"))
-    return later.select(*_KEY, F.explode("covers").alias("at")).groupBy(*_KEY).agg(F.collect_set("at").alias("lines"))
+def _lines(docs: DataFrame, window_words: int, window_lines: int) -> DataFrame:
+    """A row for each line with a word: document, number, words, hash, hash with the next line, that one's place and words, and its window's least hash and that one's number."""
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("at"), _hash(line).alias("hash"), _words(line).alias("words"))), lambda x: x["words"] > 0)
+    # Numbers are those among the lines with a word.
+    numbered = docs.where("text is not null and text <> ''").select(*_DOC, lines.alias("lines"))
+    none = F.struct(F.lit(0).alias("words"), F.lit(None).cast("struct<hash:binary,number:int>").alias("least"))
 
+    def line(x: Column, i: Column) -> Column:
+        def add(acc: Column, y: Column) -> Column:
+            return F.when(acc["words"] >= window_words, acc).otherwise(
+                F.struct((acc["words"] + y["words"]).alias("words"), F.least(acc["least"], F.struct(y["hash"].alias("hash"), y["number"].alias("number"))).alias("least"))
+            )
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, tails: bool = True) -> DataFrame:
+        ahead = F.transform(F.slice("lines", i + 1, F.lit(window_lines)), lambda y, j: F.struct(y["words"].alias("words"), y["hash"].alias("hash"), (i + j).alias("number")))
+        following = F.get(F.col("lines"), i + 1)
+        return F.struct(
+            i.alias("number"), x["at"].alias("at"), x["words"].alias("words"), x["hash"].alias("hash"),
+            F.when(following.isNotNull(), _hash(F.concat(x["hash"], following["hash"]))).alias("pair"), following["at"].alias("next_at"), following["words"].alias("next_words"),
+            F.aggregate(ahead, none, add)["least"].alias("least"),
+        )
+
+    return numbered.select(*_DOC, F.explode(F.transform("lines", line)).alias("w")).select(*_DOC, "w.number", "w.at", "w.words", "w.hash", "w.pair", "w.next_at", "w.next_words", "w.least")
+
+
+def _places(lines: DataFrame, key: str, number: str = "number") -> DataFrame:
+    """(key, first): keys that stand at two places, with the first of them."""
+    place = F.struct(*_DOC, F.col(number).alias("number"))
+    both = lines.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    return both.where("first <> last").select("key", "first")
+
+
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, window_words: int = WINDOW_WORDS, window_lines: int = WINDOW_LINES) -> DataFrame:
+    """(doc_id, text_key, lines): the numbers of the lines to delete, from 0, for documents that have any."""
+    lines = stored(_lines(docs, window_words, window_lines), "lines")
+    selected = lines.select(*_DOC, F.col("least.number").alias("number"), F.col("least.hash").alias("hash"))
+    fingerprints = stored(_places(selected, "hash").select("key"), "fingerprints")
+    matched = stored(_places(lines, "hash").join(fingerprints, "key", "left_semi"), "matched")
+    neighbours = stored(_places(lines, "pair"), "neighbours")
+    later = F.struct(*_DOC, "number") > F.col("first")
+
+    def flagged(number: Column, at: str, words: str, match: bool, joined: bool) -> Column:
+        return F.struct(number.alias("number"), F.col(at).alias("at"), F.col(words).alias("words"), F.lit(match).alias("match"), F.lit(joined).alias("joined"))
+
+    number = F.col("number")
+    matches = lines.join(matched, F.col("hash") == F.col("key")).where(later).select(*_DOC, flagged(number, "at", "words", True, False).alias("n"))
+    ends = F.array(flagged(number, "at", "words", False, True), flagged(number + 1, "next_at", "next_words", False, False))
+    chained = lines.join(neighbours, F.col("pair") == F.col("key")).where(later).select(*_DOC, F.explode(ends).alias("n"))
+    flags = matches.union(chained).select(*_DOC, "n.*").repartition(*_DOC)
+    own = flags.groupBy(*_DOC, "number", "at", "words").agg(F.max("match").alias("match"), F.max("joined").alias("joined"))
+    # A run ends where a line and its follower did not stand before as neighbours.
+    order = Window.partitionBy(*_DOC).orderBy("number")
+    begins = ~F.coalesce(F.lag("joined").over(order) & (F.lag("number").over(order) == F.col("number") - 1), F.lit(False))
+    runs = own.select(*_DOC, "number", "at", "words", "match", begins.cast("int").alias("begins"))
+    runs = runs.withColumn("run", F.sum("begins").over(order)).groupBy(*_DOC, "run").agg(F.max("match").alias("match"), F.sum("words").alias("words"), F.collect_list("at").alias("lines"))
+    return runs.where(F.col("match") & (F.col("words") >= min_words)).groupBy(*_DOC).agg(F.flatten(F.collect_list("lines")).alias("lines"))
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, window_words: int = WINDOW_WORDS, window_lines: int = WINDOW_LINES) -> DataFrame:
     """docs with deduplicated texts, plus n_lines and n_removed (columns of these names are replaced)."""
     rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    keyed = docs.select(*rest, F.unhex(F.sha2("text", 256)).alias("text_key"))
-    removed = stored(repeated_lines(keyed.select(*_KEY, "text"), min_words, tails), "removed").toDF("_id", "_key", "_lines")
-    both = keyed.join(removed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+    key, id_, key_, lines_ = fresh_names(docs, "key", "other_id", "other_key", "lines")
+    keyed = docs.select(*rest, _hash(F.col("text")).alias(key))
+    found = repeated_lines(keyed.select("doc_id", F.col(key).alias("text_key"), "text"), min_words, window_words, window_lines)
+    removed = stored(found, "removed").toDF(id_, key_, lines_)
+    both = keyed.join(removed, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(key_)), "left")
     parts = F.split("text", "\n")
     # Texts of very many lines: array_except hashes, and the outer lambda splits a text once.
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_lines")
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), lines_)
     kept = F.transform(F.array(parts), lambda p: F.array_join(F.transform(left, lambda i: F.get(p, i)), "\n"))[0]
-    text = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(kept)
+    text = F.when(F.col(lines_).isNull(), F.col("text")).otherwise(kept)
     return both.select(
         *[text.alias(c) if c == "text" else F.col(c) for c in rest],
         F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
-        F.coalesce(F.array_size("_lines"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.array_size(lines_), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
-def report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, n_lines, n_removed, n_kept_chars, kept_sha256) for every row, as in the SQL, which has no tails."""
-    out = dedup_lines(docs.select("doc_id", "text"), min_words, tails=False)
+def report(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_lines, n_removed, n_kept_chars, kept_sha256) for every row."""
+    out = dedup_lines(docs.select("doc_id", "text"))
     text = F.coalesce("text", F.lit(""))
     return out.select("doc_id", "n_lines", "n_removed", F.length(text).cast("long").alias("n_kept_chars"), F.sha2(text, 256).alias("kept_sha256"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from offersieve.llm.common import stored
+from offersieve.llm.common import fresh_names, stored
 from offersieve.llm.hashing import mix, series, shingle_set
 from offersieve.session import ship
 
@@ -242,6 +242,7 @@ def deduplicated(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFr
     """
     found = stored(components(docs, percent, shingle).select("doc_id", "text_key", "label"), "components")
     first = found.where("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "text_key")).alias("first")).select("first.*")
-    kept = stored(first.union(found.where("label is null").select("doc_id", "text_key")), "kept").toDF("_id", "_key")
-    keyed = docs.withColumn("_own", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    return keyed.join(kept.hint("merge"), (F.col("_own") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").drop("_own")
+    own, id_, key = fresh_names(docs, "own", "id", "key")
+    kept = stored(first.union(found.where("label is null").select("doc_id", "text_key")), "kept").toDF(id_, key)
+    keyed = docs.withColumn(own, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    return keyed.join(kept.hint("merge"), (F.col(own) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(id_)), "left_semi").drop(own)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offersieve.llm.common import stored
+from offersieve.llm.common import fresh_names, stored
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = len(KINDS)
@@ -172,9 +172,10 @@ def report(docs: DataFrame) -> DataFrame:
 
 def sanitized(docs: DataFrame) -> DataFrame:
     """docs with entities generalised to [KIND] and disclosing terms removed; overlapping spans count as the first of them."""
-    found = spans(docs).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), by_start(F.concat("base", "terms")).alias("_spans"))
-    keyed = docs.withColumn("_own", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    both = keyed.join(found.dropDuplicates(["_id", "_key"]), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")))
+    id_, key, own, spans_ = fresh_names(docs, "id", "key", "own", "spans")
+    found = spans(docs).select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), by_start(F.concat("base", "terms")).alias(spans_))
+    keyed = docs.withColumn(own, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    both = keyed.join(found.dropDuplicates([id_, key]), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(key)))
     labels = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS], F.lit(""))
     zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
@@ -182,5 +183,5 @@ def sanitized(docs: DataFrame) -> DataFrame:
         out = F.concat(acc["out"], F.substring("text", acc["at"] + 1, s["start"] - acc["at"]), labels[s["kind"]])
         return F.when(s["start"] < acc["at"], acc).otherwise(F.struct(out.alias("out"), s["end"].alias("at")))
 
-    text = F.aggregate("_spans", zero, replace, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
+    text = F.aggregate(spans_, zero, replace, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
     return both.select(*[F.when(F.col("text").isNotNull(), text).alias(c) if c == "text" else F.col(c) for c in docs.columns])

@@ -64,32 +64,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffixes": op10_suffixes,
 }
 
-#: doc_id is unique in the tables; windows never have more than five lines.
+#: doc_id is unique in the tables.
 LINES_SQL = r"""
 WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
 lines AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM parts),
-counted AS (SELECT *, len(list_filter(regexp_split_to_array(line, '[ \t\x0B\f\r]+'), lambda x: x <> '')) AS words FROM lines),
-ahead AS (
-  SELECT doc_id, pos, line, words,
-    lead(pos, 1) OVER w AS pos1, lead(line, 1) OVER w AS line1, lead(words, 1) OVER w AS words1,
-    lead(pos, 2) OVER w AS pos2, lead(line, 2) OVER w AS line2, lead(words, 2) OVER w AS words2,
-    lead(pos, 3) OVER w AS pos3, lead(line, 3) OVER w AS line3, lead(words, 3) OVER w AS words3,
-    lead(pos, 4) OVER w AS pos4, lead(line, 4) OVER w AS line4, lead(words, 4) OVER w AS words4
+counted AS (SELECT doc_id, pos, line, len(list_filter(regexp_split_to_array(line, '[ \t\x0B\f\r]+'), lambda x: x <> '')) AS words FROM lines),
+numbered AS (
+  SELECT doc_id, pos, words, md5(line) AS h, row_number() OVER w AS i, coalesce(sum(words) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    md5(line) || lead(md5(line)) OVER w AS pair
   FROM counted WHERE words > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-sized AS (
-  SELECT *, CASE WHEN words >= 5 THEN 1 WHEN words + words1 >= 5 THEN 2 WHEN words + words1 + words2 >= 5 THEN 3
-    WHEN words + words1 + words2 + words3 >= 5 THEN 4 WHEN words + words1 + words2 + words3 + words4 >= 5 THEN 5 END AS n
-  FROM ahead),
 windows AS (
-  SELECT doc_id, pos, [pos, pos1, pos2, pos3, pos4][1:n] AS covers, [line, line1, line2, line3, line4][1:n] AS key
-  FROM sized WHERE n IS NOT NULL),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, pos) AS k FROM windows),
-removed AS (SELECT DISTINCT doc_id, unnest(covers) AS pos FROM numbered WHERE k > 1),
+  SELECT a.doc_id, a.i, min({'h': b.h, 'i': b.i}) AS least
+  FROM numbered a JOIN numbered b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 7 AND b.before - a.before < 50 GROUP BY a.doc_id, a.i),
+fingerprints AS (SELECT least.h AS h FROM windows GROUP BY least.h HAVING count(DISTINCT {'d': doc_id, 'i': least.i}) > 1),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1 AND h IN (SELECT h FROM fingerprints) AS match,
+    pair IS NOT NULL AND row_number() OVER (PARTITION BY pair ORDER BY doc_id, i) > 1 AS joined
+  FROM numbered),
+runs AS (
+  SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY i) AS run
+  FROM (SELECT *, CASE WHEN lag(joined) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS begins FROM ranked)),
+gone AS (SELECT doc_id, run FROM runs GROUP BY doc_id, run HAVING bool_or(match) AND sum(words) >= 5),
+removed AS (SELECT r.doc_id, r.pos FROM runs r JOIN gone g ON r.doc_id = g.doc_id AND r.run = g.run),
 kept AS (
   SELECT l.doc_id, count(*) AS n_lines, count(r.pos) AS n_removed,
     coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE r.pos IS NULL), '') AS text
   FROM lines l LEFT JOIN removed r ON l.doc_id = r.doc_id AND l.pos = r.pos GROUP BY l.doc_id)
-SELECT doc_id, n_lines, n_removed, length(text) AS n_kept_chars, sha256(text) AS kept_sha256 FROM kept
+SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed,
+  length(coalesce(k.text, '')) AS n_kept_chars, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
 ORACLE_SQL: dict[str, str] = {"op1_lines": LINES_SQL}

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from offersieve.llm import bpe, decontaminate, fingerprints, language, lines, minhash, pii, quality, sharding, suffixes
+from offersieve.llm import bpe, decontaminate, fingerprints, language, minhash, pii, quality, sharding, suffixes
 from offersieve.llm.hashing import shingle_set
 
 SCHEMA = "doc_id long, text string, lang string, score double, ids string, block string, label int"
@@ -56,44 +56,6 @@ def by_id(df):
     return out
 
 
-# ---------------------------------------------------------------- 1
-def brute_lines(rows):
-    """Kept text by (doc_id, text)."""
-    key = lambda t: hashlib.sha256(t.encode()).digest()
-    order = sorted({(i, t) for i, t in rows if t}, key=lambda r: (r[0] is not None, r[0] or 0, key(r[1])))
-    seen, kept = set(), {}
-    for i, t in order:
-        parts = t.split("\n")
-        words = [len([w for w in re.split("[ \t\x0b\f\r]+", p) if w]) for p in parts]
-        at = [n for n, w in enumerate(words) if w]
-        gone = set()
-        for a in range(len(at)):
-            b, total = a, 0
-            while b < len(at) and total < 5:
-                total += words[at[b]]
-                b += 1
-            if total >= 5:
-                run = tuple(parts[n] for n in at[a:b])
-                if run in seen:
-                    gone.update(at[a:b])
-                seen.add(run)
-        kept[i, t] = ("\n".join(p for n, p in enumerate(parts) if n not in gone), len(gone))
-    return kept
-
-
-def test_line_dedup(docs, texts, empty):
-    want = brute_lines(texts)
-    got = lines.dedup_lines(docs).join(docs.select(F.col("doc_id").alias("i"), F.col("text").alias("t")).distinct().where("false"), F.lit(False), "left")
-    rows = lines.dedup_lines(docs.withColumn("ids", F.col("text"))).collect()
-    assert got.count() == len(texts) == len(rows)
-    for r in rows:
-        if r.ids:
-            assert (r.text, r.n_removed) == want[r.doc_id, r.ids]
-        else:
-            assert r.text == r.ids and r.n_removed == 0
-    assert lines.report(empty).count() == 0
-
-
 # ---------------------------------------------------------------- 2
 def test_quality(spark, docs, empty):
     rows = [(i, prose(i, 30) if i % 2 else prose(i, 30).upper() + "!!", i % 2) for i in range(1, 400)]
@@ -301,11 +263,11 @@ def brute_spans(rows):
     return Counter(out)
 
 
-@pytest.mark.parametrize("crowd", [20_000, 1])
-def test_repeated_spans(docs, texts, empty, crowd):
+@pytest.mark.parametrize(("crowd", "ways"), [(20_000, {}), (1, {}), (20_000, {"bucket_bytes": 64, "direct": 16}), (1, {"bucket_bytes": 64, "direct": 16})])
+def test_repeated_spans(docs, texts, empty, crowd, ways):
     low = -(10**9)
     want = brute_spans([(low if i is None else i, t) for i, t in texts])
-    got = suffixes.repeated_spans(docs, pack_bytes=2000, crowd=crowd)
+    got = suffixes.repeated_spans(docs, pack_bytes=2000, crowd=crowd, **ways)
     rows = got.collect()
     assert Counter((low if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows) == want
     assert all(sum(b - a for a, b in zip(r.starts, r.ends, strict=True)) == r.n_removed for r in rows)
