@@ -1,9 +1,9 @@
 """Language ID with interpolated Kneser-Ney character models.
 
-One model of four-character sequences for each language.  The sequences of all
-languages stand in one sorted array of 64-bit hashes for each length, beside a
-matrix of their log probabilities by language, so a text is scored for every
-language with one binary search a character.  The language of the lowest
+A language's model has a sorted array of 64-bit hashes of its character
+sequences for each length up to four, beside their log probabilities, and one
+of histories beside their back-off weights.  Texts are scored in batches: each
+different sequence of a batch is looked up once in each model.  The language of the lowest
 cross-entropy a character wins.  A text is rejected if that cross-entropy lies
 above the upper quantile QUANTILE of what held-back training texts of the
 language show at its length: pieces of these of BANDS characters are scored,
@@ -13,16 +13,20 @@ Models are fitted on a bounded sample of labelled rows: about DOCS_A_LANGUAGE
 texts of each language, chosen by a hash of the text; copies count once.
 Everything is scored on whole texts.
 
+The score is the language's probability among those learned, held equally
+likely beforehand, by all characters of the text.
+
 Null texts and texts without a letter get `und` with score 0 and are rejected.
 Rows with a null language are not learned from.  With no labelled row at all,
-every text gets `und`.
+every text gets `und`.  Repeated rows get the same result each.  Other columns
+are kept.  held_out is null where doc_id is.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from offersieve.llm.common import crc_bucket
+from offersieve.llm.common import crc_bucket, fresh_names
 from offersieve.llm.hashing import mix, series
 from offersieve.session import ship
 
@@ -71,61 +75,84 @@ def characters(text: str | None) -> np.ndarray:
     return np.concatenate([np.full(ORDER - 1, 32), points, end]).astype(np.uint32)
 
 
-def grams(points: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all n-character sequences; the last character is the predicted one."""
-    size = len(points) - n + 1
-    out = np.zeros(size, np.uint64)
-    for i in range(n):
-        out += (points[i : i + size].astype(np.uint64) + np.uint64(1)) * _PLACES[ORDER - n + i]
-    return mix(out + np.uint64(n))
+def _hash(points: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Hash of the characters first..last - 1 of sequences that end where the ORDER-character rows of points end or one before."""
+    out = np.zeros(len(points), np.uint64)
+    for i in range(first, last):
+        out += (points[:, i].astype(np.uint64) + np.uint64(1)) * _PLACES[i + ORDER - last]
+    return mix(out + np.uint64(last - first))
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the wanted hashes in the sorted ones, and which of them are there."""
+    where = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return where, keys[where] == wanted
 
 
 @dataclass
-class Model:
-    """languages, the sorted hash arrays of each order with their matrices, and the limits of rejection."""
+class LanguageModel:
+    """Of each length from one: sorted sequences with log probabilities, sorted histories with log back-off weights."""
 
-    languages: list[str]
+    unknown: float
     keys: list[np.ndarray] = field(default_factory=list)
     logs: list[np.ndarray] = field(default_factory=list)
     histories: list[np.ndarray] = field(default_factory=list)
     weights: list[np.ndarray] = field(default_factory=list)
-    unknown: np.ndarray | None = None
-    limits: np.ndarray | None = None
 
-    def _log_probability(self, points: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
-        """Of the characters at the given ends, by language, from sequences of n characters."""
-        if n == 0:
-            return np.broadcast_to(self.unknown, (len(at), len(self.languages)))
-        window = np.stack([points[at - n + 1 + i] for i in range(n)]) if n < ORDER else None
-        h = grams(points, n) if window is None else mix(sum((window[i].astype(np.uint64) + np.uint64(1)) * _PLACES[ORDER - n + i] for i in range(n)) + np.uint64(n))
-        keys = self.keys[n - 1]
-        where = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        hit = keys[where] == h
-        out = self.logs[n - 1][where]
-        missed = np.flatnonzero(~hit)
-        if len(missed):
-            shorter = self._log_probability(points, n - 1, at[missed])
-            if n > 1:
-                past = mix(sum((points[at[missed] - n + 1 + i].astype(np.uint64) + np.uint64(1)) * _PLACES[ORDER - n + 1 + i] for i in range(n - 1)) + np.uint64(n - 1))
-                known = self.histories[n - 1]
-                place = np.minimum(np.searchsorted(known, past), len(known) - 1)
-                shorter = shorter + np.where((known[place] == past)[:, None], self.weights[n - 1][place], 0)
-            out[missed] = shorter
+    def log_probabilities(self, hashed: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Of the last characters of sequences, from (sequence, history) hashes of each length."""
+        out = np.full(len(hashed[0][0]), self.unknown)
+        for n, (own, past) in enumerate(hashed):
+            if n:
+                where, known = _found(self.histories[n], past)
+                out += np.where(known, self.weights[n][where], 0)
+            where, known = _found(self.keys[n], own)
+            out = np.where(known, self.logs[n][where], out)
         return out
 
-    def score(self, text: str | None) -> tuple[np.ndarray, np.ndarray, int] | None:
-        """Cross-entropy and its spread a character by language, and the number of characters; None without letters."""
-        points = characters(text)
-        if not len(points):
-            return None
-        total = square = 0.0
-        n = len(points) - ORDER + 1
-        for a in range(0, n, _PIECE):
-            piece = points[a : a + _PIECE + ORDER - 1]
-            logs = self._log_probability(piece, ORDER, np.arange(ORDER - 1, len(piece)))
-            total, square = total + logs.sum(0, dtype=np.float64), square + (logs.astype(np.float64) ** 2).sum(0)
-        mean = -total / n
-        return mean, np.sqrt(np.maximum(square / n - mean**2, 0)), n
+
+@dataclass
+class Model:
+    """Languages, a model of each, and the limits of rejection by language and band."""
+
+    languages: list[str]
+    models: list[LanguageModel] = field(default_factory=list)
+    limits: np.ndarray | None = None
+
+    def _logs(self, rows: np.ndarray) -> Iterator[np.ndarray]:
+        """For each language, log probabilities of the last characters of ORDER-character rows."""
+        _, first, at = np.unique(_hash(rows, 0, ORDER), return_index=True, return_inverse=True)
+        once = rows[first]
+        hashed = [(_hash(once, ORDER - n, ORDER), _hash(once, ORDER - n, ORDER - 1)) for n in range(1, ORDER + 1)]
+        for model in self.models:
+            yield model.log_probabilities(hashed)[at]
+
+    def scored(self, texts: Iterable[str | None]) -> list[tuple[np.ndarray, int]]:
+        """Sum of the log probabilities by language, and the number of characters, of each text."""
+        out: list[tuple[np.ndarray, int]] = []
+        parts: list[tuple[int, np.ndarray]] = []
+        held = 0
+
+        def flush() -> None:
+            ends = np.cumsum([len(p) for _, p in parts])
+            for k, logs in enumerate(self._logs(np.concatenate([p for _, p in parts]))):
+                for (i, _), total in zip(parts, np.add.reduceat(logs, np.r_[0, ends[:-1]]), strict=True):
+                    out[i][0][k] += total
+            parts.clear()
+
+        for i, text in enumerate(texts):
+            points = characters(text)
+            n = max(len(points) - ORDER + 1, 0)
+            out.append((np.zeros(len(self.languages)), n))
+            for a in range(0, n, _PIECE):
+                parts.append((i, np.lib.stride_tricks.sliding_window_view(points[a : a + _PIECE + ORDER - 1], ORDER)))
+                held += len(parts[-1][1])
+                if held >= _PIECE:
+                    flush()
+                    held = 0
+        if parts:
+            flush()
+        return out
 
     def limit(self, language: int, n: int) -> float:
         """Highest cross-entropy at which a text of n characters still counts as of the language."""
@@ -137,7 +164,8 @@ class Model:
         n = len(points) - ORDER + 1
         if n <= 0:
             return []
-        logs = [self._log_probability(p, ORDER, np.arange(ORDER - 1, len(p)))[:, language] for p in (points[a : a + _PIECE + ORDER - 1] for a in range(0, n, _PIECE))]
+        rows, own = np.lib.stride_tricks.sliding_window_view(points, ORDER), Model([self.languages[language]], [self.models[language]])
+        logs = [next(own._logs(rows[a : a + _PIECE])) for a in range(0, n, _PIECE)]
         sums = np.concatenate([[0.0], np.cumsum(np.concatenate(logs), dtype=np.float64)])
         out = []
         for band, size in enumerate(BANDS):
@@ -146,14 +174,22 @@ class Model:
                 out += [(band, float(e)) for e in (sums[at] - sums[at + size]) / size]
         return out
 
+    def predictions(self, texts: Iterable[str | None]) -> list[tuple[str, float, bool]]:
+        """(language, probability, rejected) of each text."""
+        texts, out = list(texts), []
+        if not self.languages:
+            return [("und", 0.0, True)] * len(texts)
+        for total, n in self.scored(texts):
+            if not n:
+                out.append(("und", 0.0, True))
+                continue
+            best = int(total.argmax())
+            odds = np.exp(np.maximum(total - total[best], -700))
+            out.append((self.languages[best], float(1 / odds.sum()), bool(-total[best] / n > self.limit(best, n))))
+        return out
+
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """Language, probability, rejected."""
-        if not self.languages or (scored := self.score(text)) is None:
-            return "und", 0.0, True
-        entropy, _, n = scored
-        best = int(entropy.argmin())
-        odds = np.exp((entropy[best] - entropy) * min(n, 100))
-        return self.languages[best], float(1 / odds.sum()), bool(entropy[best] > self.limit(best, n))
+        return self.predictions([text])[0]
 
 
 def upper(entropy: np.ndarray, texts: int) -> float:
@@ -164,47 +200,42 @@ def upper(entropy: np.ndarray, texts: int) -> float:
     return float(max(np.quantile(entropy, QUANTILE), entropy.mean() + t * entropy.std(ddof=1) * np.sqrt(1 + 1 / texts)))
 
 
-def fit(languages: list[str], counted: list[tuple[int, str, int]]) -> Model:
-    """counted: language index, sequence of ORDER characters, count."""
-    model, n_lang = Model(languages), len(languages)
-    lang = np.array([c[0] for c in counted], np.int64)
-    points = np.frombuffer("".join(c[1] for c in counted).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER)
-    count = np.array([c[2] for c in counted], np.float64)
+def fit_language(points: np.ndarray, count: np.ndarray, alphabet: int) -> LanguageModel:
+    """From different sequences of ORDER characters (a row each) and their counts; alphabet is the number of characters of all languages."""
     levels = []
     for n in range(ORDER, 0, -1):
-        h = mix(sum((points[:, i].astype(np.uint64) + np.uint64(1)) * _PLACES[ORDER - n + i] for i in range(n)) + np.uint64(n))
-        past = mix(sum((points[:, i].astype(np.uint64) + np.uint64(1)) * _PLACES[ORDER - n + 1 + i] for i in range(n - 1)) + np.uint64(n - 1)) if n > 1 else np.zeros(len(h), np.uint64)
-        keys, first, key = np.unique(h, return_index=True, return_inverse=True)
-        known, place = np.unique(past, return_inverse=True)
-        seen = np.zeros((len(keys), n_lang))
-        np.add.at(seen, (key, lang), count)
-        once, twice = (seen == 1).sum(0), (seen == 2).sum(0)
-        discount = np.clip(once / np.maximum(once + 2 * twice, 1), 0.1, 0.95)
-        of_key = place[first]
-        total, kinds = np.zeros((len(known), n_lang)), np.zeros((len(known), n_lang))
-        np.add.at(total, of_key, seen)
-        np.add.at(kinds, of_key, seen > 0)
-        rest = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
-        levels.append((keys, np.maximum(seen - discount, 0) / np.maximum(total[of_key], 1), known, rest, of_key, points[first]))
+        keys, first, key = np.unique(_hash(points, ORDER - n, ORDER), return_index=True, return_inverse=True)
+        seen = np.bincount(key, count, len(keys))
+        known, of_key = np.unique(_hash(points[first], ORDER - n, ORDER - 1), return_inverse=True)
+        once, twice = (seen == 1).sum(), (seen == 2).sum()
+        discount = np.clip(once / max(once + 2 * twice, 1), 0.1, 0.95)
+        total, kinds = np.bincount(of_key, seen), np.bincount(of_key)
+        levels.append((keys, (seen - discount) / total[of_key], known, discount * kinds / total, of_key, points[first]))
         # Continuation counts: in how many different sequences each shorter one ends.
-        kept = np.argwhere(seen > 0)
-        points, lang, count = points[first][kept[:, 0], 1:], kept[:, 1], np.ones(len(kept))
-    below: np.ndarray | None = None
-    for n, (keys, own, known, rest, of_key, of) in zip(range(1, ORDER + 1), reversed(levels), strict=True):
+        points, count = points[first], np.ones(len(first))
+    below, model = np.full(1, 1 / (alphabet + 1)), LanguageModel(0.0)
+    for n, (keys, own, known, rest, of_key, of) in enumerate(reversed(levels), 1):
         if n == 1:
-            lower = np.full((len(keys), n_lang), 1 / (len(keys) + 1))
-            model.unknown = np.log(rest[0] / (len(keys) + 1)).astype(np.float32)
+            model.unknown = float(np.log(rest[0] / (alphabet + 1)))
+            lower = below[0]
         else:
-            h = mix(sum((of[:, i].astype(np.uint64) + np.uint64(1)) * _PLACES[ORDER - n + i] for i in range(1, n)) + np.uint64(n - 1))
-            lower = below[np.searchsorted(model.keys[-1], h)]
+            lower = below[np.searchsorted(model.keys[-1], _hash(of, ORDER - n + 1, ORDER))]
         below = own + rest[of_key] * lower
         model.keys.append(keys)
-        model.logs.append(np.log(below).astype(np.float32))
+        model.logs.append(np.log(below))
         model.histories.append(known)
-        model.weights.append(np.log(np.maximum(rest, 1e-9)).astype(np.float32))
+        model.weights.append(np.log(rest))
     return model
 
 
+def fit(languages: list[str], lang: np.ndarray, grams: list[str], count: np.ndarray) -> Model:
+    """From each counted sequence of ORDER characters: its language's number, itself, its count. Languages without one are left out."""
+    points = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER)
+    alphabet = len(np.unique(points[:, -1]))
+    seen = np.unique(lang).tolist()
+    return Model([languages[i] for i in seen], [fit_language(points[lang == i], count[lang == i].astype(np.float64), alphabet) for i in seen])
+
+
 def learn(labelled: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE) -> Model:
     """A model from columns text and lang. Four fifths of the sample are counted, the rest sets the limits."""
     ship(labelled.sparkSession)
@@ -217,7 +248,7 @@ def learn(labelled: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE) -> Model:
     draw = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
     # Copies have one draw: they count once, or a large group of them would exceed the bound.
     sample = labelled.withColumn("draw", draw / share[F.col("lang")]).where("draw < 1").dropDuplicates(["text", "lang"])
-    number = {k: i for i, k in enumerate(languages)}
+    index = {k: i for i, k in enumerate(languages)}
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: Counter = Counter()
@@ -226,18 +257,20 @@ def learn(labelled: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE) -> Model:
                 points = characters(text)
                 if len(points):
                     whole = points.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-                    found.update((number[lang], whole[i : i + ORDER]) for i in range(len(whole) - ORDER + 1))
+                    found.update((index[lang], whole[i : i + ORDER]) for i in range(len(whole) - ORDER + 1))
         yield pd.DataFrame([(k, g, n) for (k, g), n in found.items()], columns=["lang", "gram", "n"])
 
-    counted = sample.where("draw < 0.8").select("text", "lang").mapInPandas(count, "lang int, gram string, n long").groupBy("lang", "gram").agg(F.sum("n"))
-    # Bounded by the sample.
-    model = fit(languages, [tuple(r) for r in counted.collect()])
-    if not model.keys or not len(model.keys[0]):
+    counted = sample.where("draw < 0.8").select("text", "lang").mapInPandas(count, "lang int, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    got = counted.toPandas()  # bounded by the sample
+    if not len(got):
         return Model([])
+    model = fit(languages, got["lang"].to_numpy(), got["gram"].tolist(), got["n"].to_numpy())
+    languages = model.languages
+    number = {k: i for i, k in enumerate(languages)}
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(number[k], i, *p) for t, k, i in zip(frame["text"], frame["lang"], frame["id"], strict=True) for p in model.pieces(t, number[k])]
+            rows = [(number[k], i, *p) for t, k, i in zip(frame["text"], frame["lang"], frame["id"], strict=True) if k in number for p in model.pieces(t, number[k])]
             yield pd.DataFrame(rows, columns=["lang", "id", "band", "entropy"])
 
     # Bounded by the sample: pieces of a fifth of it.
@@ -261,10 +294,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf(kind)
     def guess(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([held.value.predict(t) for t in texts], columns=["lang_pred", "score", "rejected"])
+        return pd.DataFrame(held.value.predictions(texts), columns=["lang_pred", "score", "rejected"])
 
     rest = docs.drop("lang_pred", "score", "rejected")
-    return rest.withColumn("_guess", guess("text")).select(*rest.columns, "_guess.lang_pred", "_guess.score", "_guess.rejected")
+    (name,) = fresh_names(rest, "guess")
+    return rest.withColumn(name, guess("text")).select(*rest.columns, *[F.col(name)[c].alias(c) for c in ("lang_pred", "score", "rejected")])
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:
