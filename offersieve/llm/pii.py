@@ -1,12 +1,18 @@
 """Personal data: pattern spans, and terms that disclose the entities found, in DataFrame functions only.
 
 Patterns find e-mail addresses, IPv4 addresses, card numbers and telephone
-numbers.  Their values are the protected entities.  Over all different texts,
-point-wise mutual information between a word and the entities it stands beside
-says how much of an entity's information the word gives away; a word whose
-share of it reaches DISCLOSURE, seen beside the entity in SUPPORT texts at
-least, is a disclosing term wherever it stands in a text with that entity.
-In sanitised texts entities are generalised to their kind, terms are removed.
+numbers.  The protected entities are their values and what of them recurs: an
+address's domain and the words of its name, a network, an issuer's prefix, a
+telephone number's prefix.  Over all different texts, whole as they are, the
+point-wise mutual information between a word and an entity says how much of the
+entity's information the word gives away (1: all of it).  A word whose share of
+it reaches DISCLOSURE is a disclosing term, if the texts they share carry more
+of it together than chance gives anywhere in so many texts: together x
+information >= log(number of texts).  Entities of one text can't be told from
+that text itself, so only recurring ones take part, with any number of texts
+from two on.  A disclosing term is marked wherever it stands, also in texts
+without the entity.  In sanitised texts entities are generalised to their
+kind, terms are removed.
 
 Positions are in code points, ends exclusive.  Null texts count as empty and
 have no span; repeated rows get the same result each, and copies of a text
@@ -24,7 +30,9 @@ from offersieve.llm.common import fresh_names, stored
 KINDS = ("email", "ip", "card", "phone")
 TERM = len(KINDS)
 NAMES = (*KINDS, "term")
-CONTEXT, SUPPORT, DISCLOSURE = 48, 3, 0.5
+DISCLOSURE = 0.5
+#: Disclosing terms that are broadcast at most (about 20 MB); beyond, a shuffled join is used.
+_BROADCAST_TERMS = 200_000
 
 # A match can only begin where the run of its first class begins, or where the last match ended.
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -106,58 +114,71 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])), ",")
 
 
-def _entity(s: Column) -> Column:
-    return F.concat_ws(":", s["kind"], F.when(s["kind"] == 0, F.lower(s["value"])).when(s["kind"] == 1, s["value"]).otherwise(_digits(s["value"])))
+def _words(text: Column) -> Column:
+    """Different words of three letters or more, lower-cased."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{3,}"), F.lit(0)))
 
 
-def _beside(text: Column, s: Column) -> Column:
-    """Different words of three letters or more that stand whole within CONTEXT code points of a span."""
-    left = F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
-    right = F.substring(text, s["end"] + 1, F.lit(CONTEXT))
-    context = F.concat(F.regexp_replace(left, r"^\p{L}+", ""), F.lit(" "), F.regexp_replace(right, r"\p{L}+$", ""))
-    return F.array_distinct(F.regexp_extract_all(F.lower(context), F.lit(r"\p{L}{3,}"), F.lit(0)))
+def _entities(s: Column) -> Column:
+    """The names of a span's entities: its value, and the parts of it that other values can share."""
+    value, digits = F.lower(s["value"]), _digits(s["value"])
+    name = lambda level, x: F.concat(F.lit(f"{level}:"), x)
+    email = F.concat(F.array(name("email", value), name("domain", F.substring_index(value, "@", -1))), F.transform(_words(F.substring_index(value, "@", 1)), lambda w: name("name", w)))
+    ip = F.array(name("ip", value), name("net", F.substring_index(value, ".", 2)))
+    card = F.array(name("card", digits), name("issuer", F.substring(digits, 1, 6)))
+    phone = F.array(name("phone", digits), name("area", F.substring(digits, F.lit(1), F.length(digits) - 7)))
+    return F.when(s["kind"] == 0, email).when(s["kind"] == 1, ip).when(s["kind"] == 2, card).otherwise(phone)
 
 
-def disclosing_terms(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """(entity, term, share) from texts (text_key, text) and found (text_key, entity, term) rows."""
-    total = float(texts.agg(F.countDistinct("text_key")).first()[0])  # one number
+def _outside(text: Column, spans: Column) -> Column:
+    """The text without the spans."""
+    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+
+    def add(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        return F.struct(F.concat(acc["out"], gap, F.lit(" ")).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    def share(n_term: str) -> Column:
-        own = F.log(F.lit(total) / F.col("n_entity"))
-        return F.log(F.lit(total) * F.col("together") / (F.col("n_entity") * F.col(n_term))) / own
+    return F.aggregate(spans, zero, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
-    entity = found.groupBy("entity").agg(F.countDistinct("text_key").alias("n_entity")).where(F.col("n_entity") < total)
-    # A word stands in at least as many texts as it stands beside entities in, so most words are out before they are counted.
-    beside = found.groupBy("term").agg(F.countDistinct("text_key").alias("n_beside"))
-    pair = found.groupBy("entity", "term").agg(F.countDistinct("text_key").alias("together")).where(F.col("together") >= SUPPORT)
-    pair = pair.join(entity.hint("merge"), "entity").join(beside.hint("merge"), "term").where(share("n_beside") >= DISCLOSURE)
-    pair = stored(pair.drop("n_beside"), "pairs")
-    # In how many texts each word stands: words are counted as they are read, before anything is joined.
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0)))
-    term = texts.dropDuplicates(["text_key"]).select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    return pair.hint("merge").join(term, "term").select("entity", "term", share("n_term").alias("share")).where(F.col("share") >= DISCLOSURE)
+
+def disclosing_terms(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """(term, entity, share) from all different texts (text) and, of those with entities, found (text_key, entities, words)."""
+    total = float(texts.count())  # one number
+    named = found.select("text_key", F.explode("entities").alias("entity"))
+    recurring = named.groupBy("entity").agg(F.count("*").alias("n_entity")).where((F.col("n_entity") > 1) & (F.col("n_entity") < total))
+    named = stored(named.join(stored(recurring, "recurring"), "entity"), "named")
+    pairs = named.join(found.select("text_key", F.explode("words").alias("term")), "text_key").groupBy("entity", "term").agg(F.count("*").alias("together"), F.first("n_entity").alias("n_entity"))
+    # With one text in common a pair can't carry enough.
+    pairs = stored(pairs.where("together > 1"), "pairs")
+    n_terms = texts.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    given = F.log(F.lit(total) * F.col("together") / (F.col("n_entity") * F.col("n_term")))
+    share = given / F.log(F.lit(total) / F.col("n_entity"))
+    told = pairs.hint("merge").join(n_terms, "term").select("term", "entity", share.alias("share"), (F.col("together") * given).alias("evidence"))
+    return told.where((F.col("share") >= DISCLOSURE) & (F.col("evidence") >= F.log(F.lit(total)))).drop("evidence")
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, base, terms): base spans and disclosing-term spans of every row, text_key being the text's hash."""
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.unhex(F.sha2("text", 256)))
     base = keyed.withColumn("base", base_spans(F.col("text")))
-    beside = F.transform("base", lambda s: F.struct(_entity(s).alias("entity"), _beside(F.col("text"), s).alias("terms")))
-    base = stored(base.select("doc_id", "text_key", "base", beside.alias("beside")), "base")
-    entities = base.where(F.size("base") > 0).select("doc_id", "text_key", F.explode("beside").alias("b"))
-    found = stored(entities.select("text_key", "b.entity", F.explode("b.terms").alias("term")).distinct(), "beside")
-    telling = stored(disclosing_terms(keyed.select("text_key", "text"), found), "telling")
-    # Terms of a text's own entities, wherever they stand in it. Letters need no quoting in a pattern.
-    of_text = entities.select("text_key", "b.entity").distinct().join(telling, "entity").groupBy("text_key").agg(F.collect_set("term").alias("words"))
-    of_text = stored(of_text, "of_text")
-    signs = F.lit(False)
-    for sign in _SIGNS.values():
-        signs = signs | sign(F.col("text"))
+    some = F.size("base") > 0
+    entities = F.array_distinct(F.flatten(F.transform("base", _entities)))
+    base = stored(base.select("doc_id", "text_key", "base", F.when(some, entities).alias("entities"), F.when(some, _words(_outside(F.col("text"), F.col("base")))).alias("words")), "base")
+    found = stored(base.where(some).select("text_key", "entities", "words").dropDuplicates(["text_key"]), "found")
+    texts = keyed.select("text_key", "text").dropDuplicates(["text_key"])
+    terms = stored(disclosing_terms(texts, found).select("term").distinct(), "terms")
+    n = terms.count()
+    none = F.array().cast(f"array<{_SPAN}>")
+    if not n:
+        return base.select("doc_id", "text_key", "base", none.alias("terms"))
+    # Words that disclose, wherever they stand. Letters need no quoting in a pattern.
+    words = keyed.select("text_key", F.explode(_words(F.col("text"))).alias("term")).join(F.broadcast(terms) if n <= _BROADCAST_TERMS else terms, "term")
+    of_text = stored(words.groupBy("text_key").agg(F.collect_set("term").alias("words")), "of_text")
     pattern = F.concat(F.lit(r"(?<!\p{L})(?iu:"), F.array_join(F.array_sort("words"), "|"), F.lit(r")(?!\p{L})"))
-    extra = keyed.where(signs).dropDuplicates(["text_key"]).join(of_text, "text_key").select("text_key", matches(F.col("text"), pattern, TERM).alias("terms"))
-    both = base.drop("beside").join(stored(extra, "extra").hint("merge"), "text_key", "left")
+    extra = texts.join(of_text.hint("merge"), "text_key").select("text_key", matches(F.col("text"), pattern, TERM).alias("terms"))
+    both = base.drop("entities", "words").join(stored(extra, "extra").hint("merge"), "text_key", "left")
     apart = F.filter("terms", lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return both.select("doc_id", "text_key", "base", F.coalesce(apart, F.array().cast(f"array<{_SPAN}>")).alias("terms"))
+    return both.select("doc_id", "text_key", "base", F.coalesce(apart, none).alias("terms"))
 
 
 def report(docs: DataFrame) -> DataFrame:
