@@ -11,8 +11,11 @@ The model is fitted on a bounded sample of at most about LABELLED_ROWS rows,
 chosen by a hash of the row.  Whole texts are scored.
 
 Null and empty texts have no n-gram and get the score of the intercept.  Null
-labels are not learned from.  With one class or none among the labels, every
-score is that class's share (0.5 with no label).
+labels, labels of a null doc_id, and those of a doc_id that has both labels are
+not learned from.  Rows that repeat a doc_id are learned from once, by the least
+text.  With one class or none among the labels, every score is that class's
+share (0.5 with no label).  Every row is scored; held_out is null where doc_id
+is.  Other columns are kept.
 """
 
 from __future__ import annotations
@@ -54,8 +57,8 @@ _CLASSES = _Classes()
 
 
 def shape(word: str) -> str:
-    """Classes of characters, runs of one class or mark shortened to two, twelve characters at most."""
-    return _RUNS.sub(r"\1\1", word.translate(_CLASSES))[:12]
+    """Classes of characters, runs of one class or mark shortened to two."""
+    return _RUNS.sub(r"\1\1", word.translate(_CLASSES))
 
 
 def _shape(word: str) -> int:
@@ -156,6 +159,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Mode
     """From docs (doc_id, text) and labels (doc_id, quality); at most about `rows` labelled rows are read."""
     ship(docs.sparkSession)
     labels = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and doc_id is not null")
+    labels = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
     sizes = {r[0]: r[1] for r in labels.groupBy("quality").count().collect()}
     if len(sizes) < 2:
         share = float(next(iter(sizes), 0.5))
@@ -163,13 +167,14 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Mode
     # Each class gets up to half of the bound.
     share = F.when(F.col("quality") == 1, min(1.0, rows / 2 / sizes[1])).otherwise(min(1.0, rows / 2 / sizes[0]))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = labels.withColumn("draw", draw / share).where("draw < 1").dropDuplicates(["doc_id"])
+    chosen = labels.withColumn("draw", draw / share).where("draw < 1")
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({"quality": frame["quality"], "draw": frame["draw"], "found": [features(t) for t in frame["text"]]})
 
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by `rows`
+    sample = sample.groupBy("doc_id", "quality", "draw").agg(F.min("text").alias("text"))
     got = sample.select("text", "quality", "draw").mapInPandas(read, "quality int, draw double, found array<int>").toPandas()
     got = got.sort_values("draw", ignore_index=True)
     found, y, draw = [np.asarray(f, np.int64) for f in got["found"]], got["quality"].to_numpy(), got["draw"].to_numpy()
