@@ -8,7 +8,8 @@ the share of equal bins, corrected for bins that agree by chance.
 
 Null and empty texts, and texts without words, have the fingerprint ''; two
 such fingerprints are alike (1.0), one such and another are not (0.0).
-Repeated doc_ids follow one another in the order of their texts.
+Repeated doc_ids follow one another in the order of their texts, null ones come
+first.  For neighbours doc_id must be a number.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from offersieve.llm.hashing import mix, series, shingle_set
 from offersieve.session import ship
 
 BINS, BITS = 512, 4
+#: Blocks of neighbouring doc_ids at most, as their bounds pass through the driver (1 GB a block at 100 TB).
+MAX_BLOCKS = 100_000
 _WALK = 4096
 _STEPS: np.ndarray | None = None
 
@@ -100,8 +103,11 @@ def _in_blocks(docs: DataFrame, rows_a_block: int) -> DataFrame:
     Adds block and ahead (true for the copy of the next block's first document; after the last block: the first's).
     """
     spark = ship(docs.sparkSession)
-    total = docs.count()
-    most = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not isinstance(docs.schema["doc_id"].dataType, T.NumericType):
+        raise TypeError("neighbours are found by number: doc_id must be numeric")
+    total, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    # Blocks of 64 MB; a block is sorted and streamed, so beyond MAX_BLOCKS they may grow.
+    most = min(MAX_BLOCKS, max(16 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(size) >> 26))
     n = max(1, min(most, total // rows_a_block))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else None
     cuts = np.unique(np.array(cuts or [], np.int64))
@@ -118,14 +124,14 @@ def _in_blocks(docs: DataFrame, rows_a_block: int) -> DataFrame:
     return blocked.withColumn("ahead", F.lit(False)).unionByName(ahead)
 
 
-def edited_fingerprints(docs: DataFrame) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, rows_a_block: int = 16) -> DataFrame:
     """Fingerprints of every text and of its edited text (its last quarter replaced by the next document's start).
 
     (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row.
     """
     id_type = docs.schema["doc_id"]
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    dealt = _in_blocks(docs, rows_a_block=16).repartition("block").sortWithinPartitions("block", "ahead", "doc_id", "text")
+    dealt = _in_blocks(docs, rows_a_block).repartition("block").sortWithinPartitions("block", "ahead", "doc_id", "text")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None  # (block, doc_id, text, fingerprint's bins)
