@@ -18,27 +18,36 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which all executors share.
 
-    Only where the setting is absent (local tests) a temporary folder is used.
+    Only where the setting is absent on a local master (tests) a temporary folder is used.
     """
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     used = spark.sparkContext._jsc.sc().getCheckpointDir()
     if used.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="offersieve-"))
         used = spark.sparkContext._jsc.sc().getCheckpointDir()
     return used.get().rstrip("/")
 
 
 def compact(df: DataFrame) -> DataFrame:
-    """At most eight partitions for each core, so that no table is written as a crowd of tiny files."""
-    return df.coalesce(8 * df.sparkSession.sparkContext.defaultParallelism)
+    """No table is written as a crowd of tiny files: at most spark.sql.shuffle.partitions, or eight for each core if that is more.
+
+    So it is the session that says how large a partition gets at the data's size.
+    """
+    spark = df.sparkSession
+    return df.coalesce(max(8 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    All tables of an application stand in one folder, which may go when the application has ended.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}/{name}"
+    path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
     compact(df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -12,6 +12,8 @@ bucket's nodes are in one component or every pair of different components has
 been tested.  So a large group of copies costs a pair for each copy, and no link
 between proposed candidates is given up.
 
+Shingles and sets are compared by 64-bit hashes of words and their order.
+
 Null and empty texts, and texts without words, have an empty set and are linked
 with nothing.  Repeated rows keep their row each.  A null doc_id takes part with
 its text; the component is named by the least doc_id that is not null.
@@ -20,6 +22,7 @@ its text; the component is named by the least doc_id that is not null.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,26 +35,37 @@ from offersieve.llm.common import fresh_names, stored
 from offersieve.llm.hashing import mix, series, shingle_set
 from offersieve.session import ship
 
-BANDS, ROWS = 32, 7
-SIZE = BANDS * ROWS
-_SEEDS = series(2 * SIZE, 53)
-_FACTORS = series(ROWS, 59) | np.uint64(1)
-_NAMES = series(BANDS, 61)
+#: Probability, at most, that two sets of just the wanted similarity share no band.
+MISSED = 5e-6
+#: Coordinates of a sketch at most: a value carries the number of its round, which is below twice that, in ten bits.
+MOST = 511
+_SEEDS = series(2 * MOST, 53)
+_FACTORS = series(16, 59) | np.uint64(1)
+_NAMES = series(MOST, 61)
 #: Longs of a parity sketch.
 PARITY = 16
-#: Ids that are broadcast at most (16 MB); beyond, a shuffled join is used.
-_BROADCAST_IDS = 2_000_000
+#: Ids that are broadcast at most (a key of 16 bytes each, about 20 MB as a relation); beyond, a shuffled join is used.
+_BROADCAST_IDS = 200_000
+
+
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows for a similarity: (32, 7) at 85, (31, 5) at 80."""
+    p = min(percent, 95) / 100
+    rows = max(1, min(16, round(math.log(0.3) / math.log(p)))) if p > 0 else 1
+    while (bands := math.ceil(math.log(MISSED) / math.log(1 - p**rows))) * rows > MOST:
+        rows -= 1
+    return bands, rows
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """SIZE coordinates of a set that is not empty; two sets agree in a coordinate with their similarity's probability."""
-    out = np.full(SIZE, np.iinfo(np.uint64).max, np.uint64)
+def sketch(shingles: np.ndarray, size: int) -> np.ndarray:
+    """size coordinates of a set that is not empty; two sets agree in a coordinate with their similarity's probability."""
+    out = np.full(size, np.iinfo(np.uint64).max, np.uint64)
     n, at = len(shingles), 0
     step = max(1, 2048 // n)
-    while at < 2 * SIZE:
-        rounds = np.arange(at, min(at + step, 2 * SIZE))
+    while at < 2 * size:
+        rounds = np.arange(at, min(at + step, 2 * size))
         h = mix(shingles[None, :] ^ _SEEDS[rounds, None])
-        place = np.where(rounds[:, None] < SIZE, (h % np.uint64(SIZE)).astype(np.int64), rounds[:, None] - SIZE)
+        place = np.where(rounds[:, None] < size, (h % np.uint64(size)).astype(np.int64), rounds[:, None] - size)
         value = (rounds.astype(np.uint64) << np.uint64(54))[:, None] | (h >> np.uint64(10))
         np.minimum.at(out, place.ravel(), value.ravel())
         at += step
@@ -60,9 +74,10 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands(shingles: np.ndarray) -> np.ndarray:
+def bands(shingles: np.ndarray, percent: int = 85) -> np.ndarray:
     """One 64-bit key for each band."""
-    return mix((sketch(shingles).reshape(BANDS, ROWS) * _FACTORS).sum(1, dtype=np.uint64) ^ _NAMES)
+    n, rows = banding(percent)
+    return mix((sketch(shingles, n * rows).reshape(n, rows) * _FACTORS[:rows]).sum(1, dtype=np.uint64) ^ _NAMES[:n])
 
 
 def parity(shingles: np.ndarray) -> np.ndarray:
@@ -80,7 +95,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return bool(both) and 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _sketched(docs: DataFrame, shingle: int) -> DataFrame:
+def _sketched(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(doc_id, text_key, n_shingles, node, bands, parity): text_key is the text's SHA-256, node names the set and is null for the empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +106,7 @@ def _sketched(docs: DataFrame, shingle: int) -> DataFrame:
                 sizes.append(len(found))
                 names.append(hashlib.sha256((text or "").encode("utf-8", "surrogatepass")).digest())
                 nodes.append(_name(found))
-                keys.append(bands(found).view(np.int64) if len(found) else None)
+                keys.append(bands(found, percent).view(np.int64) if len(found) else None)
                 odd.append(parity(found) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
@@ -188,7 +203,7 @@ def _relabelled(members: DataFrame, labels: DataFrame) -> DataFrame:
 def components(docs: DataFrame, percent: int = 85, shingle: int = 5) -> DataFrame:
     """(doc_id, text_key, n_shingles, label, component_id) for every row of docs; label names the component, null for empty sets."""
     ship(docs.sparkSession)
-    rows = stored(_sketched(docs, shingle), "sketched")
+    rows = stored(_sketched(docs, shingle, percent), "sketched")
     # Equal sets have equal bands, parities and sizes; the least doc_id leads to their text.
     sets = rows.where("node is not null").groupBy("node")
     nodes = stored(sets.agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "parity")]), "nodes")

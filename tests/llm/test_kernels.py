@@ -80,9 +80,9 @@ def test_fingerprints_estimate_similarity():
 
 def test_sketch_fills_and_estimates():
     for n in (1, 2, 7, 500):
-        assert (minhash.sketch(hashing.series(n, n)) != np.iinfo(np.uint64).max).all()
+        assert (minhash.sketch(hashing.series(n, n), 224) != np.iinfo(np.uint64).max).all()
     for s in (0.3, 0.85):
-        got = [(lambda a, b: (minhash.sketch(a) == minhash.sketch(b)).mean())(*_sets(s)) for _ in range(10)]
+        got = [(lambda a, b: (minhash.sketch(a, 224) == minhash.sketch(b, 224)).mean())(*_sets(s)) for _ in range(10)]
         assert abs(np.mean(got) - s) < 0.05
 
 
@@ -106,24 +106,57 @@ def test_templates():
     assert window("A B C D E F G H I J") == []
 
 
-def test_language_model_separates():
-    texts = {0: "the cat and the dog that are in the house with this", 1: "le chat et le chien qui sont dans la maison avec cette"}
-    counted = {}
+def brute_kneser_ney(counted, alphabet):
+    """P(last | sequence) by the recursion as it is written, from {sequence of four: count}."""
+    levels = {4: dict(counted)}
+    for n in (3, 2, 1):
+        levels[n] = {}
+        for g in levels[n + 1]:
+            levels[n][g[1:]] = levels[n].get(g[1:], 0) + 1
+    discounts = {}
+    for n, c in levels.items():
+        once, twice = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        discounts[n] = min(max(once / max(once + 2 * twice, 1), 0.1), 0.95)
+
+    def p(g):
+        n = len(g)
+        if not n:
+            return 1 / (alphabet + 1)
+        after = {k: v for k, v in levels[n].items() if k[:-1] == g[:-1]}
+        if not after:
+            return p(g[1:])
+        total, d = sum(after.values()), discounts[n]
+        return max(after.get(g, 0) - d, 0) / total + d * len(after) / total * p(g[1:])
+
+    return p
+
+
+def test_language_models_are_kneser_ney():
+    texts = {"en": "the cat and the dog that are in the house with this", "fr": "le chat et le chien qui sont dans la maison avec cette"}
+    rows = {}
     for k, t in texts.items():
         whole = language.characters(t * 3).astype("<u4").tobytes().decode("utf-32-le")
         for i in range(len(whole) - 3):
-            counted[k, whole[i : i + 4]] = counted.get((k, whole[i : i + 4]), 0) + 1
-    model = language.fit(["en", "fr"], [(k, g, n) for (k, g), n in counted.items()])
-    model.mean, model.spread, model.local = np.ones(2), np.ones(2) * 9, np.ones(2)
-    assert model.predict("the house and the cat")[0] == "en" and model.predict("dans la maison")[0] == "fr"
-    assert model.predict(None) == ("und", 0.0, True) and model.predict("12 !?")[0] == "und" and model.predict("漢字")[0] in ("en", "fr")
+            rows[k, whole[i : i + 4]] = rows.get((k, whole[i : i + 4]), 0) + 1
+    number = {"en": 0, "fr": 1}
+    model = language.fit(["en", "fr"], np.array([number[k] for k, _ in rows]), [g for _, g in rows], np.array(list(rows.values())))
+    alphabet = sorted({g[-1] for _, g in rows})
+    brute = [brute_kneser_ney({g: n for (k, g), n in rows.items() if k == lang}, len(alphabet)) for lang in number]
+    seen = ["".join(RNG.choice([*alphabet, "漢"]) for _ in range(4)) for _ in range(300)] + [g for _, g in rows]
+    points = np.array([[ord(c) for c in g] for g in seen], np.uint32)
+    for own, p in zip(model._logs(points), brute, strict=True):
+        assert np.allclose(np.exp(own), [p(g) for g in seen], rtol=1e-9)
     # Probabilities of all characters after a history sum to one.
-    alphabet = sorted({c for t in texts.values() for c in language.characters(t).tolist()})
-    total = np.zeros(2)
-    for c in alphabet:
-        total += np.exp(model._log_probability(np.array([32, 116, 104, c], np.uint32), 4, np.array([3])))[0]
-    total += np.exp(model._log_probability(np.array([32, 116, 104, 0x4E00], np.uint32), 4, np.array([3])))[0]
-    assert np.allclose(total, 1, atol=1e-3)
+    for p in brute:
+        assert abs(sum(p(" th" + c) for c in [*alphabet, "漢"]) - 1) < 1e-9
+    mixed = ["the house and the cat", None, "dans la maison", "12 !?", "", "a" * 700_000, "the house and the cat"]
+    got = model.predictions(mixed)
+    assert [g[0] for g in got][:5] == ["en", "und", "fr", "und", "und"] and got[0] == got[6] == model.predict(mixed[0]) and got[1] == ("und", 0.0, True)
+    for text, (_, score, _) in zip(mixed, got, strict=True):
+        whole = "".join(map(chr, language.characters(text)))
+        if whole and len(whole) < 100:
+            odds = [sum(np.log(p(whole[i : i + 4])) for i in range(len(whole) - 3)) for p in brute]
+            assert abs(score - 1 / (1 + np.exp(min(odds) - max(odds)))) < 1e-9
 
 
 def test_quality_model_learns():
@@ -153,3 +186,67 @@ def test_contexts_cover_every_string_and_pieces_agree():
     owner, body, _, start, place, end = suffixes.contexts(data)
     assert start[0] == 0 and end[-1] == 3000 and (start[1:] == end[:-1] - suffixes.SPAN + 1).all() and ((place >= start) & (place + suffixes.KEY <= end)).all()
     assert all(len(x) == 0 for x in suffixes.contexts(data[:49]))
+
+
+def test_fingerprint_bins_by_hand():
+    """One hash a shingle, least value a bin, and an empty bin's own walk to the first filled one, in plain loops."""
+    for n in (1, 3, 40, 700, 5000):
+        shingles = hashing.series(n, 1000 + n)
+        filled = {}
+        for h in hashing.mix(shingles ^ np.uint64(0x5851F42D4C957F2D)).tolist():
+            at, value = h >> 55, h & ((1 << 55) - 1)
+            filled[at] = min(filled.get(at, value), value)
+        want = []
+        for at in range(fingerprints.BINS):
+            stop = at
+            for step in [] if at in filled else fingerprints._steps()[at].tolist():
+                if step in filled:
+                    stop = step
+                    break
+            else:  # a walk that met none goes on to the next filled bin
+                while stop not in filled:
+                    stop = (stop + 1) % fingerprints.BINS
+            want.append(int(hashing.mix(np.array([filled[stop]], np.uint64))[0]) & 15)
+        assert fingerprints.bins(shingles).tolist() == want
+    for share in (0.0, 0.3, 0.6, 0.9):
+        errors = []
+        for seed in range(20):
+            values = hashing.series(2000, 7000 + seed)
+            both = int(1000 * share)
+            a, b = values[:1000], np.r_[values[:both], values[1000 : 2000 - both]]
+            true = both / (2000 - both)
+            errors.append(fingerprints.likeness(*[fingerprints.unpack(fingerprints.pack(fingerprints.bins(x))) for x in (a, b)]) - true)
+        assert abs(np.mean(errors)) < 0.02 and max(map(abs, errors)) < 0.12
+
+
+def test_dual_descent_reaches_the_optimum():
+    """Weights against a dense solver of the same hinge loss run much longer, and ratios against counts by hand."""
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.choice(40, 12, p=np.linspace(1, 3, 40) / 80 if i % 3 else np.linspace(3, 1, 40) / 80)) for i in range(90)]
+    y = np.array([int(i % 3 > 0) for i in range(90)])
+    ratio = quality.ratios(rows, y)
+    width = quality.WIDTH
+    for f in range(40):
+        share = [(1 + sum(f in r for r, t in zip(rows, y, strict=True) if t == k)) / (width + sum(len(r) for r, t in zip(rows, y, strict=True) if t == k)) for k in (0, 1)]
+        assert abs(ratio[f] - np.log(share[1] / share[0])) < 1e-12
+    x = np.zeros((90, 41))
+    for i, r in enumerate(rows):
+        x[i, r], x[i, 40] = ratio[r] / np.sqrt(len(r)), 1
+    sign = np.where(y > 0, 1.0, -1.0)
+    cost = 0.5 / np.where(y > 0, (y > 0).mean(), (y <= 0).mean())
+
+    def primal(w):
+        return 0.5 * w @ w + (cost * np.maximum(0, 1 - sign * (x @ w))).sum()
+
+    alpha, gram = np.zeros(90), (x * sign[:, None]) @ (x * sign[:, None]).T
+    step = 1 / np.linalg.eigvalsh(gram).max()
+    for _ in range(20_000):  # projected gradient on the dual
+        alpha = np.clip(alpha + (1 - gram @ alpha) * step, 0, cost)
+    best = primal((x * sign[:, None]).T @ alpha)
+    got = quality.descend(rows, y, ratio, rounds=200, mixing=1.0)
+    own = np.append(got[:40] / np.where(ratio[:40] == 0, 1, ratio[:40]), got[width])
+    assert abs(primal(own) - best) < 1e-3 * best
+
+
+def test_whole_words_have_shapes():
+    assert quality.shape("a1!" * 30) == "a0!" * 30 and quality.shape("HTTPServer") == "AAaa"

@@ -8,6 +8,7 @@ from itertools import pairwise
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from offersieve.llm import bpe, decontaminate, fingerprints, language, minhash, pii, quality, sharding, suffixes
@@ -169,6 +170,9 @@ def test_fingerprints(docs, texts, empty):
     for (i, t), (_, u) in zip(order, order[1:] + order[:1], strict=True):
         e = t[: len(t) - len(t) // 4] + u[: len(t) // 4]
         want[i, len(t), hashlib.sha256(e.encode()).hexdigest(), fingerprints.fingerprint(t), fingerprints.fingerprint(e)] += 1
+    for block in (1, 4):  # of many blocks, and with ids that repeat at their seams
+        seams = fingerprints.edited_fingerprints(docs, block).collect()
+        assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) for r in seams) == want
     got = fingerprints.edited_fingerprints(docs).collect()
     assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) for r in got) == want
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
@@ -206,16 +210,47 @@ def test_pii(spark, empty):
     assert len(got[1]) == 2 and pii.report(empty).count() == 0
 
 
+def brute_terms(texts):
+    """Disclosing terms over different texts, by counting."""
+    texts = sorted(set(texts))
+    words = lambda t: set(regex.findall(r"\p{L}{3,}", t.lower()))
+    entities, outside = [], []
+    for t in texts:
+        found, left = set(), t
+        for k, (name, pattern, ok) in enumerate(BASE):
+            for m in re.finditer(pattern, t):
+                if ok(m[0]):
+                    v, d = m[0].lower(), re.sub("[^0-9]", "", m[0])
+                    left = left.replace(m[0], " ")
+                    found |= [{"e" + v, "d" + v.split("@")[-1], *("n" + w for w in words(v.split("@")[0]))}, {"i" + v, "t" + ".".join(v.split(".")[:2])}, {"c" + d, "s" + d[:6]}, {"p" + d, "a" + d[:-7]}][k]
+        entities.append(found)
+        outside.append(words(left) if found else set())
+    total, n_word = len(texts), Counter(w for t in texts for w in words(t))
+    n_entity = Counter(e for found in entities for e in found)
+    both = Counter((e, w) for found, ws in zip(entities, outside, strict=True) for e in found for w in ws)
+    out = set()
+    for (e, w), n in both.items():
+        given = np.log(total * n / (n_entity[e] * n_word[w]))
+        if 1 < n_entity[e] < total and given >= 0.5 * np.log(total / n_entity[e]) and n * given >= np.log(total):
+            out.add(w)
+    return out
+
+
 def test_disclosing_terms(spark):
     rows = [(i, f"text {chr(97 + i) * 4} the quokka asked jo@x.org for {chr(107 + i) * 3}") for i in range(8)] + [(100 + i, f"nothing about the {chr(97 + i % 20) * 5} asked {i}") for i in range(200)]
+    rows += [(400, "A Quokka without the address"), (401, "quokkas are others"), (402, rows[0][1])]
+    rows += [(500 + i, f"{'the old mill' if i % 2 else 'the new kiln'} of {'ann' if i % 2 else 'bob'}.{chr(97 + i) * 3}{i}@shop{i % 2}.net with {'word ' * i}") for i in range(12)]
+    rows += [(600 + i, f"net of 10.7.{i}.1 in the harbour") for i in range(3)] + [(700 + i, f"call +1 (555) 20{i}-3344 for zebras") for i in range(2)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    r = pii.report(d).where("doc_id = 0").first()
-    a = rows[0][1].index("quokka")
-    assert f"term:{a}:{a + 6}" in r.spans.split(",") and r.n_email == 1
-    a = rows[0][1].index("the")
-    assert f"term:{a}:{a + 3}" not in r.spans.split(",")
-    clean = pii.sanitized(d).where("doc_id = 0").first().text
-    assert "quokka" not in clean and "[EMAIL]" in clean and "the" in clean
+    terms = brute_terms([t for _, t in rows])
+    assert {"quokka", "mill", "kiln", "harbour", "zebras"} <= terms and not terms & {"the", "asked", "nothing"}
+    got = {r.doc_id: r.spans.split(",") for r in pii.report(d).collect()}
+    for i, t in rows:
+        base = [m.span() for _, p, ok in BASE for m in re.finditer(p, t) if ok(m[0])]
+        want = {f"term:{m.start()}:{m.end()}" for m in regex.finditer(r"\p{L}{3,}", t) if m[0].lower() in terms and not any(a < m.end() and m.start() < b for a, b in base)}
+        assert {s for s in got[i] if s.startswith("term")} == want, i
+    clean = {r.doc_id: r.text for r in pii.sanitized(d).collect()}
+    assert "quokka" not in clean[0] and "[EMAIL]" in clean[0] and "the" in clean[0] and clean[400] == "A  without the address" and clean[401] == "quokkas are others"
 
 
 # ---------------------------------------------------------------- 9
@@ -228,9 +263,9 @@ def test_decontamination(spark, docs, empty):
     ]
     d = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, window int")
     got = {(r.doc_id, r.item_id): r.n_changed for r in decontaminate.leaks(d, benchmark).collect()}
-    assert set(got) == {(1, 1), (1, 4), (2, 1), (2, 4), (3, 1), (3, 4), (None, 1), (None, 4), (1, 5)} - {(3, 1), (3, 4)} | ({(3, 1), (3, 4)} & set(got))
+    assert set(got) == {(1, 1), (1, 4), (2, 1), (2, 4), (3, 1), (3, 4), (None, 1), (None, 4), (1, 5)}
     assert got[2, 1] > 0 and got[1, 1] == 0
-    assert {r.doc_id for r in decontaminate.decontaminated(d, benchmark).collect()} <= {3, 4, 5, 6}
+    assert {r.doc_id for r in decontaminate.decontaminated(d, benchmark).collect()} == {4, 5, 6}
     assert decontaminate.leaks(empty, benchmark).count() == 0 and decontaminate.leaks(docs, benchmark.where("false")).count() == 0
 
 
