@@ -31,7 +31,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -287,8 +287,7 @@ def learn(labelled: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE) -> Model:
     return model
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs plus lang_pred, score and rejected (columns of these names are replaced)."""
+def _guess(docs: DataFrame, model: Model) -> Column:
     held = ship(docs.sparkSession).sparkContext.broadcast(model)  # bounded by the training sample
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
@@ -296,9 +295,20 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def guess(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(held.value.predictions(texts), columns=["lang_pred", "score", "rejected"])
 
+    return guess("text")
+
+
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """docs plus lang_pred, score and rejected (columns of these names are replaced)."""
     rest = docs.drop("lang_pred", "score", "rejected")
     (name,) = fresh_names(rest, "guess")
-    return rest.withColumn(name, guess("text")).select(*rest.columns, *[F.col(name)[c].alias(c) for c in ("lang_pred", "score", "rejected")])
+    return rest.withColumn(name, _guess(docs, model)).select(*rest.columns, *[F.col(name)[c].alias(c) for c in ("lang_pred", "score", "rejected")])
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that the model doesn't reject, with the columns of docs."""
+    (name,) = fresh_names(docs, "guess")
+    return docs.withColumn(name, _guess(docs, model)).where(~F.col(name)["rejected"]).drop(name)
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:

@@ -100,9 +100,9 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, window_words: in
     return runs.where(F.col("match") & (F.col("words") >= min_words)).groupBy(*_DOC).agg(F.flatten(F.collect_list("lines")).alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, window_words: int = WINDOW_WORDS, window_lines: int = WINDOW_LINES) -> DataFrame:
-    """docs with deduplicated texts, plus n_lines and n_removed (columns of these names are replaced)."""
-    rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+def dedup_lines(docs: DataFrame, counts: tuple[str, str] = ("n_lines", "n_removed"), min_words: int = MIN_WORDS, window_words: int = WINDOW_WORDS, window_lines: int = WINDOW_LINES) -> DataFrame:
+    """docs with deduplicated texts, plus two counts, of lines and of lines removed (columns of their names are replaced)."""
+    rest = [c for c in docs.columns if c.lower() not in counts]
     key, id_, key_, lines_ = fresh_names(docs, "key", "other_id", "other_key", "lines")
     keyed = docs.select(*rest, _hash(F.col("text")).alias(key))
     found = repeated_lines(keyed.select("doc_id", F.col(key).alias("text_key"), "text"), min_words, window_words, window_lines)
@@ -115,8 +115,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, window_words: int =
     text = F.when(F.col(lines_).isNull(), F.col("text")).otherwise(kept)
     return both.select(
         *[text.alias(c) if c == "text" else F.col(c) for c in rest],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
-        F.coalesce(F.array_size(lines_), F.lit(0)).cast("long").alias("n_removed"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias(counts[0]),
+        F.coalesce(F.array_size(lines_), F.lit(0)).cast("long").alias(counts[1]),
     )
 
 

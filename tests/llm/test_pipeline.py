@@ -25,3 +25,24 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
 def test_every_operator_is_registered():
     numbers = {int(name[2:].split("_")[0]) for name in queries.QUERIES}
     assert numbers == set(range(1, 11))
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, repeated rows, columns with the operators' names, and empty tables."""
+    names = ["score", "rejected", "lang_pred", "_guess", "n_removed", "text_key", "label", "_own", "window", "ids2"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    good = [(i, prose(4000 + i, 50), "en") for i in range(80)]
+    rows = [*good, good[3], good[3], (None, prose(4100, 50), "en"), (None, None, None), (7, None, "en"), (8, "", None), (9, prose(4003, 50), None)]
+    docs = spark.createDataFrame([(i, t, lang, None, None, *names) for i, t, lang in rows], schema)
+    spark.createDataFrame([(None, None), (1, ""), (2, prose(4005, 50))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = {"language_id": 84, "line_dedup": 87, "near_dedup": 87, "decontamination": 86, "tokens": 87}
+    for name, stage in corpus_pipeline.STAGES:
+        for table in (docs, docs.where("false")):
+            got = stage(spark, table, str(tmp_path))
+            found = got.collect()
+            if name != "tokens":
+                assert got.columns == docs.columns and all([r[n] for n in names] == names for r in found)
+            if table is docs:
+                assert len(found) == {**left, "near_dedup": 86, "line_dedup": 86}[name], name
+            else:
+                assert found == []
