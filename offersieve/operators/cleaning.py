@@ -200,9 +200,17 @@ def lineage(v: DataFrame, mapping: Mapping_) -> DataFrame:
     return v.select("source_row", F.inline(F.array(*each))).select("source_row", "field", "raw", "value", "rule", F.lit(RULES_VERSION).alias("rules_version"), "confirm")
 
 
-def clean(rows: DataFrame, mapping: Mapping_, s: Settings, corrections: DataFrame | None = None, dataset_id: str = "dataset", batch_id: str = "batch", sheet: str = "") -> Cleaned:
-    """The whole way: admission, corrections, resolvers, derived fields, duplicates, counts."""
+def clean(rows: DataFrame, mapping: Mapping_, s: Settings, corrections: DataFrame | None = None, dataset_id: str = "dataset", batch_id: str = "batch", sheet: str = "", signature: str | None = None) -> Cleaned:
+    """The whole way: admission, corrections, resolvers, derived fields, duplicates, counts.
+
+    A record is known by data set, batch, file, sheet and source row. Corrections that were made for a sheet of another
+    signature (sheet_signature) are not applied; without a signature they are.
+    """
     mapping.check()
+    if "file" not in rows.columns:
+        rows = rows.withColumn("file", F.lit(""))
+    if signature is not None and signature != sheet_signature(mapping.headers, sheet):
+        corrections = None
     admitted = rows.where("not empty")
     if not s.include_hidden:
         admitted = admitted.where("not hidden")
@@ -216,14 +224,14 @@ def clean(rows: DataFrame, mapping: Mapping_, s: Settings, corrections: DataFram
     else:
         admitted = corrected(admitted, corrections, mapping)
     v = values(resolved(admitted, mapping, s), mapping, s)
-    record_id = F.sha2(F.concat_ws("\u001f", F.lit(dataset_id), F.lit(sheet), F.col("source_row").cast("string")), 256).substr(1, 32)
+    record_id = F.sha2(F.concat_ws("\u001f", F.lit(dataset_id), F.lit(batch_id), F.coalesce("file", F.lit("")), F.lit(sheet), F.col("source_row").cast("string")), 256).substr(1, 32)
     v = v.withColumns({"record_id": record_id, "offer_id": F.col("extensions")["offerId"], "issues": issue_array(mapping, s)})
     keys = v.withColumns({"exact_key": duplicates.exact_key(F.col("cells")), "suspected_key": duplicates.suspected_key()}).select("record_id", "source_row", "exact_key", "suspected_key")
     marked = duplicates.decide(duplicates.mark(keys), s.dedup_strategy, s.dedup_confirmed)
     joined = v.join(marked.select("record_id", "dup_kind", "dup_group", "is_first", "dedup_action", "dedup_by"), "record_id")
     dup_code = F.when(F.col("dup_kind") == "exact", F.lit("EXACT_DUPLICATE")).when(F.col("dup_kind") == "suspected", F.lit("SUSPECTED_DUPLICATE"))
-    group_issues = joined.where("dup_kind <> 'none' and is_first").select("source_row", dup_code.alias("code"), F.lit(None).cast("string").alias("field"), F.col("dup_group").alias("raw"))
-    issues = v.select("source_row", F.inline("issues")).unionByName(group_issues)
+    group_issues = joined.where("dup_kind <> 'none' and is_first").select("record_id", "source_row", dup_code.alias("code"), F.lit(None).cast("string").alias("field"), F.col("dup_group").alias("raw"))
+    issues = v.select("record_id", "source_row", F.inline("issues")).unionByName(group_issues)
     # Every member of a duplicate group has its flag; the group's issue stands at its first row.
     flags = F.array_sort(F.array_distinct(F.concat(F.transform("issues", lambda i: i["code"]), F.array_compact(F.array(dup_code)))))
     hidden = [c for c in joined.columns if c.startswith("r_")] + ["g", "echo", "raw_cycle_days", "numbers", "notes", "empty", "channel_inferred", "issues"]
@@ -236,19 +244,27 @@ def clean(rows: DataFrame, mapping: Mapping_, s: Settings, corrections: DataFram
     raw = rows.agg(F.count("*").alias("n_raw"), F.count_if("empty").alias("n_empty"), F.count_if(F.col("hidden")).alias("n_hidden"))
     built = joined.agg(F.count("*").alias("n_built"), F.count_if(F.col("dedup_action") == "removedAsDuplicate").alias("n_removed"), F.count_if("echo").alias("n_header_echo"))
     kept = records.agg(F.count("*").alias("n_kept"), F.count_distinct("requirement_id").alias("n_requirements"))
-    found = issues.agg(F.count_distinct("source_row").alias("n_issue_rows"))
+    found = issues.agg(F.count_distinct("record_id").alias("n_issue_rows"))
     counts = raw.crossJoin(built).crossJoin(kept).crossJoin(found)  # four tables of one row
     return Cleaned(records, issues, lineage(v, mapping), counts, s)
 
 
 def append(current: DataFrame, new: DataFrame, strategy: str = KEEP_FIRST, confirmed: bool = False) -> DataFrame:
-    """Two batches of records as one, duplicates decided anew; the earlier batch comes first."""
-    batch = lambda d, n: d.withColumn("_batch", F.lit(n))
-    both = batch(current, 0).unionByName(batch(new, 1), allowMissingColumns=True)
-    order = (F.col("_batch") * 1_000_000_000 + F.col("source_row")).alias("source_row")
+    """Two batches of records as one, duplicates decided anew; the earlier batch comes first.
+
+    batch_no counts the batches from 0. Records of the new batch get ids of their own, so lists of the same names can follow.
+    """
+    if "batch_no" in current.columns:
+        number = current.agg(F.coalesce(F.max("batch_no"), F.lit(0)) + 1).first()[0]
+    else:
+        current, number = current.withColumn("batch_no", F.lit(0)), 1
+    own = F.sha2(F.concat_ws("\u001f", "record_id", F.lit(str(number))), 256).substr(1, 32)
+    added = new.withColumns({"record_id": own, "batch_no": F.lit(number)}).withColumn("display_id", display_id(F.col("record_id")))
+    both = current.unionByName(added, allowMissingColumns=True)
+    order = (F.col("batch_no").cast("long") * 2**32 + F.col("source_row")).alias("source_row")
     keys = both.withColumns({"exact_key": duplicates.exact_key(F.col("cells")), "suspected_key": duplicates.suspected_key()}).select("record_id", order, "exact_key", "suspected_key")
     marked = duplicates.decide(duplicates.mark(keys), strategy, confirmed).select("record_id", "dup_kind", "dup_group", "dedup_action", "dedup_by")
-    out = both.drop("dup_kind", "dup_group", "dedup_action", "dedup_by", "is_first", "_batch").join(marked, "record_id")
+    out = both.drop("dup_kind", "dup_group", "dedup_action", "dedup_by", "is_first").join(marked, "record_id")
     return out.where("dedup_action <> 'removedAsDuplicate'")
 
 

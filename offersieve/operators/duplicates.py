@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offersieve.functions.text import is_null_token, plain_text
@@ -25,10 +25,9 @@ def exact_key(cells: Column) -> Column:
 
 
 def _groups(rows: DataFrame, key: str, kind: str) -> DataFrame:
-    """(key, n, first_row, group): keys with two rows or more, numbered by their first row."""
+    """(key, n, first, group): keys with two rows or more; a group has the name of its first record."""
     groups = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct("source_row", "record_id")).alias("first")).where("n > 1")
-    # Groups are numbered over all of them: the table holds one row for each group.
-    return groups.withColumn("group", F.concat(F.lit(f"{kind}#"), F.row_number().over(Window.orderBy("first")).cast("string")))
+    return groups.withColumn("group", F.concat(F.lit(f"{kind}#"), F.col("first.record_id")))
 
 
 def mark(rows: DataFrame) -> DataFrame:

@@ -42,16 +42,14 @@ class Sheet:
 
 def parse_delimited(text: str, delimiter: str) -> Iterator[tuple[int, list[str | None], list[str]]]:
     """(physical line of a record's start, cells, notes); one trailing blank record is left out."""
+    csv.field_size_limit(sniff.MAX_CELL)
     reader = csv.reader(io.StringIO(text, newline=""), delimiter=delimiter)
     start = 1
-    ends = text.endswith(("\n", "\r"))
     for record in reader:
         line, start = start, reader.line_num + 1
         cells = [c or None for c in record]
         odd = any(c and c.count('"') % 2 for c in record)
         yield line, cells or [None], ["QUOTE_MISMATCH"] if odd else []
-    if not ends and text == "":
-        return
 
 
 def read_delimited(spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None) -> DataFrame:
@@ -176,16 +174,22 @@ def catalogue(spark: SparkSession, path: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- shaping
-def shape(raw: DataFrame, header_row: int | None = None, date1904: bool | None = None) -> Sheet:
+def shape(raw: DataFrame, header_row: int | None = None, date1904: bool | None = None, limits: bool = False) -> Sheet:
     """Header row and padded data rows with empty and notes (a cell that repeats its own header is noted)."""
-    first = raw.agg(F.min("source_row")).first()[0]
+    spans = raw.groupBy("file").agg(F.min("source_row").alias("first"), F.count("*").alias("rows"), F.max(F.size("cells")).alias("width"))
+    first, width, most = spans.agg(F.min("first"), F.max("width"), F.max("rows")).first()
     if first is None:
         raise ValueError("EMPTY_DATASET")
+    if limits:  # those of an import hold for each file
+        sniff.guard_grid(most, width)
     at = header_row if header_row is not None else first
-    found = raw.where(F.col("source_row") == at).select("cells").first()
-    if found is None:
+    # Every file must begin with the same header; then one mapping holds for all.
+    found = raw.where(F.col("source_row") == at).groupBy("cells").agg(F.count_distinct("file").alias("files")).limit(2).collect()
+    if not found:
         raise ValueError(f"no row {at}")
-    width = raw.agg(F.max(F.size("cells"))).first()[0]
+    if len(found) > 1 or found[0]["files"] < spans.count():
+        raise ValueError("HEADERS_DIFFER: files with other headers are read one by one")
+    found = found[0]
     headers = tuple([*(c or "" for c in found[0]), *[""] * (width - len(found[0]))])
     pad = lambda c, kind: F.concat(F.col(c), F.array_repeat(F.lit(None).cast(kind), F.lit(width) - F.size(c)))
     rows = raw.where(F.col("source_row") > at).withColumns({"cells": pad("cells", "string"), "numbers": pad("numbers", "double")})
@@ -209,17 +213,23 @@ def facts(sheet: Sheet) -> DataFrame:
 
 
 def read_offers(spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None, sheet: str | None = None, header_row: int | None = None) -> Sheet:
-    """A file of any supported kind as a Sheet."""
-    head = spark.read.format("binaryFile").load(path).select("path", "length", F.substring("content", 1, 4096).alias("head")).first()
-    if head is None:
+    """A file, or files of one kind and header, as a Sheet. Files over the import limits raise; nothing is cut."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length", F.substring("content", 1, 4096).alias("head"))
+    size, n = files.agg(F.max("length"), F.count("*")).first()
+    if not n:
         raise ValueError("EMPTY_DATASET")
-    kind = sniff.detect_kind(head["path"], bytes(head["head"])).kind
-    if kind == "xlsx":
+    sniff.guard("bytes", sniff.MAX_BYTES, size)
+    ship(spark)
+    kind_of = F.udf(lambda p, head: sniff.detect_kind(p, bytes(head)).kind, "string")  # once for each file
+    kinds = [r[0] for r in files.select(kind_of("path", "head")).distinct().limit(2).collect()]
+    if len(kinds) > 1:
+        raise ValueError("MIXED_FILE_TYPES: " + ", ".join(sorted(kinds)))
+    if kinds[0] == "xlsx":
         d1904 = catalogue(spark, path).first()["date1904"]
-        return shape(read_workbook(spark, path, sheet), header_row, d1904)
-    if kind != "delimited":
-        raise ValueError(f"UNSUPPORTED_FILE_TYPE: {kind}")
-    return shape(read_delimited(spark, path, encoding, delimiter), header_row)
+        return shape(read_workbook(spark, path, sheet), header_row, d1904, limits=True)
+    if kinds[0] != "delimited":
+        raise ValueError(f"UNSUPPORTED_FILE_TYPE: {kinds[0]}")
+    return shape(read_delimited(spark, path, encoding, delimiter), header_row, limits=True)
 
 
 def template(with_sample: bool = False) -> str:

@@ -94,6 +94,10 @@ def line_breaks(text: str) -> int:
     return len(re.findall(r"\r\n|\r|\n", text))
 
 
+#: Characters of a cell that the reader of delimited text takes; files are bounded by MAX_BYTES long before.
+MAX_CELL = 2**31 - 1
+
+
 class LimitExceeded(ValueError):
     """Raised by guards; rows are never cut instead."""
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from offersieve.functions import numbers, resolve, text
 from offersieve.functions.dates import parse_date_cell
 from offersieve.operators import cleaning, mapping
+from offersieve.schema import STANDARD_FIELDS
 from offersieve.sources import sheets, sniff, vault
 
 
@@ -170,7 +171,7 @@ def test_cleaning_confirmed_and_corrected(spark):
     assert set(r) == {2, 3} and r[3].city == "杭州" and r[3].candidate_name is None and r[3].channel == "内推" and r[3].is_gpt is True
     assert {"CHANNEL_INFERRED_FROM_REFERRER", "MANUAL_CORRECTION_APPLIED"} <= set(r[3].d_flags)
     more = clean(spark, [row()], s)
-    assert cleaning.append(got.records, more.records.withColumn("record_id", F.lit("other")), confirmed=True).count() == 2
+    assert cleaning.append(got.records, more.records, confirmed=True).count() == 2
 
 
 def test_workbook_round_trip(spark, tmp_path):
@@ -195,3 +196,51 @@ def test_vault(spark, tmp_path):
     assert {r.kind for r in vault.objects(spark, str(tmp_path / "b")).collect()} == {"dataset"}
     vault.restore(spark, str(tmp_path / "b"), path)
     assert vault.objects(spark, path).count() == 2
+
+
+def test_batches_and_files_have_their_own_records(spark):
+    rows = [row(), row(candidateName="乙"), row(candidateName="丙")]
+    headers = [f[1] for f in STANDARD_FIELDS]
+    raw = spark.createDataFrame([(f, "", i, c, [None] * len(c), False, []) for f in ("a", "b") for i, c in enumerate([headers, *rows], 1)], sheets.RAW)
+    sheet = sheets.shape(raw)
+    m, _ = mapping.decide(mapping.suggest(sheet.headers), mapping.Decisions(), "2026-01-01")
+    got = cleaning.clean(sheet.rows, m, cleaning.Settings("2026-05-08")).records
+    six = spark.createDataFrame(got.collect(), got.schema)  # so that the plan is short
+    assert six.count() == 6 == six.select("record_id").distinct().count()
+    both = cleaning.append(six, six)
+    assert both.count() == 12 == both.select("record_id").distinct().count() and both.where("batch_no = 1").count() == 6
+    third = cleaning.append(both, six)
+    assert third.count() == 18 == third.select("record_id").distinct().count() and third.agg(F.max("batch_no")).first()[0] == 2
+    assert cleaning.append(six, six, confirmed=True).count() == 3
+    with pytest.raises(ValueError, match="HEADERS_DIFFER"):
+        sheets.shape(raw.where("file = 'a' or source_row > 1"))
+
+
+def test_corrections_of_another_sheet_are_left_out(spark, monkeypatch):
+    applied = []
+    monkeypatch.setattr(cleaning, "corrected", lambda rows, fix, m: applied.append(1) or rows.withColumn("corrected", F.lit(None).cast("array<string>")))
+    fix = spark.createDataFrame([(2, "candidateName", "戊")], "source_row int, field string, value string")
+    headers = [f[1] for f in STANDARD_FIELDS]
+    raw = spark.createDataFrame([("", "", i, c, [None] * len(c), False, []) for i, c in enumerate([headers, row()], 1)], sheets.RAW)
+    sheet = sheets.shape(raw)
+    m, _ = mapping.decide(mapping.suggest(sheet.headers), mapping.Decisions(), "2026-01-01")
+    cleaning.clean(sheet.rows, m, cleaning.Settings("2026-05-08"), fix, signature="other")
+    assert not applied
+
+
+def test_long_cells_and_limits(spark, tmp_path):
+    assert len(next(sheets.parse_delimited("x" * 200_000 + ",b", ","))[1][0]) == 200_000
+    (tmp_path / "a.csv").write_text("姓名,城市\n" + "甲,上海\n" * 3)
+    assert sheets.read_offers(spark, str(tmp_path)).rows.count() == 3
+    (tmp_path / "b.csv").write_text(",".join(["姓名"] * 600) + "\n")
+    with pytest.raises(sniff.LimitExceeded):
+        sheets.read_offers(spark, str(tmp_path / "b.csv"))
+
+
+def test_likest_header_wins_and_ties_go_by_order():
+    for header in ("实际", "拒绝", "时间", "类型", "到岗时间x"):
+        key = mapping.header_key_of(header)
+        scores = [(mapping.similarity(key, mapping.header_key_of(n)), t) for n, t in mapping._candidates() if (key, t) not in mapping._FORBIDDEN]
+        best = max(s for s, _ in scores)
+        got = mapping.suggest_one(header)
+        assert got.level != "fuzzy" or got.target == next(t for s, t in scores if s == best)
