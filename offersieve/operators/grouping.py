@@ -115,3 +115,18 @@ def ranking_availability(groups: DataFrame, least: int = 10) -> DataFrame:
 def source_counts(records: DataFrame, column: str) -> DataFrame:
     """Records by where a value came from."""
     return records.groupBy(F.coalesce(column, F.lit("unknown")).alias("source")).agg(F.count("*").alias("n"))
+
+
+def numbered(rows: DataFrame, blocks: Sequence[Column], order: Sequence[str | Column], name: str) -> DataFrame:
+    """rows with their number from 1 in an order, without all of them in one task.
+
+    blocks are values that ascend with the order; rows are numbered in each block, after the count of the blocks before.
+    Only the list of blocks and their counts goes through one task.
+    """
+    keys = [f"_block{i}" for i in range(len(blocks))]
+    dealt = rows.select("*", *[b.alias(k) for b, k in zip(blocks, keys, strict=True)])
+    counts = dealt.groupBy(*keys).agg(F.count("*").alias("_size"))
+    before = counts.withColumn("_before", F.sum("_size").over(Window.orderBy(*keys)) - F.col("_size")).drop("_size")
+    own = dealt.withColumn("_own", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    same = [own[k].eqNullSafe(before[k]) for k in keys]
+    return own.join(before, same).select(*rows.columns, (F.col("_own") + F.col("_before")).cast("int").alias(name))

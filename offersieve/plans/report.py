@@ -92,6 +92,14 @@ def _section(title: str, table: DataFrame, notes: Sequence[str] = ()) -> Section
     return Section(title, tuple(table.columns), tuple(tuple(cell(v) for v in r) for r in table.collect()), tuple(notes))
 
 
+def reason_table(records: DataFrame, rules: Rules = STANDARD) -> DataFrame:
+    """(position, category, n, share, suppressed): with fewer rejections than suppress_below no count and no share is shown."""
+    total = records.agg(metrics.count_where(metrics.is_rejected()).alias("_rejected"))  # one row
+    hidden = F.col("_rejected").between(1, rules.suppress_below - 1)
+    shown = rejection.reason_distribution(records).crossJoin(total)
+    return shown.select("position", "category", F.when(hidden, 0).otherwise(F.col("n")).alias("n"), F.when(~hidden, F.col("share")).alias("share"), hidden.alias("suppressed"))
+
+
 def build(records: DataFrame, as_of: str, rules: Rules = STANDARD, filters: Filters | None = None, issues: DataFrame | None = None, edges: Sequence[float] = ()) -> Report:
     """KPIs, suppressed dimension tables, reasons, conclusions, quality; no record and no free text."""
     a = analyze(records, filters)
@@ -107,7 +115,7 @@ def build(records: DataFrame, as_of: str, rules: Rules = STANDARD, filters: Filt
             continue
         sections.append(_section(label, dimension_table(a.records, name, rules, edges).orderBy("position").drop("code" if name != "recruiter" else "_")))
     flagged = rejection.with_conditions(benchmarks.decorate(a.records, a.reference), as_of)
-    sections.append(_section("拒绝原因", rejection.reason_distribution(a.records).orderBy("position").select("category", "n", "share")))
+    sections.append(_section("拒绝原因", reason_table(a.records, rules).orderBy("position").select("category", "n", "share", "suppressed")))
     sections.append(_section("规则结论", rejection.conclusions(rejection.evaluate_rules(flagged)).orderBy("rule_id").select("rule_id", "level", "conclusion")))
     if rules.level != "strict":
         sections.append(_section("薪资分布", compensation.salary_by_unit(a.records).orderBy(F.desc("n")).select("unit", "n", "sufficient")))

@@ -397,7 +397,7 @@ x AS (SELECT *, CASE WHEN ek IS NOT NULL AND count(*) OVER (PARTITION BY ek) > 1
 s AS (SELECT *, CASE WHEN kx IS NULL THEN count(*) OVER (PARTITION BY kx, sk) END AS ns FROM x),
 k AS (SELECT event_id, CASE WHEN kx IS NOT NULL THEN 'exact' WHEN ns > 1 THEN 'suspected' ELSE 'none' END AS dup_kind, CASE WHEN kx IS NOT NULL THEN ek WHEN ns > 1 THEN sk END AS g FROM s),
 f AS (SELECT dup_kind, g, count(*) AS dup_n, min(event_id) AS first FROM k WHERE g IS NOT NULL GROUP BY 1, 2),
-o AS (SELECT *, concat(dup_kind, '#', row_number() OVER (PARTITION BY dup_kind ORDER BY first)) AS dup_group FROM f)
+o AS (SELECT *, concat(dup_kind, '#', first) AS dup_group FROM f)
 SELECT k.dup_kind, o.dup_group, o.dup_n, CASE WHEN k.g IS NULL OR k.event_id = o.first THEN 'kept' ELSE 'removedAsDuplicate' END AS dedup_action, count(*) AS n
 FROM k LEFT JOIN o ON k.dup_kind = o.dup_kind AND k.g = o.g GROUP BY 1, 2, 3, 4
 """
@@ -408,13 +408,13 @@ QUERIES["display_ids"] = lambda spark, sf_dir: _cells(spark, sf_dir).select("o_o
 # ------------------------------------------------------------------ disclosure control
 _register(
     "suppressed_schools",
-    lambda d: privacy.dimension_table(d.where("source_row % 4 = 0"), "school", privacy.Rules(suppress_below=600)).drop("code", "cycle_p25_band", "cycle_median_band", "cycle_p75_band", "cycle_mean"),
-    _sql(f""", base AS (SELECT *, coalesce(school, '未知') AS k FROM offers WHERE source_row % 4 = 0), sizes AS (SELECT k, count(*) AS n, sum(CAST(count(*) < 600 AS INT)) OVER () AS merged, count(*) OVER () AS groups FROM base GROUP BY 1),
- named AS (SELECT b.*, n < 600 AS is_merged, merged, groups, CASE WHEN n < 600 THEN concat('其他（', merged, ' 个分组合并）') ELSE k END AS key FROM base b JOIN sizes USING (k)),
+    lambda d: privacy.dimension_table(d, "school", privacy.Rules(suppress_below=2400)).drop("code", "cycle_p25_band", "cycle_median_band", "cycle_p75_band", "cycle_mean"),
+    _sql(f""", base AS (SELECT *, coalesce(school, '未知') AS k FROM offers), sizes AS (SELECT k, count(*) AS n, sum(CAST(count(*) < 2400 AS INT)) OVER () AS merged, count(*) OVER () AS groups FROM base GROUP BY 1),
+ named AS (SELECT b.*, n < 2400 AS is_merged, merged, groups, CASE WHEN n < 2400 THEN concat('其他（', merged, ' 个分组合并）') ELSE k END AS key FROM base b JOIN sizes USING (k)),
  g AS (SELECT key, is_merged, merged, groups, {BUNDLE_SQL} FROM named GROUP BY 1, 2, 3, 4),
  h AS (SELECT *, groups <= 1 OR (count(*) OVER () > greatest(2 - merged, 0) AND row_number() OVER (ORDER BY n_total, n_core, key) <= greatest(2 - merged, 0)) AS suppressed, row_number() OVER (ORDER BY is_merged, n_core DESC, n_total DESC, key) AS position FROM g)
  SELECT position, CASE WHEN suppressed THEN concat(key, '（已抑制）') ELSE key END AS label, {", ".join(f"CASE WHEN suppressed THEN 0 ELSE {c} END AS {c}" for c in ("n_total", "n_joined", "n_pending", "n_approving", "n_rejected", "n_core"))},
- CASE WHEN NOT suppressed AND n_core >= 600 THEN floor(n_rejected::DOUBLE / n_core * 100 + 0.5) / 100 END AS rejection_rate, suppressed OR n_core < 600 AS rate_suppressed,
+ CASE WHEN NOT suppressed AND n_core >= 2400 THEN floor(n_rejected::DOUBLE / n_core * 100 + 0.5) / 100 END AS rejection_rate, suppressed OR n_core < 2400 AS rate_suppressed,
  CASE WHEN NOT suppressed THEN actual_n END AS cycle_n, suppressed, is_merged FROM h"""),
 )
 _register(
@@ -427,25 +427,26 @@ _CELLS = {
     "graduation_year": _LABELS["graduation_year"], "housing_type": "housing_type", "school_level": "CASE WHEN is_gpt THEN 'GPT 院校' WHEN NOT is_gpt THEN '非 GPT 院校' ELSE '未标注' END",
     "position_category": "CASE WHEN lower(replace(position, ' ', '')) = 'brand#11' THEN '甲类' ELSE '有岗位记录' END", "salary_band": _LABELS["salary_band"], "cycle_band": f"concat({_BAND}, '-', {_BAND} + 9, '天')",
 }
+_CELLS_SQL = (
+    "SELECT * FROM ("
+    + " UNION ALL ".join(f"SELECT '{k}' AS dimension, {v} AS key, count(*) AS N, {_n(_J)} AS J, {_n(_P)} AS P, {_n(_A)} AS A, {_n(_REJ)} AS R, {_n(_CORE)} AS D FROM offers {f'WHERE ({_ACTUAL}) IS NOT NULL' if k == 'cycle_band' else ''} GROUP BY 2" for k, v in _CELLS.items())
+    + ") WHERE D >= 5 AND key IS NOT NULL"
+)
 _register(
     "summary_cells",
     lambda d: privacy.summary_cells(d, categories={"brand#11": "甲类"}, edges=EDGES),
-    _sql(
-        "SELECT * FROM ("
-        + " UNION ALL ".join(f"SELECT '{k}' AS dimension, {v} AS key, count(*) AS N, {_n(_J)} AS J, {_n(_P)} AS P, {_n(_A)} AS A, {_n(_REJ)} AS R, {_n(_CORE)} AS D FROM offers {f'WHERE ({_ACTUAL}) IS NOT NULL' if k == 'cycle_band' else ''} GROUP BY 2" for k, v in _CELLS.items())
-        + ") WHERE D >= 5 AND key IS NOT NULL"
-    ),
+    _sql(_CELLS_SQL),
 )
 _register(
     "collapsed_cells",
-    lambda d: privacy.collapse(privacy.summary_cells(d, "strict", edges=EDGES), 3).where("dimension = 'city'"),
-    _sql(f"""SELECT 'city' AS dimension, CASE WHEN rank <= 3 THEN city ELSE '其他' END AS key, {", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in "NJPARD")} FROM (SELECT *, row_number() OVER (ORDER BY D DESC, N DESC, city) AS rank
- FROM (SELECT city, count(*) AS N, {_n(_J)} AS J, {_n(_P)} AS P, {_n(_A)} AS A, {_n(_REJ)} AS R, {_n(_CORE)} AS D FROM offers GROUP BY 1)) GROUP BY 1, 2"""),
+    lambda d: privacy.collapse(privacy.summary_cells(d, categories={"brand#11": "甲类"}, edges=EDGES), 3),
+    _sql(f"""SELECT dimension, CASE WHEN rank <= 3 THEN key ELSE '其他' END AS key, {", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in "NJPARD")}
+ FROM (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY D DESC, N DESC, key) AS rank FROM ({_CELLS_SQL})) GROUP BY 1, 2"""),
 )
 _register(
     "sentinels",
-    lambda d: privacy.collect_sentinels(d, ("recruiter", "school", "requirement_id"), 20),
-    _sql("SELECT field, value FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY value) AS rank FROM (SELECT DISTINCT 'recruiter' AS field, recruiter AS value FROM offers UNION SELECT DISTINCT 'school', school FROM offers UNION SELECT DISTINCT 'requirement_id', requirement_id FROM offers) WHERE length(value) > 1) WHERE rank <= 20"),
+    lambda d: privacy.collect_sentinels(d),
+    _sql("SELECT field, value FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY value) AS rank FROM (SELECT DISTINCT 'recruiter' AS field, recruiter AS value FROM offers UNION SELECT DISTINCT 'school', school FROM offers UNION SELECT DISTINCT 'requirement_id', requirement_id FROM offers) WHERE length(value) > 1) WHERE rank <= 200"),
 )
 
 
@@ -512,18 +513,51 @@ ORACLE_SQL["cleaning_issues"] = _CLEAN_SQL + """SELECT code, field, count(*) AS
 QUERIES["cleaning_counts"] = lambda spark, sf_dir: _cleaned(spark, sf_dir).counts
 ORACLE_SQL["cleaning_counts"] = _CLEAN_SQL + """SELECT (SELECT count(*) FROM orders) AS n_raw, 0 AS n_empty, (SELECT count(*) FROM orders WHERE o_orderkey % 11 = 0) AS n_hidden, count(*) AS n_built, 0 AS n_removed, 0 AS n_header_echo,
  count(*) AS n_kept, count(DISTINCT k) AS n_requirements, count(*) FILTER (WHERE k % 6 = 3 OR k % 7 IN (1, 4, 6) OR k % 3 = 2 OR k % 4 = 3 OR k % 5 IN (1, 2, 3) OR (k % 7 = 0 AND gap < 0)) AS n_issue_rows FROM r"""
-QUERIES["lineage_rules"] = lambda spark, sf_dir: _cleaned(spark, sf_dir).lineage.where("field in ('city', 'salaryAmount', 'joiningDate')").groupBy("field", "rule", "confirm").agg(F.count("*").alias("n"))
+QUERIES["lineage_rules"] = lambda spark, sf_dir: _cleaned(spark, sf_dir).lineage.groupBy("field", "rule", "confirm").agg(F.count("*").alias("n"))
 ORACLE_SQL["lineage_rules"] = _CLEAN_SQL + """SELECT field, rule, confirm, count(*) AS n FROM (
  SELECT 'city' AS field, CASE k % 6 WHEN 0 THEN 'city.上海' WHEN 1 THEN 'city.广州网易大厦' WHEN 2 THEN 'city.prefix' WHEN 3 THEN 'city.unrecognized' ELSE 'city.missing' END AS rule, k % 6 IN (1, 2, 3) AS confirm FROM r
  UNION ALL SELECT 'salaryAmount', CASE k % 5 WHEN 0 THEN 'salary.number' WHEN 1 THEN 'salary.rangeUnconfirmed' WHEN 2 THEN 'salary.negativeOrUnparsed' WHEN 3 THEN 'salary.unparsed' ELSE 'salary.missing' END, k % 5 IN (1, 2, 3) FROM r
- UNION ALL SELECT 'joiningDate', 'date.ymd', FALSE FROM r) GROUP BY 1, 2, 3"""
-QUERIES["column_profile"] = lambda spark, sf_dir: mapping.column_profile(_raw_rows(spark, sf_dir), _HEADERS).where("index in (1, 2, 5)").select("index", "header", "n_filled", F.array_join("samples", "/").alias("samples"), "all_empty")
-ORACLE_SQL["column_profile"] = """WITH c AS (SELECT o_orderkey AS k, 1 AS index, '城市' AS header, CASE o_orderkey % 6 WHEN 0 THEN '上海　' WHEN 1 THEN '广州网易大厦' WHEN 2 THEN '杭州（滨江）' WHEN 3 THEN '北京' WHEN 4 THEN '-' END AS v FROM orders
- UNION ALL SELECT o_orderkey, 2, 'offer状态', CASE o_orderkey % 7 WHEN 0 THEN '已入职' WHEN 1 THEN '待入职' WHEN 2 THEN '已送审批' WHEN 3 THEN '拒绝 offer' WHEN 4 THEN '审批通过' END FROM orders
- UNION ALL SELECT o_orderkey, 5, '薪资', CASE o_orderkey % 5 WHEN 0 THEN '4,000' WHEN 1 THEN '3000-4000' WHEN 2 THEN '-5' WHEN 3 THEN '面议' END FROM orders),
+ UNION ALL SELECT 'channel', CASE k % 3 WHEN 0 THEN 'channel.boss' WHEN 1 THEN 'channel.官网' ELSE 'channel.unrecognized' END, k % 3 = 2 FROM r
+ UNION ALL SELECT 'offerStatus', CASE k % 7 WHEN 0 THEN 'status.已入职' WHEN 1 THEN 'status.待入职' WHEN 2 THEN 'status.已送审批' WHEN 3 THEN 'status.拒绝 offer' WHEN 4 THEN 'status.unrecognized' ELSE 'status.missing' END, k % 7 = 4 FROM r
+ UNION ALL SELECT 'housingRaw', CASE k % 4 WHEN 0 THEN 'housing.cash' WHEN 1 THEN 'housing.noSubsidy' WHEN 2 THEN 'housing.accommodation' ELSE 'housing.unrecognized' END, k % 4 = 3 FROM r
+ UNION ALL SELECT f, rule, FALSE FROM r CROSS JOIN (VALUES ('joiningDate', 'date.ymd'), ('recruitmentStartDate', 'date.ymd'), ('requirementId', 'text.trimmed'), ('candidateName', 'text.trimmed'), ('department', 'text.missing'),
+  ('position', 'text.missing'), ('jobFamily', 'text.missing'), ('recruiter', 'text.missing'), ('referrer', 'text.missing'), ('referrer', 'referral.missing'), ('education', 'education.missing'), ('expectedEndDate', 'date.missing'),
+  ('graduationYear', 'year.missing'), ('isGptSchool', 'tristate.missing'), ('requirementType', 'requirementType.missing'), ('school', 'school.missing')) t(f, rule)) GROUP BY 1, 2, 3"""
+QUERIES["column_profile"] = lambda spark, sf_dir: mapping.column_profile(_raw_rows(spark, sf_dir), _HEADERS).select("index", "header", "n_filled", F.array_join("samples", "/").alias("samples"), "all_empty")
+_CELL_SQL = {
+    "需求ID": "concat('00', o_orderkey)", "城市": "CASE o_orderkey % 6 WHEN 0 THEN '上海　' WHEN 1 THEN '广州网易大厦' WHEN 2 THEN '杭州（滨江）' WHEN 3 THEN '北京' WHEN 4 THEN '-' END",
+    "offer状态": "CASE o_orderkey % 7 WHEN 0 THEN '已入职' WHEN 1 THEN '待入职' WHEN 2 THEN '已送审批' WHEN 3 THEN '拒绝 offer' WHEN 4 THEN '审批通过' END",
+    "启动招聘时间": "strftime(CAST(o_orderdate AS DATE), '%Y/%-m/%-d')", "入职时间": "strftime(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 50 - 10 AS INT), '%Y年%-m月%-d日')",
+    "薪资": "CASE o_orderkey % 5 WHEN 0 THEN '4,000' WHEN 1 THEN '3000-4000' WHEN 2 THEN '-5' WHEN 3 THEN '面议' END", "房补": "CASE o_orderkey % 4 WHEN 0 THEN '５００元/月' WHEN 1 THEN '无（外地）' WHEN 2 THEN '住宿' ELSE '待定' END",
+    "渠道": "CASE o_orderkey % 3 WHEN 0 THEN 'BOSS' WHEN 1 THEN '官网' ELSE 'x' END", "姓名": "concat('N', o_custkey % 97)",
+}
+ORACLE_SQL["column_profile"] = f"""WITH c AS ({" UNION ALL ".join(f"SELECT o_orderkey AS k, {i} AS index, '{h}' AS header, {v} AS v FROM orders" for i, (h, v) in enumerate(_CELL_SQL.items()))}),
  f AS (SELECT index, header, v, count(*) AS n, min(k) AS first FROM c WHERE v IS NOT NULL GROUP BY 1, 2, 3), g AS (SELECT *, row_number() OVER (PARTITION BY index ORDER BY first) AS rank FROM f)
  SELECT index, header, CAST(sum(n) AS BIGINT) AS n_filled, string_agg(v, '/' ORDER BY rank) FILTER (WHERE rank <= 3) AS samples, FALSE AS all_empty FROM g GROUP BY 1, 2"""
 
+
+def _appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same list twice: every record stands in both batches under its own id."""
+    records = _cleaned(spark, sf_dir).records
+    return cleaning.append(records, records).groupBy("batch_no", "dup_kind", "dedup_action").agg(F.count("*").alias("n"), F.count_distinct("record_id").alias("n_ids"))
+
+
+QUERIES["appended_batches"] = _appended
+ORACLE_SQL["appended_batches"] = "SELECT b AS batch_no, 'exact' AS dup_kind, 'pendingUserConfirmation' AS dedup_action, count(*) AS n, count(*) AS n_ids FROM orders CROSS JOIN (VALUES (0), (1)) t(b) WHERE o_orderkey % 11 <> 0 GROUP BY 1"
+
+
+def _two_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two files whose rows have the same numbers."""
+    plan, _ = mapping.decide(mapping.suggest(_HEADERS), mapping.Decisions(), "2026-01-01")
+    rows = _raw_rows(spark, sf_dir)
+    both = rows.withColumn("file", F.lit("a")).unionByName(rows.where(F.col("source_row") % 2 == 0).withColumn("file", F.lit("b")))
+    return cleaning.clean(both, plan, cleaning.Settings(AS_OF, dedup_confirmed=True)).records.groupBy("file", "dedup_action").agg(F.count("*").alias("n"), F.count_distinct("record_id").alias("n_ids"))
+
+
+#: Of a row that both files hold one is kept: that of the least number, then of the least id, so only the sum over files is told.
+QUERIES["cleaned_two_files"] = lambda spark, sf_dir: _two_files(spark, sf_dir).groupBy("dedup_action").agg(F.sum("n").alias("n"), F.sum("n_ids").alias("n_ids"))
+ORACLE_SQL["cleaned_two_files"] = "SELECT 'kept' AS dedup_action, count(*) AS n, count(*) AS n_ids FROM orders"
+
 # ------------------------------------------------------------------ remaining tables
 _register(
     "ranking_availability",
@@ -532,8 +566,8 @@ _register(
 )
 _register(
     "unclassified_reasons",
-    lambda d: rejection.reason_samples_by_rank(d.where("rejection_reason = 'free text'")),
-    _sql(f"SELECT 'free text' AS reason, count(*) AS n, 1 AS rank FROM offers WHERE rejection_reason = 'free text' AND {_REJ}"),
+    lambda d: rejection.reason_samples_by_rank(d),
+    _sql(f"SELECT rejection_reason AS reason, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, rejection_reason) AS rank FROM offers WHERE rejection_reason IS NOT NULL AND {_REJ} GROUP BY 1"),
 )
 _register(
     "module_availability",

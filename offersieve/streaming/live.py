@@ -1,4 +1,4 @@
-"""Status counts over a stream of offer events, by month window; late rows beyond the watermark are left out.
+"""Status counts over a stream of offer events, by windows of 30 days; late rows beyond the watermark are left out.
 
 There is no streaming in batch reports; these counts agree with the batch counts of the
 same rows.  Quantiles don't stream exactly and are not offered.

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from offersieve.operators import metrics
+from offersieve.operators import metrics, rejection
 from offersieve.plans import privacy, report
 from offersieve.schema import RECORD
 from offersieve.streaming.live import live_counts
@@ -113,3 +113,45 @@ def test_queries_equal_their_sql(spark, name):
     value = lambda v: None if v is None or v != v else round(float(v), 6) if isinstance(v, (int, float)) else str(v)
     rows = lambda rs: sorted(repr([value(v) for v in r]) for r in rs)
     assert rows(got.select(*columns).collect()) == rows(want.select(", ".join(f'"{c}"' for c in columns)).fetchall())
+
+
+def test_few_rejections_hide_the_reasons(spark):
+    base = [{"offer_status": "已入职"}] * 20
+    for n, hidden in ((0, False), (2, True), (12, False)):
+        d = records(spark, base + [{"offer_status": "拒绝offer", "rejection_reason": "薪资"}] * n)
+        rows = report.reason_table(d, privacy.Rules(suppress_below=10)).collect()
+        assert all(r.suppressed == hidden for r in rows) and (not hidden or all(r.n == 0 and r.share is None for r in rows))
+        assert sum(r.n for r in rows) == (0 if hidden else n)
+
+
+def test_forbidden_keys():
+    for name in ("salaryRaw", "rejectionReason", "reason_text", "sourceRow", "RAW-VALUE", "rows", "wechat", "需求ID", "myCandidateNames", "x姓名"):
+        assert privacy.forbidden_names(name), name
+    for name in ("category", "growth", "rowsum", "valuesOf", "n"):
+        assert not privacy.forbidden_names(name), name
+
+
+def test_payload_drops_parts_in_order(spark):
+    dims = [*privacy.DROPPED[:3], "city"]
+    cells = spark.createDataFrame([(d, f"{d}{i}", 9, 1, 1, 1, 1, 9) for d in dims for i in range(5)], "dimension string, key string, N long, J long, P long, A long, R long, D long")
+    reasons = spark.createDataFrame([("薪资", 8, 1)], "category string, n long, position int")
+    whole = privacy.payload(cells, reasons, budget=10**6)
+    size = len(json.dumps(whole, ensure_ascii=False).encode())
+    assert whole["omitted"] == [] and len(whole["cells"]) == 20
+    less = privacy.payload(cells, reasons, budget=size - 1)
+    assert less["omitted"] == ["cycle_band"] and len(less["cells"]) == 15 and less["rejectionReasons"]
+    none = privacy.payload(cells, reasons, budget=1)
+    assert none["cells"] == [] and none["omitted"] == list(privacy.DROPPED)
+
+
+def test_advice_by_level(spark):
+    def told(levels, **now):
+        state = {"n_rejected": 4, "fill_rate": 0.9, "n_unclassified": 0, "n_total": 50, "n_approving": 1, "n_waiting_too_long": 0} | now
+        evaluated = spark.createDataFrame([(r.id, level) for r, level in zip(rejection.DEFAULT_RULES, levels, strict=True)], "rule_id string, level string")
+        one = spark.createDataFrame([tuple(state.values())], ", ".join(f"{k} {'double' if k == 'fill_rate' else 'long'}" for k in state))
+        return [i for i, _ in rejection.advice(evaluated, one, one, one)]
+
+    assert told(["description", "insufficient", "insufficient", "insufficient"]) == ["noSubsidy", "smallSample"]
+    assert told(["insufficient", "insufficient", "insufficient", "observed"]) == ["lowPay", "longWaiting"]
+    assert told(["insufficient"] * 4, n_rejected=0, fill_rate=None, n_total=0) == ["smallSample"]
+    assert told(["none"] * 4, fill_rate=0.1, n_unclassified=3, n_approving=20, n_waiting_too_long=1) == ["reasonMissing", "approvalBacklog", "longWaiting"]
