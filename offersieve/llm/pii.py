@@ -6,9 +6,9 @@ address's domain and the words of its name, a network, an issuer's prefix, a
 telephone number's prefix.  Over all different texts, whole as they are, the
 point-wise mutual information between a word and an entity says how much of the
 entity's information the word gives away (1: all of it).  A word whose share of
-it reaches DISCLOSURE is a disclosing term, if the texts they share carry more
-of it together than chance gives anywhere in so many texts: together x
-information >= log(number of texts).  Entities of one text can't be told from
+it reaches DISCLOSURE, and half of whose texts or more hold the entity, is a
+disclosing term, if the texts they share carry more of it together than chance
+gives anywhere in so many texts: together x information >= log(number of texts).  Entities of one text can't be told from
 that text itself, so only recurring ones take part, with any number of texts
 from two on.  A disclosing term is marked wherever it stands, also in texts
 without the entity.  In sanitised texts entities are generalised to their
@@ -30,7 +30,8 @@ from offersieve.llm.common import fresh_names, stored
 KINDS = ("email", "ip", "card", "phone")
 TERM = len(KINDS)
 NAMES = (*KINDS, "term")
-DISCLOSURE = 0.5
+#: Least share of an entity's information, and of a word's texts that hold the entity.
+DISCLOSURE, LIKELY = 0.5, 0.5
 #: Disclosing terms that are broadcast at most (about 20 MB); beyond, a shuffled join is used.
 _BROADCAST_TERMS = 200_000
 
@@ -153,8 +154,8 @@ def disclosing_terms(texts: DataFrame, found: DataFrame) -> DataFrame:
     n_terms = texts.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     given = F.log(F.lit(total) * F.col("together") / (F.col("n_entity") * F.col("n_term")))
     share = given / F.log(F.lit(total) / F.col("n_entity"))
-    told = pairs.hint("merge").join(n_terms, "term").select("term", "entity", share.alias("share"), (F.col("together") * given).alias("evidence"))
-    return told.where((F.col("share") >= DISCLOSURE) & (F.col("evidence") >= F.log(F.lit(total)))).drop("evidence")
+    told = pairs.hint("merge").join(n_terms, "term").select("term", "entity", share.alias("share"), (F.col("together") * given).alias("evidence"), (F.col("together") / F.col("n_term")).alias("held"))
+    return told.where((F.col("share") >= DISCLOSURE) & (F.col("held") >= LIKELY) & (F.col("evidence") >= F.log(F.lit(total)))).drop("evidence", "held")
 
 
 def spans(docs: DataFrame) -> DataFrame:

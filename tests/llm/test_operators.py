@@ -231,7 +231,7 @@ def brute_terms(texts):
     out = set()
     for (e, w), n in both.items():
         given = np.log(total * n / (n_entity[e] * n_word[w]))
-        if 1 < n_entity[e] < total and given >= 0.5 * np.log(total / n_entity[e]) and n * given >= np.log(total):
+        if 1 < n_entity[e] < total and 2 * n >= n_word[w] and given >= 0.5 * np.log(total / n_entity[e]) and n * given >= np.log(total):
             out.add(w)
     return out
 
