@@ -45,17 +45,33 @@ def ranks(reference: DataFrame) -> DataFrame:
     return counted.select("group_key", "amount", ((below + F.lit(0.5) * F.col("equal")) / F.sum("equal").over(group)).alias("rank"))
 
 
-def ranks_of(records: DataFrame, reference: DataFrame) -> DataFrame:
-    """records plus percentile_rank against another set: values that the reference does not hold are placed between its own."""
-    keyed = records.withColumns({"_key": group_key(), "_amount": valid_amount(F.col("salary_amount"))})
-    wanted = keyed.where("_key is not null and _amount is not null").select(F.col("_key").alias("group_key"), F.col("_amount").alias("amount")).distinct()
-    both = samples(reference).groupBy("group_key", "amount").agg(F.count("*").alias("equal")).unionByName(wanted.withColumn("equal", F.lit(0).cast("long")))
-    values = both.groupBy("group_key", "amount").agg(F.sum("equal").alias("equal"))
+def _placed(records: DataFrame, reference: DataFrame) -> DataFrame:
+    """(group_key, amount, rank, n, p50) of every value, missing ones too, that either table has; n, rank and p50 count the reference alone.
+
+    Values are counted once, in one shuffle; records that are their own reference are read once for it.
+    """
+    pair = lambda d, n: d.select(group_key().alias("group_key"), valid_amount(F.col("salary_amount")).alias("amount"), n.cast("long").alias("equal")).where("group_key is not null")
+    rows = pair(reference, valid_amount(F.col("salary_amount")).isNotNull())
+    if records is not reference:
+        rows = rows.unionByName(pair(records, F.lit(0)))
+    counted = rows.groupBy("group_key", "amount").agg(F.sum("equal").alias("equal"))
     group = Window.partitionBy("group_key")
     below = F.coalesce(F.sum("equal").over(group.orderBy("amount").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     total = F.sum("equal").over(group)
-    placed = values.select(F.col("group_key").alias("_key"), F.col("amount").alias("_amount"), F.when(total > 0, (below + F.lit(0.5) * F.col("equal")) / total).alias("percentile_rank"))
-    return keyed.join(placed, ["_key", "_amount"], "left").drop("_key", "_amount")
+    rank = F.when((total > 0) & F.col("amount").isNotNull(), (below + F.lit(0.5) * F.col("equal")) / total)
+    return counted.select("group_key", "amount", rank.alias("rank"), total.alias("n"), F.percentile("amount", 0.5, F.col("equal")).over(group).alias("p50"))
+
+
+def _beside(records: DataFrame, placed: DataFrame) -> DataFrame:
+    keyed = records.withColumns({"_key": group_key(), "_amount": valid_amount(F.col("salary_amount"))})
+    same = (F.col("_key") == F.col("_group")) & F.col("_amount").eqNullSafe(F.col("_value"))
+    return keyed.join(placed.withColumnsRenamed({"group_key": "_group", "amount": "_value"}), same, "left").drop("_key", "_amount", "_group", "_value")
+
+
+def ranks_of(records: DataFrame, reference: DataFrame) -> DataFrame:
+    """records plus percentile_rank against another set: values that the reference does not hold are placed between its own."""
+    placed = _placed(records, reference)
+    return _beside(records, placed.select("group_key", "amount", F.col("rank").alias("percentile_rank")))
 
 
 def decorate(records: DataFrame, reference: DataFrame, min_sample: int = MIN_SAMPLE, comparable: bool = True) -> DataFrame:
@@ -63,10 +79,11 @@ def decorate(records: DataFrame, reference: DataFrame, min_sample: int = MIN_SAM
 
     The rank looks at neither sample size nor comparability; below_median at both.
     """
-    bench = build(reference, min_sample, comparable).select(F.col("group_key").alias("_key"), F.col("n").alias("benchmark_n"), F.col("p50").alias("benchmark_p50"))
-    ranked = ranks_of(records, reference).withColumn("_key", group_key())
-    out = ranked.join(bench, "_key", "left").drop("_key")
-    return out.withColumn("below_median", valid_amount(F.col("salary_amount")) < F.col("benchmark_p50"))
+    shown = F.lit(comparable) & (F.col("n") > 0)
+    placed = _placed(records, reference).select(
+        "group_key", "amount", F.when(shown, F.col("n")).alias("benchmark_n"), F.when(shown & (F.col("n") >= min_sample), F.col("p50")).alias("benchmark_p50"), F.col("rank").alias("percentile_rank")
+    )
+    return _beside(records, placed).withColumn("below_median", valid_amount(F.col("salary_amount")) < F.col("benchmark_p50"))
 
 
 def label(key: Column) -> Column:

@@ -242,10 +242,14 @@ def clean(rows: DataFrame, mapping: Mapping_, s: Settings, corrections: DataFram
         }
     )
     raw = rows.agg(F.count("*").alias("n_raw"), F.count_if("empty").alias("n_empty"), F.count_if(F.col("hidden")).alias("n_hidden"))
-    built = joined.agg(F.count("*").alias("n_built"), F.count_if(F.col("dedup_action") == "removedAsDuplicate").alias("n_removed"), F.count_if("echo").alias("n_header_echo"))
-    kept = records.agg(F.count("*").alias("n_kept"), F.count_distinct("requirement_id").alias("n_requirements"))
-    found = issues.agg(F.count_distinct("record_id").alias("n_issue_rows"))
-    counts = raw.crossJoin(built).crossJoin(kept).crossJoin(found)  # four tables of one row
+    # One aggregation over the records, so that the resolvers run once for all these figures.
+    stays = F.col("dedup_action") != "removedAsDuplicate"
+    with_issue = (F.size("issues") > 0) | ((F.col("dup_kind") != "none") & F.col("is_first"))
+    figures = joined.agg(
+        F.count("*").alias("n_built"), F.count_if(~stays).alias("n_removed"), F.count_if("echo").alias("n_header_echo"), F.count_if(stays).alias("n_kept"),
+        F.count_distinct(F.when(stays, F.col("requirement_id"))).alias("n_requirements"), F.count_if(with_issue).alias("n_issue_rows"),
+    )
+    counts = raw.crossJoin(figures)  # two tables of one row
     return Cleaned(records, issues, lineage(v, mapping), counts, s)
 
 

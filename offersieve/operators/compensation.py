@@ -76,3 +76,14 @@ def housing_counters(records: DataFrame) -> DataFrame:
         F.count_if(kind == LODGING).alias("n_lodging"), F.count_if(kind == NO_SUBSIDY).alias("n_no_subsidy"),
         F.count_if(missing).alias("n_cash_amount_missing"), F.count_if(kind.isin(UNKNOWN, OTHER)).alias("n_unknown_or_other"),
     )
+
+
+def histogram_notes(records: DataFrame, bins: int = 8, min_sample: int = MIN_SAMPLE) -> DataFrame:
+    """(unit, binning, n_values, n_bins): why a unit's histogram looks as it does: too few, single values or equal widths."""
+    amount = valid_amount(F.col("salary_amount"))
+    values = records.select(F.col("salary_unit").alias("unit"), amount.alias("v")).groupBy("unit", "v").agg(F.count("v").alias("n"))
+    facts = values.groupBy("unit").agg(F.sum("n").alias("total"), F.count("v").alias("n_values"))
+    few, single = F.col("total") < min_sample, F.col("n_values") <= VALUE_BINS
+    binning = F.when(few, F.lit("tooFew")).when(single, F.lit("singleValues")).otherwise(F.lit("equalWidths"))
+    n_bins = F.when(few, F.lit(0)).when(single, F.col("n_values")).otherwise(F.lit(max(1, int(bins))))
+    return facts.select("unit", binning.alias("binning"), "n_values", n_bins.cast("long").alias("n_bins"))

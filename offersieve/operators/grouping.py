@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from offersieve.functions.dates import month_of
 from offersieve.functions.numbers import band_of, cycle_band_of
 from offersieve.functions.text import text_or_unknown, tri_label
-from offersieve.operators.metrics import actual_days, bundle, with_rates
-from offersieve.schema import UNKNOWN
+from offersieve.operators.metrics import actual_days, bundled, with_rates
+from offersieve.schema import CORE, UNKNOWN, UNSPLIT
 
 
 def by_core() -> tuple[Column, ...]:
@@ -32,7 +32,7 @@ def dimension(name: str, edges: Sequence[float] = ()) -> Column:
 def aggregate_by(records: DataFrame, key: str | Column, edges: Sequence[float] = ()) -> DataFrame:
     """The bundle and its rates for each value of a dimension, or of any column."""
     value = key if isinstance(key, Column) else dimension(key, edges)
-    return with_rates(records.groupBy(value.alias("key")).agg(*bundle()))
+    return with_rates(bundled(records, key=value))
 
 
 def aggregate_all(records: DataFrame, names: Sequence[str], metrics: Sequence[Column], edges: Sequence[float] = ()) -> DataFrame:
@@ -43,12 +43,29 @@ def aggregate_all(records: DataFrame, names: Sequence[str], metrics: Sequence[Co
 
 def aggregate_by_month(records: DataFrame, basis: str = "start_date") -> DataFrame:
     """By month of a date; rows without one form the group of key null."""
-    return with_rates(records.groupBy(month_of(F.col(basis)).alias("key")).agg(*bundle()))
+    return with_rates(bundled(records, key=month_of(F.col(basis))))
+
+
+def covers_all(timeline: DataFrame, records: DataFrame) -> DataFrame:
+    """One row: whether the groups of a timeline, that without a date among them, hold every record once."""
+    grouped = timeline.agg(F.coalesce(F.sum("n_total"), F.lit(0)).alias("n_grouped"))
+    total = records.agg(F.count("*").alias("n_records"))
+    return grouped.crossJoin(total).withColumn("covers_all", F.col("n_grouped") == F.col("n_records"))  # one row each
+
+
+def with_cycles(groups: DataFrame) -> DataFrame:
+    """Groups that have an actual or a planned cycle to show."""
+    return groups.where((F.col("actual_n") > 0) | (F.col("planned_n") > 0))
+
+
+def n_unsplit(records: DataFrame) -> DataFrame:
+    """One row: records whose requirement type was not told apart."""
+    return records.agg(F.count_if(F.col("requirement_type") == UNSPLIT).alias("n_unsplit"))
 
 
 def aggregate_by_cycle_band(records: DataFrame) -> DataFrame:
     band = cycle_band_of(actual_days())
-    return with_rates(records.where(band.isNotNull()).groupBy(band.alias("key")).agg(*bundle()))
+    return with_rates(bundled(records.where(band.isNotNull()), key=band))
 
 
 def cross_table(records: DataFrame, rows: str, columns: str, metrics: Sequence[Column], edges: Sequence[float] = ()) -> DataFrame:
@@ -72,20 +89,25 @@ def ranked(groups: DataFrame) -> DataFrame:
 
 
 def top_with_other(records: DataFrame, name: str, n: int, edges: Sequence[float] = ()) -> DataFrame:
-    """The first n groups and one for the rest, aggregated from its records; all groups if there are no more than n."""
-    keyed = records.withColumn("_key", dimension(name, edges))
-    # D and N of each key are enough to rank it.
-    sizes = keyed.groupBy(F.col("_key").alias("key")).agg(F.count_if(F.col("offer_status").isin("已入职", "待入职", "拒绝offer", "拒绝口头offer")).alias("n_core"), F.count("*").alias("n_total"))
-    order = ranked(sizes).withColumn("groups", F.count("*").over(Window.partitionBy(F.lit(1))))
-    label = F.when((F.col("groups") <= n) | (F.col("rank") <= n) | F.lit(n <= 0), F.col("key")).otherwise(F.concat(F.lit("其他（"), (F.col("groups") - n).cast("string"), F.lit(" 个分组合并）")))
-    named = keyed.join(order.select(F.col("key").alias("_key"), label.alias("key")), "_key")
-    return with_rates(named.groupBy("key").agg(*bundle())).withColumn("is_merged", F.col("key").rlike(r"^其他（\d+ 个分组合并）$"))
+    """The first n groups and one for the rest, aggregated from its records; all groups if there are no more than n, or n is 0."""
+    keyed = records.withColumn("key", dimension(name, edges))
+    if n > 0:
+        # D and N of each key are enough to find the first n; only these and one count go to all tasks.
+        core = F.count_if(F.col("offer_status").isin(*CORE))
+        sizes = records.groupBy(dimension(name, edges).alias("key")).agg(core.alias("n_core"), F.count("*").alias("n_total"))
+        first = sizes.orderBy(*by_core()).limit(n).select(F.col("key").alias("_first"))
+        groups = sizes.agg(F.count("*").alias("_groups"))
+        rest = F.concat(F.lit("其他（"), (F.col("_groups") - n).cast("string"), F.lit(" 个分组合并）"))
+        keyed = keyed.join(F.broadcast(first), F.col("key") == F.col("_first"), "left").crossJoin(F.broadcast(groups))
+        keyed = keyed.withColumn("key", F.coalesce("_first", rest))
+    return with_rates(bundled(keyed, key=F.col("key"))).withColumn("is_merged", F.col("key").rlike(r"^其他（\d+ 个分组合并）$"))
 
 
 def facets(records: DataFrame, name: str, edges: Sequence[float] = ()) -> DataFrame:
-    """(key, n, position): values by count, then value; 未知 last."""
+    """(key, n, position): values by count, then value; 未知 last.  Values may be many, so they are numbered in blocks."""
     counts = records.groupBy(dimension(name, edges).alias("key")).agg(F.count("*").alias("n"))
-    return counts.withColumn("position", F.row_number().over(Window.orderBy((F.col("key") == UNKNOWN).cast("int"), F.desc("n"), "key")))
+    last = (F.col("key") == UNKNOWN).cast("int")
+    return numbered(counts, [last, -F.col("n"), F.substring("key", 1, 2)], [F.desc("n"), "key"], "position")
 
 
 def page(df: DataFrame, order: Sequence[Column], number: int, size: int = 25) -> DataFrame:

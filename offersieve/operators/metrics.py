@@ -38,15 +38,18 @@ def in_core(status: Column | None = None) -> Column:
     return status.isin(*CORE)
 
 
-def count_where(condition: Column) -> Column:
-    return F.count_if(F.coalesce(condition, F.lit(False)))
+def count_where(condition: Column, weight: Column | None = None) -> Column:
+    """Rows where it holds; with a weight the sum of theirs, for rows that stand for several."""
+    if weight is None:
+        return F.count_if(F.coalesce(condition, F.lit(False)))
+    return F.coalesce(F.sum(F.when(condition, weight)), F.lit(0))
 
 
-def status_counts() -> list[Column]:
+def status_counts(weight: Column | None = None) -> list[Column]:
     """N, J, P, A, R1, R2, R, other, unknown, accepted and D."""
-    count = lambda *s: count_where(_status().isin(*s))
+    count = lambda *s: count_where(_status().isin(*s), weight)
     return [
-        F.count("*").alias("n_total"), count(JOINED).alias("n_joined"), count(PENDING).alias("n_pending"), count(APPROVING).alias("n_approving"),
+        count_where(F.lit(True), weight).alias("n_total"), count(JOINED).alias("n_joined"), count(PENDING).alias("n_pending"), count(APPROVING).alias("n_approving"),
         count(REJECTED).alias("n_rejected_offer"), count(REJECTED_VERBALLY).alias("n_rejected_verbally"), count(*REJECTIONS).alias("n_rejected"),
         count(OTHER).alias("n_other"), count(UNKNOWN).alias("n_unknown"), count(JOINED, PENDING).alias("n_accepted"), count(*CORE).alias("n_core"),
     ]
@@ -70,32 +73,45 @@ def planned_days() -> Column:
     return planned_cycle_days(_status(), F.col("start_date"), F.col("join_date"))
 
 
-def cycle_stats(days: Column, name: str) -> list[Column]:
+def cycle_stats(days: Column, name: str, weight: Column | None = None) -> list[Column]:
     """n, mean, exact quartiles, and the rows without a valid cycle."""
-    q = F.percentile(days, [0.25, 0.5, 0.75])
+    weight = F.lit(1).cast("long") if weight is None else weight
+    q = F.percentile(days, [0.25, 0.5, 0.75], weight)
+    n = count_where(days.isNotNull(), weight)
     return [
-        F.count(days).alias(f"{name}_n"), F.avg(days).alias(f"{name}_mean"), q[0].alias(f"{name}_p25"), q[1].alias(f"{name}_median"), q[2].alias(f"{name}_p75"),
-        (F.count("*") - F.count(days)).alias(f"{name}_excluded"),
+        n.alias(f"{name}_n"), rate(F.sum(days * weight), n).alias(f"{name}_mean"), q[0].alias(f"{name}_p25"), q[1].alias(f"{name}_median"), q[2].alias(f"{name}_p75"),
+        count_where(days.isNull(), weight).alias(f"{name}_excluded"),
     ]
 
 
-def coverage() -> list[Column]:
-    """Distinct requirements, and rows without one."""
-    blank = is_blank(F.col("requirement_id"))
-    return [
-        F.count_distinct(F.when(~blank, trim_space(F.col("requirement_id")))).alias("n_requirements"),
-        count_where(blank).alias("n_requirement_missing"),
-    ]
-
+def bundled(records: DataFrame, **keys: Column) -> DataFrame:
+    """keys plus everything a group shows: status counts, cycles, different requirements, rows without one, filled reasons.
 
-def reason_fill() -> list[Column]:
+    Each record gives two rows, what it counts for and its requirement; equal rows are counted first, on the map side and
+    then in one shuffle, so that a large group comes to its quantiles and different requirements as few counted values.
+    """
+    blank = is_blank(F.col("requirement_id"))
     filled = ~is_blank(F.col("rejection_reason")) & _status().isin(*REJECTIONS)
-    return [count_where(filled).alias("n_reason_filled")]
-
-
-def bundle() -> list[Column]:
-    """One aggregation for everything a group shows."""
-    return [*status_counts(), *cycle_stats(actual_days(), "actual"), *cycle_stats(planned_days(), "planned"), *coverage(), *reason_fill()]
+    none = lambda kind: F.lit(None).cast(kind)
+    facts = F.struct(
+        _status().alias("offer_status"), actual_days().alias("actual"), planned_days().alias("planned"), filled.alias("filled"), blank.alias("no_requirement"),
+        F.lit(True).alias("is_record"), none("string").alias("requirement"),
+    )
+    requirement = F.struct(
+        none("string").alias("offer_status"), none("int").alias("actual"), none("int").alias("planned"), none("boolean").alias("filled"), none("boolean").alias("no_requirement"),
+        F.lit(False).alias("is_record"), trim_space(F.col("requirement_id")).alias("requirement"),
+    )
+    names = {f"_{name}": name for name in keys}
+    both = F.when(blank, F.array(facts)).otherwise(F.array(facts, requirement))
+    rows = records.select(*[value.alias(f"_{name}") for name, value in keys.items()], F.inline(both))
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n"))
+    n = F.when(F.col("is_record"), F.col("_n"))  # what a requirement counts for in the figures of records: nothing
+    weight = F.coalesce(n, F.lit(0))
+    out = counted.groupBy(*names).agg(
+        *status_counts(n), *cycle_stats(F.col("actual"), "actual", weight), *cycle_stats(F.col("planned"), "planned", weight),
+        F.count("requirement").alias("n_requirements"), count_where(F.col("no_requirement"), n).alias("n_requirement_missing"), count_where(F.col("filled"), n).alias("n_reason_filled"),
+    )
+    return out.withColumnsRenamed(names)
 
 
 def with_rates(grouped: DataFrame) -> DataFrame:
@@ -107,7 +123,7 @@ def with_rates(grouped: DataFrame) -> DataFrame:
 
 def summarize(records: DataFrame) -> DataFrame:
     """The bundle over all records: one row."""
-    return with_rates(records.agg(*bundle()))
+    return with_rates(bundled(records))
 
 
 def identity_holds(counts: DataFrame) -> DataFrame:

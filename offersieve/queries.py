@@ -404,6 +404,7 @@ FROM k LEFT JOIN o ON k.dup_kind = o.dup_kind AND k.g = o.g GROUP BY 1, 2, 3, 4
 QUERIES["exact_documents"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy(F.sha2("text", 256).alias("key")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
 ORACLE_SQL["exact_documents"] = "SELECT sha256(text) AS key, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1"
 QUERIES["display_ids"] = lambda spark, sf_dir: _cells(spark, sf_dir).select("o_orderkey", display_id(F.col("o_orderkey").cast("string")).alias("display_id"))
+ORACLE_SQL["display_ids"] = """SELECT o_orderkey, format('C-{:06X}', list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(CAST(o_orderkey AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, x: (a * 31 + x) % 16777216)) AS display_id FROM orders"""
 
 # ------------------------------------------------------------------ disclosure control
 _register(
@@ -584,3 +585,97 @@ _register(
     lambda d: grouping.for_chart(metrics.with_rates(d.groupBy(F.col("channel").alias("key")).agg(*metrics.status_counts())), "rejection_rate").select("key", "position"),
     _sql(f"SELECT key, row_number() OVER (ORDER BY r::DOUBLE / nullif(d, 0) DESC NULLS LAST, d DESC, n DESC, key) AS position FROM (SELECT channel AS key, {_n(_REJ)} AS r, {_n(_CORE)} AS d, count(*) AS n FROM offers GROUP BY 1)"),
 )
+_register(
+    "timeline_covers_all",
+    lambda d: grouping.covers_all(grouping.aggregate_by_month(d, "join_date"), d),
+    _sql("SELECT count(*) AS n_grouped, count(*) AS n_records, TRUE AS covers_all FROM offers"),
+)
+_register("unsplit_requirement_types", grouping.n_unsplit, _sql(f"SELECT {_n("requirement_type = '替补替换未拆分'")} AS n_unsplit FROM offers"))
+_register(
+    "efficiency",
+    lambda d: grouping.with_cycles(grouping.aggregate_by(d, F.concat("city", "offer_status"))),
+    _sql(f"SELECT *, {RATES_SQL} FROM (SELECT concat(city, offer_status) AS key, {BUNDLE_SQL} FROM offers GROUP BY 1) WHERE actual_n > 0 OR planned_n > 0"),
+)
+_register(
+    "histogram_notes",
+    compensation.histogram_notes,
+    _sql("""SELECT unit, CASE WHEN n < 5 THEN 'tooFew' WHEN k <= 12 THEN 'singleValues' ELSE 'equalWidths' END AS binning, k AS n_values, CASE WHEN n < 5 THEN 0 WHEN k <= 12 THEN k ELSE 8 END AS n_bins
+ FROM (SELECT salary_unit AS unit, count(salary_amount) AS n, count(DISTINCT salary_amount) AS k FROM offers GROUP BY 1)"""),
+)
+_CYCLE_BAND = lambda d: f"CASE WHEN {d} >= 180 THEN '>=180' WHEN {d} >= 90 THEN '90-180' WHEN {d} >= 60 THEN '60-90' WHEN {d} >= 30 THEN '30-60' WHEN {d} >= 14 THEN '14-30' WHEN {d} >= 7 THEN '7-14' WHEN {d} IS NOT NULL THEN '<7' END"
+_register(
+    "quantile_bands",
+    lambda d: privacy.dimension_table(d, "position").where("not suppressed").select("label", "cycle_n", "cycle_mean", "cycle_p25_band", "cycle_median_band", "cycle_p75_band"),
+    _sql(f""", g AS (SELECT position AS key, {BUNDLE_SQL} FROM offers GROUP BY 1), h AS (SELECT *, row_number() OVER (ORDER BY n_total, n_core, key) AS rank FROM g)
+ SELECT key AS label, actual_n AS cycle_n, actual_mean AS cycle_mean, {", ".join(f"{_CYCLE_BAND(f'actual_{q}')} AS cycle_{q}_band" for q in ("p25", "median", "p75"))} FROM h WHERE rank > 2"""),
+)
+
+# ------------------------------------------------------------------ resolvers, inference and corrections through cleaning
+_PEOPLE = ("需求ID", "offer状态", "学历", "学校", "是否GPT院校", "简历推荐人", "需求类型", "毕业年级", "渠道", "城市")
+_WORDS_OF = {
+    "学历": ("大专", "本科", "研究生", "博士 ", "MBA"), "学校": ("甲大", "甲大学", " 乙大学 ", None), "是否GPT院校": ("是", "no", "Y", "maybe", "-", None),
+    "简历推荐人": ("内推", "HR推", "校推", "张三", "-", None, "HR推"), "需求类型": ("新增", "替补", "紧急"), "毕业年级": ("2027", "2026届", "27", "1850年", None), "渠道": ("官网", None, "Boss", "-"),
+}
+
+
+def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as rows whose cells go through the remaining resolvers."""
+    k = F.col("o_orderkey")
+    pick = lambda words: F.element_at(F.array(*[F.lit(w).cast("string") for w in words]), (k % len(words) + 1).cast("int"))
+    cells = F.array(k.cast("string"), F.lit("已入职"), *[pick(_WORDS_OF[h]) for h in _PEOPLE[2:-1]], F.lit("广州"))
+    numbers = F.array_repeat(F.lit(None).cast("double"), len(_PEOPLE))
+    return _cells(spark, sf_dir).select(k.cast("int").alias("source_row"), cells.alias("cells"), numbers.alias("numbers"), F.lit(False).alias("empty"), F.lit(False).alias("hidden"), F.array().cast("array<string>").alias("notes"))
+
+
+def _people_cleaned(spark: SparkSession, sf_dir: str, corrections: DataFrame | None = None) -> cleaning.Cleaned:
+    plan, _ = mapping.decide(mapping.suggest(_PEOPLE), mapping.Decisions(), "2026-01-01")
+    settings = cleaning.Settings(AS_OF, school_aliases=(("甲大", "甲大学"),), gpt_list=("甲大学",), gpt_list_mode=True, channel_from_referrer=True)
+    return cleaning.clean(_people(spark, sf_dir), plan, settings, corrections)
+
+
+_RESOLVED = ("education", "school", "graduationYear", "isGptSchool", "referrer", "requirementType", "channel")
+QUERIES["resolved_fields"] = lambda spark, sf_dir: _people_cleaned(spark, sf_dir).lineage.where(F.col("field").isin(*_RESOLVED)).groupBy("field", "value", "rule", "confirm").agg(F.count("*").alias("n"))
+
+
+def _cases(field: str, *found: tuple[str | None, str, bool]) -> str:
+    """What the words of a field become, one after another."""
+    rows = ", ".join(f"({i}, {'NULL' if v is None else repr(v)}, '{rule}', {confirm})" for i, (v, rule, confirm) in enumerate(found))
+    return f"SELECT '{field}' AS field, value, rule, confirm FROM orders JOIN (VALUES {rows}) t(i, value, rule, confirm) ON o_orderkey % {len(found)} = i"
+
+
+ORACLE_SQL["resolved_fields"] = "SELECT field, value, rule, confirm, count(*) AS n FROM (" + " UNION ALL ".join(
+    (
+        _cases("education", ("专科", "education.大专", True), ("本科", "education.本科", False), ("硕士", "education.研究生", True), ("博士", "education.博士", False), ("未知", "education.unrecognized", True)),
+        _cases("school", ("甲大学", "school.alias", True), ("甲大学", "school.raw", False), ("乙大学", "school.raw", False), (None, "school.missing", False)),
+        _cases("graduationYear", ("2027", "year.fourDigit", False), ("2026", "year.fourDigit", True), (None, "year.unparsed", True), (None, "year.outOfRange", True), (None, "year.missing", False)),
+        _cases("isGptSchool", ("true", "tristate.是", False), ("false", "tristate.no", False), ("true", "tristate.y", False), (None, "tristate.unrecognized", True), (None, "tristate.missing", False), (None, "tristate.missing", False)),
+        _cases("referrer", *[(w, "text.trimmed", False) for w in ("内推", "HR推", "校推", "张三")], (None, "text.nullToken", False), (None, "text.missing", False), ("HR推", "text.trimmed", False)),
+        _cases("referrer", ("内推", "referral.内推", False), ("HR推", "referral.HR推", False), ("HR推", "referral.hrSuffix", True), ("未知", "referral.unrecognized", False), ("未知", "referral.missing", False), ("未知", "referral.missing", False), ("HR推", "referral.HR推", False)),
+        _cases("requirementType", ("新增招聘", "requirementType.新增", False), ("替补", "requirementType.替补", False), ("未知", "requirementType.unrecognized", True)),
+        _cases("channel", ("官网", "channel.官网", False), ("未知", "channel.missing", False), ("Boss", "channel.boss", False), ("未知", "channel.missing", False)),
+    )
+) + ") GROUP BY 1, 2, 3, 4"
+_PEOPLE_SQL = """WITH r AS (SELECT o_orderkey AS k, k % 6 IN (0, 1, 2) AS own, k % 4 IN (0, 1) AS listed, k % 7 = 0 AS referred, k % 4 IN (1, 3) AS no_channel FROM orders) """
+QUERIES["gpt_sources"] = lambda spark, sf_dir: grouping.source_counts(_people_cleaned(spark, sf_dir).records, "is_gpt_source")
+ORACLE_SQL["gpt_sources"] = _PEOPLE_SQL + "SELECT CASE WHEN own THEN 'aliasTable' WHEN listed THEN 'localList' ELSE 'unknown' END AS source, count(*) AS n FROM r GROUP BY 1"
+QUERIES["gpt_schools"] = lambda spark, sf_dir: _people_cleaned(spark, sf_dir).records.groupBy("school", "is_gpt").agg(F.count("*").alias("n"))
+ORACLE_SQL["gpt_schools"] = _PEOPLE_SQL + "SELECT CASE WHEN listed THEN '甲大学' WHEN k % 4 = 2 THEN '乙大学' END AS school, CASE WHEN own THEN k % 6 <> 1 WHEN listed THEN TRUE END AS is_gpt, count(*) AS n FROM r GROUP BY 1, 2"
+QUERIES["inferred_channels"] = lambda spark, sf_dir: _people_cleaned(spark, sf_dir).records.groupBy("channel", "referral_type").agg(F.count("*").alias("n"))
+ORACLE_SQL["inferred_channels"] = _PEOPLE_SQL + """SELECT CASE WHEN NOT no_channel THEN CASE k % 4 WHEN 0 THEN '官网' ELSE 'Boss' END WHEN referred THEN '内推' ELSE '未知' END AS channel,
+ CASE k % 7 WHEN 0 THEN '内推' WHEN 1 THEN 'HR推' WHEN 2 THEN 'HR推' WHEN 6 THEN 'HR推' ELSE '未知' END AS referral_type, count(*) AS n FROM r GROUP BY 1, 2"""
+QUERIES["source_conflicts"] = lambda spark, sf_dir: _people_cleaned(spark, sf_dir).issues.where(F.col("code").isin("GPT_SOURCE_CONFLICT", "CHANNEL_INFERRED_FROM_REFERRER", "CHANNEL_REFERRER_CONFLICT")).groupBy("code").agg(F.count("*").alias("n"))
+ORACLE_SQL["source_conflicts"] = _PEOPLE_SQL + """SELECT code, count(*) AS n FROM (SELECT 'GPT_SOURCE_CONFLICT' AS code FROM r WHERE k % 6 = 1 AND listed
+ UNION ALL SELECT 'CHANNEL_INFERRED_FROM_REFERRER' FROM r WHERE referred AND no_channel UNION ALL SELECT 'CHANNEL_REFERRER_CONFLICT' FROM r WHERE referred AND NOT no_channel) GROUP BY 1"""
+
+
+def _corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cities and years corrected by hand in some rows; the rows are resolved anew and say what was changed."""
+    k = F.col("o_orderkey")
+    by_hand = _cells(spark, sf_dir).select(k.cast("int").alias("source_row"), F.inline(F.array(F.struct(F.lit("city").alias("field"), F.lit("上海").alias("value")), F.struct(F.lit("graduationYear").alias("field"), F.lit("").alias("value")))))
+    by_hand = by_hand.where((F.col("source_row") % 23 == 0) | ((F.col("source_row") % 23 == 1) & (F.col("field") == "city")))
+    return _people_cleaned(spark, sf_dir, by_hand).records.groupBy("city", "graduation_year", F.array_join("corrected", ",").alias("changed")).agg(F.count("*").alias("n"))
+
+
+QUERIES["manual_corrections"] = _corrected
+ORACLE_SQL["manual_corrections"] = """SELECT CASE WHEN k % 23 <= 1 THEN '上海' ELSE '广州' END AS city, CASE WHEN k % 23 = 0 THEN NULL WHEN k % 5 = 0 THEN 2027 WHEN k % 5 = 1 THEN 2026 END AS graduation_year,
+ CASE k % 23 WHEN 0 THEN 'city,graduationYear' WHEN 1 THEN 'city' END AS changed, count(*) AS n FROM (SELECT o_orderkey AS k FROM orders) GROUP BY 1, 2, 3"""
