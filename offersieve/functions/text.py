@@ -90,10 +90,13 @@ def tri_label(c: Column, yes: str = "是", no: str = "否", unknown: str = UNKNO
     return F.when(c, F.lit(yes)).when(~c, F.lit(no)).otherwise(F.lit(unknown))
 
 
-def key_part(c: Column) -> Column:
-    """Benchmark key part: control signs out, trimmed; null for blank, 未知 and 其他."""
-    clean = trim_space(F.regexp_replace(c, r"[\x00-\x1F\x7F]", ""))
-    return F.when(~clean.isin("", UNKNOWN, OTHER), clean)
+def key_text(c: Column) -> Column:
+    """Benchmark key part: control signs out, trimmed."""
+    return trim_space(F.regexp_replace(c, r"[\x00-\x1F\x7F]", ""))
+
+
+def says_something(part: Column) -> Column:
+    return part.isNotNull() & ~part.isin("", UNKNOWN, OTHER)
 
 
 def looks_like_identifier(c: Column) -> Column:

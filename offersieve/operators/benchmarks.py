@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offersieve.functions.numbers import MIN_SAMPLE, valid_amount
-from offersieve.functions.text import key_part
+from offersieve.functions.text import key_text, says_something
 
 KEYS = ("city", "job_family", "position", "currency", "salary_unit")
 SEPARATOR = "\u001f"
@@ -14,11 +14,9 @@ SEPARATOR = "\u001f"
 
 def group_key() -> Column:
     """city, family, position, currency and unit in one; null if any of them says nothing."""
-    parts = [key_part(F.col(c)) for c in KEYS]
-    known = F.lit(True)
-    for p in parts:
-        known = known & p.isNotNull()
-    return F.when(known, F.concat_ws(SEPARATOR, *parts))
+    # The array gives the cleaned parts a name, so that each is cleaned once.
+    parts = F.array(F.array(*[key_text(F.col(c)) for c in KEYS]))
+    return F.get(F.transform(parts, lambda p: F.when(F.forall(p, says_something), F.array_join(p, SEPARATOR))), F.lit(0))
 
 
 def samples(reference: DataFrame) -> DataFrame:
