@@ -151,3 +151,45 @@ def test_rules(spark):
 def test_group_rates_are_ratio_of_sums(six):
     by = grouping.aggregate_by(six, "city").agg(F.sum("n_rejected") / F.sum("n_core")).first()[0]
     assert by == metrics.summarize(six).first().rejection_rate
+
+
+def test_bundle_counts_requirements_once_and_blanks_apart(spark):
+    a = D(2026, 1, 1)
+    rows = [
+        {"city": "上海", "requirement_id": "R1", "offer_status": "已入职", "start_date": a, "join_date": D(2026, 1, 3)}, {"city": "上海", "requirement_id": " R1 ", "offer_status": "已入职", "start_date": a, "join_date": D(2026, 1, 3)},
+        {"city": "上海", "requirement_id": "R2", "offer_status": "已入职", "start_date": a, "join_date": D(2026, 1, 11)}, {"city": "上海", "requirement_id": " "}, {"city": None, "requirement_id": None},
+    ]
+    d = records(spark, rows)
+    got = {r.key: r for r in metrics.bundled(d, key=F.col("city")).collect()}
+    assert (got["上海"].n_total, got["上海"].n_requirements, got["上海"].n_requirement_missing) == (4, 2, 1)
+    assert (got["上海"].actual_n, got["上海"].actual_excluded, got["上海"].actual_p25, got["上海"].actual_median, got["上海"].actual_p75) == (3, 1, 2, 2, 6)
+    assert round(got["上海"].actual_mean, 6) == round(14 / 3, 6)
+    assert (got[None].n_total, got[None].n_requirements, got[None].n_requirement_missing, got[None].actual_mean) == (1, 0, 1, None)
+    empty = metrics.summarize(records(spark, [])).first()
+    assert (empty.n_total, empty.n_requirements, empty.actual_n, empty.rejection_rate) == (0, 0, 0, None)
+    assert grouping.covers_all(grouping.aggregate_by_month(d), d).first().asDict() == {"n_grouped": 5, "n_records": 5, "covers_all": True}
+    assert grouping.with_cycles(grouping.aggregate_by(d, "city")).count() == 1
+
+
+def test_top_takes_all_groups_when_they_are_few_or_none_are_asked_for(spark):
+    d = records(spark, [{"position": p} for p in "aaabbc"] + [{"position": None}])
+    keys = lambda n: {r.key: r.n_total for r in grouping.top_with_other(d, "position", n).collect()}
+    assert keys(0) == keys(4) == {"a": 3, "b": 2, "c": 1, "未知": 1}
+    assert keys(1) == {"a": 3, "其他（3 个分组合并）": 4}
+    assert {r.key: r.position for r in grouping.facets(d, "position").collect()} == {"a": 1, "b": 2, "c": 3, "未知": 4}
+
+
+def test_histogram_notes_and_unsplit(spark):
+    pay = lambda unit, amounts: [{"salary_unit": unit, "salary_amount": float(x)} for x in amounts]
+    d = records(spark, pay("元/月", range(1, 20)) + pay("元/天", [1, 1, 2, 2, 3]) + pay(None, [1]) + [{"requirement_type": "替补替换未拆分"}])
+    got = {r.unit: (r.binning, r.n_values, r.n_bins) for r in compensation.histogram_notes(d).collect()}
+    assert got == {"元/月": ("equalWidths", 19, 8), "元/天": ("singleValues", 3, 3), None: ("tooFew", 1, 0)}
+    assert grouping.n_unsplit(d).first()[0] == 1
+
+
+def test_decoration_with_another_reference(spark):
+    pay = lambda amounts: records(spark, [{"city": "上海", "job_family": "f", "position": "p", "currency": "CNY", "salary_unit": "元/月", "salary_amount": x} for x in amounts])
+    got = benchmarks.decorate(pay([2.5, None]), pay([1.0, 2.0, 3.0, 4.0, 5.0])).orderBy(F.desc("salary_amount")).collect()
+    assert [(r.benchmark_n, r.benchmark_p50, r.percentile_rank, r.below_median) for r in got] == [(5, 3.0, 0.4, True), (5, 3.0, None, None)]
+    none = benchmarks.decorate(pay([2.5]), pay([]))
+    assert [(r.benchmark_n, r.benchmark_p50, r.percentile_rank, r.below_median) for r in none.collect()] == [(None, None, None, None)]
