@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,6 +97,14 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("fingerprint", make(F.coalesce(text, F.lit(""))))
 
 
+def _place(value: Column, cuts: list[int]) -> Column:
+    """How many of the ascending cuts are at most value: a binary search by halving steps, in built-in functions."""
+    bounds = F.split(F.lit(",".join(map(str, cuts))), ",").try_cast("array<bigint>")  # folded to one constant
+    steps = F.lit([1 << b for b in reversed(range(len(cuts).bit_length()))]) if cuts else F.array().cast("array<int>")
+    ahead = lambda at, step: F.coalesce(F.get(bounds, at + step - 1) <= value, F.lit(False))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(ahead(at, step), at + step).otherwise(at))
+
+
 def _in_blocks(docs: DataFrame, rows_a_block: int) -> DataFrame:
     """Documents dealt to blocks of neighbouring doc_ids, each with the next block's first document.
 
@@ -111,8 +119,7 @@ def _in_blocks(docs: DataFrame, rows_a_block: int) -> DataFrame:
     n = max(1, min(most, total // rows_a_block))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else None
     cuts = np.unique(np.array(cuts or [], np.int64))
-    block = F.pandas_udf(lambda s: pd.Series(np.searchsorted(cuts, s.to_numpy(np.int64), "right").astype(np.int32)), T.IntegerType())
-    blocked = docs.withColumn("block", F.when(F.col("doc_id").isNull(), 0).otherwise(block(F.coalesce("doc_id", F.lit(0)))))
+    blocked = docs.withColumn("block", F.when(F.col("doc_id").isNull(), 0).otherwise(_place(F.col("doc_id").cast("long"), cuts.tolist())))
     firsts = sorted(
         (r["block"], None if r["nulls"] else r["least"])
         for r in blocked.groupBy("block").agg(F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("nulls")).collect()
