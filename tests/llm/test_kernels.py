@@ -250,3 +250,10 @@ def test_dual_descent_reaches_the_optimum():
 
 def test_whole_words_have_shapes():
     assert quality.shape("a1!" * 30) == "a0!" * 30 and quality.shape("HTTPServer") == "AAaa"
+
+
+def test_blocks_by_binary_search(spark):
+    for cuts in ([], [5], [1, 4], list(range(-7, 300, 7))):
+        d = spark.range(-20, 320)
+        got = [r[0] for r in d.select(fingerprints._place(d["id"], cuts)).collect()]
+        assert got == np.searchsorted(np.array(cuts, np.int64), np.arange(-20, 320), "right").tolist()
