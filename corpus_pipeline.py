@@ -52,6 +52,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents into which no benchmark item leaks.
 
+    An item of fewer than eight words takes documents away only if less than one of a thousand holds it.
     Null and empty texts, and null items, hold nothing, so such documents stay.  All rows of a doc_id into one of
     whose texts an item leaks go.  An empty table, on either side, takes nothing away.
     """

@@ -17,7 +17,11 @@ case are found.  The result gives the kind of windows with the higher share,
 template windows if both have the same.
 
 Items of fewer than WINDOW words are one window of their length; template
-windows have MIN_TOKENS words at least.  Null and empty texts hold nothing.  Repeated rows of a
+windows have MIN_TOKENS words at least.  Such a short item is searched like
+others, but a match may be chance: its rows are marked `short`, and `bits` says
+how much a match tells, log2 of all rows of documents over those documents that
+hold the item.  Documents are taken out for a short item only if it has
+LEAST_BITS (it stands in less than one of a thousand).  Null and empty texts hold nothing.  Repeated rows of a
 document or an item give one result.  Rows with a null doc_id or item_id are
 compared like others.
 """
@@ -34,11 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from offersieve.llm.common import stored
+from offersieve.llm.common import fresh_names, stored
 from offersieve.llm.hashing import mix, series
 from offersieve.session import ship
 
-WINDOW, LITERALS, MIN_TOKENS, SHARE = 8, 5, 3, 0.4
+WINDOW, LITERALS, MIN_TOKENS, SHARE, LEAST_BITS = 8, 5, 3, 0.4, 10.0
 #: Window hashes that are sent to every task at most (32 MB); beyond, all windows go through the join.
 MAX_SENT = 4_000_000
 _REMEMBERED = 300_000
@@ -171,20 +175,20 @@ def _document_windows(docs: DataFrame, lengths: list[tuple[int, int]], wanted: n
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
-    """(doc_id, item_id, n_windows, n_matched, share, n_changed): items that leak into a document."""
+    """(doc_id, item_id, n_windows, n_matched, share, n_changed, short, bits): items that leak into a document."""
     spark = ship(docs.sparkSession)
     # Equal items are compared once.
     named = benchmark.select("item_id", "text").where("text is not null").withColumn("text_key", F.sha2("text", 256))
     texts = stored(named.groupBy("text_key").agg(F.first("text").alias("text")), "items")
     items = stored(_item_windows(texts.select(F.col("text_key").alias("item_id"), "text")), "item_windows")
-    totals = items.groupBy("item_id", "kind").agg(F.countDistinct("item_at").cast("long").alias("n_windows"))
+    totals = items.groupBy("item_id", "kind").agg(F.countDistinct("item_at").cast("long").alias("n_windows"), (F.max("n") < WINDOW).alias("short"))
     lengths = sorted((r[0], r[1]) for r in items.select("kind", "n").distinct().collect())
     hashes = items.select("window").distinct()
     wanted = np.array([r[0] for r in hashes.collect()], np.int64).view(np.uint64) if hashes.count() <= MAX_SENT else None
     if wanted is not None:
         wanted = np.sort(wanted)
     if not lengths:
-        return named.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "item_id", *[F.lit(0).cast(t).alias(c) for c, t in (("n_windows", "long"), ("n_matched", "long"), ("share", "double"), ("n_changed", "long"))]).where("false")
+        return named.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "item_id", *[F.lit(0).cast(t).alias(c) for c, t in (("n_windows", "long"), ("n_matched", "long"), ("share", "double"), ("n_changed", "long"), ("short", "boolean"), ("bits", "double"))]).where("false")
     found = _document_windows(docs, lengths, wanted)
     same = items.select("item_id", "item_at", "kind", "window", "item_values")
     joined = found.join(same, "window").where(F.size("doc_values") == F.size("item_values"))
@@ -198,13 +202,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     whole = matched.join(slots, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in run], "left").where(~F.coalesce("broken", F.lit(False)))
     pairs = whole.groupBy("doc_id", "item_id", "kind").agg(F.countDistinct("item_at").cast("long").alias("n_matched"), F.max(F.coalesce("changed", F.lit(0))).cast("long").alias("n_changed"))
     kept = pairs.join(totals, ["item_id", "kind"]).withColumn("share", F.col("n_matched") / F.col("n_windows")).where(F.col("share") >= share)
-    best = F.max(F.struct("share", -F.col("kind"), "n_windows", "n_matched", "n_changed")).alias("best")
-    kept = kept.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
+    best = F.max(F.struct("share", -F.col("kind"), "n_windows", "n_matched", "n_changed", "short")).alias("best")
+    kept = stored(kept.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*"), "leaks")
+    held = kept.groupBy("item_id").agg(F.count("*").alias("held"))
+    bits = F.log2(F.lit(float(max(1, docs.count()))) / F.col("held"))
+    kept = kept.join(held.select("item_id", F.greatest(bits, F.lit(0.0)).alias("bits")), "item_id")
     kept = kept.withColumnRenamed("item_id", "text_key").join(named.select("text_key", "item_id").distinct(), "text_key")
-    return kept.select("doc_id", "item_id", "n_windows", "n_matched", "share", "n_changed")
+    return kept.select("doc_id", "item_id", "n_windows", "n_matched", "share", "n_changed", "short", "bits")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
-    """The rows of docs into which no item leaks."""
-    bad = leaks(docs, benchmark, share).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(stored(bad, "leaking"), F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least_bits: float = LEAST_BITS) -> DataFrame:
+    """The rows of docs into which no item leaks; a short item must tell least_bits."""
+    (bad,) = fresh_names(docs, "bad")
+    found = leaks(docs, benchmark, share).where(~F.col("short") | (F.col("bits") >= least_bits)).select(F.col("doc_id").alias(bad)).distinct()
+    return docs.join(stored(found, "leaking"), F.col("doc_id").eqNullSafe(F.col(bad)), "left_anti")

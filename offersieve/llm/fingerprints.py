@@ -18,27 +18,34 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from offersieve.llm.hashing import mix, series, shingle_set
+from offersieve.llm.hashing import mix, shingle_set
 from offersieve.session import ship
 
 BINS, BITS = 512, 4
 #: Blocks of neighbouring doc_ids at most, as their bounds pass through the driver (1 GB a block at 100 TB).
 MAX_BLOCKS = 100_000
-_WALK = 4096
+#: Rows whose texts a worker holds as Python's at a time.
+PART = 64
+_WALK, _FIRST = 4096, 64
 _STEPS: np.ndarray | None = None
 
 
-def _steps() -> np.ndarray:
-    """The bins that an empty bin visits."""
+def _steps(empty: np.ndarray, at: int, n: int = 32) -> np.ndarray:
+    """The n bins from the at-th on that each empty bin visits; the first ones, which nearly always do, are kept."""
     global _STEPS
     if _STEPS is None:
-        _STEPS = (series(BINS * _WALK, 23) % np.uint64(BINS)).astype(np.int16).reshape(BINS, _WALK)
-    return _STEPS
+        _STEPS = _walk(np.arange(BINS), 0, _FIRST)
+    return _STEPS[empty, at : at + n] if at + n <= _FIRST else _walk(empty, at, n)
+
+
+def _walk(empty: np.ndarray, at: int, n: int) -> np.ndarray:
+    number = (empty[:, None] * _WALK + np.arange(at + 1, at + n + 1)).astype(np.uint64)
+    return (mix(number * np.uint64(0x9E3779B97F4A7C15) + np.uint64(23)) % np.uint64(BINS)).astype(np.int16)
 
 
 def bins(shingles: np.ndarray) -> np.ndarray | None:
@@ -52,13 +59,13 @@ def bins(shingles: np.ndarray) -> np.ndarray | None:
     filled = np.zeros(BINS, bool)
     filled[where] = True
     empty = np.flatnonzero(~filled)
-    at, steps = 0, _steps()
+    at = 0
     while len(empty):
         if at >= _WALK:  # practically unreachable: go on to the next filled bin
             full = np.flatnonzero(filled)
             least[empty] = least[full[np.searchsorted(full, empty) % len(full)]]
             break
-        seen = steps[empty, at : at + 32]
+        seen = _steps(empty, at)
         hit = filled[seen]
         first = hit.argmax(1)
         found = hit[np.arange(len(empty)), first]
@@ -140,21 +147,23 @@ def edited_fingerprints(docs: DataFrame, rows_a_block: int = 16) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     dealt = _in_blocks(docs, rows_a_block).repartition("block").sortWithinPartitions("block", "ahead", "doc_id", "text")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # (block, doc_id, text, fingerprint's bins)
-        for frame in frames:
-            out = []
-            for block, ahead, doc_id, text in zip(frame["block"], frame["ahead"], frame["doc_id"], frame["text"], strict=True):
-                own = bins(shingle_set(text)) if held is None or held[0] == block or not ahead else None
-                if held is not None and held[0] == block:
-                    _, before, body, low = held
-                    n = len(body)
-                    edited = body[: n - n // 4] + text[: n // 4]
-                    other = bins(shingle_set(edited))
-                    digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-                    out.append((before, n, digest, pack(low), pack(other), likeness(low, other), likeness(low, own)))
-                held = None if ahead else (block, doc_id, text, own)
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": frame["doc_id"].dtype}) if out else pd.DataFrame(columns=names)
+        for batch in batches:
+            for at in range(0, len(batch), PART):
+                part, out = batch.slice(at, PART), []
+                for block, ahead, doc_id, text in zip(*(part[c].to_pylist() for c in ("block", "ahead", "doc_id", "text")), strict=True):
+                    own = bins(shingle_set(text)) if held is None or held[0] == block or not ahead else None
+                    if held is not None and held[0] == block:
+                        _, before, body, low = held
+                        n = len(body)
+                        edited = body[: n - n // 4] + text[: n // 4]
+                        other = bins(shingle_set(edited))
+                        digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
+                        out.append((before, n, digest, pack(low), pack(other), likeness(low, other), likeness(low, own)))
+                    held = None if ahead else (block, doc_id, text, own)
+                kinds = (part.schema.field("doc_id").type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [()] * 7, kinds, strict=True)], names)
 
     fields = [
         T.StructField("doc_id", id_type.dataType), T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()),
@@ -162,4 +171,4 @@ def edited_fingerprints(docs: DataFrame, rows_a_block: int = 16) -> DataFrame:
         T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType()),
     ]
     names = [f.name for f in fields]
-    return dealt.select("block", "ahead", "doc_id", "text").mapInPandas(run, T.StructType(fields))
+    return dealt.select("block", "ahead", "doc_id", "text").mapInArrow(run, T.StructType(fields))

@@ -269,6 +269,71 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.leaks(empty, benchmark).count() == 0 and decontaminate.leaks(docs, benchmark.where("false")).count() == 0
 
 
+def test_short_items_take_no_corpus_away(spark):
+    rows = [(i, f"{'Yes' if i % 3 else 'no'} {prose(i, 12)}{' six rare words of one puzzle' if i == 7 else ''}", 1) for i in range(2100)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _bad int")
+    items = spark.createDataFrame([(1, "Yes"), (2, "six rare words of one puzzle"), (3, "of")], "item_id long, text string")
+    found = decontaminate.leaks(d, items)
+    assert {(r.item_id, r.short) for r in found.select("item_id", "short").distinct().collect()} == {(1, True), (2, True), (3, True)}
+    assert found.where("item_id = 1").count() == 1400 and found.where("item_id = 2").first().bits == np.log2(2100)
+    kept = decontaminate.decontaminated(d, items)
+    assert kept.columns == d.columns and kept.count() == 2099 and kept.where("doc_id = 7").count() == 0
+    assert decontaminate.decontaminated(d, items, least_bits=0.5).where("doc_id % 3 > 0").count() == 0
+
+
+def brute_leaks(rows, items):
+    """Leaks by comparing every window with every window."""
+    def words(t):
+        out = []
+        for w in (t or "").split():
+            body = w.strip("\"'“”‘’«»()[]{}<>.,;:!?…*#$&%=_|~`^-–—¿¡") or w
+            kind = "number" if re.fullmatch(r"[+-]?\d[\d.,:/\-]*%?", body) else "quantity" if re.fullmatch(r"[+-]?\d[\d.,]*[A-Za-zµ°]{1,4}", body) else "name" if body[0].isupper() and (len(body) == 1 or body[1:].islower()) else ""
+            if not kind and body.lower() in decontaminate.UNITS and out and out[-1][0] == "number":
+                kind = "unit"
+            out.append((kind, w, body))
+        return out
+
+    def leaking(item, doc):
+        n, shares = min(8, len(item)), []
+        for key, plain in ((lambda w: w[0] or w[2].lower(), True), (lambda w: w[2].casefold(), False)):
+            spots = [a for a in range(len(item) - n + 1) if n and (not plain or n >= 3 and sum(not w[0] for w in item[a : a + n]) >= min(5, n))]
+            runs = {}
+            for a in spots:
+                for b in range(len(doc) - n + 1):
+                    if [key(w) for w in item[a : a + n]] == [key(w) for w in doc[b : b + n]]:
+                        runs.setdefault(b - a, []).append(a)
+            good = set()
+            for offset, at in runs.items():
+                slots = {}
+                for a in at:
+                    for j in range(a, a + n):
+                        if plain and item[j][0]:
+                            slots.setdefault(item[j][1], set()).add(doc[j + offset][1])
+                if all(len(v) == 1 for v in slots.values()):
+                    good.update(at)
+            shares += [len(good) / len(spots)] if spots else []
+        return any(s >= 0.4 for s in shares)
+
+    return {(i, j) for i, t in rows for j, u in items if u and leaking(words(u), words(t))}
+
+
+def test_leaks_by_brute_force(spark):
+    rng = np.random.default_rng(4)
+    frames = ["Anna has {} apples and gives Bob {} kg of them for the old red market", "The train leaves at {} and runs {} miles to Rome, where Anna waits for it all day", "Which of the {} small words stands here"]
+    items = [(i, frames[i % 3].format(i, i * 7)) for i in range(9)] + [(20, "short one"), (21, "Yes"), (22, None), (23, ""), (24, "12 13 14 15 16 17 18 19 20")]
+    rows = []
+    for i in range(60):
+        parts = [prose(i, 6)]
+        if i % 2:
+            t = frames[i % 3].format(rng.integers(0, 9), rng.integers(0, 90)).replace("Anna", str(rng.choice(["Anna", "Eve"])))
+            parts += [t if rng.random() < 0.5 else " ".join(t.split()[: rng.integers(3, 20)]), "Yes." if i % 5 == 0 else "a short one"]
+        rows.append((i, " ".join([*parts, prose(90 + i, 4)])))
+    rows += [(100, None), (101, ""), (102, "Yes"), (103, "12 13 14 15 16 17 18 19 20")]
+    found = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = brute_leaks(rows, items)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want and len({j for _, j in want}) >= 11
+
+
 def test_inconsistent_slots_are_no_leak(spark):
     item = "Then Anna gave the red ball to Anna who took the ball from Anna again while they stood there"
     benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
