@@ -13,7 +13,7 @@ from offersieve.functions.dates import expected_internship_days, month_range, pa
 from offersieve.functions.text import cell_text, display_id, looks_like_identifier, safe_cell
 from offersieve.operators import benchmarks, cleaning, compensation, duplicates, grouping, mapping, metrics, quality, rejection
 from offersieve.operators.filters import Filters, apply_filters, filter_counters, retained
-from offersieve.plans import privacy, report
+from offersieve.plans import linked, privacy, report, scan, summary
 from offersieve.schema import DIMENSIONS, MODULES, OFFER_STATUSES, REASON_CATEGORIES, REASON_WORDS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -444,20 +444,34 @@ _register(
     _sql(f"""SELECT dimension, CASE WHEN rank <= 3 THEN key ELSE '其他' END AS key, {", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in "NJPARD")}
  FROM (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY D DESC, N DESC, key) AS rank FROM ({_CELLS_SQL})) GROUP BY 1, 2"""),
 )
+_SENTINELS_SQL = """SELECT DISTINCT 'recruiter' AS field, recruiter AS value FROM offers WHERE length(recruiter) > 1 UNION SELECT DISTINCT 'school', school FROM offers WHERE length(school) > 1
+ UNION SELECT DISTINCT 'requirement_id', requirement_id FROM offers WHERE length(requirement_id) > 1"""
+_register("sentinels", privacy.collect_sentinels, _sql(_SENTINELS_SQL))
 _register(
-    "sentinels",
-    lambda d: privacy.collect_sentinels(d),
-    _sql("SELECT field, value FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY value) AS rank FROM (SELECT DISTINCT 'recruiter' AS field, recruiter AS value FROM offers UNION SELECT DISTINCT 'school', school FROM offers UNION SELECT DISTINCT 'requirement_id', requirement_id FROM offers) WHERE length(value) > 1) WHERE rank <= 200"),
+    "first_sentinels",
+    lambda d: privacy.first_sentinels(privacy.collect_sentinels(d), 50),
+    _sql(f"SELECT field, value, n_values FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY value) AS rank, count(*) OVER (PARTITION BY field) AS n_values FROM ({_SENTINELS_SQL})) WHERE rank <= 50"),
 )
 
 
+def _sentinel_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scanned for the opening of every document: 24 letters, without case and white space around."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return scan.sentinel_counts(docs.select("doc_id", "text"), docs.select(F.substring("text", 1, 24).alias("value"))).drop("text")
+
+
+QUERIES["sentinel_scan"] = _sentinel_scan
+ORACLE_SQL["sentinel_scan"] = """WITH s AS (SELECT DISTINCT lower(trim(substr(text, 1, 24), ' ')) AS s FROM documents)
+ SELECT d.doc_id, count(s) AS n_sentinels FROM documents d LEFT JOIN s ON s <> '' AND contains(lower(text), s) GROUP BY d.doc_id"""
+
+
 def _sentinel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = spark.createDataFrame([("The And",), ("zzzz",), ("nichT",)], "value string")
-    return privacy.rows_with_sentinels(spark.read.parquet(f"{sf_dir}/documents.parquet"), words).select("doc_id")
+    return scan.rows_with_sentinels(spark.read.parquet(f"{sf_dir}/documents.parquet"), words).select("doc_id")
 
 
-QUERIES["sentinel_scan"] = _sentinel_rows
-ORACLE_SQL["sentinel_scan"] = "SELECT doc_id FROM documents WHERE contains(lower(text), 'the and') OR contains(lower(text), 'zzzz') OR contains(lower(text), 'nicht')"
+QUERIES["sentinel_rows"] = _sentinel_rows
+ORACLE_SQL["sentinel_rows"] = "SELECT doc_id FROM documents WHERE contains(lower(text), 'the and') OR contains(lower(text), 'zzzz') OR contains(lower(text), 'nicht')"
 _register(
     "chart_series",
     lambda d: report.chart_series(privacy.dimension_table(d, "channel"), "渠道"),
@@ -679,3 +693,37 @@ def _corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["manual_corrections"] = _corrected
 ORACLE_SQL["manual_corrections"] = """SELECT CASE WHEN k % 23 <= 1 THEN '上海' ELSE '广州' END AS city, CASE WHEN k % 23 = 0 THEN NULL WHEN k % 5 = 0 THEN 2027 WHEN k % 5 = 1 THEN 2026 END AS graduation_year,
  CASE k % 23 WHEN 0 THEN 'city,graduationYear' WHEN 1 THEN 'city' END AS changed, count(*) AS n FROM (SELECT o_orderkey AS k FROM orders) GROUP BY 1, 2, 3"""
+
+
+# ------------------------------------------------------------------ the analysis summary
+_LONG = " UNION ALL ".join(f"SELECT '{n}' AS dimension, {_LABELS.get(n, f"coalesce({n}, '未知')")} AS key, offer_status, {_ACTUAL} AS days FROM offers" for n in DIMENSIONS)
+_TABLES_SQL = f"SELECT dimension, key, count(*) AS N, {_n(_CORE)} AS D, {_n(_REJ)} AS R, {_n(_REJ)} AS n_rejected_group, {_n(_J)} AS n_joined_group, {_n(f'{_REJ} OR {_J}')} AS n_compared, count(days) AS cycle_n, quantile_cont(days, 0.5) AS cycle_median FROM ({_LONG}) GROUP BY 1, 2"
+_PROFILE_SQL = f"""SELECT dimension, key, n_rejected_group, n_joined_group, round(rs, 6) AS rejected_share, round(js, 6) AS joined_share, round(100 * (rs - js), 6) AS contrast, n_rejected_group + n_joined_group >= 5 AS usable
+ FROM (SELECT *, n_rejected_group::DOUBLE / all_rejected AS rs, n_joined_group::DOUBLE / all_joined AS js FROM ({_TABLES_SQL}), (SELECT {_n(_REJ)} AS all_rejected, {_n(_J)} AS all_joined FROM offers) WHERE n_compared > 0)"""
+_register("summary_tables", lambda d: summary.dimension_tables(d, edges=EDGES), _sql(_TABLES_SQL))
+_register("rejection_profile", lambda d: summary.rejection_profile(d, edges=EDGES), _sql(_PROFILE_SQL))
+
+
+def _pairs(section: str, source: str, *measures: str, keys: str = "NULL AS dimension, NULL AS key") -> str:
+    """Columns of a query as rows: names may stand for expressions (`name=expression`)."""
+    split = [m.split("=", 1) if "=" in m else (m, m) for m in measures]
+    return " UNION ALL ".join(f"SELECT '{section}' AS section, {keys}, '{name}' AS measure, round(({value})::DOUBLE, 6) AS value FROM ({source})" for name, value in split)
+
+
+_ONE = f"SELECT {BUNDLE_SQL}, {_n(f'{_ACTUAL} > 180')} AS too_long, {_n('salary_amount IS NULL')} AS missing_salary, {_n('school IS NULL')} AS unknown_school FROM offers"
+_REASON_SQL = f"SELECT category, count(o.k) AS n FROM (VALUES {', '.join(f"('{c}')" for c in REASON_CATEGORIES)}) c(category) LEFT JOIN (SELECT record_id AS k, CASE WHEN rejection_reason IS NULL THEN '未填写' WHEN rejection_reason = '薪 资' THEN '{REASON_WORDS['薪资']}' WHEN rejection_reason = '其他Offer' THEN '{REASON_WORDS['其他offer']}' ELSE '未分类' END AS found FROM offers WHERE {_REJ}) o ON found = category GROUP BY 1"
+_register(
+    "analysis_summary",
+    lambda d: summary.analysis_summary(d, edges=EDGES),
+    _sql(" UNION ALL ".join((
+        _pairs("kpi", _ONE, "N=n_total", "J=n_joined", "P=n_pending", "A=n_approving", "R1=n_rejected_offer", "R2=n_rejected_verbally", "R=n_rejected", "D=n_core", "U=n_unknown + n_other"),
+        _pairs("rejection", _ONE, "excluded=n_pending + n_approving + n_other + n_unknown"),
+        _pairs("cycle", _ONE, "actual_n", "actual_mean", "actual_median", "actual_p75", "planned_n", "planned_median", "too_long"),
+        _pairs("quality", _ONE, "unknown_status=n_unknown", "missing_salary", "unknown_school", "cycle_missing=n_total - actual_n"),
+        _pairs("dimension", _TABLES_SQL, "N", "D", "R", "n_compared", "cycle_n", "cycle_median", keys="dimension, key"),
+        _pairs("profile", f"SELECT * FROM ({_PROFILE_SQL}) WHERE usable", "n_rejected_group", "n_joined_group", "contrast", keys="dimension, key"),
+        _pairs("reasons", _REASON_SQL, "count=n", "unfilled=CASE WHEN category = '未填写' THEN 1 ELSE 0 END", keys="NULL AS dimension, category AS key"),
+    ))),
+)
+_register("linked_cross_table", lambda d: linked.linked_table(d, "position", "city", least=40))
+_register("linked_table", lambda d: linked.linked_table(d, "school", least=700))

@@ -2,18 +2,18 @@
 
 Raw rows: (file, sheet, source_row, cells array<string>, numbers array<double>, empty, hidden, notes).
 source_row is the physical line or spreadsheet row, blank rows included; numbers holds the
-value of numeric spreadsheet cells.  A file is one task: quoted line feeds and zipped sheets
-can't be split.
+value of numeric spreadsheet cells.  Delimited files are split among tasks; a workbook is one
+task, since its sheets are zipped.
 """
 
 from __future__ import annotations
 
-import csv
 import io
+import itertools
 import re
 import zipfile
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from offersieve.functions.text import is_blank
 from offersieve.schema import STANDARD_HEADERS, TEMPLATE_SAMPLE
 from offersieve.session import ship
-from offersieve.sources import sniff
+from offersieve.sources import delimited, sniff
 
-RAW = "file string, sheet string, source_row int, cells array<string>, numbers array<double>, hidden boolean, notes array<string>"
+RAW = delimited.RAW
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
@@ -38,33 +38,18 @@ class Sheet:
     headers: tuple[str, ...]
     header_row: int
     date1904: bool | None = None
+    #: Of a workbook: (file, sheet, hidden columns), and (file, code, sheet, message) of its sheets.
+    hidden_columns: DataFrame | None = None
+    issues: DataFrame | None = None
 
 
 def parse_delimited(text: str, delimiter: str) -> Iterator[tuple[int, list[str | None], list[str]]]:
-    """(physical line of a record's start, cells, notes); one trailing blank record is left out."""
-    csv.field_size_limit(sniff.MAX_CELL)
-    reader = csv.reader(io.StringIO(text, newline=""), delimiter=delimiter)
-    start = 1
-    for record in reader:
-        line, start = start, reader.line_num + 1
-        cells = [c or None for c in record]
-        odd = any(c and c.count('"') % 2 for c in record)
-        yield line, cells or [None], ["QUOTE_MISMATCH"] if odd else []
-
-
-def read_delimited(spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None) -> DataFrame:
-    """Raw rows of delimited files; encoding and delimiter are found out where not given."""
-    ship(spark)
+    """(physical line of a record's start, cells, notes)."""
+    for line, cells, kinds in delimited.records(text, delimiter):
+        yield line, cells, delimited.note(kinds)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path_, data in zip(frame["path"], frame["content"], strict=True):
-                text, _ = sniff.decode(data, encoding or sniff.detect_encoding(data).encoding)
-                sep = delimiter or sniff.detect_delimiter(text) or sniff.default_delimiter(path_[path_.rfind(".") :].lower())
-                rows = [(path_, "", n, cells, [None] * len(cells), False, notes) for n, cells, notes in parse_delimited(text, sep)]
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in RAW.split(", ")])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, RAW)
+read_delimited = delimited.read_delimited
 
 
 def read_pasted(spark: SparkSession, text: str, delimiter: str | None = None) -> DataFrame:
@@ -76,21 +61,39 @@ def read_pasted(spark: SparkSession, text: str, delimiter: str | None = None) ->
 
 
 # ---------------------------------------------------------------- spreadsheets
-def workbook(data: bytes) -> tuple[list[tuple[str, str, bool]], bool, list[str]]:
-    """(name, part, hidden) of each sheet, the 1904 flag, and the shared strings."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        book = ElementTree.fromstring(z.read("xl/workbook.xml"))
-        links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        props = book.find(f"{_NS}workbookPr")
-        sheets = []
-        for s in book.iter(f"{_NS}sheet"):
-            target = links[s.get(_REL)].lstrip("/")
-            sheets.append((s.get("name"), target if target.startswith("xl/") else f"xl/{target}", s.get("state", "visible") != "visible"))
-        strings = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            for item in ElementTree.fromstring(z.read("xl/sharedStrings.xml")):
-                strings.append("".join(t.text or "" for t in item.iter(f"{_NS}t")))
-    return sheets, props is not None and props.get("date1904") in ("1", "true"), strings
+def _pulled(z: zipfile.ZipFile, part: str, *wanted: str) -> Iterator[ElementTree.Element]:
+    """Elements of some names, one after another as they end; each is gone when the next one comes."""
+    above = []
+    with z.open(part) as stream:
+        for event, e in ElementTree.iterparse(stream, ("start", "end")):
+            if event == "start":
+                above.append(e)
+                continue
+            above.pop()
+            if e.tag.removeprefix(_NS) in wanted:
+                yield e
+                e.clear()
+                if above:
+                    above[-1].remove(e)
+
+
+def workbook(z: zipfile.ZipFile) -> tuple[list[tuple[str, str, bool]], bool]:
+    """(name, part, hidden) of each sheet, and the 1904 flag."""
+    book = ElementTree.fromstring(z.read("xl/workbook.xml"))
+    links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+    props = book.find(f"{_NS}workbookPr")
+    sheets = []
+    for s in book.iter(f"{_NS}sheet"):
+        target = links[s.get(_REL)].lstrip("/")
+        sheets.append((s.get("name"), target if target.startswith("xl/") else f"xl/{target}", s.get("state", "visible") != "visible"))
+    return sheets, props is not None and props.get("date1904") in ("1", "true")
+
+
+def shared_strings(z: zipfile.ZipFile) -> list[str]:
+    """Cells speak of these by number, so all are kept; they are the one part of a workbook that is."""
+    if "xl/sharedStrings.xml" not in z.namelist():
+        return []
+    return ["".join(t.text or "" for t in item.iter(f"{_NS}t")) for item in _pulled(z, "xl/sharedStrings.xml", "si")]
 
 
 def _column(ref: str) -> int:
@@ -100,24 +103,93 @@ def _column(ref: str) -> int:
     return n - 1
 
 
-def sheet_rows(data: bytes, part: str, strings: list[str]) -> Iterator[tuple[int, list, list, bool, list[str]]]:
-    """(row, cells, numbers, hidden, notes); gaps between rows are blank rows."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        root = ElementTree.fromstring(z.read(part))
+@dataclass
+class Extent:
+    """The rectangle of a sheet's cells (rows from 1, columns from 0), its hidden columns as intervals, and counts."""
+
+    first_row: int = 0
+    last_row: int = 0
+    first_column: int = 0
+    last_column: int = -1
+    hidden_intervals: tuple[tuple[int, int], ...] = ()
+    n_hidden_rows: int = 0
+    empty: bool = True
+
+    @property
+    def n_rows(self) -> int:
+        return self.last_row - self.first_row + 1 if self.first_row else 0
+
+    @property
+    def n_columns(self) -> int:
+        return self.last_column - self.first_column + 1
+
+    def hidden_columns(self) -> list[int]:
+        """Numbers of hidden columns among the sheet's own, from 0."""
+        inside = [(max(a, self.first_column), min(b, self.last_column)) for a, b in self.hidden_intervals]
+        return [c - self.first_column for a, b in inside for c in range(a, b + 1)]
+
+
+def merged(intervals: list[tuple[int, int]]) -> tuple[tuple[int, int], ...]:
+    """Closed intervals as the fewest disjoint ones, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(intervals):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return tuple(out)
+
+
+def _cells(row: ElementTree.Element) -> Iterator[tuple[int, ElementTree.Element]]:
+    at = -1
+    for c in row.iter(f"{_NS}c"):
+        at = _column(c.get("r")) if c.get("r") else at + 1
+        yield at, c
+
+
+def extent(z: zipfile.ZipFile, part: str) -> Extent:
+    """One pass over a sheet, a row at a time. Cells without a value or formula (styles alone) don't count."""
+    out, hidden, last = Extent(), [], 0
+    for e in _pulled(z, part, "col", "row"):
+        if e.tag == f"{_NS}col":
+            if e.get("hidden") in ("1", "true"):
+                hidden.append((int(e.get("min")) - 1, int(e.get("max")) - 1))
+            continue
+        last = int(e.get("r", last + 1))
+        columns = [i for i, c in _cells(e) if len(c)]
+        if not columns:
+            continue
+        if not out.first_row:
+            out.first_row, out.first_column = last, columns[0]
+        out.last_row = last
+        out.first_column, out.last_column = min(out.first_column, *columns), max(out.last_column, *columns)
+        out.n_hidden_rows += e.get("hidden") in ("1", "true")
+        out.empty = out.empty and not any((c.findtext(f"{_NS}v") or "") != "" or c.get("t") == "inlineStr" and "".join(t.text or "" for t in c.iter(f"{_NS}t")) for _, c in _cells(e))
+    out.hidden_intervals = merged(hidden)
+    return out
+
+
+def sheet_rows(z: zipfile.ZipFile, part: str, strings: list[str], within: Extent) -> Iterator[tuple[int, list, list, bool, list[str]]]:
+    """(row, cells, numbers, hidden, notes) of a sheet's rectangle, a row at a time; gaps between rows are blank rows."""
     last = 0
-    for row in root.iter(f"{_NS}row"):
-        at = int(row.get("r", last + 1))
-        for gap in range(last + 1, at):
-            if last:
-                yield gap, [None], [None], False, []
+    for row in _pulled(z, part, "row"):
+        at, last = int(row.get("r", last + 1)), int(row.get("r", last + 1))
+        if not within.first_row <= at <= within.last_row:
+            continue
+        if at == within.first_row:
+            due = at
+        for gap in range(due, at):
+            yield gap, [None], [None], False, []
+        due = at + 1
         cells, numbers, notes = [], [], []
-        for c in row.iter(f"{_NS}c"):
-            i = _column(c.get("r")) if c.get("r") else len(cells)
+        for column, c in _cells(row):
+            i = column - within.first_column
+            if i < 0 or column > within.last_column:
+                continue
             while len(cells) <= i:
                 cells.append(None)
                 numbers.append(None)
-            kind, value = c.get("t", "n"), c.find(f"{_NS}v")
-            text = value.text if value is not None else None
+            kind, text = c.get("t", "n"), c.findtext(f"{_NS}v")
             if kind == "inlineStr":
                 cells[i] = "".join(t.text or "" for t in c.iter(f"{_NS}t")) or None
             elif text is None:
@@ -132,45 +204,64 @@ def sheet_rows(data: bytes, part: str, strings: list[str]) -> Iterator[tuple[int
             else:  # text of formulas, errors
                 cells[i] = text
         yield at, cells or [None], numbers or [None], row.get("hidden") in ("1", "true"), notes
-        last = at
 
 
-def read_workbook(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """Raw rows of one sheet of each workbook: the named one, else the first that is not empty."""
+def _workbooks(spark: SparkSession, path: str, each, schema: str) -> DataFrame:
+    """What `each` gives for (path, opened zip), row by row, in batches of a thousand; a workbook is one task."""
     ship(spark)
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path_, data in zip(frame["path"], frame["content"], strict=True):
-                sheets, _, strings = workbook(data)
-                for name, part, _hidden in sheets:
-                    if sheet is not None and name != sheet:
-                        continue
-                    rows = [(path_, name, *r) for r in sheet_rows(data, part, strings)]
-                    if rows or sheet is not None:
-                        yield pd.DataFrame(rows, columns=[c.split()[0] for c in RAW.split(", ")])
-                        break
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    rows = each(path_, z)
+                    while part := list(itertools.islice(rows, 1000)):
+                        yield pd.DataFrame(part, columns=names)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+
+
+def read_workbook(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """Raw rows of one sheet of each workbook: the named one, else the first that is not empty."""
+
+    def each(path_: str, z: zipfile.ZipFile) -> Iterator[tuple]:
+        strings = None
+        for name, part, _ in workbook(z)[0]:
+            if sheet is not None and name != sheet:
+                continue
+            within = extent(z, part)
+            if within.empty and sheet is None:
+                continue
+            strings = shared_strings(z)
+            for r in sheet_rows(z, part, strings, within):
+                yield (path_, name, *r)
+            return
+
+    return _workbooks(spark, path, each, RAW)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, RAW)
+
+_CATALOGUE = "file string, position int, sheet string, hidden boolean, n_rows int, n_columns int, n_hidden_rows int, hidden_columns array<int>, first_row int, empty boolean, date1904 boolean"
 
 
 def catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """(file, sheet, hidden, n_rows, n_columns, empty, date1904) of every sheet."""
-    ship(spark)
-    schema = "file string, sheet string, hidden boolean, n_rows int, n_columns int, empty boolean, date1904 boolean"
+    """A row for each sheet: where it stands, its size, hidden rows and columns (numbers among its own), and whether it is empty."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path_, data in zip(frame["path"], frame["content"], strict=True):
-                sheets, d1904, strings = workbook(data)
-                out = []
-                for name, part, hidden in sheets:
-                    rows = list(sheet_rows(data, part, strings))
-                    width = max((len(r[1]) for r in rows), default=0)
-                    out.append((path_, name, hidden, len(rows), width, not any(v for r in rows for v in r[1]), d1904))
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+    def each(path_: str, z: zipfile.ZipFile) -> Iterator[tuple]:
+        sheets, d1904 = workbook(z)
+        for i, (name, part, hidden) in enumerate(sheets):
+            e = extent(z, part)
+            yield path_, i, name, hidden, e.n_rows, e.n_columns, e.n_hidden_rows, e.hidden_columns(), e.first_row, e.empty, d1904
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+    return _workbooks(spark, path, each, _CATALOGUE)
+
+
+def sheet_issues(sheets: DataFrame, sheet: str | None = None) -> DataFrame:
+    """(file, code, sheet, message) of empty sheets in a catalogue, the chosen one with a message of its own."""
+    name = F.col("sheet")
+    chosen = F.coalesce(name == F.lit(sheet), F.lit(False))
+    message = F.when(chosen, F.concat(F.lit("选中的工作表「"), name, F.lit("」是空的"))).otherwise(F.concat(F.lit("空工作表「"), name, F.lit("」未读取")))
+    return sheets.where("empty").select("file", F.lit("EMPTY_SHEET_SKIPPED").alias("code"), "sheet", message.alias("message"))
 
 
 # ---------------------------------------------------------------- shaping
@@ -225,8 +316,14 @@ def read_offers(spark: SparkSession, path: str, encoding: str | None = None, del
     if len(kinds) > 1:
         raise ValueError("MIXED_FILE_TYPES: " + ", ".join(sorted(kinds)))
     if kinds[0] == "xlsx":
-        d1904 = catalogue(spark, path).first()["date1904"]
-        return shape(read_workbook(spark, path, sheet), header_row, d1904, limits=True)
+        sheets = catalogue(spark, path)
+        if sheet is not None and not sheets.where(F.col("sheet") == sheet).limit(1).count():
+            raise ValueError(f"no sheet {sheet}")
+        shaped = shape(read_workbook(spark, path, sheet), header_row, sheets.first()["date1904"], limits=True)
+        # The sheet that was read: the named one, else each workbook's first that is not empty.
+        own = sheets.where(F.col("sheet") == sheet if sheet is not None else ~F.col("empty"))
+        first = own.groupBy("file").agg(F.min_by(F.struct("sheet", "hidden_columns"), "position").alias("s")).select("file", "s.*")
+        return replace(shaped, hidden_columns=first, issues=sheet_issues(sheets, sheet))
     if kinds[0] != "delimited":
         raise ValueError(f"UNSUPPORTED_FILE_TYPE: {kinds[0]}")
     return shape(read_delimited(spark, path, encoding, delimiter), header_row, limits=True)

@@ -2,13 +2,15 @@
 
 import datetime as dt
 import json
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from offersieve.operators import metrics, rejection
-from offersieve.plans import privacy, report
+from offersieve.plans import privacy, report, scan
 from offersieve.schema import RECORD
 from offersieve.streaming.live import live_counts
 from tests.test_analytics import records
@@ -66,6 +68,9 @@ def test_report_gate_and_sinks(spark):
 def test_scan_and_payload(spark):
     keys, hits = privacy.scan({"a": [{"candidate_name": "x", "note": "见 ABC 文"}], "房补": 1}, ["abc"])
     assert keys == ["a[0].candidate_name", "房补"] and hits == ["a[0].note"]
+    deep = {"cells": [{"rows": 1}], "rejectionReasons": [], "deep": {"cells": [], "x": [{"rejectionReasons": "R"}]}}
+    assert privacy.scan(deep)[0] == ["cells", "cells[0].rows", "deep.cells", "deep.x[0].rejectionReasons", "rejectionReasons"]
+    assert privacy.scan(deep, exempt=privacy.PAYLOAD_PATHS)[0] == ["cells[0].rows", "deep.cells", "deep.x[0].rejectionReasons"]
     assert privacy.forbidden_names("thecandidatenamefield") and not privacy.forbidden_names("city")
     d = groups(spark, {"上海": 20, "广州": 12, "R-1": 9, "小": 2})
     cells = privacy.summary_cells(d)
@@ -140,7 +145,7 @@ def test_payload_drops_parts_in_order(spark):
     size = len(json.dumps(whole, ensure_ascii=False).encode())
     assert whole["omitted"] == [] and len(whole["cells"]) == 20
     less = privacy.payload(cells, reasons, budget=size - 1)
-    assert less["omitted"] == ["cycle_band"] and len(less["cells"]) == 15 and less["rejectionReasons"]
+    assert less["omitted"] == [privacy.DROPPED[0]] and len(less["cells"]) == 15 and less["rejectionReasons"]
     none = privacy.payload(cells, reasons, budget=1)
     assert none["cells"] == [] and none["omitted"] == list(privacy.DROPPED)
 
@@ -156,3 +161,28 @@ def test_advice_by_level(spark):
     assert told(["insufficient", "insufficient", "insufficient", "observed"]) == ["lowPay", "longWaiting"]
     assert told(["insufficient"] * 4, n_rejected=0, fill_rate=None, n_total=0) == ["smallSample"]
     assert told(["none"] * 4, fill_rate=0.1, n_unclassified=3, n_approving=20, n_waiting_too_long=1) == ["reasonMissing", "approvalBacklog", "longWaiting"]
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 300])
+def test_sentinels_are_found_as_a_loop_finds_them(spark, block_bytes):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abAB é"), rng.integers(1, 7))) for _ in range(120)] + [None, "", "  ", "ab", " AB ", "É"]
+    texts = [(i, "".join(rng.choice(list("abAB éx"), rng.integers(0, 60))), "s") for i in range(80)] + [(1, None, "s"), (1, "", "s"), (2, "ab" * 50_000, "s"), (2, "ab" * 50_000, "s")]
+    frame = spark.createDataFrame(texts, "id int, text string, sentinel string").repartition(5)
+    values = spark.createDataFrame([(w,) for w in words], "value string")
+    clean = {w.strip(" ").lower() for w in words if w} - {""}
+    want = Counter((i, sum(w in (t or "").lower() for w in clean)) for i, t, _ in texts)
+    assert Counter((r.id, r.n_sentinels) for r in scan.sentinel_counts(frame, values, block_bytes=block_bytes).collect()) == want
+    rows = scan.rows_with_sentinels(frame, values, block_bytes=block_bytes)
+    assert rows.columns == frame.columns and rows.count() == sum(n for (_, k), n in want.items() if k)
+    hits = scan.sentinel_hits(frame.drop("sentinel"), values, block_bytes=block_bytes)
+    assert Counter((r.id, r.sentinel) for r in hits.collect()) == Counter((i, w) for i, t, _ in texts for w in clean if w in (t or "").lower())
+    assert scan.sentinel_counts(frame, values.where("false")).where("n_sentinels > 0").count() == 0 and scan.sentinel_hits(frame, values.where("false")).count() == 0
+
+
+def test_many_sentinels_need_no_nested_loop(spark):
+    values = spark.range(100_000).select(F.concat(F.lit("Person "), F.col("id").cast("string"), F.lit("!")).alias("value"))
+    texts = spark.range(0, 300_000, 1000).select("id", F.concat(F.lit("seen: person "), F.col("id").cast("string"), F.lit("!")).alias("text"))
+    rows = scan.rows_with_sentinels(texts, values)
+    assert {r.id for r in rows.collect()} == set(range(0, 100_000, 1000))
+    assert "NestedLoop" not in rows._jdf.queryExecution().toString()
