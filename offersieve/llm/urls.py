@@ -53,7 +53,8 @@ def _ruled(urls: DataFrame, rules: DataFrame) -> DataFrame:
     # Longest first; of equal rules block.
     table = rules.where("verdict is not null and host is not null and path is not null").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     table = table.select(F.col("host").alias("at"), F.struct((-F.length(name)).alias("order"), name.alias("rule"), "path", "verdict").alias("rule"))
-    fitting = hosts.join(table, "at").groupBy("host").agg(F.sort_array(F.collect_list("rule")).alias("_rules"))
+    # Written, so that the join's sides are plain and Spark can split the pages of a host that has very many.
+    fitting = stored(hosts.join(table, "at").groupBy("host").agg(F.sort_array(F.collect_list("rule")).alias("_rules")), "fitting")
     first = F.get(F.filter("_rules", lambda r: F.startswith(F.col("path"), r["path"])), F.lit(0))
     return urls.join(fitting, "host", "left").withColumn("_first", first).withColumns({"rule": F.col("_first.rule"), "verdict": F.col("_first.verdict")}).drop("_rules", "_first")
 
@@ -101,6 +102,7 @@ def judged(pages: DataFrame, rules: DataFrame) -> DataFrame:
     seeds = hosts.select("host", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("mass")) for k in ("trust", "distrust")]))).where("mass > 0")
     scores = propagate(host_links(pages), seeds)
     by_host = scores.groupBy("host").agg(*[F.round(F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)), 9).alias(k) for k in ("trust", "distrust")])
+    by_host = stored(by_host, "by_host")
     trust, distrust = (F.coalesce(k, F.lit(0.0)) for k in ("trust", "distrust"))
     method = F.when(distrust > trust, "block").otherwise("allow")
     return urls.join(by_host, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", method).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
