@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,10 @@ from offersieve.functions.dates import expected_internship_days, month_range, pa
 from offersieve.functions.text import cell_text, display_id, looks_like_identifier, safe_cell
 from offersieve.operators import benchmarks, cleaning, compensation, duplicates, grouping, mapping, metrics, quality, rejection
 from offersieve.operators.filters import Filters, apply_filters, filter_counters, retained
-from offersieve.plans import linked, privacy, report, scan, summary
+from offersieve.plans import digests, linked, privacy, report, scan, summary
 from offersieve.schema import DIMENSIONS, MODULES, OFFER_STATUSES, REASON_CATEGORIES, REASON_WORDS
+from offersieve.sources import vault, versions
+from offersieve.tables import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = "2001-09-01"
@@ -727,3 +730,40 @@ _register(
 )
 _register("linked_cross_table", lambda d: linked.linked_table(d, "position", "city", least=40))
 _register("linked_table", lambda d: linked.linked_table(d, "school", least=700))
+
+
+# ------------------------------------------------------------------ digests and objects by revision
+_ORDER_COLUMNS = ("o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus")
+
+
+def _order_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.table_digests(spark.read.parquet(f"{sf_dir}/orders.parquet").select(*_ORDER_COLUMNS), ["o_orderpriority"])
+
+
+QUERIES["table_digests"] = _order_digests
+_LANE = lambda i: f"sum(CAST(CAST(concat('0x', substr(h, {16 * i + 1}, 16)) AS UBIGINT) AS HUGEINT)) % 18446744073709551616"
+ORACLE_SQL["table_digests"] = f"""SELECT o_orderpriority, count(*) AS n_rows, sha256(concat_ws(',', count(*), {", ".join(_LANE(i) for i in range(4))})) AS digest
+ FROM (SELECT o_orderpriority, sha256(concat_ws(',', {", ".join(f"coalesce(concat(length({c}::VARCHAR), ':', {c}), '-')" for c in _ORDER_COLUMNS)})) AS h FROM orders) GROUP BY 1"""
+
+
+def _object_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of each priority as an object; one is replaced, one taken away. What each snapshot holds, opened and summed."""
+    table = versions.ObjectTable(spark, f"{shared_dir(spark)}/objects/{uuid.uuid4().hex}")
+    key, _ = vault.derive_keys("query", b"a fixed salt", 1000)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderpriority")
+    for name in ("1-URGENT", "2-HIGH", "5-LOW"):
+        table.put("orders", orders.where(F.col("o_orderpriority") == name), key, name)
+    table.put("orders", orders.where("o_orderpriority = '1-URGENT' and o_orderkey % 2 = 0"), key, "1-URGENT", 1)
+    table.drop("orders", "5-LOW", 1)
+    out = None
+    for version in (3, 5):
+        held = table.load("orders", key, "o_orderkey long", version=version).groupBy("id", "revision").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("total"))
+        held = held.select(F.lit(version).alias("version"), "id", "revision", "n", "total")
+        out = held if out is None else out.union(held)
+    return out
+
+
+QUERIES["object_versions"] = _object_versions
+ORACLE_SQL["object_versions"] = """SELECT version, o_orderpriority AS id, CASE WHEN version = 5 AND o_orderpriority = '1-URGENT' THEN 2 ELSE 1 END AS revision, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total
+ FROM orders, (VALUES (3), (5)) v(version) WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND NOT (version = 5 AND o_orderpriority = '1-URGENT' AND o_orderkey % 2 = 1) OR o_orderpriority = '5-LOW' AND version = 3
+ GROUP BY 1, 2, 3"""

@@ -1,16 +1,19 @@
 """Files in many tasks, workbooks row by row, objects by revision."""
 
 import io
+import json
 import random
 import tracemalloc
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 from types import SimpleNamespace
 from urllib.parse import unquote
 
 import pyarrow as pa
 import pytest
 
-from offersieve.sources import delimited, sheets, sniff
+from offersieve.plans import digests
+from offersieve.sources import delimited, sheets, sniff, vault, versions
 
 
 @pytest.fixture()
@@ -169,3 +172,65 @@ def test_memory_of_a_sheet_is_that_of_a_row():
 
 def test_intervals():
     assert sheets.merged([(5, 9), (0, 1), (2, 3), (8, 12), (20, 20)]) == ((0, 3), (5, 12), (20, 20))
+
+
+# ---------------------------------------------------------------- objects by revision
+def test_objects_by_revision(spark, tmp_path):
+    key, _ = vault.derive_keys("p", b"salt", 10)
+    frame = lambda *rows: spark.createDataFrame(rows, "n int, s string")
+    table = versions.ObjectTable(spark, str(tmp_path / "t t"))
+    assert table.version() == 0 and table.snapshot().count() == 0 and table.load("d", key, "n int, s string").count() == 0
+    i, revision = table.put("d", frame((1, "a"), (2, None)), key)
+    assert revision == 1 and table.put("d", frame((3, "b")), key, i, 1) == (i, 2)
+    table.put("secret", frame((9, "z")), key, "k")
+    read = lambda **how: sorted((r.id, r.revision, r.n, r.s) for r in table.load("d", key, "n int, s string", **how).collect())
+    assert read() == [(i, 2, 3, "b")] and [r[1:] for r in read(version=1)] == [(1, 1, "a"), (1, 2, None)]
+    for bad in (lambda: table.put("d", frame((4, "c")), key, i, 1), lambda: table.put("d", frame((4, "c")), key, i), lambda: table.drop("d", i, 1)):
+        with pytest.raises(versions.Conflict):
+            bad()
+    assert table.drop("d", i, 2) == 4 and read() == [] and read(version=3) == [(i, 2, 3, "b")]
+    assert table.put("d", frame((5, "e")), key, i) == (i, 3) and read() == [(i, 3, 5, "e")]
+    assert [(r.version, r.op, r.revision) for r in table.history().where("kind = 'd'").orderBy("version").collect()] == [(1, "put", 1), (2, "put", 2), (4, "drop", 2), (5, "put", 3)]
+    assert table.load("d", vault.derive_keys("q", b"salt", 10)[0], "n int, s string").count() == 0
+
+    manifest = table.backup(str(tmp_path / "b"), "2026-01-01")
+    assert manifest["objects"] == 1 and versions.check_backup(spark, str(tmp_path / "b")) == (manifest, None)
+    other = versions.ObjectTable(spark, str(tmp_path / "o"))
+    assert other.restore(str(tmp_path / "b")) == 1 and other.restore(str(tmp_path / "b")) == 0
+    assert [tuple(r) for r in other.load("d", key, "n int, s string").collect()] == [(i, 3, 5, "e")]
+    for change, problem in (({"kind": "x"}, "not a backup of objects"), ({"formatVersion": 2}, "another format"), ({"createdAt": ""}, "the manifest is not complete"), ({"includesSecrets": True}, "a backup with secrets"), ({"digest": "0"}, "rows are not those of the manifest"), ({"schemaVersion": "999.0"}, "another schema version")):
+        spark.createDataFrame([(json.dumps(manifest | change),)], "value string").coalesce(1).write.mode("overwrite").text(str(tmp_path / "b/manifest"))
+        assert versions.check_backup(spark, str(tmp_path / "b")) == (None, problem)
+    assert versions.check_backup(spark, str(tmp_path / "none"))[1] == "no manifest"
+
+
+def test_two_writers_with_one_revision(spark, tmp_path):
+    key, _ = vault.derive_keys("p", b"salt", 10)
+    frame = spark.createDataFrame([(1,)], "n int")
+    table = versions.ObjectTable(spark, str(tmp_path / "t"))
+    i, _ = table.put("d", frame, key)
+
+    def write(n):
+        try:
+            return table.put("d", frame, key, i, 1)[1]
+        except versions.Conflict:
+            return "conflict"
+
+    with ThreadPoolExecutor(3) as pool:
+        assert sorted(map(str, pool.map(write, range(3)))) == ["2", "conflict", "conflict"]
+    # Entries have one number each, and none is replaced.
+    assert table._create("log/00000000000000000001.json", "x") is False and table.version() == 2
+
+
+def test_digests_do_not_depend_on_order_or_partitions(spark):
+    rows = [(i % 40, f"t{i % 7}", [i % 3], None if i % 5 else 0.1 * i) for i in range(300)]
+    frame = spark.createDataFrame(rows, "a int, b string, c array<int>, d double")
+    want = digests.table_digest(frame)
+    assert {digests.table_digest(frame.repartition(n).orderBy("b")) for n in (1, 7, 64)} | {digests.table_digest(frame.select("d", "c", "b", "a"))} == {want}
+    changed = [rows[1:], [*rows, rows[0]], [(*rows[0][:1], "x", *rows[0][2:]), *rows[1:]], [(rows[0][0], None, *rows[0][2:]), *rows[1:]], []]
+    assert len({want, *(digests.table_digest(spark.createDataFrame(r, frame.schema)) for r in changed)}) == 6
+    pair = lambda a, b: digests.table_digest(spark.createDataFrame([(a, b)], "a string, b string"))
+    assert len({pair("1", "2,"), pair("1,2", ""), pair("", "1,2"), pair(None, "1,2"), pair("-", "1,2")}) == 5
+    assert digests.canonical({"b": [1.0, None], "a": {3, 1}}) == '{"a":[1,3],"b":[1,null]}'
+    assert digests.preview_digest({"a": 1, "b": 2}) == digests.preview_digest({"b": 2, "a": 1}) != digests.preview_digest({"a": 1, "b": 2}, model="m")
+    assert digests.rules_digest({}, None) != digests.rules_digest({}, ()) == digests.rules_digest({}, [])
