@@ -136,3 +136,19 @@ def rate_cell(value: Column, numerator: Column, denominator: Column, suppressed:
 def input_tokens(chars: Column) -> Column:
     """Rough token count of a prompt: characters by 1.5, rounded up."""
     return F.ceil(chars / 1.5)
+
+
+def highest_cost(chars: Column, output_tokens: Column, input_price: float, output_price: float) -> Column:
+    """The most that a request may cost, prices being those of a million tokens, without anything cached."""
+    tokens = F.when(finite(chars.cast("double")) > 0, input_tokens(chars)).otherwise(0)
+    return tokens / 1e6 * input_price + F.greatest(F.round(output_tokens), F.lit(0)) / 1e6 * output_price
+
+
+def cost_text(cost: Column) -> Column:
+    """Four places, as an upper bound."""
+    return F.when(cost < 0.0001, F.lit("< 0.0001 元")).otherwise(F.format_string("%.4f 元", cost))
+
+
+def salary_band_of_label(label: Column, edges: Sequence[float]) -> Column:
+    """A group's label if the edges can give it as a band, else null."""
+    return F.when(label.isin(band_labels(edges)), label)

@@ -90,6 +90,11 @@ def tri_label(c: Column, yes: str = "是", no: str = "否", unknown: str = UNKNO
     return F.when(c, F.lit(yes)).when(~c, F.lit(no)).otherwise(F.lit(unknown))
 
 
+def tri_state_of(label: Column, yes: str = "是", no: str = "否") -> Column:
+    """A label of tri_label as a boolean again; null for any other."""
+    return F.when(label == yes, True).when(label == no, False)
+
+
 def key_text(c: Column) -> Column:
     """Benchmark key part: control signs out, trimmed."""
     return trim_space(F.regexp_replace(c, r"[\x00-\x1F\x7F]", ""))

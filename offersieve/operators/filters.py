@@ -35,6 +35,10 @@ class Filters:
     def in_statuses(self) -> Column:
         return F.col("offer_status").isin(list(self.statuses)) if self.statuses else F.lit(True)
 
+    def active(self) -> bool:
+        """Whether anything is filtered."""
+        return any(self.dimensions.values()) or bool(self.statuses) or self.has_range()
+
     def has_range(self) -> bool:
         return bool(self.date_from or self.date_to)
 

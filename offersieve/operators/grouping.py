@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offersieve.functions.dates import month_of
 from offersieve.functions.numbers import band_of, cycle_band_of
 from offersieve.functions.text import text_or_unknown, tri_label
 from offersieve.operators.metrics import actual_days, bundled, with_rates
+from offersieve.operators.ranking import ranked_by
 from offersieve.schema import CORE, UNKNOWN, UNSPLIT
 
 
@@ -84,8 +85,8 @@ def cross_table(records: DataFrame, rows: str, columns: str, metrics: Sequence[C
 
 
 def ranked(groups: DataFrame) -> DataFrame:
-    """groups plus their rank by D, N and key. A table of groups is small."""
-    return groups.withColumn("rank", F.row_number().over(Window.orderBy(*by_core())))
+    """groups plus their rank by D, N and key."""
+    return ranked_by(groups, by_core())
 
 
 def top_with_other(records: DataFrame, name: str, n: int, edges: Sequence[float] = ()) -> DataFrame:
@@ -104,26 +105,27 @@ def top_with_other(records: DataFrame, name: str, n: int, edges: Sequence[float]
 
 
 def facets(records: DataFrame, name: str, edges: Sequence[float] = ()) -> DataFrame:
-    """(key, n, position): values by count, then value; 未知 last.  Values may be many, so they are numbered in blocks."""
+    """(key, n, position): values by count, then value; 未知 last."""
     counts = records.groupBy(dimension(name, edges).alias("key")).agg(F.count("*").alias("n"))
-    last = (F.col("key") == UNKNOWN).cast("int")
-    return numbered(counts, [last, -F.col("n"), F.substring("key", 1, 2)], [F.desc("n"), "key"], "position")
+    return ranked_by(counts, [(F.col("key") == UNKNOWN).cast("int").asc(), F.desc("n"), F.asc("key")], "position")
 
 
 def page(df: DataFrame, order: Sequence[Column], number: int, size: int = 25) -> DataFrame:
-    """Page `number` (from 1) of a table."""
-    return df.orderBy(*order).offset((number - 1) * size).limit(size)
+    """Page `number` (from 1) of a table; `ranking.paged` keeps the table for more of them."""
+    rank = "_page_rank"
+    return ranked_by(df, order, rank).where(F.col(rank).between((number - 1) * size + 1, number * size)).drop(rank)
 
 
 def for_chart(groups: DataFrame, metric: str) -> DataFrame:
     """Groups by one metric, missing values last."""
-    return groups.withColumn("position", F.row_number().over(Window.orderBy(F.desc_nulls_last(metric), *by_core())))
+    return ranked_by(groups, [F.desc_nulls_last(metric), *by_core()], "position")
 
 
 def scatter_points(groups: DataFrame, smallest: float = 8, largest: float = 40) -> DataFrame:
     """Groups with a rate, their symbol scaled by the largest N."""
     known = groups.where(F.col("rejection_rate").isNotNull() & ~F.col("key").rlike(r"^其他（\d+ 个分组合并）$"))
-    share = F.sqrt(F.col("n_total") / F.max("n_total").over(Window.partitionBy(F.lit(1))))
+    known = known.crossJoin(F.broadcast(known.agg(F.max("n_total").alias("_largest"))))  # one row
+    share = F.sqrt(F.col("n_total") / F.col("_largest"))
     return known.select("key", "n_total", "n_core", "rejection_rate", (smallest + (largest - smallest) * share).alias("symbol_size"))
 
 
@@ -137,18 +139,3 @@ def ranking_availability(groups: DataFrame, least: int = 10) -> DataFrame:
 def source_counts(records: DataFrame, column: str) -> DataFrame:
     """Records by where a value came from."""
     return records.groupBy(F.coalesce(column, F.lit("unknown")).alias("source")).agg(F.count("*").alias("n"))
-
-
-def numbered(rows: DataFrame, blocks: Sequence[Column], order: Sequence[str | Column], name: str) -> DataFrame:
-    """rows with their number from 1 in an order, without all of them in one task.
-
-    blocks are values that ascend with the order; rows are numbered in each block, after the count of the blocks before.
-    Only the list of blocks and their counts goes through one task.
-    """
-    keys = [f"_block{i}" for i in range(len(blocks))]
-    dealt = rows.select("*", *[b.alias(k) for b, k in zip(blocks, keys, strict=True)])
-    counts = dealt.groupBy(*keys).agg(F.count("*").alias("_size"))
-    before = counts.withColumn("_before", F.sum("_size").over(Window.orderBy(*keys)) - F.col("_size")).drop("_size")
-    own = dealt.withColumn("_own", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    same = [own[k].eqNullSafe(before[k]) for k in keys]
-    return own.join(before, same).select(*rows.columns, (F.col("_own") + F.col("_before")).cast("int").alias(name))

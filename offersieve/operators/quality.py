@@ -58,12 +58,20 @@ def module_samples(records: DataFrame) -> DataFrame:
     return one.select(F.inline(F.array(*[F.struct(F.lit(m).alias("module"), F.col(f"m{i}").alias("n")) for i, m in enumerate(MODULES)])))
 
 
-def availability(records: DataFrame, issues: DataFrame) -> DataFrame:
-    """(module, n, available, reason)."""
+#: What a module's samples are, where that is not plain from its name.
+SAMPLE_NOTES = {
+    "核心率": "样本为 D 中的记录", "招聘周期": "样本为日期有效的已入职记录", "薪资对比": "样本为有薪资的记录", "房补对比": "样本为房补类型已知的记录", "拒offer原因": "样本为填写了原因的拒绝记录",
+}
+
+
+def availability(records: DataFrame, issues: DataFrame, salary_option: str | None = None) -> DataFrame:
+    """(module, n, available, reason): why a module can't be used, or what its samples are."""
     off = disabled_modules(issues).withColumn("off", F.lit(True))
     out = module_samples(records).join(F.broadcast(off), "module", "left")  # eleven rows
     blocked = F.coalesce("off", F.lit(False))
-    reason = F.when(blocked, F.lit("数据问题使该模块停用")).when(F.col("n") == 0, F.lit("没有有效样本"))
+    pay = F.lit("计薪口径待确认" + (f"（{salary_option}）" if salary_option else "") + "，模块停用")
+    note = F.create_map(*[F.lit(x) for kv in SAMPLE_NOTES.items() for x in kv])[F.col("module")]
+    reason = F.when(blocked & F.col("module").isin("薪资对比", "房补对比"), pay).when(blocked, F.lit("数据问题使该模块停用")).when(F.col("n") == 0, F.lit("没有有效样本")).otherwise(note)
     return out.select("module", "n", (~blocked & (F.col("n") > 0)).alias("available"), reason.alias("reason"))
 
 

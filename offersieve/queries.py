@@ -12,7 +12,7 @@ from offersieve.bindings import OFFERS_SQL, offers
 from offersieve.functions import numbers
 from offersieve.functions.dates import expected_internship_days, month_range, parse_date_cell, waiting
 from offersieve.functions.text import cell_text, display_id, looks_like_identifier, safe_cell
-from offersieve.operators import benchmarks, cleaning, compensation, duplicates, grouping, mapping, metrics, quality, rejection
+from offersieve.operators import benchmarks, cleaning, compensation, duplicates, grouping, mapping, metrics, quality, ranking, rejection
 from offersieve.operators.filters import Filters, apply_filters, filter_counters, retained
 from offersieve.plans import digests, linked, privacy, report, scan, summary
 from offersieve.schema import DIMENSIONS, MODULES, OFFER_STATUSES, REASON_CATEGORIES, REASON_WORDS
@@ -767,3 +767,15 @@ QUERIES["object_versions"] = _object_versions
 ORACLE_SQL["object_versions"] = """SELECT version, o_orderpriority AS id, CASE WHEN version = 5 AND o_orderpriority = '1-URGENT' THEN 2 ELSE 1 END AS revision, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total
  FROM orders, (VALUES (3), (5)) v(version) WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND NOT (version = 5 AND o_orderpriority = '1-URGENT' AND o_orderkey % 2 = 1) OR o_orderpriority = '5-LOW' AND version = 3
  GROUP BY 1, 2, 3"""
+
+# ------------------------------------------------------------------ ranks and pages of whole tables
+_register(
+    "ranked_records",
+    lambda d: ranking.ranked_by(d.select("record_id", "salary_amount", "start_date"), [F.desc_nulls_last("salary_amount"), F.asc("start_date"), F.asc("record_id")]),
+    _sql("SELECT record_id, round(salary_amount, 6) AS salary_amount, start_date::VARCHAR AS start_date, row_number() OVER (ORDER BY salary_amount DESC NULLS LAST, start_date, record_id) AS rank FROM offers"),
+)
+_register(
+    "detail_page",
+    lambda d: ranking.paged(d.select("record_id", "recruiter", "start_date"), [F.desc("start_date"), F.asc("record_id")]).page(7),
+    _sql("SELECT record_id, recruiter, start_date::VARCHAR AS start_date, rank FROM (SELECT *, row_number() OVER (ORDER BY start_date DESC, record_id) AS rank FROM offers) WHERE rank BETWEEN 151 AND 175"),
+)
