@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -45,7 +46,7 @@ from offersieve.session import ship
 WINDOW, LITERALS, MIN_TOKENS, SHARE, LEAST_BITS = 8, 5, 3, 0.4, 10.0
 #: Window hashes that are sent to every task at most (32 MB); beyond, all windows go through the join.
 MAX_SENT = 4_000_000
-_REMEMBERED = 300_000
+_REMEMBERED = 500_000
 NUMBER, QUANTITY, NAME, UNIT = range(1, 5)
 _SLOT = series(5, 71)
 _PLACES = series(64, 73) | np.uint64(1)
@@ -59,43 +60,60 @@ UNITS = frozenset(
 )
 #: Kinds of windows.
 TEMPLATE, WORDS = 0, 1
-_words: dict[str, tuple[int, int, int]] = {}
 
 
-def _hash(word: str, kind: int) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8, salt=bytes([kind])).digest(), "little")
+_MARKS = "\"'“”‘’«»()[]{}<>.,;:!?…*#$&%=_|~`^-–—¿¡"
+
+
+def _hashes(word: str) -> tuple[int, int]:
+    """A hash for templates and another one for words as they are."""
+    digest = hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:], "little")
 
 
 def _classify(word: str) -> tuple[int, int, int]:
     """(kind, hash in templates, hash of the word) of one word; kind 0 is a plain word, UNIT a unit if a number stands before it."""
-    body = word.strip("\"'“”‘’«»()[]{}<>.,;:!?…*#$&%=_|~`^-–—¿¡")
-    if not body:
-        body = word
-    if _NUMBER.fullmatch(body):
-        found = NUMBER, int(_SLOT[NUMBER])
-    elif _QUANTITY.fullmatch(body):
-        found = QUANTITY, int(_SLOT[QUANTITY])
-    elif body[0].isupper() and (len(body) == 1 or body[1:].islower()):
-        found = NAME, int(_SLOT[NAME])
-    else:
-        low = body.lower()
-        found = UNIT if low in UNITS else 0, _hash(low, TEMPLATE)
-    found = *found, _hash(body.casefold(), WORDS)
-    if len(word) <= 40:
-        if len(_words) >= _REMEMBERED:
-            _words.clear()
-        _words[word] = found
-    return found
+    body = word.strip(_MARKS) or word
+    first, low, folded = body[0], body.lower(), body.casefold()
+    code, plain = _hashes(low)
+    if folded != low:
+        _, plain = _hashes(folded)
+    if (first.isdecimal() or first in "+-") and _NUMBER.fullmatch(body):
+        return NUMBER, int(_SLOT[NUMBER]), plain
+    if (first.isdecimal() or first in "+-") and _QUANTITY.fullmatch(body):
+        return QUANTITY, int(_SLOT[QUANTITY]), plain
+    if first.isupper() and (len(body) == 1 or body[1:].islower()):
+        return NAME, int(_SLOT[NAME]), plain
+    return (UNIT if low in UNITS else 0), code, plain
+
+
+class _Words(dict):
+    """Numbers of words in three arrays: their kinds, their hashes in templates, and those of the words."""
+
+    def __init__(self) -> None:
+        self.kinds, self.codes, self.plain = array("b"), array("Q"), array("Q")
+
+    def __missing__(self, word: str) -> int:
+        at, (kind, code, plain) = len(self.kinds), _classify(word)
+        self.kinds.append(kind)
+        self.codes.append(code)
+        self.plain.append(plain)
+        if len(word) <= 40:
+            self[word] = at
+        return at
+
+
+_words = _Words()
 
 
 def _read(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Words, template hashes, which of them are placeholders, and word hashes."""
+    global _words
+    if len(_words.kinds) >= _REMEMBERED:
+        _words = _Words()
     words = (text or "").split()
-    get = _words.get
-    pairs = [get(w) or _classify(w) for w in words]
-    kinds = np.fromiter([p[0] for p in pairs], np.int8, len(words))
-    codes = np.fromiter([p[1] for p in pairs], np.uint64, len(words))
-    plain = np.fromiter([p[2] for p in pairs], np.uint64, len(words))
+    at = np.fromiter(map(_words.__getitem__, words), np.int64, len(words))
+    kinds, codes, plain = (np.frombuffer(x, t)[at] if len(at) else np.zeros(0, t) for x, t in ((_words.kinds, np.int8), (_words.codes, np.uint64), (_words.plain, np.uint64)))
     unit = np.zeros(len(words), bool)
     unit[1:] = (kinds[1:] == UNIT) & (kinds[:-1] == NUMBER)
     codes[unit] = _SLOT[UNIT]
