@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from offersieve.functions.text import is_blank
 from offersieve.session import ship
 from offersieve.sources import sniff
 
@@ -193,7 +194,7 @@ def _began(text: str, delimiter: str, inside: bool) -> int | None:
 
 
 def _plan(rows: list, ways: tuple[tuple[str, str], ...], encoding: str | None, delimiter: str | None) -> tuple[dict, dict, list[str]]:
-    """For each file its encoding, delimiter and whether it ends with a line feed; for each piece whether it begins inside quotes, its first line and that of the record open there; and the files of two bytes a letter."""
+    """For each file its encoding, its delimiter, whether it ends with a line feed, and whether it begins with a mark; for each piece whether it begins inside quotes, its first line and that of the record open there; and the files of two bytes a letter."""
     files: dict[str, list] = {}
     for r in rows:
         files.setdefault(r.file, []).append(r)
@@ -205,10 +206,13 @@ def _plan(rows: list, ways: tuple[tuple[str, str], ...], encoding: str | None, d
         if encoding is None and found.encoding.startswith("utf-16"):
             wide.append(file)
             continue
-        code = encoding or ("utf-8" if found.source == "bom" or all(r.utf8 for r in pieces) else "gb18030")
+        # Lines come without line feeds, and the first one may come without the file's mark.
+        over = sum(r.bytes for r in pieces) - pieces[0].size
+        marked, fed = found.source == "bom" or over in (-3, -2), over in (0, -3)
+        code = encoding or ("utf-8" if marked or all(r.utf8 for r in pieces) else "gb18030")
         sep = delimiter or sniff.detect_delimiter(sniff.decode(head, code)[0]) or sniff.default_delimiter(file[file.rfind(".") :].lower())
-        # Line feeds are no part of lines, but the last one is part of a cell that never ends.
-        how[file] = (code, sep, sum(r.bytes for r in pieces) == pieces[0].size)
+        # The last line feed is part of a cell that never ends.
+        how[file] = (code, sep, fed, marked)
         way = next((i for i, (e, d) in enumerate(ways) if d == sep and (e == "gb18030") == (code != "utf-8")), next(i for i, (_, d) in enumerate(ways) if d == sep))
         inside, line, opened = False, 0, None
         for r in pieces:
@@ -220,27 +224,68 @@ def _plan(rows: list, ways: tuple[tuple[str, str], ...], encoding: str | None, d
     return how, begins, wide
 
 
+def _examined(spark: SparkSession, path: str, encoding: str | None, delimiter: str | None) -> tuple[DataFrame, dict, dict, list[str], dict[str, bytes]]:
+    """The lines of all files, `_plan` of them, and the first bytes of each file."""
+    ways = _WAYS if delimiter is None else (("utf-8", delimiter), ("gb18030", delimiter))
+    lines = _lines(spark, path)
+    # A row for each piece, as in Spark's own plan.
+    pieces = lines.mapInArrow(lambda b: _pieces(b, ways), _PIECE).collect()
+    heads: dict[str, bytes] = {}
+    for r in sorted(pieces, key=lambda r: r.start):
+        heads[r.file] = heads.get(r.file, b"") + bytes(r.head)
+    return lines, *_plan(pieces, ways, encoding, delimiter), heads
+
+
 def read_delimited(spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None, kinds: bool = False) -> DataFrame:
     """Raw rows of delimited files; encoding and delimiter are found out where not given. With kinds, the kinds of quote errors too."""
     ship(spark)
-    columns = _FULL if kinds else RAW
-    names = [c.split()[0] for c in columns.split(", ")]
+    names = [c.split()[0] for c in (_FULL if kinds else RAW).split(", ")]
     if encoding is not None and encoding.lower().replace("_", "-").startswith(("utf-16", "utf-32")):
         return _whole(spark, path, encoding, delimiter).select(*names)
-    ways = _WAYS if delimiter is None else (("utf-8", delimiter), ("gb18030", delimiter))
-    lines = _lines(spark, path)
-    # A row for each piece, as in Spark's own plan.
-    how, begins, wide = _plan(lines.mapInArrow(lambda b: _pieces(b, ways), _PIECE).collect(), ways, encoding, delimiter)
+    return _rows(spark, *_examined(spark, path, encoding, delimiter)[:4], delimiter).select(*names)
+
+
+def _rows(spark: SparkSession, lines: DataFrame, how: dict, begins: dict, wide: list[str], delimiter: str | None) -> DataFrame:
     plan = spark.sparkContext.broadcast((how, begins))
-    seams = any(inside for inside, _, _ in begins.values())
     rows = lines.mapInArrow(lambda b: _parsed(b, *plan.value), _FULL)
-    if seams:
+    if any(inside for inside, _, _ in begins.values()):
         parts = lines.mapInArrow(lambda b: _fragments(b, *plan.value), "file string, source_row int, at long, text string")
         joined = parts.groupBy("file", "source_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]).alias("parts"))
         rows = rows.union(joined.mapInArrow(lambda b: _joined(b, *plan.value), _FULL))
     if wide:
         rows = rows.union(_whole(spark, [unquote(f) for f in wide], None, delimiter))
-    return rows.select(*names)
+    return rows
+
+
+_INSPECTED = "file string, encoding string, encoding_source string, hint string, delimiter string, delimiter_source string, preview array<string>, preview_cut boolean"
+
+
+def inspect_delimited(spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None) -> DataFrame:
+    """A dry run over delimited files, a row for each: how they would be read, first lines, counts and issues.
+
+    (file, encoding, encoding_source, hint, delimiter, delimiter_source, preview, preview_cut, n_rows, n_columns,
+    n_empty, n_replaced, issues).  n_replaced counts characters that could not be decoded; issues are
+    `code:rows`.  Files of UTF-16 are not counted among these.
+    """
+    ship(spark)
+    lines, how, begins, wide, heads = _examined(spark, path, encoding, delimiter)
+    facts = []
+    for file, (code, sep, _, marked) in how.items():  # as many as files
+        text = sniff.decode(heads[file], code)[0]
+        shown, more, cut = sniff.preview(text)
+        source = "given" if encoding else "bom" if marked else "utf8-valid" if code == "utf-8" else "fallback"
+        hint = None if encoding or code == "utf-8" else sniff.detect_encoding(b"\xff").hint
+        facts.append((file, code, source, hint, sep, "given" if delimiter else "text" if sniff.detect_delimiter(text) else "name", shown, more or cut))
+    rows = _rows(spark, lines, how, begins, [], delimiter)
+    blank = F.forall("cells", lambda c: is_blank(c))
+    replaced = F.aggregate("cells", F.lit(0), lambda n, c: n + F.coalesce(F.length(F.regexp_replace(c, "[^�]", "")), F.lit(0)))
+    kinds = {k: F.count_if(F.array_contains("kinds", k)) for k in ("trailing", "unterminated")}
+    issues = F.array_compact(F.array(*[F.when(n > 0, F.concat(F.lit(f"QUOTE_MISMATCH.{k}:"), n.cast("string"))) for k, n in kinds.items()]))
+    counted = rows.groupBy("file").agg(F.count("*").alias("n_rows"), F.max(F.size("cells")).alias("n_columns"), F.count_if(blank).alias("n_empty"), F.sum(replaced).alias("n_replaced"), issues.alias("issues"))
+    out = spark.createDataFrame(facts, _INSPECTED).join(counted, "file", "left")
+    none = F.col("n_rows").isNull()
+    zero = {c: F.coalesce(c, F.lit(0)).alias(c) for c in ("n_rows", "n_columns", "n_empty", "n_replaced")}
+    return out.select(*[c.split()[0] for c in _INSPECTED.split(", ")], *zero.values(), F.when(none, F.array(F.lit("EMPTY_DATASET:0"))).otherwise(F.col("issues")).alias("issues"))
 
 
 def _walk(batches: Iterable[pa.RecordBatch], how: dict, begins: dict) -> Iterator[tuple[str, str, int, int | None, list[str], bool]]:
@@ -256,9 +301,9 @@ def _walk(batches: Iterable[pa.RecordBatch], how: dict, begins: dict) -> Iterato
 
     for (*now, size), part in _runs(batches):
         now = tuple(now)
-        if now[0] not in how or part == [b"\xef\xbb\xbf"] and size == 3:  # a file that is read whole, or holds a mark alone
+        if now[0] not in how or part in ([b"\xef\xbb\xbf"], [b""]) and size == 3:  # a file that is read whole, or holds a mark alone
             continue
-        code, sep, _ = how[now[0]]
+        code, sep, *_ = how[now[0]]
         if now != key:
             if key is not None:
                 yield from cut(how[key[0]][1], not inside)
@@ -319,7 +364,7 @@ def _joined(batches: Iterator[pa.RecordBatch], how: dict, begins: dict) -> Itera
     """Records over seams. After the line where such a record ends others may begin in the same stretch."""
     for batch in batches:
         for file, row, parts in zip(batch["file"].to_pylist(), batch["source_row"].to_pylist(), batch["parts"].to_pylist(), strict=True):
-            _, sep, fed = how[file]
+            _, sep, fed, _ = how[file]
             text = "\n".join(parts)
             if fed and quotes(text, sep)[0]:
                 text += "\n"

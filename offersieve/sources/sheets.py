@@ -264,6 +264,28 @@ def sheet_issues(sheets: DataFrame, sheet: str | None = None) -> DataFrame:
     return sheets.where("empty").select("file", F.lit("EMPTY_SHEET_SKIPPED").alias("code"), "sheet", message.alias("message"))
 
 
+def inspect_workbooks(spark: SparkSession, path: str, preview: int = 8) -> DataFrame:
+    """A dry run over workbooks, a row for each: (file, date1904, sheets, previewed, preview, issues).
+
+    sheets are those of the catalogue; previewed is the first that is not empty, and preview its first rows.
+    """
+    listed = catalogue(spark, path)
+    about = F.array_sort(F.collect_list(F.struct("position", "sheet", "hidden", "n_rows", "n_columns", "n_hidden_rows", "hidden_columns", "empty")))
+    books = listed.groupBy("file").agg(F.max("date1904").alias("date1904"), about.alias("sheets"))
+    issues = sheet_issues(listed).groupBy("file").agg(F.sort_array(F.collect_list("message")).alias("issues"))
+
+    def each(path_: str, z: zipfile.ZipFile) -> Iterator[tuple]:
+        for name, part, _ in workbook(z)[0]:
+            within = extent(z, part)
+            if not within.empty:
+                first = itertools.islice(sheet_rows(z, part, shared_strings(z), within), preview)
+                yield path_, name, [["" if c is None else c for c in cells] for _, cells, *_ in first]
+                return
+
+    shown = _workbooks(spark, path, each, "file string, previewed string, preview array<array<string>>")
+    return books.join(shown, "file", "left").join(issues, "file", "left").withColumn("issues", F.coalesce("issues", F.array().cast("array<string>")))
+
+
 # ---------------------------------------------------------------- shaping
 def shape(raw: DataFrame, header_row: int | None = None, date1904: bool | None = None, limits: bool = False) -> Sheet:
     """Header row and padded data rows with empty and notes (a cell that repeats its own header is noted)."""

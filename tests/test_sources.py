@@ -234,3 +234,20 @@ def test_digests_do_not_depend_on_order_or_partitions(spark):
     assert digests.canonical({"b": [1.0, None], "a": {3, 1}}) == '{"a":[1,3],"b":[1,null]}'
     assert digests.preview_digest({"a": 1, "b": 2}) == digests.preview_digest({"b": 2, "a": 1}) != digests.preview_digest({"a": 1, "b": 2}, model="m")
     assert digests.rules_digest({}, None) != digests.rules_digest({}, ()) == digests.rules_digest({}, [])
+
+
+def test_dry_runs(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("姓名;城市\n甲;上海\n\n\"x\"y;\"open\n".encode("gb18030"))
+    (tmp_path / "b.tsv").write_bytes(b"\xef\xbb\xbfone\ncell\n")
+    (tmp_path / "c.csv").write_bytes(("a,b\n" * 20).encode())
+    rows = {r.file.rsplit("/", 1)[1]: r for r in delimited.inspect_delimited(spark, str(tmp_path)).collect()}
+    a, b, c = rows["a.csv"], rows["b.tsv"], rows["c.csv"]
+    assert (a.encoding, a.encoding_source, a.delimiter, a.delimiter_source, a.n_rows, a.n_columns, a.n_empty, a.n_replaced) == ("gb18030", "fallback", ";", "text", 4, 2, 1, 0)
+    assert a.hint and a.preview[:2] == ["姓名;城市", "甲;上海"] and sorted(a.issues) == ["QUOTE_MISMATCH.trailing:1", "QUOTE_MISMATCH.unterminated:1"]
+    assert (b.encoding, b.encoding_source, b.delimiter, b.delimiter_source, b.n_rows, b.preview, b.issues) == ("utf-8", "bom", "\t", "name", 2, ["one", "cell", ""], [])
+    assert c.encoding_source == "utf8-valid" and c.preview_cut and len(c.preview) == 8 and c.n_rows == 20 and c.hint is None
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "b.xlsx").write_bytes(book([("空", "<sheetData/>", "hidden"), ("数据", DATA, "visible")]))
+    (r,) = sheets.inspect_workbooks(spark, str(tmp_path / "w"), 2).collect()
+    assert r.previewed == "数据" and [list(x) for x in r.preview] == [["offer状态", "薪资", "", "备注"], ["已入职", "4000"]] and len(r.issues) == 1
+    assert [(s.sheet, s.hidden, s.empty, s.n_rows, list(s.hidden_columns)) for s in r.sheets] == [("空", True, True, 0, []), ("数据", False, False, 4, [0, 2, 3])]
