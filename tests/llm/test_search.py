@@ -125,9 +125,11 @@ def test_variants(spark, letters):
     assert {tuple(r) for r in got} == brute_variants(counts) and len(got) == len(counts)
 
 
-def test_variants_of_documents(docs, rows):
-    got = variants.variants(variants.words(docs, edited=True)).collect()
-    assert {tuple(r) for r in got} == brute_variants(brute_counts(rows, True)) and any(r.form for r in got)
+def test_variants_of_documents(spark, docs, rows):
+    more = [(300 + i, "Saddle saddle saddle sadle candle candles" + " handle" * (i % 2)) for i in range(120)]
+    every = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    got = variants.variants(variants.words(every, edited=True)).collect()
+    assert {tuple(r) for r in got} == brute_variants(brute_counts(rows + more, True)) and any(r.form for r in got)
     assert variants.variants(variants.words(docs.where("false"))).count() == 0
 
 
