@@ -587,10 +587,13 @@ _register(
     lambda d: rejection.reason_samples_by_rank(d),
     _sql(f"SELECT rejection_reason AS reason, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, rejection_reason) AS rank FROM offers WHERE rejection_reason IS NOT NULL AND {_REJ} GROUP BY 1"),
 )
+_NOTES = " ".join(f"WHEN '{m}' THEN '{t}'" for m, t in quality.SAMPLE_NOTES.items())
 _register(
     "module_availability",
-    lambda d: quality.availability(d, _issues(d)).select("module", "available"),
-    _sql(" UNION ALL ".join(f"SELECT '{m}' AS module, {'FALSE' if m in ('房补对比', '渠道对比') else 'TRUE'} AS available" for m in MODULES)),
+    lambda d: quality.availability(d, _issues(d), "人民币元/月"),
+    _sql(f"""SELECT module, n, module NOT IN ('房补对比', '渠道对比') AND n > 0 AS available,
+ CASE WHEN module = '房补对比' THEN '计薪口径待确认（人民币元/月），模块停用' WHEN module = '渠道对比' THEN '数据问题使该模块停用' WHEN n = 0 THEN '没有有效样本' ELSE CASE module {_NOTES} END END AS reason
+ FROM ({ORACLE_SQL["module_samples"].replace(f"WITH offers AS ({OFFERS_SQL}) ", "")})"""),
 )
 _register(
     "page_of_groups",

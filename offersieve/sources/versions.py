@@ -44,7 +44,7 @@ class Change:
     part: str | None = None
 
 
-def _context(*more: Column) -> Column:
+def _context() -> Column:
     return F.concat_ws("|", "kind", "id", F.col("revision").cast("string"), F.lit(SCHEMA_VERSION))
 
 

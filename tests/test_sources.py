@@ -1,10 +1,12 @@
 """Files in many tasks, workbooks row by row, objects by revision."""
 
+import datetime as dt
 import io
 import json
 import random
 import tracemalloc
 import zipfile
+from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 from types import SimpleNamespace
 from urllib.parse import unquote
@@ -13,7 +15,7 @@ import pyarrow as pa
 import pytest
 
 from offersieve.plans import digests
-from offersieve.sources import delimited, sheets, sniff, vault, versions
+from offersieve.sources import delimited, demo, sheets, sniff, vault, versions
 
 
 @pytest.fixture()
@@ -251,3 +253,24 @@ def test_dry_runs(spark, tmp_path):
     (r,) = sheets.inspect_workbooks(spark, str(tmp_path / "w"), 2).collect()
     assert r.previewed == "数据" and [list(x) for x in r.preview] == [["offer状态", "薪资", "", "备注"], ["已入职", "4000"]] and len(r.issues) == 1
     assert [(s.sheet, s.hidden, s.empty, s.n_rows, list(s.hidden_columns)) for s in r.sheets] == [("空", True, True, 0, []), ("数据", False, False, 4, [0, 2, 3])]
+
+
+def test_demo_list(spark):
+    from offersieve.schema import STANDARD_HEADERS, STANDARD_KEYS
+
+    rows = [dict(zip(STANDARD_KEYS, r.cells, strict=True)) for r in demo.demo_rows(spark).orderBy("source_row").collect()]
+    assert list(rows[0].values()) == list(STANDARD_HEADERS)
+    count = lambda k: Counter(r[k] for r in rows[1:])
+    assert count("offerStatus") == {"已入职": 26, "待入职": 4, "offer审批中": 9, "拒绝offer": 6, "拒绝口头offer": 3, "其他": 1, "未知": 1}
+    assert count("city") == {"上海": 17, "广州": 17, "杭州": 16} and count("channel") == {"Boss": 17, "实习僧": 17, "内推": 16} and count("referrer") == {"内推": 25, "样例推荐人": 25}
+    assert count("salaryAmount") == {"3500": 9, "3800": 9, "4100": 8, "4400": 8, "4700": 8, "5000": 8} and count("isGptSchool") == {"是": 13, "否": 37}
+    assert count("requirementType") == {"替补替换未拆分": 8, "新增招聘": 42} and count("housingRaw") == {None: 50}
+    assert count("rejectionReason") == {None: 45} | dict.fromkeys(("薪酬", "地点", "实习时间", "住房/住宿", "薪酬太低所以去了别家"), 1)
+    days = [(dt.date.fromisoformat(r["joiningDate"]) - dt.date.fromisoformat(r["recruitmentStartDate"])).days for r in rows[1:] if r["offerStatus"] == "已入职"]
+    assert Counter(days) == {-13: 13, 14: 13}
+    digest = lambda n, parts, seed=0: digests.table_digest(demo.demo_rows(spark, n, seed, parts))
+    assert digest(20_000, 1) == digest(20_000, 7) != digest(20_000, 7, 1)
+    longer = demo.demo_rows(spark, 300).where("source_row <= 201")
+    assert digests.table_digest(longer) == digests.table_digest(demo.demo_rows(spark, 200))
+    sheet = sheets.shape(demo.demo_rows(spark, 120))
+    assert sheet.rows.count() == 120 and demo.demo_lines(demo.demo_rows(spark, 1)).count() == 2
