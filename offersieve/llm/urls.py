@@ -85,7 +85,8 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
         fresh = source.union(carried).withColumn("old", F.lit(0.0)).union(scores.select("kind", "host", F.lit(0.0), "score"))
         now = stored(fresh.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("old").alias("old")), "scores")
         scores = now.select("kind", "host", "score")
-        if now.agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0] <= tolerance:
+        change = now.agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0]
+        if change is None or change <= tolerance:  # None: no seed at all
             break
     return scores
 
