@@ -24,7 +24,7 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
 
 def test_every_operator_is_registered():
     numbers = {int(name[2:].split("_")[0]) for name in queries.QUERIES}
-    assert numbers == set(range(1, 11))
+    assert numbers == set(range(1, 14))
 
 
 def test_stages_on_odd_rows(spark, tmp_path):
