@@ -62,7 +62,7 @@ class ForcedBoundaryBpe:
         self.alphabet = byte_alphabet()
         self.inner = self._inner_pairs()
         self.fragments: dict[tuple[str, bool], list[int]] = {}
-        self.chunks: dict[str, tuple[str, int, str]] = {}
+        self.chunks: dict[str, tuple[str, int]] = {}
 
     def _inner_pairs(self) -> set[str]:
         """Pairs of byte characters that stand side by side inside some token."""
@@ -107,7 +107,7 @@ class ForcedBoundaryBpe:
                 heapq.heappush(heap, (r, h, symbols[h], symbols[i]))
         return [self.vocab[s] for s in symbols if s is not None and s in self.vocab]
 
-    def _word(self, word: str) -> tuple[str, int, str]:
+    def _word(self, word: str) -> tuple[str, int]:
         """The fragments of one word, encoded by themselves and joined."""
         ids: list[int] = []
         pieces = self.cut(word if word.isascii() and word.isprintable() else "".join(map(self.alphabet.__getitem__, word.encode("utf-8"))))
@@ -121,23 +121,23 @@ class ForcedBoundaryBpe:
                         self.fragments.clear()
                     self.fragments[key] = found
             ids += found
-        return " ".join(map(str, ids)), len(ids), " ".join(map(self.tokens.__getitem__, ids))
+        return " ".join(map(str, ids)), len(ids)
 
-    def _chunk(self, chunk: str) -> tuple[str, int, str]:
-        """Ids, count and tokens of what stands between white space; words met before are not encoded again."""
+    def _chunk(self, chunk: str) -> tuple[str, int]:
+        """Ids and count of what stands between white space; words met before are not encoded again."""
         words = [chunk] if chunk.isalpha() and chunk.isascii() else self.words.findall(chunk)
         if len(words) == 1:
             out = self._word(words[0])
         else:
             parts = [p for w in words if (p := self.chunks.get(w) or self._chunk(w))[1]]
-            out = " ".join([p[0] for p in parts]), sum([p[1] for p in parts]), " ".join([p[2] for p in parts])
+            out = " ".join([p[0] for p in parts]), sum([p[1] for p in parts])
         if len(chunk) <= 64:
             if len(self.chunks) >= MEMORY:
                 self.chunks.clear()
             self.chunks[chunk] = out
         return out
 
-    def _parts(self, text: str) -> list[tuple[str, int, str]]:
+    def _parts(self, text: str) -> list[tuple[str, int]]:
         """What each part between white space gives, in order."""
         out = []
         pieces, at = [], 0
@@ -149,8 +149,7 @@ class ForcedBoundaryBpe:
         get = self.chunks.get
         for piece, mark in pieces:
             if mark is not None:
-                i = self.special[mark]
-                out.append((str(i), 1, mark))
+                out.append((str(self.special[mark]), 1))
                 continue
             if not (piece.isascii() or unicodedata.is_normalized("NFC", piece)):
                 piece = unicodedata.normalize("NFC", piece)
@@ -166,13 +165,16 @@ class ForcedBoundaryBpe:
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by a space, as a tokenizer without a decoder does; unknown ids are left out."""
-        return " ".join([self.tokens[i] for i in ids if i in self.tokens])
+        try:
+            return " ".join(map(self.tokens.__getitem__, ids))
+        except KeyError:
+            return " ".join([self.tokens[i] for i in ids if i in self.tokens])
 
     def digest(self, text: str | None) -> tuple[int, str, str, str]:
-        """Token count, SHA-256 of the ids and of the decoded text, and the ids joined by a space."""
+        """Token count, SHA-256 of the ids and of the text that they decode to, and the ids joined by a space."""
         parts = [p for p in self._parts(text or "") if p[1]]
         ids = " ".join([p[0] for p in parts])
-        decoded = " ".join([p[2] for p in parts])
+        decoded = self.decode(list(map(int, ids.split())))
         return sum([p[1] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), ids
 
 

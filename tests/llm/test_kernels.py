@@ -1,5 +1,6 @@
 """Spark-free kernels against brute force."""
 
+import hashlib
 import heapq
 import random
 
@@ -33,7 +34,9 @@ TEXTS = [
 def test_bpe_equals_tokenizer(coder, tokenizer, text):
     ids = tokenizer.encode(text, add_special_tokens=False).ids
     assert coder.encode(text) == ids
-    assert coder.decode(ids) == tokenizer.decode(ids, skip_special_tokens=False)
+    decoded = tokenizer.decode(ids, skip_special_tokens=False)
+    assert coder.decode(ids) == decoded and coder.digest(text)[2] == hashlib.sha256(decoded.encode()).hexdigest()
+    assert coder.decode([*ids, 10**6]) == decoded
 
 
 def test_forced_cuts_are_never_inside_a_token(coder):
