@@ -10,7 +10,14 @@ language show at its length: pieces of these of BANDS characters are scored,
 and a text is held against the longest band that it fills.
 
 Models are fitted on a bounded sample of labelled rows: about DOCS_A_LANGUAGE
-texts of each language, chosen by a hash of the text; copies count once.
+texts of each language, chosen by a hash of the text; copies count once.  The
+limits are set by texts that a model has not counted: each half of the sample
+against a model of the other half, and up to about HELD_MORE texts beside the
+sample against the model of the whole.  A share of 0.1% shows itself only in
+some thousand texts; where there are fewer, the limit goes on beyond what they
+show (see `upper`).  A band of fewer than LEAST texts
+takes the next shorter band's limit; a language without such a band takes the
+limits of all languages together, and with fewer than FEW texts there is none.
 Everything is scored on whole texts.
 
 The score is the language's probability among those learned, held equally
@@ -42,8 +49,10 @@ from offersieve.session import ship
 ORDER = 4
 #: Bound of the training sample, in documents of each language.
 DOCS_A_LANGUAGE = 1000
-#: So many texts of a language are kept; Z is the normal quantile of it.
-QUANTILE, Z = 0.999, 3.0902
+#: Bound of further labelled texts of each language that only set the limits.
+HELD_MORE = 4000
+#: So many texts of a language are kept; Z is the normal quantile of it. TAIL: the part of the texts whose excess tells the tail.
+QUANTILE, Z, TAIL = 0.999, 3.0902, 0.1
 #: Lengths of pieces in characters. A band with pieces of fewer than LEAST texts has the limit of the next shorter one;
 #: languages with fewer held-back texts share the limits of all, which FEW texts set.
 BANDS, LEAST, FEW = tuple(4 << i for i in range(15)), 30, 5
@@ -193,11 +202,18 @@ class Model:
 
 
 def upper(entropy: np.ndarray, texts: int) -> float:
-    """Upper quantile of a further text's pieces: of the pieces as they are, or of a normal law where texts are too few for their tail."""
+    """Upper quantile of a further text's pieces: the highest of that of the pieces as they are, of a normal law, and of an exponential tail.
+
+    The tail's mean excess is that over the pieces' upper TAIL: texts in part in another language, or of one word over
+    and over, make it longer than a normal law's.
+    """
     v = texts - 1
     # Student's quantile by its expansion in 1 / v.
     t = Z + (Z**3 + Z) / (4 * v) + (5 * Z**5 + 16 * Z**3 + 3 * Z) / (96 * v**2)
-    return float(max(np.quantile(entropy, QUANTILE), entropy.mean() + t * entropy.std(ddof=1) * np.sqrt(1 + 1 / texts)))
+    high = np.quantile(entropy, 1 - TAIL)
+    excess = entropy[entropy >= high] - high
+    tail = high + excess.mean() * np.log(TAIL / (1 - QUANTILE))
+    return float(max(np.quantile(entropy, QUANTILE), entropy.mean() + t * entropy.std(ddof=1) * np.sqrt(1 + 1 / texts), tail))
 
 
 def fit_language(points: np.ndarray, count: np.ndarray, alphabet: int) -> LanguageModel:
@@ -236,8 +252,8 @@ def fit(languages: list[str], lang: np.ndarray, grams: list[str], count: np.ndar
     return Model([languages[i] for i in seen], [fit_language(points[lang == i], count[lang == i].astype(np.float64), alphabet) for i in seen])
 
 
-def learn(labelled: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE) -> Model:
-    """A model from columns text and lang. Four fifths of the sample are counted, the rest sets the limits."""
+def learn(labelled: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE, held_more: int = HELD_MORE) -> Model:
+    """A model from columns text and lang; the sample, half against half, and held_more texts beside it set the limits."""
     ship(labelled.sparkSession)
     labelled = labelled.select("text", "lang").where("text is not null and lang is not null")
     sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
@@ -247,34 +263,50 @@ def learn(labelled: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE) -> Model:
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, docs_a_language / n))])
     draw = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
     # Copies have one draw: they count once, or a large group of them would exceed the bound.
-    sample = labelled.withColumn("draw", draw / share[F.col("lang")]).where("draw < 1").dropDuplicates(["text", "lang"])
+    sample = labelled.withColumn("draw", draw / share[F.col("lang")]).where(F.col("draw") < 1 + held_more / docs_a_language).dropDuplicates(["text", "lang"])
+    # The halves of the sample, and what is beside it.
+    part = F.when(F.col("draw") < 0.5, 0).when(F.col("draw") < 1, 1).otherwise(2)
+    sample = sample.select("text", "lang", part.alias("part"), F.xxhash64("text").alias("id"))
     index = {k: i for i, k in enumerate(languages)}
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: Counter = Counter()
         for frame in frames:
-            for text, lang in zip(frame["text"], frame["lang"], strict=True):
+            for text, lang, part in zip(frame["text"], frame["lang"], frame["part"], strict=True):
                 points = characters(text)
                 if len(points):
                     whole = points.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-                    found.update((index[lang], whole[i : i + ORDER]) for i in range(len(whole) - ORDER + 1))
-        yield pd.DataFrame([(k, g, n) for (k, g), n in found.items()], columns=["lang", "gram", "n"])
+                    found.update((index[lang], part, whole[i : i + ORDER]) for i in range(len(whole) - ORDER + 1))
+        yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["lang", "part", "gram", "n"])
 
-    counted = sample.where("draw < 0.8").select("text", "lang").mapInPandas(count, "lang int, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    got = counted.toPandas()  # bounded by the sample
+    counts = sample.where("part < 2").select("text", "lang", "part").mapInPandas(count, "lang int, part int, gram string, n long")
+    counts = counts.groupBy("lang", "gram").agg(*[F.sum(F.when(F.col("part") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(2)])
+    got = counts.toPandas()  # bounded by the sample
     if not len(got):
         return Model([])
-    model = fit(languages, got["lang"].to_numpy(), got["gram"].tolist(), got["n"].to_numpy())
+
+    def fitted(n: np.ndarray) -> Model:
+        kept = got[n > 0]
+        return fit(languages, kept["lang"].to_numpy(), kept["gram"].tolist(), n[n > 0]) if len(kept) else Model([])
+
+    halves = [got["n0"].to_numpy(), got["n1"].to_numpy()]
+    model = fitted(halves[0] + halves[1])
+    # Each text is held against a model that has not counted it.
+    others = ship(labelled.sparkSession).sparkContext.broadcast([fitted(halves[1]), fitted(halves[0]), model])
     languages = model.languages
     number = {k: i for i, k in enumerate(languages)}
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(number[k], i, *p) for t, k, i in zip(frame["text"], frame["lang"], frame["id"], strict=True) if k in number for p in model.pieces(t, number[k])]
+            rows = []
+            for text, lang, part, i in zip(frame["text"], frame["lang"], frame["part"], frame["id"], strict=True):
+                other = others.value[part]
+                if lang in other.languages:
+                    rows += [(number[lang], i, *p) for p in other.pieces(text, other.languages.index(lang))]
             yield pd.DataFrame(rows, columns=["lang", "id", "band", "entropy"])
 
-    # Bounded by the sample: pieces of a fifth of it.
-    held = sample.where("draw >= 0.8").select("text", "lang", F.xxhash64("text").alias("id")).mapInPandas(check, "lang int, id long, band int, entropy double").toPandas()
+    # Bounded by the sample and held_more: pieces of so many texts.
+    held = sample.mapInPandas(check, "lang int, id long, band int, entropy double").toPandas()
     model.limits = np.full((len(languages), len(BANDS)), np.inf)
     every = {b: upper(g["entropy"].to_numpy(), n) for b, g in held.groupby("band") if (n := g["id"].nunique()) >= FEW}
     own = {k: upper(g["entropy"].to_numpy(), n) for k, g in held.groupby(["lang", "band"]) if (n := g["id"].nunique()) >= LEAST}

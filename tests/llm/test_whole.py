@@ -160,3 +160,24 @@ def test_crowded_owners_are_told_in_the_first_round():
     blobs = [blob(7, 255) + blob(8, 1) + blob(9, 3, 1)] * 3 + [blob(5, 255)]
     got = [np.unpackbits(np.frombuffer(x, np.uint8)).reshape(2, -1)[:, :3].tolist() for x in suffixes.answer_owners(blobs, crowd=700)]
     assert got[:3] == [[[1, 1, 1], [1, 0, 0]]] * 3 and got[3] == [[0, 0, 0], [0, 0, 0]]
+
+
+def test_few_of_a_languages_own_texts_are_rejected(spark):
+    """Two of a hundred texts are in part in the other language: those must not be rejected because few of them set the limit."""
+    rng = np.random.default_rng(3)
+    parts = {"en": ["the", "and", "tion", "ing", "house", "over"], "fr": ["les", "que", "eau", "ment", "oi", "elle"]}
+    say = lambda lang, n: " ".join("".join(rng.choice(parts[lang], 3)) for _ in range(n))
+    rows = []
+    for i in range(1, 1801):
+        lang, other = ("en", "fr") if i % 2 else ("fr", "en")
+        mixed = i % 50 in (7, 8)
+        rows.append((i, say(lang, 30) + " " + (say(other, 20) if mixed else say(lang, 20)), lang))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [r for r in language.identify_documents(d).collect() if r.held_out]
+    assert len(got) > 500 and sum(r.rejected for r in got) <= 0.004 * len(got)
+    strange = spark.createDataFrame([(i, " ".join("".join(rng.choice(list("xqzjkvw"), 5)) for _ in range(50))) for i in range(40)], "doc_id long, text string")
+    model = language.learn(d.where("doc_id % 3 <> 0"))
+    assert language.accepted(strange, model).count() == 0
+    # Texts beside the sample only set limits.
+    small = language.learn(d, docs_a_language=100, held_more=400)
+    assert sum(r.rejected for r in language.identify(d, small).collect()) <= 0.01 * d.count()
