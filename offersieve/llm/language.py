@@ -38,6 +38,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -246,12 +247,24 @@ def fit_language(points: np.ndarray, count: np.ndarray, alphabet: int) -> Langua
 
 def fit(languages: list[str], lang: np.ndarray, grams: list[str], count: np.ndarray) -> Model:
     """From each counted sequence of ORDER characters: its language's number, itself, its count. Languages without one are left out."""
-    points = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER)
+    return fit_points(languages, lang, np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER), count)
+
+
+def fit_points(languages: list[str], lang: np.ndarray, points: np.ndarray, count: np.ndarray) -> Model:
+    """As `fit`, from a row of code points for each sequence."""
+    if not len(points):
+        return Model([])
     alphabet = len(np.unique(points[:, -1]))
     seen = np.unique(lang).tolist()
     return Model([languages[i] for i in seen], [fit_language(points[lang == i], count[lang == i].astype(np.float64), alphabet) for i in seen])
 
 
+def _points(grams: pa.Array) -> np.ndarray:
+    """A row of code points for each sequence, from their UTF-32 bytes."""
+    fixed = grams.cast(pa.binary(4 * ORDER))
+    return np.frombuffer(fixed.buffers()[1], np.uint32)[fixed.offset * ORDER :][: len(fixed) * ORDER].reshape(-1, ORDER)
+
+
 def learn(labelled: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE, held_more: int = HELD_MORE) -> Model:
     """A model from columns text and lang; the sample, half against half, and held_more texts beside it set the limits."""
     ship(labelled.sparkSession)
@@ -277,22 +290,20 @@ def learn(labelled: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE, held_more
                 if len(points):
                     whole = points.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
                     found.update((index[lang], part, whole[i : i + ORDER]) for i in range(len(whole) - ORDER + 1))
-        yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["lang", "part", "gram", "n"])
+        yield pd.DataFrame([(k, part, g.encode("utf-32-le", "surrogatepass"), n) for (k, part, g), n in found.items()], columns=["lang", "part", "gram", "n"])
 
-    counts = sample.where("part < 2").select("text", "lang", "part").mapInPandas(count, "lang int, part int, gram string, n long")
+    counts = sample.where("part < 2").select("text", "lang", "part").mapInPandas(count, "lang int, part int, gram binary, n long")
     counts = counts.groupBy("lang", "gram").agg(*[F.sum(F.when(F.col("part") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(2)])
-    got = counts.toPandas()  # bounded by the sample
-    if not len(got):
+    got = counts.toArrow()  # bounded by the sample; no object for each row
+    if not got.num_rows:
         return Model([])
-
-    def fitted(n: np.ndarray) -> Model:
-        kept = got[n > 0]
-        return fit(languages, kept["lang"].to_numpy(), kept["gram"].tolist(), n[n > 0]) if len(kept) else Model([])
-
-    halves = [got["n0"].to_numpy(), got["n1"].to_numpy()]
-    model = fitted(halves[0] + halves[1])
+    points = np.concatenate([_points(c) for c in got["gram"].chunks])
+    lang, n = got["lang"].to_numpy(), [got["n0"].to_numpy(), got["n1"].to_numpy()]
+    del got
+    fitted = lambda n: fit_points(languages, lang[n > 0], points[n > 0], n[n > 0])
+    model = fitted(n[0] + n[1])
     # Each text is held against a model that has not counted it.
-    others = ship(labelled.sparkSession).sparkContext.broadcast([fitted(halves[1]), fitted(halves[0]), model])
+    others = ship(labelled.sparkSession).sparkContext.broadcast([fitted(n[1]), fitted(n[0]), model])
     languages = model.languages
     number = {k: i for i, k in enumerate(languages)}
 
@@ -306,7 +317,8 @@ def learn(labelled: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE, held_more
             yield pd.DataFrame(rows, columns=["lang", "id", "band", "entropy"])
 
     # Bounded by the sample and held_more: pieces of so many texts.
-    held = sample.mapInPandas(check, "lang int, id long, band int, entropy double").toPandas()
+    held = sample.mapInPandas(check, "lang int, id long, band int, entropy double").toArrow().to_pandas()
+    others.unpersist()
     model.limits = np.full((len(languages), len(BANDS)), np.inf)
     every = {b: upper(g["entropy"].to_numpy(), n) for b, g in held.groupby("band") if (n := g["id"].nunique()) >= FEW}
     own = {k: upper(g["entropy"].to_numpy(), n) for k, g in held.groupby(["lang", "band"]) if (n := g["id"].nunique()) >= LEAST}
