@@ -35,14 +35,16 @@ before all others (and equal to the least long).  Only doc_id and text are read.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -62,6 +64,8 @@ BUCKET, DIRECT = 16 << 20, 4096
 _SIDE, _MARK = SPAN - KEY, 4
 _DEPTH = _SIDE + _MARK
 _PIECE = 1 << 20
+#: Short documents whose contexts are found at once, and text whose strings a bucket merges at once, in bytes.
+_GROUP, PART = 1 << 17, 1 << 20
 _PLACE = np.uint64((1 << 21) - 1)
 _BYTES, _OTHER_BYTES = series(256, 83), series(256, 89)
 _FIRST = np.iinfo(np.int64).min
@@ -92,23 +96,44 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (w - n)], x[w - n :]) if n < w else x
 
 
-def contexts(data: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(owner hash, context hash, second context hash, start, owner's place, end) of a document's contexts."""
+def _pieces(sizes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(from, to, sizes of the documents inside): short documents together, longer ones than _PIECE in overlapping parts."""
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        start = int(ends[at] - sizes[at])
+        to = max(at + 1, int(np.searchsorted(ends, start + _GROUP, "right")))
+        if sizes[at] > _PIECE:
+            for a in range(start, int(ends[at]) - SPAN + 1, _PIECE):
+                z = min(a + _PIECE + SPAN - 1, int(ends[at]))
+                yield a, z, np.array([z - a])
+        else:
+            yield start, int(ends[to - 1]), sizes[at:to]
+        at = to
+
+
+def contexts(data: np.ndarray, sizes: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(owner hash, context hash, second context hash, start, owner's place, end) of the contexts of documents of these sizes, one by default."""
     if not _tables:
         _tables.extend((_powers(_BASE, _PIECE + SPAN + 1), _powers(pow(_BASE, -1, 1 << 64), _PIECE + SPAN + 1)))
     power, inverse = _tables
     out = []
-    for a in range(0, max(0, len(data) - SPAN + 1), _PIECE):
-        b = data[a : a + _PIECE + SPAN - 1]
+    for a, z, inside in _pieces(np.array([len(data)]) if sizes is None else sizes):
+        b = data[a:z]
+        many = np.maximum(inside - SPAN + 1, 0)
+        # Starts whose string ends in the same document; so does its owner, and owners of two documents are different places.
+        starts = np.repeat(np.cumsum(inside) - inside, many) + _ragged(many)
+        if not len(starts):
+            continue
         sums = np.zeros(len(b) + 1, np.uint64)
         np.cumsum(_BYTES[b] * power[: len(b)], out=sums[1:])
         keys = mix((sums[KEY:] - sums[:-KEY]) * inverse[: len(b) - KEY + 1])
         # Least hash, rightmost on ties; a place fits the low bits.
         ranked = (keys & ~_PLACE) | (_PLACE - np.arange(len(keys), dtype=np.uint64))
-        owner = (_PLACE - (_sliding_min(ranked, WIDTH) & _PLACE)).astype(np.int64)
+        owner = (_PLACE - (_sliding_min(ranked, WIDTH)[starts] & _PLACE)).astype(np.int64)
         first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
         last = np.r_[first[1:], len(owner)] - 1
-        place, end = owner[first], last + SPAN
+        place, first, end = owner[first], starts[first], starts[last] + SPAN
         body = mix((sums[end] - sums[first]) * inverse[first] + (place - first).astype(np.uint64))
         np.cumsum(_OTHER_BYTES[b] * power[: len(b)], out=sums[1:])
         other = mix((sums[end] - sums[first]) * inverse[first] + (end - first).astype(np.uint64))
@@ -137,10 +162,8 @@ class _Replay:
         self.bits, self.ids, self.sizes = bits, ids, sizes
         self.data = np.frombuffer(zstandard.decompress(blob, max_output_size=int(sizes.sum()) or 1), np.uint8)
         self.offsets = np.cumsum(sizes) - sizes
-        found = [contexts(self.data[o : o + n]) for o, n in zip(self.offsets.tolist(), sizes.tolist(), strict=True)]
-        self.owner, self.body, self.other = (np.concatenate([f[i] for f in found]) for i in (0, 1, 2))
-        self.start, self.place, self.end = (np.concatenate([f[i] + o for f, o in zip(found, self.offsets.tolist(), strict=True)]) for i in (3, 4, 5))
-        self.doc = np.repeat(ids, [len(f[0]) for f in found])
+        self.owner, self.body, self.other, self.start, self.place, self.end = contexts(self.data, sizes)
+        self.doc = ids[np.searchsorted(self.offsets + sizes, self.start, "right")]
         self.owners, self.which = np.unique(self.owner, return_inverse=True)
 
     def ask_owners(self) -> Iterator[tuple[int, bytes]]:
@@ -253,6 +276,20 @@ def answer_contexts(blobs: list[bytes], crowd: int = CROWD) -> list[bytes]:
     """For each pack's contexts: settled with the owner's least doc_id (0), open (1), or open and crowded (2)."""
     got = [_unpack(b, np.uint64, np.uint64, np.uint64, np.int64) for b in blobs]
     owner, body, other, doc = (np.concatenate(x) for x in zip(*got, strict=True))
+    state, settled = np.empty(len(owner), np.uint8), np.empty(len(owner), np.int64)
+    # Owners are independent of one another: sorted arrays stay small, however large a bucket is.
+    n = max(1, len(owner) >> 16)
+    part = (owner % np.uint64(n)).astype(np.int64)
+    for x in np.split(np.argsort(part, kind="stable"), np.cumsum(np.bincount(part, minlength=n))[:-1]):
+        state[x], settled[x] = _contexts_of(owner[x], body[x], other[x], doc[x], crowd)
+    at = np.cumsum([len(g[0]) for g in got])[:-1]
+    return [_pack(s, x) for s, x in zip(np.split(state, at), np.split(settled, at), strict=True)]
+
+
+def _contexts_of(owner: np.ndarray, body: np.ndarray, other: np.ndarray, doc: np.ndarray, crowd: int) -> tuple[np.ndarray, np.ndarray]:
+    state, settled = np.empty(len(owner), np.uint8), np.empty(len(owner), np.int64)
+    if not len(owner):
+        return state, settled
     order = np.lexsort((other, body, owner))
     o, c, d = owner[order], body[order], other[order]
     group = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
@@ -260,11 +297,9 @@ def answer_contexts(blobs: list[bytes], crowd: int = CROWD) -> list[bytes]:
     kinds = np.add.reduceat(new.astype(np.int64), group)
     size = np.diff(np.r_[group, len(o)])
     least = np.minimum.reduceat(doc[order], group)
-    state, settled = np.empty(len(o), np.uint8), np.empty(len(o), np.int64)
     state[order] = np.repeat(np.where(kinds == 1, 0, np.where(kinds > crowd, 2, 1)).astype(np.uint8), size)
     settled[order] = np.repeat(np.where(kinds == 1, least, _NEVER), size)
-    at = np.cumsum([len(g[0]) for g in got])[:-1]
-    return [_pack(s, x) for s, x in zip(np.split(state, at), np.split(settled, at), strict=True)]
+    return state, settled
 
 
 def sorted_suffixes(text: np.ndarray) -> np.ndarray:
@@ -311,24 +346,46 @@ def merged_blocks(texts: list[np.ndarray], depth: int = _DEPTH) -> tuple[np.ndar
     return place, block
 
 
-def answer_strings(blobs: list[bytes]) -> list[bytes]:
-    """For each pack's jobs: the number of runs, and each run's number of strings and least doc_id."""
+def answer_strings(blobs: list[bytes], part_bytes: int = PART) -> list[bytes]:
+    """For each pack's jobs: the number of runs, and each run's number of strings and least doc_id.
+
+    Strings of different owners are different, so a bucket is taken in parts of about part_bytes by its owners' hash.
+    """
+    got = [_unpack(b, np.uint8, np.uint8, np.int64, np.uint8) for b in blobs]
+    left, right, doc = (np.concatenate([g[i] for g in got]) for i in range(3))
+    raw, jobs = b"".join(g[3].tobytes() for g in got), [len(g[0]) for g in got]
+    del got
+    sizes = left.astype(np.int64) + right + KEY
+    at = np.cumsum(sizes) - sizes
+    n = -(-len(raw) // part_bytes)
+    if n > 1:
+        part = np.array([zlib.crc32(raw[k : k + KEY]) % n for k in (at + left).tolist()], np.int64)
+        order = np.argsort(part, kind="stable")
+        cuts = np.cumsum(np.bincount(part, minlength=n))[:-1]
+    else:
+        order, cuts = np.arange(len(doc)), np.zeros(0, np.int64)
+    parts = [_strings_of(raw, left[x], right[x], doc[x], at[x]) for x in np.split(order, cuts) if len(x)]
+    counts, length, low = (np.concatenate(x) for x in zip(*parts, strict=True))
+    base, runs = np.empty(len(doc), np.int64), np.empty(len(doc), np.int64)
+    base[order], runs[order] = np.cumsum(counts) - counts, counts
+    out = []
+    for own in np.split(np.arange(len(doc)), np.cumsum(jobs)[:-1]):
+        pick = np.repeat(base[own], runs[own]) + _ragged(runs[own])
+        out.append(_pack(runs[own].astype(np.uint8), length[pick], low[pick]))
+    return out
+
+
+def _strings_of(raw: bytes, left: np.ndarray, right: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(runs of each job, number of strings of each run, least doc_id of each run), by job."""
     rows: dict[bytes, int] = {}
     owners: dict[bytes, int] = {}
-    row_of, docs, jobs = [], [], []
-    for blob in blobs:
-        left, right, doc, data = _unpack(blob, np.uint8, np.uint8, np.int64, np.uint8)
-        raw, at = data.tobytes(), 0
-        for a, b in zip(left.tolist(), right.tolist(), strict=True):
-            key = at + a
-            mark = owners.setdefault(raw[key : key + KEY], len(owners))
-            end = key + KEY + b
-            row_of.append(rows.setdefault(bytes((a, b)) + raw[at:key] + mark.to_bytes(_MARK, "big") + raw[key + KEY : end], len(rows)))
-            at = end
-        docs.append(doc)
-        jobs.append(len(left))
+    row_of = []
+    for a, b, o in zip(left.tolist(), right.tolist(), at.tolist(), strict=True):
+        key = o + a
+        mark = owners.setdefault(raw[key : key + KEY], len(owners))
+        row_of.append(rows.setdefault(bytes((a, b)) + raw[o:key] + mark.to_bytes(_MARK, "big") + raw[key + KEY : key + KEY + b], len(rows)))
     del owners
-    row_of, doc = np.array(row_of, np.int64), np.concatenate(docs)
+    row_of = np.array(row_of, np.int64)
     least = np.full(len(rows), _NEVER)
     np.minimum.at(least, row_of, doc)
     keys = list(rows)
@@ -359,11 +416,9 @@ def answer_strings(blobs: list[bytes]) -> list[bytes]:
     run = np.flatnonzero(new)
     length, low = np.diff(np.r_[run, len(found)]).astype(np.uint8), found[run]
     runs = np.bincount(row_at[run], minlength=len(keys))
-    base, out = np.cumsum(runs) - runs, []
-    for own in np.split(row_of, np.cumsum(jobs)[:-1]):
-        pick = np.repeat(base[own], runs[own]) + _ragged(runs[own])
-        out.append(_pack(runs[own].astype(np.uint8), length[pick], low[pick]))
-    return out
+    base = np.cumsum(runs) - runs
+    pick = np.repeat(base[row_of], runs[row_of]) + _ragged(runs[row_of])
+    return runs[row_of], length[pick], low[pick]
 
 
 _PACKS = T.StructType([T.StructField("pack", T.LongType()), T.StructField("rows", T.BinaryType()), T.StructField("sizes", T.BinaryType()), T.StructField("nulls", T.BinaryType()), T.StructField("data", T.BinaryType()), T.StructField("n_bytes", T.LongType())])
@@ -438,7 +493,8 @@ def _asked(packs: DataFrame, answers: DataFrame | None, number: int, bits: int,
 
         def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for row in b.to_pylist():
+                for i in range(b.num_rows):
+                    (row,) = b.slice(i, 1).to_pylist()
                     yield from blobs(_replayed(row, [], bits, 0), row["pack"]).to_batches()
 
         return packs.mapInArrow(first, _BLOBS)
@@ -487,6 +543,19 @@ def _answered(asked: DataFrame, number: int, crowd: int, shift: int, squads: int
     return dealt.groupBy("bucket").applyInArrow(answers_of, _DEALT).groupBy("area", "squad").applyInArrow(collect, _BLOBS)
 
 
+@contextmanager
+def _few_rows_a_batch(spark: SparkSession, packs: bool) -> Iterator[None]:
+    """While packs are read one by one: a row is megabytes, and a batch of them stands in memory on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(name)
+    if packs:
+        spark.conf.set(name, "8")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, held)
+
+
 def repeated_spans(docs: DataFrame, pack_bytes: int = PACK, crowd: int = CROWD, bucket_bytes: int = BUCKET, direct: int = DIRECT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends) for every row: maximal removed byte runs."""
     ship(docs.sparkSession)
@@ -497,7 +566,8 @@ def repeated_spans(docs: DataFrame, pack_bytes: int = PACK, crowd: int = CROWD,
     squads = max(1, n_packs >> shift)
     answers = None
     for number in range(3):
-        said = stored(_answered(_asked(packs, answers, number, bits, shift), number, crowd, shift, squads), f"answers{number}")
+        with _few_rows_a_batch(docs.sparkSession, not number):
+            said = stored(_answered(_asked(packs, answers, number, bits, shift), number, crowd, shift, squads), f"answers{number}")
         answers = said if answers is None else answers.union(said)
     id_type = docs.schema["doc_id"]
     fields = [T.StructField("doc_id", T.LongType()), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType()), *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("starts", "ends")]]

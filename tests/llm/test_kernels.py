@@ -3,6 +3,7 @@
 import hashlib
 import heapq
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -260,3 +261,27 @@ def test_blocks_by_binary_search(spark):
         d = spark.range(-20, 320)
         got = [r[0] for r in d.select(fingerprints._place(d["id"], cuts)).collect()]
         assert got == np.searchsorted(np.array(cuts, np.int64), np.arange(-20, 320), "right").tolist()
+
+
+def test_contexts_of_many_documents_are_those_of_each():
+    texts = [bytes(RNG.randrange(97, 101) for _ in range(n)) for n in (0, 300, 49, 50, 1000, 7, 2000)]
+    data, sizes = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+    each = [suffixes.contexts(np.frombuffer(t, np.uint8)) for t in texts]
+    offsets = np.cumsum(sizes) - sizes
+    for i, got in enumerate(suffixes.contexts(data, sizes)):
+        assert got.tolist() == np.concatenate([e[i] + (o if i > 2 else e[i].dtype.type(0)) for e, o in zip(each, offsets.tolist(), strict=True)]).tolist()
+
+
+def test_a_bucket_is_answered_in_parts():
+    """Parts give the answers of the whole, in memory that does not follow the bucket's size (the whole takes tens of bytes for each of its own)."""
+    rng = np.random.default_rng(5)
+    left, doc = rng.integers(0, 27, 30_000).astype(np.uint8), rng.integers(0, 99, 30_000)
+    data = rng.integers(97, 99, int(left.sum()) + 50 * len(left)).astype(np.uint8)
+    blob = suffixes._pack(left, np.full(len(left), 26, np.uint8), doc, data)
+    peaks, said = [], []
+    for part_bytes in (1 << 30, 1 << 16):
+        tracemalloc.start()
+        said.append(suffixes.answer_strings([blob], part_bytes))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert said[0] == said[1] and peaks[1] * 3 < peaks[0]
