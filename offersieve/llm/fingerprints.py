@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +36,19 @@ _WALK, _FIRST = 4096, 64
 _STEPS: np.ndarray | None = None
 
 
-def _steps(empty: np.ndarray, at: int, n: int = 32) -> np.ndarray:
-    """The n bins from the at-th on that each empty bin visits; the first ones, which nearly always do, are kept."""
+@lru_cache(maxsize=1)
+def _whole_walks() -> np.ndarray:
+    return _walk(np.arange(BINS), 0, _WALK)
+
+
+def _steps(empty: np.ndarray | None = None, at: int = 0, n: int = 32) -> np.ndarray:
+    """The n bins from the at-th on that each empty bin visits; the first ones, which nearly always do, are kept.
+
+    Without arguments the whole walks of all bins.
+    """
     global _STEPS
+    if empty is None:
+        return _whole_walks()
     if _STEPS is None:
         _STEPS = _walk(np.arange(BINS), 0, _FIRST)
     return _STEPS[empty, at : at + n] if at + n <= _FIRST else _walk(empty, at, n)
