@@ -5,8 +5,9 @@ Raw rows hold (source_row int, cells array<string>, numbers array<double>, empty
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from offersieve.operators import duplicates
 from offersieve.operators.mapping import Mapping_, pick
 from offersieve.operators.metrics import LONG_CYCLE_DAYS, in_core, is_accepted, is_rejected
 from offersieve.schema import EXTENSION_FIELDS, JOINED, KEEP_FIRST, PENDING, REFERRAL, RULES_VERSION, SALARY_UNITS, SCHEMA_VERSION, STANDARD_FIELDS, UNKNOWN
+from offersieve.tables import stored
 
 _HEADERS = {f[0]: f[1] for f in STANDARD_FIELDS}
 _TEXT_FIELDS = {"requirement_id": "requirementId", "recruiter": "recruiter", "department": "department", "position": "position", "job_family": "jobFamily", "candidate_name": "candidateName", "referrer": "referrer"}
@@ -53,13 +55,30 @@ class Settings:
 
 @dataclass(frozen=True)
 class Cleaned:
-    """records: kept ones; issues: (source_row, code, field, raw); lineage: (source_row, field, raw, value, rule, confirm)."""
+    """records: kept ones; issues: (source_row, code, field, raw); lineage: (source_row, field, raw, value, rule, confirm).
+
+    The first of records, issues and counts that is asked for has the resolvers run and their values written, once for all three.
+    """
 
-    records: DataFrame
-    issues: DataFrame
     lineage: DataFrame
-    counts: DataFrame
     settings: Settings = field(repr=False)
+    make: Callable[[], tuple[DataFrame, DataFrame, DataFrame]] = field(repr=False)
+
+    @cached_property
+    def _made(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        return self.make()
+
+    @property
+    def records(self) -> DataFrame:
+        return self._made[0]
+
+    @property
+    def issues(self) -> DataFrame:
+        return self._made[1]
+
+    @property
+    def counts(self) -> DataFrame:
+        return self._made[2]
 
 
 def sheet_signature(headers: Sequence[str], sheet: str = "", rows: int | None = None) -> str:
@@ -214,6 +233,8 @@ def clean(rows: DataFrame, mapping: Mapping_, s: Settings, corrections: DataFram
     admitted = rows.where("not empty")
     if not s.include_hidden:
         admitted = admitted.where("not hidden")
+    # Resolvers cost more than moving rows: a list in few pieces is dealt to all tasks.
+    admitted = admitted.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     # Compatibility form once for the whole row; raw_cells keep what was written.
     admitted = admitted.withColumns({"raw_cells": F.col("cells"), "cells": nfkc_cells("cells")})
     admitted = admitted.withColumn("echo", header_echo(F.col("cells"), mapping.headers))
@@ -226,31 +247,40 @@ def clean(rows: DataFrame, mapping: Mapping_, s: Settings, corrections: DataFram
     v = values(resolved(admitted, mapping, s), mapping, s)
     record_id = F.sha2(F.concat_ws("\u001f", F.lit(dataset_id), F.lit(batch_id), F.coalesce("file", F.lit("")), F.lit(sheet), F.col("source_row").cast("string")), 256).substr(1, 32)
     v = v.withColumns({"record_id": record_id, "offer_id": F.col("extensions")["offerId"], "issues": issue_array(mapping, s)})
-    keys = v.withColumns({"exact_key": duplicates.exact_key(F.col("cells")), "suspected_key": duplicates.suspected_key()}).select("record_id", "source_row", "exact_key", "suspected_key")
-    marked = duplicates.decide(duplicates.mark(keys), s.dedup_strategy, s.dedup_confirmed)
-    joined = v.join(marked.select("record_id", "dup_kind", "dup_group", "is_first", "dedup_action", "dedup_by"), "record_id")
+    v = v.withColumns({"exact_key": duplicates.exact_key(F.col("cells")), "suspected_key": duplicates.suspected_key()})
+
+    def make() -> tuple[DataFrame, DataFrame, DataFrame]:
+        hidden = [c for c in v.columns if c.startswith("r_")] + ["g", "raw_cycle_days", "numbers", "notes", "empty", "channel_inferred"]
+        return _outputs(stored(v.drop(*hidden), "values"), rows, s, dataset_id, batch_id, sheet)
+
+    return Cleaned(lineage(v, mapping), s, make)
+
+
+def _outputs(v: DataFrame, rows: DataFrame, s: Settings, dataset_id: str, batch_id: str, sheet: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Records, issues and counts from values on disk: they are read several times, and resolvers are dear."""
+    marked = duplicates.decide(duplicates.mark(v.select("record_id", "source_row", "exact_key", "suspected_key")), s.dedup_strategy, s.dedup_confirmed)
+    marked = stored(marked.select("record_id", "dup_kind", "dup_group", "is_first", "dedup_action", "dedup_by"), "marked")
+    joined = v.drop("exact_key", "suspected_key").join(marked, "record_id")
     dup_code = F.when(F.col("dup_kind") == "exact", F.lit("EXACT_DUPLICATE")).when(F.col("dup_kind") == "suspected", F.lit("SUSPECTED_DUPLICATE"))
-    group_issues = joined.where("dup_kind <> 'none' and is_first").select("record_id", "source_row", dup_code.alias("code"), F.lit(None).cast("string").alias("field"), F.col("dup_group").alias("raw"))
+    firsts = marked.where("dup_kind <> 'none' and is_first").join(v.select("record_id", "source_row"), "record_id")
+    group_issues = firsts.select("record_id", "source_row", dup_code.alias("code"), F.lit(None).cast("string").alias("field"), F.col("dup_group").alias("raw"))
     issues = v.select("record_id", "source_row", F.inline("issues")).unionByName(group_issues)
     # Every member of a duplicate group has its flag; the group's issue stands at its first row.
     flags = F.array_sort(F.array_distinct(F.concat(F.transform("issues", lambda i: i["code"]), F.array_compact(F.array(dup_code)))))
-    hidden = [c for c in joined.columns if c.startswith("r_")] + ["g", "echo", "raw_cycle_days", "numbers", "notes", "empty", "channel_inferred", "issues"]
-    records = joined.withColumn("d_flags", flags).drop(*hidden).where("dedup_action <> 'removedAsDuplicate'").withColumns(
+    records = joined.withColumn("d_flags", flags).drop("echo", "issues").where("dedup_action <> 'removedAsDuplicate'").withColumns(
         {
             "dataset_id": F.lit(dataset_id), "batch_id": F.lit(batch_id), "source_sheet": F.lit(sheet), "schema_version": F.lit(SCHEMA_VERSION), "rules_version": F.lit(RULES_VERSION),
             "data_as_of": F.lit(s.as_of).cast("date"), "display_id": display_id(F.col("record_id")),
         }
     )
     raw = rows.agg(F.count("*").alias("n_raw"), F.count_if("empty").alias("n_empty"), F.count_if(F.col("hidden")).alias("n_hidden"))
-    # One aggregation over the records, so that the resolvers run once for all these figures.
     stays = F.col("dedup_action") != "removedAsDuplicate"
     with_issue = (F.size("issues") > 0) | ((F.col("dup_kind") != "none") & F.col("is_first"))
     figures = joined.agg(
         F.count("*").alias("n_built"), F.count_if(~stays).alias("n_removed"), F.count_if("echo").alias("n_header_echo"), F.count_if(stays).alias("n_kept"),
         F.count_distinct(F.when(stays, F.col("requirement_id"))).alias("n_requirements"), F.count_if(with_issue).alias("n_issue_rows"),
     )
-    counts = raw.crossJoin(figures)  # two tables of one row
-    return Cleaned(records, issues, lineage(v, mapping), counts, s)
+    return records, issues, raw.crossJoin(figures)  # the counts: two tables of one row
 
 
 def append(current: DataFrame, new: DataFrame, strategy: str = KEEP_FIRST, confirmed: bool = False) -> DataFrame:
@@ -267,6 +297,7 @@ def append(current: DataFrame, new: DataFrame, strategy: str = KEEP_FIRST, confi
     both = current.unionByName(added, allowMissingColumns=True)
     order = (F.col("batch_no").cast("long") * 2**32 + F.col("source_row")).alias("source_row")
     keys = both.withColumns({"exact_key": duplicates.exact_key(F.col("cells")), "suspected_key": duplicates.suspected_key()}).select("record_id", order, "exact_key", "suspected_key")
+    keys = stored(keys, "keys")  # read four times
     marked = duplicates.decide(duplicates.mark(keys), strategy, confirmed).select("record_id", "dup_kind", "dup_group", "dedup_action", "dedup_by")
     out = both.drop("dup_kind", "dup_group", "dedup_action", "dedup_by", "is_first").join(marked, "record_id")
     return out.where("dedup_action <> 'removedAsDuplicate'")
