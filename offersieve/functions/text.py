@@ -72,7 +72,7 @@ def is_null_token(text: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return c.isNull() | (trim_space(c) == "")
+    return c.isNull() | ~c.rlike(f"[^{SPACE}]")
 
 
 def value_or_null(c: Column) -> Column:

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from offersieve.functions.dates import month_of
 from offersieve.functions.numbers import band_of, cycle_band_of
 from offersieve.functions.text import text_or_unknown, tri_label
-from offersieve.operators.metrics import actual_days, bundled, with_rates
+from offersieve.operators.metrics import actual_days, bundle_of, bundled, count_where, counted, merged, with_rates
 from offersieve.operators.ranking import ranked_by
 from offersieve.schema import CORE, UNKNOWN, UNSPLIT
+from offersieve.tables import stored
 
 
 def by_core() -> tuple[Column, ...]:
@@ -91,17 +92,19 @@ def ranked(groups: DataFrame) -> DataFrame:
 
 def top_with_other(records: DataFrame, name: str, n: int, edges: Sequence[float] = ()) -> DataFrame:
     """The first n groups and one for the rest, aggregated from its records; all groups if there are no more than n, or n is 0."""
-    keyed = records.withColumn("key", dimension(name, edges))
+    values = counted(records, key=dimension(name, edges))
     if n > 0:
+        # Records are read once: the first n and the rest are both made of the counted values.
+        values = stored(values, "counted")
+        core = count_where(F.col("offer_status").isin(*CORE), F.col("_n"))
+        sizes = values.where("is_record").groupBy(F.col("_key").alias("key")).agg(core.alias("n_core"), F.sum("_n").alias("n_total"))
         # D and N of each key are enough to find the first n; only these and one count go to all tasks.
-        core = F.count_if(F.col("offer_status").isin(*CORE))
-        sizes = records.groupBy(dimension(name, edges).alias("key")).agg(core.alias("n_core"), F.count("*").alias("n_total"))
         first = sizes.orderBy(*by_core()).limit(n).select(F.col("key").alias("_first"))
         groups = sizes.agg(F.count("*").alias("_groups"))
         rest = F.concat(F.lit("其他（"), (F.col("_groups") - n).cast("string"), F.lit(" 个分组合并）"))
-        keyed = keyed.join(F.broadcast(first), F.col("key") == F.col("_first"), "left").crossJoin(F.broadcast(groups))
-        keyed = keyed.withColumn("key", F.coalesce("_first", rest))
-    return with_rates(bundled(keyed, key=F.col("key"))).withColumn("is_merged", F.col("key").rlike(r"^其他（\d+ 个分组合并）$"))
+        values = values.join(F.broadcast(first), F.col("_key") == F.col("_first"), "left").crossJoin(F.broadcast(groups))
+        values = merged(values, key=F.coalesce("_first", rest))
+    return with_rates(bundle_of(values, "key")).withColumn("is_merged", F.col("key").rlike(r"^其他（\d+ 个分组合并）$"))
 
 
 def facets(records: DataFrame, name: str, edges: Sequence[float] = ()) -> DataFrame:

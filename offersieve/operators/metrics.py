@@ -85,7 +85,12 @@ def cycle_stats(days: Column, name: str, weight: Column | None = None) -> list[C
 
 
 def bundled(records: DataFrame, **keys: Column) -> DataFrame:
-    """keys plus everything a group shows: status counts, cycles, different requirements, rows without one, filled reasons.
+    """keys plus everything a group shows: status counts, cycles, different requirements, rows without one, filled reasons."""
+    return bundle_of(counted(records, **keys), *keys)
+
+
+def counted(records: DataFrame, **keys: Column) -> DataFrame:
+    """Different values of what a bundle needs, by keys (as columns with a _ before), with their number _n.
 
     Each record gives two rows, what it counts for and its requirement; equal rows are counted first, on the map side and
     then in one shuffle, so that a large group comes to its quantiles and different requirements as few counted values.
@@ -101,13 +106,24 @@ def bundled(records: DataFrame, **keys: Column) -> DataFrame:
         none("string").alias("offer_status"), none("int").alias("actual"), none("int").alias("planned"), none("boolean").alias("filled"), none("boolean").alias("no_requirement"),
         F.lit(False).alias("is_record"), trim_space(F.col("requirement_id")).alias("requirement"),
     )
-    names = {f"_{name}": name for name in keys}
     both = F.when(blank, F.array(facts)).otherwise(F.array(facts, requirement))
     rows = records.select(*[value.alias(f"_{name}") for name, value in keys.items()], F.inline(both))
-    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n"))
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("_n"))
+
+
+def merged(parts: DataFrame, **keys: Column) -> DataFrame:
+    """Counted values under other keys, for which groups are put together: equal ones are summed."""
+    facts = ("offer_status", "actual", "planned", "filled", "no_requirement", "is_record", "requirement")
+    named = {f"_{name}": value for name, value in keys.items()}
+    return parts.select(*[value.alias(name) for name, value in named.items()], *facts, "_n").groupBy(*named, *facts).agg(F.sum("_n").alias("_n"))
+
+
+def bundle_of(values: DataFrame, *keys: str) -> DataFrame:
+    """The bundle of counted values, by keys."""
+    names = {f"_{name}": name for name in keys}
     n = F.when(F.col("is_record"), F.col("_n"))  # what a requirement counts for in the figures of records: nothing
     weight = F.coalesce(n, F.lit(0))
-    out = counted.groupBy(*names).agg(
+    out = values.groupBy(*names).agg(
         *status_counts(n), *cycle_stats(F.col("actual"), "actual", weight), *cycle_stats(F.col("planned"), "planned", weight),
         F.count("requirement").alias("n_requirements"), count_where(F.col("no_requirement"), n).alias("n_requirement_missing"), count_where(F.col("filled"), n).alias("n_reason_filled"),
     )
