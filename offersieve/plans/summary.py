@@ -18,13 +18,16 @@ from offersieve.operators.grouping import dimension
 from offersieve.operators.metrics import LONG_CYCLE_DAYS, actual_days, count_where, cycle_stats, planned_days, status_counts
 from offersieve.operators.rejection import comparison_group, reason_distribution
 from offersieve.schema import DIMENSIONS, UNFILLED
+from offersieve.tables import stored
 
 #: Records of both groups from which a profile cell can be published.
 PROFILE_LEAST = 5
 
 
 def _counted(records: DataFrame, names: Sequence[str], edges: Sequence[float]) -> DataFrame:
-    """(dimension, key, offer_status, days, _n) of all dimensions."""
+    """(dimension, key, offer_status, days, _n) of all dimensions.
+
+    """
     pairs = F.array(*[F.struct(F.lit(n).alias("dimension"), dimension(n, edges).alias("key")) for n in names])
     rows = records.select("offer_status", actual_days().alias("days"), F.inline(pairs))
     return rows.groupBy("dimension", "key", "offer_status", "days").agg(F.count("*").alias("_n"))
@@ -32,8 +35,12 @@ def _counted(records: DataFrame, names: Sequence[str], edges: Sequence[float]) -
 
 def dimension_tables(records: DataFrame, names: Sequence[str] = DIMENSIONS, edges: Sequence[float] = ()) -> DataFrame:
     """(dimension, key, N, D, R, n_rejected_group, n_joined_group, n_compared, cycle_n, cycle_median) of every group."""
+    return _tables(_counted(records, names, edges))
+
+
+def _tables(values: DataFrame) -> DataFrame:
     n = F.col("_n")
-    groups = _counted(records, names, edges).groupBy("dimension", "key").agg(*status_counts(n), *cycle_stats(F.col("days"), "actual", n))
+    groups = values.groupBy("dimension", "key").agg(*status_counts(n), *cycle_stats(F.col("days"), "actual", n))
     return groups.select(
         "dimension", "key", F.col("n_total").alias("N"), F.col("n_core").alias("D"), F.col("n_rejected").alias("R"), F.col("n_rejected").alias("n_rejected_group"), F.col("n_joined").alias("n_joined_group"),
         (F.col("n_rejected") + F.col("n_joined")).alias("n_compared"), F.col("actual_n").alias("cycle_n"), F.col("actual_median").alias("cycle_median"),
@@ -47,11 +54,12 @@ def rejection_profile(records: DataFrame, names: Sequence[str] = DIMENSIONS, edg
     contrast is their difference in percentage points.  Cells in neither group are left out; usable ones have `least`
     records in both together.
     """
-    pairs = F.array(*[F.struct(F.lit(n).alias("dimension"), dimension(n, edges).alias("key")) for n in names])
-    compared = records.select(comparison_group().alias("side"), F.inline(pairs)).where("side is not null")
-    counted = compared.groupBy("dimension", "key", "side").agg(F.count("*").alias("n"))
-    sides = [F.coalesce(F.sum(F.when(F.col("side") == s, F.col("n"))), F.lit(0)) for s in ("rejected", "joined")]
-    cells = counted.groupBy("dimension", "key").agg(sides[0].alias("n_rejected_group"), sides[1].alias("n_joined_group"))
+    return _profile(records, _counted(records, names, edges), least)
+
+
+def _profile(records: DataFrame, values: DataFrame, least: int) -> DataFrame:
+    sides = [count_where(comparison_group() == s, F.col("_n")) for s in ("rejected", "joined")]
+    cells = values.where(comparison_group().isNotNull()).groupBy("dimension", "key").agg(sides[0].alias("n_rejected_group"), sides[1].alias("n_joined_group"))
     totals = records.agg(*[count_where(comparison_group() == s).alias(f"_{s}") for s in ("rejected", "joined")])
     shares = [rate(F.col(f"n_{s}_group"), F.col(f"_{s}")) for s in ("rejected", "joined")]
     return cells.crossJoin(F.broadcast(totals)).select(  # one row
@@ -84,9 +92,13 @@ def analysis_summary(records: DataFrame, names: Sequence[str] = DIMENSIONS, edge
         values = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures])
         return df.select(F.lit(section).alias("section"), "dimension", "key", F.inline(values))
 
+    # Five tables of the same records: these are joined and counted once.
+    used = [c for c in records.columns if c in {*names, "salary_amount", "school", "offer_status", "start_date", "join_date", "rejection_reason"}]
+    records = stored(records.select(*used), "records")
+    values = stored(_counted(records, names, edges), "counted")
     out = key_figures(records, too_long).select("section", none.alias("dimension"), none.alias("key"), "measure", "value")
-    out = out.union(long(dimension_tables(records, names, edges), "dimension", ("N", "D", "R", "n_compared", "cycle_n", "cycle_median")))
-    out = out.union(long(rejection_profile(records, names, edges).where("usable"), "profile", ("n_rejected_group", "n_joined_group", "contrast")))
+    out = out.union(long(_tables(values), "dimension", ("N", "D", "R", "n_compared", "cycle_n", "cycle_median")))
+    out = out.union(long(_profile(records, values, PROFILE_LEAST).where("usable"), "profile", ("n_rejected_group", "n_joined_group", "contrast")))
     reasons = reason_distribution(records).select(none.alias("dimension"), F.col("category").alias("key"), F.col("n").alias("count"), (F.col("category") == UNFILLED).cast("int").alias("unfilled"))
     return out.union(long(reasons, "reasons", ("count", "unfilled")))
 
