@@ -6,6 +6,7 @@ One SELECT that Spark and DuckDB read alike; record_id is a label, not a key.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 
@@ -51,7 +52,11 @@ def register(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = TABLES)
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
 
-def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Offer records over the test tables."""
+def offers(spark: SparkSession, sf_dir: str, places: bool = False) -> DataFrame:
+    """Offer records over the test tables; with places, where each stands in the list as `place`: record_id is no key, so orders by it need one."""
     register(spark, sf_dir)
-    return spark.sql(OFFERS_SQL)
+    if not places:
+        return spark.sql(OFFERS_SQL)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    lines.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("place")).createOrReplaceTempView("lineitem")
+    return spark.sql(OFFERS_SQL.replace("\nFROM lineitem l", ", l.place\nFROM lineitem l", 1))

@@ -777,8 +777,15 @@ _register(
     lambda d: ranking.ranked_by(d.select("record_id", "salary_amount", "start_date"), [F.desc_nulls_last("salary_amount"), F.asc("start_date"), F.asc("record_id")]),
     _sql("SELECT record_id, round(salary_amount, 6) AS salary_amount, start_date::VARCHAR AS start_date, row_number() OVER (ORDER BY salary_amount DESC NULLS LAST, start_date, record_id) AS rank FROM offers"),
 )
-_register(
-    "detail_page",
-    lambda d: ranking.paged(d.select("record_id", "recruiter", "start_date"), [F.desc("start_date"), F.asc("record_id")]).page(7),
-    _sql("SELECT record_id, recruiter, start_date::VARCHAR AS start_date, rank FROM (SELECT *, row_number() OVER (ORDER BY start_date DESC, record_id) AS rank FROM offers) WHERE rank BETWEEN 151 AND 175"),
+
+
+def _detail_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page 7 by start; several records may have one label, these stand as in the list."""
+    rows = offers(spark, sf_dir, places=True).select("record_id", "recruiter", "start_date", "place")
+    return _rounded(ranking.paged(rows, [F.desc("start_date"), F.asc("record_id"), F.asc("place")]).page(7).drop("place"))
+
+
+QUERIES["detail_page"] = _detail_page
+ORACLE_SQL["detail_page"] = (
+    _sql("SELECT record_id, recruiter, start_date::VARCHAR AS start_date, rank FROM (SELECT *, row_number() OVER (ORDER BY start_date DESC, record_id) AS rank FROM offers) WHERE rank BETWEEN 151 AND 175")
 )
