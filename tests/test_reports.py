@@ -186,3 +186,21 @@ def test_many_sentinels_need_no_nested_loop(spark):
     rows = scan.rows_with_sentinels(texts, values)
     assert {r.id for r in rows.collect()} == set(range(0, 100_000, 1000))
     assert "NestedLoop" not in rows._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("filter_bits", [1 << 29, 1 << 10])
+def test_long_lists_of_sentinels_take_one_pass(spark, filter_bits):
+    """However many bytes sentinels have; a full filter, spans that repeat and spans across pieces of a long text change nothing."""
+    words = [f"Person {i}é!" for i in range(4000)] + ["e", "é", "person", "x" * 70, "ab" * 40]
+    values = spark.createDataFrame([(w,) for w in words], "value string")
+    long = "ab" * 32_760 + "person 17é! Person 3999é!" + "é" * 90_000 + "person 18é" + "x" * 69
+    texts = [(1, long), (1, long), (2, "person 1é"), (3, "!person 12é!person 12é!"), (4, None), (5, ""), (6, "x" * 71)] + [(i, f"seen: PERSON {i}É!") for i in range(10, 60)]
+    frame = spark.createDataFrame(texts, "id int, text string").repartition(3)
+    want = Counter((i, w.lower()) for i, t in texts for w in words if w.lower() in (t or "").lower())
+    counted = scan.sentinel_counts(frame, values, block_bytes=300, filter_bits=filter_bits)
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") + plan.count("EvalPython") == 1
+    assert Counter({r.id: r.n_sentinels for r in counted.where("id > 1").collect()}) == Counter({i: sum(n for (k, _), n in want.items() if k == i) for i, _ in texts if i > 1})
+    assert [r.n_sentinels for r in counted.where("id = 1").collect()] == [sum(n for (k, _), n in want.items() if k == 1) // 2] * 2
+    hits = scan.sentinel_hits(frame, values, block_bytes=300, filter_bits=filter_bits)
+    assert hits.columns == ["id", "text", "sentinel"] and Counter((r.id, r.sentinel) for r in hits.collect()) == want
