@@ -31,8 +31,8 @@ _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CONTROL_SEPARATORS = "\x1c\x1d\x1e\x1f"
 _CHUNKS = regex.compile(f"[^{_SPACE}]+")
 _END = "</w>"
-#: Entries a worker remembers; a full memory is emptied, results do not depend on it.
-MEMORY = 500_000
+#: Entries a worker remembers while a task runs; a full memory is emptied, results do not depend on it.
+MEMORY = 200_000
 
 
 def byte_alphabet() -> list[str]:
@@ -160,6 +160,11 @@ class ForcedBoundaryBpe:
                 out.append(get(chunk) or self._chunk(chunk))
         return out
 
+    def forget(self) -> None:
+        """What was remembered goes: workers outlive their tasks and then hold it beside the next stage's data."""
+        self.fragments.clear()
+        self.chunks.clear()
+
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for part in self._parts(text or "") for i in part[0].split()]
 
@@ -191,10 +196,13 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
-        for b in batches:
-            column = pa.array([bpe.encode(t) for t in b.column(text).to_pylist()], pa.list_(pa.int32()))
-            rest = [(f.name, b.column(f.name)) for f in b.schema if f.name != ids]
-            yield pa.RecordBatch.from_arrays([c for _, c in rest] + [column], [n for n, _ in rest] + [ids])
+        try:
+            for b in batches:
+                column = pa.array([bpe.encode(t) for t in b.column(text).to_pylist()], pa.list_(pa.int32()))
+                rest = [(f.name, b.column(f.name)) for f in b.schema if f.name != ids]
+                yield pa.RecordBatch.from_arrays([c for _, c in rest] + [column], [n for n, _ in rest] + [ids])
+        finally:
+            bpe.forget()
 
     return docs.mapInArrow(run, out)
 
@@ -221,13 +229,16 @@ def digests(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
-        for b in batches:
-            found = [bpe.digest(t) for t in b.column(1).to_pylist()]
-            n, ids, decoded, joined = zip(*found, strict=True) if found else ((), (), (), ())
-            columns = [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
-            if with_ids:
-                columns.append(pa.array([np.fromstring(x, np.int32, sep=" ") for x in joined], pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
+        try:
+            for b in batches:
+                found = [bpe.digest(t) for t in b.column(1).to_pylist()]
+                n, ids, decoded, joined = zip(*found, strict=True) if found else ((), (), (), ())
+                columns = [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
+                if with_ids:
+                    columns.append(pa.array([np.fromstring(x, np.int32, sep=" ") for x in joined], pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
+        finally:
+            bpe.forget()
 
     fields = [docs.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if with_ids:

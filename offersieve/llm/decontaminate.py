@@ -46,7 +46,8 @@ from offersieve.session import ship
 WINDOW, LITERALS, MIN_TOKENS, SHARE, LEAST_BITS = 8, 5, 3, 0.4, 10.0
 #: Window hashes that are sent to every task at most (32 MB); beyond, all windows go through the join.
 MAX_SENT = 4_000_000
-_REMEMBERED = 500_000
+#: Words that a worker remembers while a task runs.
+_REMEMBERED = 200_000
 NUMBER, QUANTITY, NAME, UNIT = range(1, 5)
 _SLOT = series(5, 71)
 _PLACES = series(64, 73) | np.uint64(1)
@@ -106,11 +107,16 @@ class _Words(dict):
 _words = _Words()
 
 
+def forget() -> None:
+    """What was remembered goes: workers outlive their tasks and then hold it beside the next stage's data."""
+    global _words
+    _words = _Words()
+
+
 def _read(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Words, template hashes, which of them are placeholders, and word hashes."""
-    global _words
     if len(_words.kinds) >= _REMEMBERED:
-        _words = _Words()
+        forget()
     words = (text or "").split()
     at = np.fromiter(map(_words.__getitem__, words), np.int64, len(words))
     kinds, codes, plain = (np.frombuffer(x, t)[at] if len(at) else np.zeros(0, t) for x, t in ((_words.kinds, np.int8), (_words.codes, np.uint64), (_words.plain, np.uint64)))
@@ -174,19 +180,22 @@ def _document_windows(docs: DataFrame, lengths: list[tuple[int, int]], wanted: n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
-        for b in batches:
-            rows = []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                for _, _, at, h, values in _windows(text, lengths):
-                    if known is not None and len(at):
-                        hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
-                        at, h = at[hit], h[hit]
-                    rows += [(i, a, x, values(a)) for a, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True)]
-            take, at, h, values = zip(*rows, strict=True) if rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(take, pa.int64())), pa.array(at, pa.int32()), pa.array(h, pa.int64()), pa.array(values, pa.list_(pa.string()))],
-                ["doc_id", "doc_at", "window", "doc_values"],
-            )
+        try:
+            for b in batches:
+                rows = []
+                for i, text in enumerate(b.column(1).to_pylist()):
+                    for _, _, at, h, values in _windows(text, lengths):
+                        if known is not None and len(at):
+                            hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+                            at, h = at[hit], h[hit]
+                        rows += [(i, a, x, values(a)) for a, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True)]
+                take, at, h, values = zip(*rows, strict=True) if rows else ((),) * 4
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(take, pa.int64())), pa.array(at, pa.int32()), pa.array(h, pa.int64()), pa.array(values, pa.list_(pa.string()))],
+                    ["doc_id", "doc_at", "window", "doc_values"],
+                )
+        finally:
+            forget()
 
     fields = [docs.schema["doc_id"], T.StructField("doc_at", T.IntegerType()), T.StructField("window", T.LongType()), T.StructField("doc_values", T.ArrayType(T.StringType()))]
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType(fields))

@@ -1,7 +1,9 @@
 """The pipeline's stages on a small corpus."""
 
+import public_tokenizers
+
 import corpus_pipeline
-from offersieve.llm import queries
+from offersieve.llm import bpe, decontaminate, queries
 from tests.llm.test_operators import prose
 
 
@@ -46,3 +48,25 @@ def test_stages_on_odd_rows(spark, tmp_path):
                 assert len(found) == {**left, "near_dedup": 86, "line_dedup": 86}[name], name
             else:
                 assert found == []
+
+
+def test_workers_forget_what_their_tasks_remembered(spark, tmp_path):
+    """Workers go on to the next stage; what decontamination and tokens remember must not stay beside its data."""
+    docs = spark.createDataFrame([(i, prose(7000 + i, 60), "en", "s", 1) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    spark.createDataFrame([(1, prose(7100, 30))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages, path = dict(corpus_pipeline.STAGES), public_tokenizers.path("word_bpe_49k.json")
+
+    def remembered(frames):
+        yield from ([f.assign(id=len(decontaminate._words) + len(bpe.load(path).chunks) + len(bpe.load(path).fragments)) for f in frames])
+
+    left = lambda: spark.range(16).repartition(16).mapInPandas(remembered, "id long").groupBy().max("id").first()[0]
+    for name in ("decontamination", "tokens"):
+        assert stages[name](spark, docs, str(tmp_path)).count() == 40
+        assert left() == 0, name
+
+
+def test_memory_of_words_is_bounded():
+    encoder = bpe.ForcedBoundaryBpe(public_tokenizers.path("word_bpe_49k.json"))
+    text = " ".join(f"w{chr(97 + i % 26)}{i}" for i in range(210_000))
+    encoder.digest(text)
+    assert len(encoder.chunks) <= 200_000 and len(encoder.fragments) <= 200_000
