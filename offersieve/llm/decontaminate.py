@@ -21,7 +21,11 @@ windows have MIN_TOKENS words at least.  Such a short item is searched like
 others, but a match may be chance: its rows are marked `short`, and `bits` says
 how much a match tells, log2 of all rows of documents over those documents that
 hold the item.  Documents are taken out for a short item only if it has
-LEAST_BITS (it stands in less than one of a thousand).  Null and empty texts hold nothing.  Repeated rows of a
+LEAST_BITS (it stands in less than one of a thousand).
+
+Most words of a corpus stand in no item.  A window that holds such a word, other
+than in a placeholder, matches nothing, so with the items' words at hand these
+are not hashed, nor are the windows around them.  Null and empty texts hold nothing.  Repeated rows of a
 document or an item give one result.  Rows with a null doc_id or item_id are
 compared like others.
 """
@@ -31,7 +35,7 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +50,10 @@ from offersieve.session import ship
 WINDOW, LITERALS, MIN_TOKENS, SHARE, LEAST_BITS = 8, 5, 3, 0.4, 10.0
 #: Window hashes that are sent to every task at most (32 MB); beyond, all windows go through the join.
 MAX_SENT = 4_000_000
+#: Different words of items that are sent to every task at most; beyond, all words of documents are hashed.
+MAX_VOCABULARY = 200_000
+#: Characters of the texts whose windows are computed at once.
+TOGETHER = 100_000
 #: Words that a worker remembers while a task runs.
 _REMEMBERED = 200_000
 NUMBER, QUANTITY, NAME, UNIT = range(1, 5)
@@ -72,33 +80,55 @@ def _hashes(word: str) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:], "little")
 
 
-def _classify(word: str) -> tuple[int, int, int]:
-    """(kind, hash in templates, hash of the word) of one word; kind 0 is a plain word, UNIT a unit if a number stands before it."""
+def _forms(word: str) -> tuple[str, str, str]:
+    """A word without marks around it, its form in templates, and its form in word windows."""
     body = word.strip(_MARKS) or word
-    first, low, folded = body[0], body.lower(), body.casefold()
-    code, plain = _hashes(low)
-    if folded != low:
-        _, plain = _hashes(folded)
-    if (first.isdecimal() or first in "+-") and _NUMBER.fullmatch(body):
-        return NUMBER, int(_SLOT[NUMBER]), plain
-    if (first.isdecimal() or first in "+-") and _QUANTITY.fullmatch(body):
-        return QUANTITY, int(_SLOT[QUANTITY]), plain
+    low = body.lower()
+    return body, low, low if body.isascii() else body.casefold()
+
+
+def _kind(body: str, low: str) -> int:
+    """0 for a plain word, UNIT for a unit if a number stands before it."""
+    first = body[0]
+    if first.isdecimal() or first in "+-":
+        if _NUMBER.fullmatch(body):
+            return NUMBER
+        if _QUANTITY.fullmatch(body):
+            return QUANTITY
     if first.isupper() and (len(body) == 1 or body[1:].islower()):
-        return NAME, int(_SLOT[NAME]), plain
-    return (UNIT if low in UNITS else 0), code, plain
+        return NAME
+    return UNIT if low in UNITS else 0
 
 
 class _Words(dict):
-    """Numbers of words in three arrays: their kinds, their hashes in templates, and those of the words."""
+    """Numbers of words in three arrays: their kinds, their hashes in templates, and those of the words.
+
+    A word that is not in the vocabulary (None: all are) has its kind as number, and 0 as hash outside placeholders.
+    """
+
+    def __init__(self, vocabulary: frozenset[str] | None = None) -> None:
+        self.vocabulary = vocabulary
+        self.forget()
 
-    def __init__(self) -> None:
-        self.kinds, self.codes, self.plain = array("b"), array("Q"), array("Q")
+    def forget(self) -> None:
+        self.clear()
+        self.kinds, self.codes, self.plain = array("b", range(5)), array("Q", [0, *_SLOT[1:UNIT].tolist(), 0]), array("Q", [0] * 5)
 
     def __missing__(self, word: str) -> int:
-        at, (kind, code, plain) = len(self.kinds), _classify(word)
-        self.kinds.append(kind)
-        self.codes.append(code)
-        self.plain.append(plain)
+        if not word:  # what stands between texts
+            return 0
+        if word.isascii() and word.isalpha() and word.islower():
+            low, folded, at = word, word, UNIT if word in UNITS else 0
+        else:
+            body, low, folded = _forms(word)
+            at = _kind(body, low)
+        if self.vocabulary is None or low in self.vocabulary or folded in self.vocabulary:
+            kind, at, (code, plain) = at, len(self.kinds), _hashes(low)
+            if folded != low:
+                _, plain = _hashes(folded)
+            self.kinds.append(kind)
+            self.codes.append(int(_SLOT[kind]) if 0 < kind < UNIT else code)
+            self.plain.append(plain)
         if len(word) <= 40:
             self[word] = at
         return at
@@ -107,63 +137,91 @@ class _Words(dict):
 _words = _Words()
 
 
-def forget() -> None:
-    """What was remembered goes: workers outlive their tasks and then hold it beside the next stage's data."""
-    global _words
-    _words = _Words()
-
-
-def _read(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Words, template hashes, which of them are placeholders, and word hashes."""
-    if len(_words.kinds) >= _REMEMBERED:
-        forget()
-    words = (text or "").split()
-    at = np.fromiter(map(_words.__getitem__, words), np.int64, len(words))
-    kinds, codes, plain = (np.frombuffer(x, t)[at] if len(at) else np.zeros(0, t) for x, t in ((_words.kinds, np.int8), (_words.codes, np.uint64), (_words.plain, np.uint64)))
+def _read(texts: list[str | None], memory: _Words) -> tuple[list[str], list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """Words of texts and an empty one after each text, where each text begins, template hashes, which of them are placeholders, and word hashes."""
+    if max(len(memory), len(memory.kinds)) >= _REMEMBERED:
+        memory.forget()
+    words, starts = [], []
+    for text in texts:
+        starts.append(len(words))
+        words += (text or "").split()
+        words.append("")
+    at = np.fromiter(map(memory.__getitem__, words), np.int64, len(words))
+    kinds, codes, plain = (np.frombuffer(x, t)[at] for x, t in ((memory.kinds, np.int8), (memory.codes, np.uint64), (memory.plain, np.uint64)))
     unit = np.zeros(len(words), bool)
     unit[1:] = (kinds[1:] == UNIT) & (kinds[:-1] == NUMBER)
     codes[unit] = _SLOT[UNIT]
-    return words, codes, (unit | ((kinds > 0) & (kinds != UNIT))), plain
+    return words, starts, codes, (unit | ((kinds > 0) & (kinds != UNIT))), plain
 
 
 def template(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Words, template hashes, and which of them are placeholders."""
-    return _read(text)[:3]
+    words, _, codes, slots, _ = _read([text], _words)
+    return words[:-1], codes[:-1], slots[:-1]
 
 
 def windows(codes: np.ndarray, slots: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the windows of n tokens that have enough plain words."""
-    size = len(codes) - n + 1
-    if size <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = np.zeros(size, np.uint64)
-    for i in range(n):
-        h += codes[i : i + size] * _PLACES[i]
+    """Starts and hashes of the windows of n tokens that have enough plain words and no unknown one."""
+    edges = np.concatenate([[-1], np.flatnonzero(codes == 0), [len(codes)]])
+    room = np.maximum(np.diff(edges) - n, 0)
+    ends = np.cumsum(room)
+    at = np.repeat(edges[:-1] + 1 - ends + room, room) + np.arange(ends[-1])
     filled = np.concatenate([[0], np.cumsum(~slots)])
-    at = np.flatnonzero(filled[n:] - filled[:-n] >= min(LITERALS, n))
-    return at, mix(h[at] + np.uint64(n))
+    at = at[filled[at + n] - filled[at] >= min(LITERALS, n)]
+    h = np.zeros(len(at), np.uint64)
+    for i in range(n):
+        h += codes[at + i] * _PLACES[i]
+    return at, mix(h + np.uint64(n))
 
 
-def _windows(text: str | None, lengths: list[tuple[int, int]]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, Callable[[int], list[str]]]]:
-    """Kind, n, starts and hashes of the windows of each (kind, n), and the words in the placeholders of one."""
-    words, codes, slots, plain = _read(text)
+def _windows(texts: list[str | None], lengths: list[tuple[int, int]], memory: _Words, wanted: np.ndarray | None = None) -> Iterator[tuple[int, int, int, int, int, list[str]]]:
+    """(text, start, kind, n, hash, words in the placeholders) of the windows of each (kind, n) whose hash is wanted (None: all)."""
+    words, starts, codes, slots, plain = _read(texts, memory)
     none = np.zeros(len(words), bool)
     for kind, n in lengths:
         own, held = (codes, slots) if kind == TEMPLATE else (plain, none)
-        yield kind, n, *windows(own, held, n), lambda a, n=n, held=held: [words[j] for j in range(a, a + n) if held[j]]
+        at, h = windows(own, held, n)
+        if wanted is not None and len(at):
+            hit = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
+            at, h = at[hit], h[hit]
+        text = np.searchsorted(starts, at, "right") - 1
+        for i, a, x in zip(text.tolist(), at.tolist(), h.view(np.int64).tolist(), strict=True):
+            yield i, a - starts[i], kind, n, x, [words[j] for j in range(a, a + n) if held[j]]
+
+
+def _together(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
+    """Texts in groups of about TOGETHER characters, each with its place."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        size += len(text or "") + 1
+        if size >= TOGETHER or i == len(texts) - 1:
+            yield start, texts[start : i + 1]
+            start, size = i + 1, 0
+
+
+def _vocabulary(texts: DataFrame) -> frozenset[str] | None:
+    """The forms of the words of texts; None if there are more than MAX_VOCABULARY."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = {form for text in b.column(0).to_pylist() for word in (text or "").split() for form in _forms(word)[1:]}
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], ["word"])
+
+    found = texts.select("text").mapInArrow(run, "word string").distinct().limit(MAX_VOCABULARY + 1).collect()
+    return frozenset(r[0] for r in found) if len(found) <= MAX_VOCABULARY else None
 
 
 def _item_windows(benchmark: DataFrame) -> DataFrame:
     """(item_id, at, kind, n, window, values): values are the words in a template window's placeholders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = _Words()
         for b in batches:
             rows = []
             for i, text in enumerate(b.column(1).to_pylist()):
                 n = min(WINDOW, len((text or "").split()))
                 lengths = [(TEMPLATE, n)] * (n >= MIN_TOKENS) + [(WORDS, n)] * (n > 0)
-                for kind, n, at, h, values in _windows(text, lengths):
-                    rows += [(i, a, kind, n, x, values(a)) for a, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True)]
+                rows += [(i, *row[1:]) for row in _windows([text], lengths, memory)]
             take, at, kind, n, h, values = zip(*rows, strict=True) if rows else ((),) * 6
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(take, pa.int64())), pa.array(at, pa.int32()), pa.array(kind, pa.int32()), pa.array(n, pa.int32()), pa.array(h, pa.int64()), pa.array(values, pa.list_(pa.string()))],
@@ -174,28 +232,22 @@ def _item_windows(benchmark: DataFrame) -> DataFrame:
     return benchmark.select("item_id", "text").mapInArrow(run, T.StructType(fields))
 
 
-def _document_windows(docs: DataFrame, lengths: list[tuple[int, int]], wanted: np.ndarray | None) -> DataFrame:
-    """(doc_id, at, window, values) of windows of the kinds and lengths whose hash is wanted (None: all)."""
-    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+def _document_windows(docs: DataFrame, lengths: list[tuple[int, int]], wanted: np.ndarray | None, vocabulary: frozenset[str] | None) -> DataFrame:
+    """(doc_id, at, window, values) of windows of the kinds and lengths whose hash is wanted (None: all) and whose words are in the vocabulary (None: all)."""
+    sent = docs.sparkSession.sparkContext.broadcast((wanted, vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        try:
-            for b in batches:
-                rows = []
-                for i, text in enumerate(b.column(1).to_pylist()):
-                    for _, _, at, h, values in _windows(text, lengths):
-                        if known is not None and len(at):
-                            hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
-                            at, h = at[hit], h[hit]
-                        rows += [(i, a, x, values(a)) for a, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True)]
-                take, at, h, values = zip(*rows, strict=True) if rows else ((),) * 4
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(take, pa.int64())), pa.array(at, pa.int32()), pa.array(h, pa.int64()), pa.array(values, pa.list_(pa.string()))],
-                    ["doc_id", "doc_at", "window", "doc_values"],
-                )
-        finally:
-            forget()
+        # Workers outlive their tasks, so what a task remembers is its own.
+        known, memory = sent.value[0], _Words(sent.value[1])
+        for b in batches:
+            rows = []
+            for start, texts in _together(b.column(1).to_pylist()):
+                rows += [(start + i, a, x, values) for i, a, _, _, x, values in _windows(texts, lengths, memory, known)]
+            take, at, h, values = zip(*rows, strict=True) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(take, pa.int64())), pa.array(at, pa.int32()), pa.array(h, pa.int64()), pa.array(values, pa.list_(pa.string()))],
+                ["doc_id", "doc_at", "window", "doc_values"],
+            )
 
     fields = [docs.schema["doc_id"], T.StructField("doc_at", T.IntegerType()), T.StructField("window", T.LongType()), T.StructField("doc_values", T.ArrayType(T.StringType()))]
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType(fields))
@@ -216,7 +268,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
         wanted = np.sort(wanted)
     if not lengths:
         return named.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "item_id", *[F.lit(0).cast(t).alias(c) for c, t in (("n_windows", "long"), ("n_matched", "long"), ("share", "double"), ("n_changed", "long"), ("short", "boolean"), ("bits", "double"))]).where("false")
-    found = _document_windows(docs, lengths, wanted)
+    found = _document_windows(docs, lengths, wanted, _vocabulary(texts))
     same = items.select("item_id", "item_at", "kind", "window", "item_values")
     joined = found.join(same, "window").where(F.size("doc_values") == F.size("item_values"))
     matched = stored(joined.select("doc_id", "item_id", "kind", "item_at", (F.col("doc_at") - F.col("item_at")).alias("offset"), F.arrays_zip("item_values", "doc_values").alias("values")), "matched")

@@ -110,6 +110,30 @@ def test_templates():
     assert window("A B C D E F G H I J") == []
 
 
+def test_only_words_of_items_are_hashed(monkeypatch):
+    """A window with a word of no item matches nothing; with the items' words at hand, the same windows match and other words cost no hash."""
+    hashed, whole = [], decontaminate._hashes
+    monkeypatch.setattr(decontaminate, "_hashes", lambda word: hashed.append(word) or whole(word))
+    item = "If Anna has 3 red apples, and Straße ΣΑΣ buys 4 days more for the İstanbul of - ten"
+    words = [w for w in item.split() for w in (w, w.lower(), w.upper(), w.title(), f"({w})")] + [f"x{chr(97 + i)}" for i in range(26)] + ["Eve", "17", "5kg", "hours", "ﬁne", "ẞ", "-", "+", "..."]
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(30)] + [item, None, "", item.upper() + " " + item.replace("Anna", "Bob").replace("3", "9"), "word"] + item.split() + [item + "\u2028" + item] * 2
+    lengths = [(kind, n) for kind in (decontaminate.TEMPLATE, decontaminate.WORDS) for n in (3, 8)]
+    wanted = np.sort(np.array([r[4] for r in decontaminate._windows([item], lengths, decontaminate._Words())], np.int64).view(np.uint64))
+    want = [(i, *r[1:]) for i, t in enumerate(texts) for r in decontaminate._windows([t], lengths, decontaminate._Words(), wanted)]
+    assert len({r[0] for r in want}) > 5
+    hashed.clear()
+    vocabulary = frozenset(form for w in item.split() for form in decontaminate._forms(w)[1:])
+    assert sorted(decontaminate._windows(texts, lengths, decontaminate._Words(vocabulary), wanted)) == sorted(want)
+    assert hashed and set(hashed) <= vocabulary | {"straße", "i̇stanbul"}
+
+
+def test_texts_are_taken_together():
+    texts = ["a" * 70_000, None, "b" * 40_000, "", "c" * 300_000, "d"]
+    assert [t for _, group in decontaminate._together(texts) for t in group] == texts
+    assert [start for start, _ in decontaminate._together(texts)] == [0, 3, 5] and list(decontaminate._together([])) == []
+
+
 def brute_kneser_ney(counted, alphabet):
     """P(last | sequence) by the recursion as it is written, from {sequence of four: count}."""
     levels = {4: dict(counted)}
