@@ -9,6 +9,7 @@ from offersieve.functions.text import is_null_token
 from offersieve.schema import APPROVING, JOINED, PENDING
 
 _YEAR_FIRST = r"^(\d{4})[-/.年](\d{1,2})[-/.月](\d{1,2})日?$"
+_YEAR_FIRST_PARTS = r"^(\d{4})\D(\d{1,2})\D(\d{1,2})\D*$"
 _YEAR_LAST = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})$"
 _SERIAL_TEXT = r"^\d{5}(?:\.\d+)?$"
 
@@ -46,7 +47,7 @@ def parse_date_cell(text: Column, number: Column | None = None, date1904: bool |
     none = F.lit(None).cast("date")
     body = F.coalesce(text, F.lit(""))
     part = lambda pattern, i: F.regexp_extract(body, pattern, i).try_cast("int")
-    first = make_date_or_null(part(_YEAR_FIRST, 1), part(_YEAR_FIRST, 2), part(_YEAR_FIRST, 3))
+    first = F.regexp_replace(body, _YEAR_FIRST_PARTS, "$1-$2-$3").try_cast("date")  # of what _YEAR_FIRST fits
     a, b, year = (part(_YEAR_LAST, i) for i in (1, 2, 3))
     both_small = (a <= 12) & (b <= 12)
     month_first = F.when(both_small, F.lit(order == "month-first")).otherwise(b > 12)

@@ -52,12 +52,12 @@ def _words(table: Mapping[str, object]) -> Column:
 
 
 def _from_words(text: Column, table: Mapping[str, object], name: str, missing, unmatched, kind: str = "string", confirm: Column | None = None) -> Column:
-    """Dictionary look-up on the normalised key."""
+    """Dictionary look-up on the key of a normalised text, its lower case."""
     body = F.coalesce(text, F.lit(""))
-    hit = _words(table)[plain_key(body)]
+    hit = _words(table)[F.lower(body)]
     return (
         F.when(is_null_token(body), _struct(kind, missing, f"{name}.missing"))
-        .when(hit.isNotNull(), _struct(kind, hit, F.concat(F.lit(f"{name}."), plain_key(body)), F.lit(False) if confirm is None else confirm))
+        .when(hit.isNotNull(), _struct(kind, hit, F.concat(F.lit(f"{name}."), F.lower(body)), F.lit(False) if confirm is None else confirm))
         .otherwise(_struct(kind, unmatched, f"{name}.unrecognized", True, UNKNOWN_ENUM))
     )
 
@@ -75,7 +75,7 @@ def school(text: Column, aliases: Sequence[tuple[str, str]] = ()) -> Column:
     table: dict[str, str] = {}
     for alias, canonical in aliases:
         table.setdefault(header_key_of(alias), canonical)
-    hit = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[plain_key(body)] if table else F.lit(None).cast("string")
+    hit = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[F.lower(body)] if table else F.lit(None).cast("string")
     return (
         F.when(is_null_token(body), _struct("string", None, "school.missing"))
         .when(hit.isNotNull(), _struct("string", plain_text(hit), "school.alias", True))
@@ -85,7 +85,7 @@ def school(text: Column, aliases: Sequence[tuple[str, str]] = ()) -> Column:
 
 def city(text: Column) -> Column:
     body = F.coalesce(text, F.lit(""))
-    hit = _words(CITY_WORDS)[plain_key(body)]
+    hit = _words(CITY_WORDS)[F.lower(body)]
     start = F.coalesce(*[F.when(body.startswith(c), F.lit(c)) for c in TARGET_CITIES])
     return (
         F.when(is_null_token(body), _struct("string", UNKNOWN, "city.missing", raw=F.lit(None).cast("string")))
@@ -98,7 +98,7 @@ def city(text: Column) -> Column:
 def offer_status(text: Column, headers: Sequence[str] = ()) -> Column:
     """A cell that repeats a header is unknown, like anything not in the dictionary."""
     body = F.coalesce(text, F.lit(""))
-    echo = plain_key(body).isin(sorted({header_key_of(h) for h in headers})) if headers else F.lit(False)
+    echo = F.lower(body).isin(sorted({header_key_of(h) for h in headers})) if headers else F.lit(False)
     found = _from_words(text, STATUS_WORDS, "status", UNKNOWN, UNKNOWN)
     return F.when(echo & ~is_null_token(body), _struct("string", UNKNOWN, "status.headerEcho", True, "HEADER_ECHO_CELL")).otherwise(found)
 
@@ -130,7 +130,7 @@ def requirement_type(text: Column) -> Column:
 
 def education(text: Column) -> Column:
     body = F.coalesce(text, F.lit(""))
-    return _from_words(text, EDUCATION_WORDS, "education", UNKNOWN, UNKNOWN, confirm=_words(EDUCATION_WORDS)[plain_key(body)] != body)
+    return _from_words(text, EDUCATION_WORDS, "education", UNKNOWN, UNKNOWN, confirm=_words(EDUCATION_WORDS)[F.lower(body)] != body)
 
 
 def tri_state(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,8 @@ from offersieve.schema import NULL_TOKENS, OTHER, UNKNOWN
 #: White space as the domain sees it, for character classes of Java patterns.
 SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 _ZERO_WIDTH = r"[\u200B-\u200D\uFEFF]"
+#: Found in every text that plain_text would change (and in few others: ranges are searched faster than single signs).
+_NOT_PLAIN = r"[\t-\r\u00A0\u1680\u2000-\u200D\u2028-\u202F\u205F\u3000\uFEFF]| (?: |$)|^ "
 
 
 @F.pandas_udf(T.StringType())
@@ -30,10 +34,13 @@ def trim_space(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def nfkc_cells(rows: pd.Series) -> pd.Series:
-    """Compatibility form of a row's cells at once: Python functions can't stand inside lambdas."""
-    return rows.map(lambda cells: None if cells is None else [None if x is None else unicodedata.normalize("NFKC", x) for x in cells])
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def nfkc_cells(rows: pa.Array) -> pa.Array:
+    """Compatibility form of a row's cells at once: Python functions can't stand inside lambdas. Equal cells of a batch are changed once."""
+    cells = rows.flatten().dictionary_encode()
+    forms = pa.array([unicodedata.normalize("NFKC", x) for x in cells.dictionary.to_pylist()], cells.dictionary.type)
+    ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(rows), 0)).cast("int32")
+    return pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], "int32"), ends]), forms.take(cells.indices), mask=rows.is_null())
 
 
 def plain_text(c: Column) -> Column:
@@ -41,8 +48,13 @@ def plain_text(c: Column) -> Column:
     return trim_space(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), _ZERO_WIDTH, ""), f"[{SPACE}]+", " "))
 
 
+def plain_cells(cells: Column) -> Column:
+    """plain_text of each cell, null for null: most cells stand as they are, which one search tells."""
+    return F.transform(cells, lambda c: F.when(c.rlike(_NOT_PLAIN), plain_text(c)).otherwise(c))
+
+
 def plain_key(c: Column) -> Column:
-    """header_key of a text in compatibility form."""
+    """header_key of a text in compatibility form; of a plain_text that is its lower case."""
     return F.lower(trim_space(F.regexp_replace(F.coalesce(c, F.lit("")), _ZERO_WIDTH, "")))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from offersieve.functions import resolve
 from offersieve.functions.dates import parse_date_cell
 from offersieve.functions.numbers import extract_amount, valid_amount
-from offersieve.functions.text import display_id, header_key_of, nfkc_cells, plain_key, plain_text, stable_digest
+from offersieve.functions.text import display_id, header_key_of, nfkc_cells, plain_cells, plain_text, stable_digest
 from offersieve.operators import duplicates
 from offersieve.operators.mapping import Mapping_, pick
 from offersieve.operators.metrics import LONG_CYCLE_DAYS, in_core, is_accepted, is_rejected
@@ -86,9 +86,9 @@ def sheet_signature(headers: Sequence[str], sheet: str = "", rows: int | None =
 
 
 def header_echo(texts: Column, headers: Sequence[str]) -> Column:
-    """Some cell of the row (in compatibility form) repeats some header."""
+    """Some cell of the row (plain_cells) repeats some header."""
     keys = sorted({header_key_of(h) for h in headers} - {""})
-    return F.exists(texts, lambda c: plain_key(plain_text(c)).isin(keys)) if keys else F.lit(False)
+    return F.exists(texts, lambda c: F.lower(F.coalesce(c, F.lit(""))).isin(keys)) if keys else F.lit(False)
 
 
 def corrected(rows: DataFrame, corrections: DataFrame, mapping: Mapping_) -> DataFrame:
@@ -112,10 +112,8 @@ def _number(mapping: Mapping_, target: str) -> Column:
 
 
 def resolved(rows: DataFrame, mapping: Mapping_, s: Settings) -> DataFrame:
-    """rows plus one struct r_<field> for each field, resolved in dependency order."""
-    # Each field's text is normalised once.
-    plain = lambda c: F.when(c.isNotNull(), plain_text(c))
-    rows = rows.withColumns({f"t_{key}": plain(pick(mapping, key)) for key, *_ in STANDARD_FIELDS})
+    """rows, whose t_cells are plain texts, plus one struct r_<field> for each field, resolved in dependency order."""
+    rows = rows.withColumns({f"t_{key}": pick(mapping, key, "t_cells") for key, *_ in STANDARD_FIELDS})
     p = lambda key: F.col(f"t_{key}")
     text = {f"r_{name}": resolve.text_value(p(key), _number(mapping, key), key == "requirementId") for name, key in _TEXT_FIELDS.items()}
     dates = {f"r_{name}": parse_date_cell(p(key), _number(mapping, key), s.date1904, s.date_order) for name, key in (("start_date", "recruitmentStartDate"), ("join_date", "joiningDate"), ("end_date", "expectedEndDate"))}
@@ -236,18 +234,19 @@ def clean(rows: DataFrame, mapping: Mapping_, s: Settings, corrections: DataFram
     # Resolvers cost more than moving rows: a list in few pieces is dealt to all tasks.
     admitted = admitted.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     # Compatibility form once for the whole row; raw_cells keep what was written.
-    admitted = admitted.withColumns({"raw_cells": F.col("cells"), "cells": nfkc_cells("cells")})
-    admitted = admitted.withColumn("echo", header_echo(F.col("cells"), mapping.headers))
+    admitted = admitted.withColumns({"raw_cells": F.col("cells"), "cells": nfkc_cells("cells")}).withColumn("t_cells", plain_cells(F.col("cells")))
+    admitted = admitted.withColumn("echo", header_echo(F.col("t_cells"), mapping.headers))
     if s.drop_header_echo:
         admitted = admitted.where("not echo")
     if corrections is None:
         admitted = admitted.withColumn("corrected", F.lit(None).cast("array<string>"))
     else:
-        admitted = corrected(admitted, corrections, mapping)
+        admitted = corrected(admitted, corrections, mapping).withColumn("t_cells", plain_cells(F.col("cells")))
+    admitted = admitted.withColumn("exact_key", duplicates.exact_key(F.col("t_cells")))
     v = values(resolved(admitted, mapping, s), mapping, s)
     record_id = F.sha2(F.concat_ws("\u001f", F.lit(dataset_id), F.lit(batch_id), F.coalesce("file", F.lit("")), F.lit(sheet), F.col("source_row").cast("string")), 256).substr(1, 32)
     v = v.withColumns({"record_id": record_id, "offer_id": F.col("extensions")["offerId"], "issues": issue_array(mapping, s)})
-    v = v.withColumns({"exact_key": duplicates.exact_key(F.col("cells")), "suspected_key": duplicates.suspected_key()})
+    v = v.withColumn("suspected_key", duplicates.suspected_key())
 
     def make() -> tuple[DataFrame, DataFrame, DataFrame]:
         hidden = [c for c in v.columns if c.startswith("r_")] + ["g", "raw_cycle_days", "numbers", "notes", "empty", "channel_inferred"]
@@ -296,7 +295,7 @@ def append(current: DataFrame, new: DataFrame, strategy: str = KEEP_FIRST, confi
     added = new.withColumns({"record_id": own, "batch_no": F.lit(number)}).withColumn("display_id", display_id(F.col("record_id")))
     both = current.unionByName(added, allowMissingColumns=True)
     order = (F.col("batch_no").cast("long") * 2**32 + F.col("source_row")).alias("source_row")
-    keys = both.withColumns({"exact_key": duplicates.exact_key(F.col("cells")), "suspected_key": duplicates.suspected_key()}).select("record_id", order, "exact_key", "suspected_key")
+    keys = both.withColumns({"exact_key": duplicates.exact_key(plain_cells(F.col("cells"))), "suspected_key": duplicates.suspected_key()}).select("record_id", order, "exact_key", "suspected_key")
     keys = stored(keys, "keys")  # read four times
     marked = duplicates.decide(duplicates.mark(keys), strategy, confirmed).select("record_id", "dup_kind", "dup_group", "dedup_action", "dedup_by")
     out = both.drop("dup_kind", "dup_group", "dedup_action", "dedup_by", "is_first").join(marked, "record_id")

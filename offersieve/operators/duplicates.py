@@ -18,25 +18,27 @@ def suspected_key() -> Column:
     )
 
 
-def exact_key(cells: Column) -> Column:
-    """Cells (in compatibility form) joined; null for a row that is blank throughout."""
-    texts = F.transform(cells, plain_text)
-    return F.when(F.exists(texts, lambda t: ~is_null_token(t)), F.array_join(texts, "\u001f"))
+def exact_key(texts: Column) -> Column:
+    """Plain texts of a row's cells (plain_cells) joined; null for a row that is blank throughout."""
+    return F.when(F.exists(texts, lambda t: ~is_null_token(F.coalesce(t, F.lit("")))), F.array_join(texts, "\u001f", ""))
 
 
-def _groups(rows: DataFrame, key: str, kind: str) -> DataFrame:
-    """(key, n, first, group): keys with two rows or more; a group has the name of its first record."""
-    groups = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct("source_row", "record_id")).alias("first")).where("n > 1")
-    return groups.withColumn("group", F.concat(F.lit(f"{kind}#"), F.col("first.record_id")))
+def _named(groups: DataFrame, key: str, kind: str, prefix: str) -> DataFrame:
+    """Keys with two rows or more, with n, first and group; a group has the name of its first record."""
+    first = F.col("first")
+    found = (F.concat(F.lit(f"{kind}#"), first["record_id"]), F.col("n"), F.struct(first["source_row"].alias("source_row"), first["record_id"].alias("record_id")))
+    return groups.where("n > 1").select(key, *[c.alias(f"{prefix}_{name}") for c, name in zip(found, ("group", "n", "first"), strict=True)])
 
 
 def mark(rows: DataFrame) -> DataFrame:
     """rows (record_id, source_row, exact_key, suspected_key) plus dup_kind, dup_group, dup_n and is_first."""
-    exact = _groups(rows, "exact_key", "exact").select(F.col("exact_key"), F.col("group").alias("exact_group"), F.col("n").alias("exact_n"), F.col("first").alias("exact_first"))
-    one = rows.join(exact, "exact_key", "left")
-    rest = one.where(F.col("exact_group").isNull())
-    suspected = _groups(rest, "suspected_key", "suspected").select("suspected_key", F.col("group").alias("s_group"), F.col("n").alias("s_n"), F.col("first").alias("s_first"))
-    two = one.join(suspected, "suspected_key", "left")
+    n, row = F.count("*").alias("n"), F.struct("source_row", "record_id", "suspected_key")
+    texts = rows.where(F.col("exact_key").isNotNull()).groupBy("exact_key").agg(n, F.min(row).alias("first"))
+    # Rows in no exact group: a group of one is its row, so they need no join.
+    rest = texts.where("n = 1").select("first.*").unionByName(rows.where(F.col("exact_key").isNull()).select(row.alias("first")).select("first.*"))
+    likes = rest.where(F.col("suspected_key").isNotNull()).groupBy("suspected_key").agg(n, F.min(F.struct("source_row", "record_id")).alias("first"))
+    one = rows.join(_named(texts, "exact_key", "exact", "exact"), "exact_key", "left")
+    two = one.join(_named(likes, "suspected_key", "suspected", "s"), "suspected_key", "left")
     exactly = F.col("exact_group").isNotNull()
     near = ~exactly & F.col("s_group").isNotNull()
     first = F.when(exactly, F.col("exact_first")).when(near, F.col("s_first"))

@@ -5,7 +5,8 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from offersieve import queries
-from offersieve.operators import grouping, metrics, ranking
+from offersieve.functions import text
+from offersieve.operators import cleaning, duplicates, grouping, metrics, ranking
 from offersieve.plans import privacy, report, summary
 
 SMALL = "/root/testdata/sf0.001"
@@ -42,3 +43,34 @@ def test_records_of_one_label_are_paged_in_the_order_of_the_list(spark, tmp_path
     got = ranking.ranked_by(doubled, order, ranges=3).orderBy("rank").collect()
     want = sorted(doubled.collect(), key=lambda r: (-r.start_date.toordinal(), r.record_id, r.place))
     assert [r.place for r in got] == [r.place for r in want]
+
+
+def test_cells_are_made_plain_once_for_fields_headers_and_keys(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(cleaning, "_outputs", lambda v, *how: (v, v, v))
+    monkeypatch.setattr(cleaning, "stored", lambda df, name: made.append(plan(df)) or df)
+    assert queries._cleaned(spark, SMALL).records is not None
+    # One expression for all cells, and one of the offer id in the keys; each field had its own, and headers and keys had theirs.
+    assert made[0].count("[\\u200B-\\u200D") <= 2
+
+
+def test_plain_cells_are_plain_texts(spark):
+    odd = ["", " ", "a", " a", "a ", "a b", "a  b", "a\tb", "a\n", "\u200b", "a\u200bb", "\ufeffa", "a\u00a0b", "a\u2003", "\u202f", "a\u205fb", "a\u2028b", "\u3000a", "a\u0085", "a \u0085", "“a”—b", "\u2029", "\x0b", "İ"]
+    rows = spark.createDataFrame([(i, [x, None]) for i, x in enumerate(odd)], "i int, c array<string>")
+    for r in rows.select(F.col("c")[0].alias("x"), text.plain_cells(F.col("c")).alias("got"), text.plain_text(F.col("c")[0]).alias("want")).collect():
+        assert r.got == [r.want, None], repr(r.x)
+
+
+def test_cells_get_their_compatibility_form(spark):
+    rows = [["Ａ", None, "ﬁ"], [], None, ["Ａ", "x"], [None]]
+    got = spark.createDataFrame([(i, c) for i, c in enumerate(rows)], "i int, c array<string>").repartition(2).select("i", text.nfkc_cells("c").alias("c")).orderBy("i").collect()
+    assert [r.c for r in got] == [["A", None, "fi"], [], None, ["A", "x"], [None]]
+
+
+def test_rows_are_joined_once_with_each_kind_of_group(spark):
+    rows = [("a", 1, "x", "s"), ("b", 2, "x", "s"), ("c", 3, "y", "s"), ("d", 4, None, "s"), ("e", 5, None, None), ("f", 6, "z", "t"), ("g", 7, None, "u")]
+    marked = duplicates.mark(spark.createDataFrame(rows, "record_id string, source_row int, exact_key string, suspected_key string"))
+    got = {r.record_id: (r.dup_kind, r.dup_group, r.dup_n, r.is_first) for r in marked.collect()}
+    none = ("none", None, None, None)
+    assert got == {"a": ("exact", "exact#a", 2, True), "b": ("exact", "exact#a", 2, False), "c": ("suspected", "suspected#c", 2, True), "d": ("suspected", "suspected#c", 2, False), "e": none, "f": none, "g": none}
+    assert plan(marked).count("Join ") == 2
