@@ -295,7 +295,8 @@ def append(current: DataFrame, new: DataFrame, strategy: str = KEEP_FIRST, confi
     added = new.withColumns({"record_id": own, "batch_no": F.lit(number)}).withColumn("display_id", display_id(F.col("record_id")))
     both = current.unionByName(added, allowMissingColumns=True)
     order = (F.col("batch_no").cast("long") * 2**32 + F.col("source_row")).alias("source_row")
-    keys = both.withColumns({"exact_key": duplicates.exact_key(plain_cells(F.col("cells"))), "suspected_key": duplicates.suspected_key()}).select("record_id", order, "exact_key", "suspected_key")
+    texts = both.withColumn("t_cells", plain_cells(F.col("cells")))  # used twice
+    keys = texts.withColumns({"exact_key": duplicates.exact_key(F.col("t_cells")), "suspected_key": duplicates.suspected_key()}).select("record_id", order, "exact_key", "suspected_key")
     keys = stored(keys, "keys")  # read four times
     marked = duplicates.decide(duplicates.mark(keys), strategy, confirmed).select("record_id", "dup_kind", "dup_group", "dedup_action", "dedup_by")
     out = both.drop("dup_kind", "dup_group", "dedup_action", "dedup_by", "is_first").join(marked, "record_id")

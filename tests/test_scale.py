@@ -74,3 +74,14 @@ def test_rows_are_joined_once_with_each_kind_of_group(spark):
     none = ("none", None, None, None)
     assert got == {"a": ("exact", "exact#a", 2, True), "b": ("exact", "exact#a", 2, False), "c": ("suspected", "suspected#c", 2, True), "d": ("suspected", "suspected#c", 2, False), "e": none, "f": none, "g": none}
     assert plan(marked).count("Join ") == 2
+
+
+def test_cells_of_batches_are_made_plain_once(spark, monkeypatch):
+    columns = "record_id string, source_row int, cells array<string>, offer_id string, requirement_id string, candidate_name string, start_date date, dup_kind string, dup_group string, dedup_action string, dedup_by string"
+    batch = spark.createDataFrame([("a", 1, ["x ", None], *[None] * 8), ("b", 2, [" y", ""], *[None] * 8)], columns).repartition(2)
+    made, stored = [], cleaning.stored
+    monkeypatch.setattr(cleaning, "stored", lambda df, name: made.append(plan(df)) or stored(df, name))
+    got = cleaning.append(batch, batch)
+    assert sorted((r.batch_no, r.dup_kind, r.cells) for r in got.collect()) == [(b, "exact", c) for b in (0, 1) for c in ([" y", ""], ["x ", None])]
+    # For each batch once for all cells, and once for the offer id.
+    assert made[0].count("[\\u200B-\\u200D") <= 4
